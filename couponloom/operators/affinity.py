@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from couponloom.workspace import private_stage
+
 BASKET = ["week", "shopper"]
 SHOPPERS_PER_BUCKET = 65_536
 # Products and copies of one product that one basket list may hold.
@@ -163,7 +165,7 @@ def cooccurrence_table(edges: DataFrame, n_members: int, value: str = "n") -> Da
         raise ValueError(f"{n_members} members do not fit into columns, use the edges")
     table = edges.groupBy("member_1").pivot("member_2", list(range(n_members))).agg(F.sum(value))
     return table.fillna(0).select(
-        "member_1", *[F.col(str(k)).alias(f"member_{k}") for k in range(n_members)]
+        "member_1", *[F.col(str(k)).alias(f"with_{k}") for k in range(n_members)]
     )
 
 
@@ -185,11 +187,12 @@ def clip_diagonal(edges: DataFrame) -> DataFrame:
 
 
 def member_clusters(edges: DataFrame, n_members: int, k: int = 3, seed: int = 42) -> DataFrame:
-    """(member, cluster) by the rows of the clipped table."""
+    """(member, cluster) by the rows of the clipped table, written before the iterations."""
     table = cooccurrence_table(clip_diagonal(edges), n_members)
     columns = [c for c in table.columns if c != "member_1"]
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(table)
-    rows = rows.select(F.col("member_1").alias("member"), "features")
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(table)
+    named = vectors.select(F.col("member_1").alias("member"), "features")
+    rows = private_stage(edges.sparkSession, "member-rows", lambda: named)
     model = BisectingKMeans(k=k, seed=seed).fit(rows)
     return model.transform(rows).select("member", F.col("prediction").alias("cluster"))
 

@@ -21,19 +21,21 @@ def woe(data: DataFrame, params: Params, by: str, products: int | None = None) -
     """Weight of evidence of each shopper or product over the training rows.
 
     ln(((pos + 1) / (P + 2)) / ((neg + 1) / (N + 2))), zero for a value seen once.
-    The totals enter as scalar subqueries.
+    Both totals enter as one scalar subquery.
     """
     counts = (
         dense_counts(data, params, by, params.train_weeks, products)
         .groupBy(by)
         .agg(F.sum("n_rows").alias("n"), F.sum("purchases").alias("pos"))
     )
-    positives = counts.agg(F.sum("pos").cast("double")).scalar()
-    rows = counts.agg(F.sum("n").cast("double")).scalar()
-    neg = F.col("n") - F.col("pos")
+    totals = counts.agg(
+        F.struct(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
+    ).scalar()
+    positives = totals["pos"]
+    negatives = totals["n"] - positives
     evidence = F.log(
         ((F.col("pos") + F.lit(1.0)) / (positives + 2.0))
-        / ((neg + F.lit(1.0)) / (rows - positives + 2.0))
+        / ((F.col("n") - F.col("pos") + F.lit(1.0)) / (negatives + 2.0))
     )
     return counts.select(by, F.when(F.col("n") > 1, evidence).otherwise(0.0).alias(f"{by}_WOE"))
 

@@ -92,32 +92,33 @@ def with_running_rates(rows: DataFrame) -> DataFrame:
     )
 
 
-def shopper_dimension(data: DataFrame, params: Params, encoded: bool) -> DataFrame:
-    """Per shopper: redemption rate, and its weight of evidence when encoded."""
-    rates = panel_redemption(data, params, "shopper", params.model_products)
-    if not encoded:
-        return rates
-    return rates.join(woe(data, params, "shopper", params.model_products), "shopper", "left")
-
-
-def product_dimension(data: DataFrame, params: Params, encoded: bool) -> DataFrame:
-    rates = panel_redemption(data, params, "product", params.model_products)
+def _value_dimension(
+    data: DataFrame, packed: DataFrame, params: Params, by: str, encoded: bool
+) -> DataFrame:
+    """Per shopper or product: redemption rate, and weight of evidence when encoded."""
+    rates = panel_redemption(packed, params, by, params.model_products)
     if not encoded:
         return rates
-    return rates.join(woe(data, params, "product", params.model_products), "product", "left")
+    return rates.join(woe(data, params, by, params.model_products), by, "left")
 
 
-def dataset(data: DataFrame, params: Params) -> DataFrame:
+def dataset(data: DataFrame, params: Params, packed: DataFrame | None = None) -> DataFrame:
     """Panel with histories and imputed prices, before any feature."""
-    return impute_price(panel(data, params), data, params, params.panel_weeks)
+    rows = panel(data, params, packed=packed)
+    return impute_price(rows, data, params, params.panel_weeks)
 
 
 def model_data(
-    data: DataFrame, params: Params, weeks: list[int] | None = None, encoded: bool = False
+    data: DataFrame,
+    packed: DataFrame,
+    params: Params,
+    weeks: list[int] | None = None,
+    encoded: bool = False,
 ) -> DataFrame:
     """Panel rows of categorised products with every feature.
 
-    `encoded` adds the weight-of-evidence columns of shopper and product.
+    `packed` are the cells of the facts; both are read several times, so both should be
+    written tables. `encoded` adds the weight of evidence of shopper and product.
     """
     weeks = weeks or params.panel_weeks
     rows = panel(
@@ -125,7 +126,8 @@ def model_data(
         params,
         weeks,
         params.model_products,
-        by_shopper=shopper_dimension(data, params, encoded),
+        by_shopper=_value_dimension(data, packed, params, "shopper", encoded),
+        packed=packed,
     )
     rows = impute_price(rows, data, params, weeks)
     rows = with_substitute_discount(with_category(rows, params))
@@ -135,7 +137,7 @@ def model_data(
     ).drop("history", "offers")
     rows = join_dimension(
         rows,
-        product_dimension(data, params, encoded),
+        _value_dimension(data, packed, params, "product", encoded),
         ["product"],
         params.model_products,
         spread=["shopper", "week"],

@@ -51,13 +51,15 @@ def panel(
     products: int | None = None,
     by_shopper: DataFrame | None = None,
     with_history: bool = True,
+    packed: DataFrame | None = None,
 ) -> DataFrame:
     """Facts of the panel weeks plus a default row for every key without a fact.
 
     Default rows have no price, no discount and no purchase. With `with_history` each
     row carries `history` of its pair and `offers` (week, discount) of its shopper and
-    product block. `by_shopper`, unique per shopper, is attached before the cells are
-    opened. Repeated keys keep all their rows.
+    product block; otherwise only the facts of the panel weeks are read. `by_shopper`,
+    unique per shopper, is attached before the cells are opened. `packed` are the cells
+    of the facts where they are written already. Repeated keys keep all their rows.
     """
     spark = data.sparkSession
     weeks = weeks or params.panel_weeks
@@ -65,7 +67,9 @@ def panel(
     size = params.category_size
     blocks = -(-products // size)
     inside = data.filter(in_domain(params, products))
-    packed = cells(inside, params)
+    in_weeks = F.col("week").isin(weeks)
+    if packed is None:
+        packed = cells(inside if with_history else inside.filter(in_weeks), params)
     extra = [] if by_shopper is None else [c for c in by_shopper.columns if c != "shopper"]
 
     shoppers = spark.range(params.n_shoppers).select(F.col("id").cast("int").alias("shopper"))
@@ -100,7 +104,7 @@ def panel(
         *extra,
     )
 
-    observed = inside.filter(F.col("week").isin(weeks))
+    observed = inside.filter(in_weeks)
     if with_history:
         observed = (
             observed.withColumn("block", product_block(params))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import in_domain, ratio
-from couponloom.operators.facts import week_counts
 from couponloom.params import Params
 
 
@@ -36,42 +35,51 @@ def coupon_share(data: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _pair_totals(data: DataFrame, params: Params, products: int | None) -> DataFrame:
-    """Offers and redeemed offers per pair, weighted with the pair's panel rows."""
+def _weighted(packed: DataFrame, params: Params) -> DataFrame:
+    """Offers and redeemed offers per key, weighted with the panel rows of the pair.
+
+    A pair has one panel row per week, and more only where a key of the panel weeks is
+    repeated; those few entries are looked up inside the cell.
+    """
     weeks = params.panel_weeks
-    counts = week_counts(data.filter(in_domain(params, products)))
-    in_panel = F.col("week").isin(weeks)
-    counted = (
-        F.col("week") < params.test_week if params.redemption_before_test_week else F.lit(True)
+    repeated = F.filter(
+        "items", lambda i: i["week"].between(min(weeks), max(weeks)) & (i["n_rows"] > 1)
     )
-    pairs = counts.groupBy("shopper", "product").agg(
-        F.sum(F.when(counted, F.col("received")).otherwise(0)).alias("received"),
-        F.sum(F.when(counted, F.col("redeemed")).otherwise(0)).alias("redeemed"),
-        (
-            F.lit(len(weeks))
-            + F.sum(F.when(in_panel, F.col("n_rows") - 1).otherwise(0))
-        ).alias("weight"),
-    )
-    return pairs.select(
-        "shopper",
-        "product",
-        (F.col("received") * F.col("weight")).alias("received"),
-        (F.col("redeemed") * F.col("weight")).alias("redeemed"),
+    counted = F.col("items")
+    if params.redemption_before_test_week:
+        counted = F.filter("items", lambda i: i["week"] < params.test_week)
+
+    def weighted(item):
+        own = F.filter("repeated", lambda r: r["product"] == item["product"])
+        more = F.aggregate(own, F.lit(0).cast("long"), lambda acc, r: acc + r["n_rows"] - 1)
+        weight = more + len(weeks)
+        return F.struct(
+            item["product"].alias("product"),
+            (item["received"] * weight).alias("received"),
+            (item["redeemed"] * weight).alias("redeemed"),
+        )
+
+    offered = F.filter("counted", lambda i: i["received"] > 0)
+    return (
+        packed.select("shopper", repeated.alias("repeated"), counted.alias("counted"))
+        .select("shopper", F.inline(F.transform(offered, weighted)))
     )
 
 
 def panel_redemption(
-    data: DataFrame, params: Params, by: str, products: int | None = None
+    packed: DataFrame, params: Params, by: str, products: int | None = None
 ) -> DataFrame:
     """Redeemed over received offers of all panel rows of a shopper or product.
 
-    The default rows of the panel add nothing to either sum, so the facts suffice.
+    `packed` are the cells of the facts. The default rows of the panel add nothing to
+    either sum, so the facts suffice.
     """
     values = params.n_shoppers if by == "shopper" else (products or params.n_products)
     rates = (
-        _pair_totals(data, params, products)
+        _weighted(packed, params)
+        .filter(in_domain(params, products))
         .groupBy(by)
         .agg(ratio(F.sum("redeemed"), F.sum("received")).alias(f"{by}_redemption_rate"))
     )
-    every = data.sparkSession.range(values).select(F.col("id").cast("int").alias(by))
+    every = packed.sparkSession.range(values).select(F.col("id").cast("int").alias(by))
     return every.join(rates, by, "left")

@@ -28,6 +28,12 @@ Scenarios = Mapping[str, Mapping[str, Column]]
 NULLABLE = (
     "price", "product_freq", "shopper_redemption_rate", "product_redemption_rate", "elasticities",
 )
+# Output columns of the trees, dropped once the probability is read.
+_OUTPUTS = {
+    "rawPredictionCol": "tree_raw",
+    "probabilityCol": "tree_probability",
+    "predictionCol": "tree_prediction",
+}
 
 
 def purchase_rates(data: DataFrame, params: Params, products: int | None = None) -> DataFrame:
@@ -72,7 +78,7 @@ class TreeScorer:
         enable_checkpoints(train.sparkSession)
         self.features = feature_names(train)
         prepared = self._assemble(train, {}).select("features", F.col("purchased").cast("double"))
-        self.model: GBTClassificationModel = GBTClassifier(
+        trees = GBTClassifier(
             labelCol="purchased",
             featuresCol="features",
             maxIter=iterations,
@@ -80,7 +86,11 @@ class TreeScorer:
             stepSize=0.1,
             seed=seed,
             checkpointInterval=10,
-        ).fit(prepared)
+        )
+        trees.setRawPredictionCol(_OUTPUTS["rawPredictionCol"])
+        trees.setProbabilityCol(_OUTPUTS["probabilityCol"])
+        trees.setPredictionCol(_OUTPUTS["predictionCol"])
+        self.model: GBTClassificationModel = trees.fit(prepared)
 
     def _assemble(self, rows: DataFrame, overrides: Mapping[str, Column]) -> DataFrame:
         """Vector of filled features and a 0/1 flag for each feature that may be null."""
@@ -94,9 +104,8 @@ class TreeScorer:
     def score(self, rows: DataFrame, scenarios: Scenarios) -> DataFrame:
         for name, overrides in scenarios.items():
             scored = self.model.transform(self._assemble(rows, overrides))
-            rows = scored.withColumn(name, vector_to_array("probability")[1]).drop(
-                "features", "rawPrediction", "probability", "prediction"
-            )
+            probability = vector_to_array(_OUTPUTS["probabilityCol"])[1]
+            rows = scored.withColumn(name, probability).drop("features", *_OUTPUTS.values())
         return rows
 
 

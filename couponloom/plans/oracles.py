@@ -255,7 +255,7 @@ def _policy_totals(placed: str) -> str:
 
 _MODEL = "SELECT * FROM model"
 _PIVOT = ", ".join(
-    f"CAST(coalesce(sum(n) FILTER (member_2 = {k}), 0) AS BIGINT) AS member_{k}" for k in range(100)
+    f"CAST(coalesce(sum(n) FILTER (member_2 = {k}), 0) AS BIGINT) AS with_{k}" for k in range(100)
 )
 
 SELECTS = {

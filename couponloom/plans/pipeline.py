@@ -10,6 +10,7 @@ from couponloom.operators.allocation import top_coupons
 from couponloom.operators.encode import test_rows, train_rows
 from couponloom.operators.facts import facts
 from couponloom.operators.features import model_data
+from couponloom.operators.histories import cells
 from couponloom.operators.policies import compare_policies
 from couponloom.operators.scoring import RateScorer, TreeScorer, log_loss
 from couponloom.params import Params
@@ -42,8 +43,9 @@ def run(
     """
     key = params.fingerprint(source)
     data = stage(spark, "facts", key, lambda: facts(inputs, params), folder)
+    packed = stage(spark, "cells", key, lambda: cells(data, params), folder)
     rows = stage(
-        spark, "model-data", key, lambda: model_data(data, params, encoded=True), folder
+        spark, "model-data", key, lambda: model_data(data, packed, params, encoded=True), folder
     )
     train, test = train_rows(rows, params), test_rows(rows, params)
     model = (

@@ -19,6 +19,7 @@ from couponloom.operators.elasticity import attach_elasticity, product_elasticit
 from couponloom.operators.encode import attach_woe, test_rows, train_rows, woe
 from couponloom.operators.facts import KEY, baskets_coupons, duplicate_keys, facts, filter_shoppers
 from couponloom.operators.histories import (
+    cells,
     pair_histories,
     purchase_weeks,
     received_weeks,
@@ -28,7 +29,7 @@ from couponloom.operators.panel import dense_counts, grid, panel
 from couponloom.operators.prices import impute_price, last_week_mode_price, mode_price
 from couponloom.operators.scoring import RateScorer, TreeScorer, log_loss, purchase_rates
 from couponloom.params import Params
-from couponloom.sources.star import star_inputs, star_params
+from couponloom.sources.star import star_inputs, star_params, star_table
 from couponloom.sources.tables import Inputs, read_coupons, write_coupons
 from couponloom.workspace import private_stage, shared_folder, stage
 
@@ -58,16 +59,22 @@ class Star:
         """Facts written once, for plans that read them many times."""
         return private_stage(self.spark, "facts", lambda: facts(self.inputs, self.params))
 
+    @cached_property
+    def written_cells(self) -> DataFrame:
+        return private_stage(self.spark, "cells", lambda: cells(self.written_facts, self.params))
+
     @property
     def panel(self) -> DataFrame:
-        return panel(self.facts, self.params)
+        return panel(self.written_facts, self.params)
 
     @property
     def categorised(self) -> DataFrame:
         return features.with_category(self.panel, self.params)
 
     def model_data(self, weeks: list[int] | None = None, encoded: bool = False) -> DataFrame:
-        return features.model_data(self.written_facts, self.params, weeks, encoded)
+        return features.model_data(
+            self.written_facts, self.written_cells, self.params, weeks, encoded
+        )
 
     @cached_property
     def test(self) -> DataFrame:
@@ -110,7 +117,7 @@ def _scan_coupons(s: Star) -> DataFrame:
 
 def _duplicate_keys(s: Star) -> DataFrame:
     """Lines of one product in one order of the raw table, the case the checks look for."""
-    lines = s.spark.read.parquet(f"{s.sf_dir}/lineitem.parquet")
+    lines = star_table(s.spark, s.sf_dir, "lineitem")
     return duplicate_keys(lines, ["l_orderkey", "l_partkey"])
 
 
@@ -119,7 +126,7 @@ def _cached_dataset(s: Star) -> DataFrame:
     key = s.params.fingerprint(s.sf_dir)
 
     def read() -> DataFrame:
-        return stage(s.spark, "dataset", key, lambda: features.dataset(s.facts, s.params), folder)
+        return stage(s.spark, "dataset", key, lambda: features.dataset(s.written_facts, s.params), folder)
 
     read()
     return read().select(
@@ -163,7 +170,7 @@ def _grid(s: Star) -> DataFrame:
 
 
 def _grid_facts(s: Star) -> DataFrame:
-    return panel(s.facts, s.params, with_history=False)
+    return panel(s.written_facts, s.params, with_history=False)
 
 
 def _histories(s: Star) -> DataFrame:
@@ -209,8 +216,8 @@ def _last_week_mode_price(s: Star) -> DataFrame:
 
 
 def _impute_price(s: Star) -> DataFrame:
-    rows = panel(s.facts, s.params, with_history=False)
-    return impute_price(rows, s.facts, s.params, s.params.panel_weeks)
+    rows = panel(s.written_facts, s.params, with_history=False)
+    return impute_price(rows, s.written_facts, s.params, s.params.panel_weeks)
 
 
 def _product_category(s: Star) -> DataFrame:
@@ -232,7 +239,7 @@ def _substitute_discount(s: Star) -> DataFrame:
 
 
 def _recency_default(s: Star) -> DataFrame:
-    return features.recency_default(panel(s.facts, s.params, with_history=False), s.params)
+    return features.recency_default(panel(s.written_facts, s.params, with_history=False), s.params)
 
 
 def _weeks_since_purchase(s: Star) -> DataFrame:
@@ -271,19 +278,20 @@ def _coupon_rates_discount_buy(s: Star) -> DataFrame:
 
 
 def _shopper_redemption(s: Star) -> DataFrame:
-    return rates.panel_redemption(s.facts, s.params, "shopper")
+    return rates.panel_redemption(cells(s.facts, s.params), s.params, "shopper")
 
 
 def _product_redemption(s: Star) -> DataFrame:
-    return rates.panel_redemption(s.facts, s.params, "product")
+    return rates.panel_redemption(cells(s.facts, s.params), s.params, "product")
 
 
 def _redemption_features(s: Star) -> DataFrame:
-    rows = panel(
-        s.facts, s.params, by_shopper=_shopper_redemption(s), with_history=False
-    )
+    by_shopper, by_product = [
+        rates.panel_redemption(s.written_cells, s.params, by) for by in ("shopper", "product")
+    ]
+    rows = panel(s.written_facts, s.params, by_shopper=by_shopper, with_history=False)
     joined = join_dimension(
-        rows, _product_redemption(s), ["product"], s.params.n_products, "inner", ["shopper", "week"]
+        rows, by_product, ["product"], s.params.n_products, "inner", ["shopper", "week"]
     )
     return joined.select(*KEY, "shopper_redemption_rate", "product_redemption_rate")
 
@@ -293,12 +301,12 @@ def _weekly_elasticity(s: Star) -> DataFrame:
 
 
 def _product_elasticity(s: Star) -> DataFrame:
-    return product_elasticity(s.facts, s.params)
+    return product_elasticity(s.written_facts, s.params)
 
 
 def _elasticity_feature(s: Star) -> DataFrame:
-    rows = panel(s.facts, s.params, with_history=False)
-    return attach_elasticity(rows, s.facts, s.params).select(*KEY, "elasticities")
+    rows = panel(s.written_facts, s.params, with_history=False)
+    return attach_elasticity(rows, s.written_facts, s.params).select(*KEY, "elasticities")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -330,15 +338,15 @@ def _with_rounded_codes(df: DataFrame) -> DataFrame:
 
 def _woe(by: str) -> Callable[[Star], DataFrame]:
     def query(s: Star) -> DataFrame:
-        codes = woe(s.facts, s.params, by)
-        rows = panel(s.facts, s.params, with_history=False)
+        codes = woe(s.written_facts, s.params, by)
+        rows = panel(s.written_facts, s.params, with_history=False)
         return _with_rounded_codes(attach_woe(rows.select(*KEY, "purchased"), codes, by))
 
     return query
 
 
 def _purchase_rates(s: Star) -> DataFrame:
-    return purchase_rates(s.facts, s.params)
+    return purchase_rates(s.written_facts, s.params)
 
 
 def _log_loss(s: Star) -> DataFrame:

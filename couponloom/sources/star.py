@@ -12,11 +12,22 @@ LAST_WEEK = 92
 DAYS_PER_WEEK = 26
 N_PRODUCTS = 100
 CUSTOMERS_PER_SHOPPER = 15
+# Columns read of each table; a given schema saves the inference job.
+SCHEMAS = {
+    "customer": "c_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_discount double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_retailprice double",
+}
+
+
+def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def star_params(spark: SparkSession, sf_dir: str, **changes) -> Params:
     """Parameters that fit the derived tables; the shopper count follows customer."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    customers = star_table(spark, sf_dir, "customer").count()
     shoppers = max(1, customers // CUSTOMERS_PER_SHOPPER)
     values = dict(
         n_shoppers=shoppers, n_products=N_PRODUCTS, total_baskets=shoppers, price_scale=1
@@ -35,9 +46,9 @@ def observations(spark: SparkSession, sf_dir: str, n_shoppers: int) -> DataFrame
     A line gives its purchase and, for the small discounts, an offer in its ship
     week; both are combined in the one aggregation.
     """
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lineitem = star_table(spark, sf_dir, "lineitem")
+    orders = star_table(spark, sf_dir, "orders")
+    part = star_table(spark, sf_dir, "part")
     cut = F.round(F.col("l_discount") * 100).cast("int")
     lines = (
         lineitem.select("l_orderkey", "l_partkey", cut.alias("cut"), _week("l_shipdate").alias("ship_week"))
