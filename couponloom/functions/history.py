@@ -18,8 +18,14 @@ def weeks_with(history: Column, count: str) -> Column:
     return F.transform(F.filter(history, lambda h: h[count] > 0), lambda h: h["week"])
 
 
-def total(history: Column, count: str) -> Column:
-    return F.aggregate(history, F.lit(0).cast("long"), lambda acc, h: acc + h[count])
+def total(history: Column, count: str, since: Column | None = None) -> Column:
+    """Sum of the named count, from the given week on."""
+
+    def add(acc, h):
+        value = h[count]
+        return acc + (value if since is None else F.when(h["week"] >= since, value).otherwise(0))
+
+    return F.aggregate(history, F.lit(0).cast("long"), add)
 
 
 def before(history: Column, week: Column) -> Column:
@@ -27,13 +33,17 @@ def before(history: Column, week: Column) -> Column:
 
 
 def weeks_since_purchase(past: Column, week: Column, default: Column) -> Column:
-    return F.coalesce(week - F.array_max(weeks_with(past, "purchased")), default).cast("int")
+    latest = F.aggregate(
+        past,
+        F.lit(None).cast("int"),
+        lambda acc, h: F.greatest(acc, F.when(h["purchased"] > 0, h["week"])),
+    )
+    return F.coalesce(week - latest, default).cast("int")
 
 
 def trend(past: Column, week: Column, window: Column) -> Column:
     """Purchases in the window of weeks before this one, per week of the window."""
-    inside = F.filter(past, lambda h: h["week"] >= week - window)
-    return ratio(total(inside, "purchased"), window)
+    return ratio(total(past, "purchased", week - window), window)
 
 
 def redemption_rate(past: Column) -> Column:

@@ -58,38 +58,35 @@ def recency_default(df: DataFrame, params: Params) -> DataFrame:
     return df.agg(F.ceil(latest).cast("int").alias("recency_default"))
 
 
+def with_past(rows: DataFrame) -> DataFrame:
+    """`past`: the history before the week of the row, which the time features read."""
+    return rows.withColumn("past", H.before(F.col("history"), F.col("week")))
+
+
 def with_recency(rows: DataFrame, params: Params) -> DataFrame:
-    past = H.before(F.col("history"), F.col("week"))
-    return rows.withColumn("past", past).withColumn(
+    default = F.lit(params.recency_default)
+    return rows.withColumn(
         "weeks_since_last_purchase",
-        H.weeks_since_purchase(F.col("past"), F.col("week"), F.lit(params.recency_default)),
-    ).drop("past")
+        H.weeks_since_purchase(F.col("past"), F.col("week"), default),
+    )
 
 
 def with_trends(rows: DataFrame, params: Params) -> DataFrame:
-    trends = {
+    return rows.withColumns({
         f"trend_{w}": H.trend(F.col("past"), F.col("week"), F.lit(w)) for w in params.trend_windows
-    }
-    past = H.before(F.col("history"), F.col("week"))
-    return rows.withColumn("past", past).withColumns(trends).drop("past")
+    })
 
 
 def with_product_frequency(rows: DataFrame) -> DataFrame:
     """Purchases before the week per elapsed week, null in week 0."""
-    past = H.before(F.col("history"), F.col("week"))
-    return rows.withColumn("product_freq", H.trend(past, F.col("week"), F.col("week")))
+    return rows.withColumn("product_freq", H.trend(F.col("past"), F.col("week"), F.col("week")))
 
 
 def with_running_rates(rows: DataFrame) -> DataFrame:
-    past = H.before(F.col("history"), F.col("week"))
-    return (
-        rows.withColumn("past", past)
-        .withColumns({
-            "shopper_product_redemption_rate": H.redemption_rate(F.col("past")),
-            "discount_buy": H.offers_per_purchase(F.col("past")),
-        })
-        .drop("past")
-    )
+    return rows.withColumns({
+        "shopper_product_redemption_rate": H.redemption_rate(F.col("past")),
+        "discount_buy": H.offers_per_purchase(F.col("past")),
+    })
 
 
 def _value_dimension(
@@ -114,11 +111,13 @@ def model_data(
     params: Params,
     weeks: list[int] | None = None,
     encoded: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Panel rows of categorised products with every feature.
 
     `packed` are the cells of the facts; both are read several times, so both should be
-    written tables. `encoded` adds the weight of evidence of shopper and product.
+    written tables. `encoded` adds the weight of evidence of shopper and product, and
+    `only` restricts the rows to given keys.
     """
     weeks = weeks or params.panel_weeks
     rows = panel(
@@ -128,13 +127,14 @@ def model_data(
         params.model_products,
         by_shopper=_value_dimension(data, packed, params, "shopper", encoded),
         packed=packed,
+        only=only,
     )
     rows = impute_price(rows, data, params, weeks)
     rows = with_substitute_discount(with_category(rows, params))
     rows = cluster_dummies(with_cluster(rows, params))
-    rows = with_running_rates(
-        with_product_frequency(with_trends(with_recency(rows, params), params))
-    ).drop("history", "offers")
+    rows = with_recency(with_past(rows), params)
+    rows = with_running_rates(with_product_frequency(with_trends(rows, params)))
+    rows = rows.drop("history", "offers", "past")
     rows = join_dimension(
         rows,
         _value_dimension(data, packed, params, "product", encoded),

@@ -27,20 +27,30 @@ def grid(spark: SparkSession, params: Params) -> DataFrame:
     )
 
 
-def _offers(weeks: list[int]) -> F.Column:
-    """Discounts given in a cell in the panel weeks, zeros left out."""
-    wanted = F.filter(
+def _with_cell_columns(rows: DataFrame, weeks: list[int]) -> DataFrame:
+    """`history` of the row's pair and `offers` of its cell in the panel weeks."""
+    given = F.filter(
         "items", lambda i: (i["discount"] != 0) & i["week"].between(min(weeks), max(weeks))
     )
-    return F.transform(
-        wanted, lambda i: F.struct(i["week"].alias("week"), i["discount"].alias("discount"))
-    )
+    own = F.filter("items", lambda i: i["product"] == F.col("product"))
+    counts = ("week", "purchased", "received", "redeemed")
+    return rows.withColumns({
+        "offers": F.transform(
+            given, lambda i: F.struct(i["week"].alias("week"), i["discount"].alias("discount"))
+        ),
+        "history": F.transform(own, lambda i: F.struct(*[i[c].alias(c) for c in counts])),
+    })
 
 
-def _history() -> F.Column:
-    own = F.filter("items", lambda i: i["product"] == F.col("product"))
-    return F.transform(
-        own, lambda i: F.struct(*[i[c].alias(c) for c in ("week", "purchased", "received", "redeemed")])
+def _open_cells(dense: DataFrame, params: Params, weeks: list[int], products: int) -> DataFrame:
+    """One row per product of the block and panel week without a fact."""
+    size = params.category_size
+    last = F.least(F.col("block") * size + (size - 1), F.lit(products - 1))
+    opened = dense.withColumn("product", F.explode(F.sequence(F.col("block") * size, last)))
+    wanted = F.array(*[F.lit(w) for w in weeks])
+    seen = F.transform("history", lambda h: h["week"])
+    return _with_cell_columns(opened, weeks).withColumn(
+        "week", F.explode(F.array_except(wanted, seen))
     )
 
 
@@ -52,6 +62,7 @@ def panel(
     by_shopper: DataFrame | None = None,
     with_history: bool = True,
     packed: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Facts of the panel weeks plus a default row for every key without a fact.
 
@@ -59,63 +70,54 @@ def panel(
     row carries `history` of its pair and `offers` (week, discount) of its shopper and
     product block; otherwise only the facts of the panel weeks are read. `by_shopper`,
     unique per shopper, is attached before the cells are opened. `packed` are the cells
-    of the facts where they are written already. Repeated keys keep all their rows.
+    of the facts where they are written already. `only` restricts the panel to given
+    keys, whose further columns are carried along, without opening the other ones.
+    Repeated keys keep all their rows.
     """
     spark = data.sparkSession
     weeks = weeks or params.panel_weeks
     products = params.n_products if products is None else products
-    size = params.category_size
-    blocks = -(-products // size)
-    inside = data.filter(in_domain(params, products))
+    block = product_block(params)
     in_weeks = F.col("week").isin(weeks)
+    inside = data.filter(in_domain(params, products))
     if packed is None:
         packed = cells(inside if with_history else inside.filter(in_weeks), params)
-    extra = [] if by_shopper is None else [c for c in by_shopper.columns if c != "shopper"]
 
-    shoppers = spark.range(params.n_shoppers).select(F.col("id").cast("int").alias("shopper"))
+    if only is None:
+        shoppers = spark.range(params.n_shoppers).select(F.col("id").cast("int").alias("shopper"))
+        blocks = -(-products // params.category_size)
+    else:
+        only = only.filter(in_domain(params, products) & in_weeks)
+    observed = inside.filter(in_weeks)
+    if only is not None:
+        observed = observed.join(only, KEY)
+    if with_history:
+        observed = observed.withColumn("block", block).join(packed, ["shopper", "block"])
+        observed = _with_cell_columns(observed, weeks)
+
+    wanted = shoppers if only is None else only.withColumn("block", block)
+    extra = [] if only is None else [c for c in only.columns if c not in KEY]
     if by_shopper is not None:
-        shoppers = shoppers.join(by_shopper, "shopper", "left")
-    dense = shoppers.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        wanted, observed = (df.join(by_shopper, "shopper", "left") for df in (wanted, observed))
+        extra += [c for c in by_shopper.columns if c != "shopper"]
+    if only is None:
+        wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     empty = F.array().cast(packed.schema["items"].dataType)
-    carried = ["history", "offers"] if with_history else []
-    opened = (
-        dense.join(packed, ["shopper", "block"], "left")
-        .withColumn("items", F.coalesce("items", empty))
-        .withColumn("offers", _offers(weeks))
-        .withColumn(
-            "product",
-            F.explode(
-                F.sequence(
-                    F.col("block") * size,
-                    F.least(F.col("block") * size + (size - 1), F.lit(products - 1)),
-                )
-            ),
-        )
-        .withColumn("history", _history())
-    )
-    wanted = F.array(*[F.lit(w) for w in weeks])
-    seen = F.transform("history", lambda h: h["week"])
-    missing = opened.withColumn("week", F.explode(F.array_except(wanted, seen))).select(
-        *KEY,
-        F.lit(None).cast("double").alias("price"),
-        F.lit(0.0).alias("discount"),
-        F.lit(0).alias("purchased"),
-        *carried,
-        *extra,
+    wanted = wanted.join(packed, ["shopper", "block"], "left").withColumn(
+        "items", F.coalesce("items", empty)
     )
-
-    observed = inside.filter(in_weeks)
-    if with_history:
-        observed = (
-            observed.withColumn("block", product_block(params))
-            .join(packed, ["shopper", "block"])
-            .withColumn("offers", _offers(weeks))
-            .withColumn("history", _history())
+    if only is None:
+        missing = _open_cells(wanted, params, weeks, products)
+    else:
+        missing = _with_cell_columns(wanted, weeks).filter(
+            ~F.exists("history", lambda h: h["week"] == F.col("week"))
         )
-    if by_shopper is not None:
-        observed = observed.join(by_shopper, "shopper", "left")
-    observed = observed.select(*missing.columns)
-    return observed.unionByName(missing)
+    missing = missing.withColumns({
+        "price": F.lit(None).cast("double"), "discount": F.lit(0.0), "purchased": F.lit(0),
+    })
+    columns = [*KEY, "price", "discount", "purchased", *extra]
+    columns += ["history", "offers"] if with_history else []
+    return observed.select(*columns).unionByName(missing.select(*columns))
 
 
 def dense_counts(

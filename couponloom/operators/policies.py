@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import expected_revenue
+from couponloom.operators.facts import KEY
 from couponloom.params import Params
 
 POLICIES = ("zero", "random", "optimal")
 
+RowsAt = Callable[[DataFrame], DataFrame]
+
 
 def _draw(seed: int, slot: Column, below: Column) -> Column:
     """Uniform integer in [0, below), a function of seed, shopper and slot only."""
@@ -59,27 +64,23 @@ def on_products_of(policy: DataFrame, optimal: DataFrame) -> DataFrame:
     return optimal.drop("discount").join(slots, ["shopper", "coupon"])
 
 
-def policy_revenue(test: DataFrame, coupons: DataFrame, scorer) -> DataFrame:
+def policy_revenue(test: DataFrame, coupons: DataFrame, scorer, rows_at: RowsAt | None = None) -> DataFrame:
     """(policy, total_revenue) of tagged coupons over all test rows.
 
     Every policy shares the revenue of the uncouponed rows, so the panel is scored once
     without discounts and each coupon adds the change it makes to its own row. Coupons
-    carry a `policy` column; rows keep their observed substitute discount.
+    carry a `policy` column; rows keep their observed substitute discount. `rows_at`
+    gives the test rows of the coupon keys; without it they are joined to all test rows.
     """
-    spark = test.sparkSession
     none = {"p_none": {"discount": F.lit(0.0)}}
     base = scorer.score(test, none).agg(
         F.sum(expected_revenue(F.col("p_none"), F.col("price"), F.lit(0.0))).alias("revenue")
     )
     shared = base.select(F.explode(F.array(*[F.lit(p) for p in POLICIES])).alias("policy"), "revenue")
     offered = coupons.filter("discount != 0").select(
-        "policy",
-        F.col("week").cast("int"),
-        F.col("shopper").cast("int"),
-        F.col("product").cast("int"),
-        F.col("discount").alias("offered"),
+        *[F.col(c).cast("int") for c in KEY], "policy", F.col("discount").alias("offered")
     )
-    rows = test.join(offered, ["week", "shopper", "product"])
+    rows = test.join(offered, KEY) if rows_at is None else rows_at(offered)
     scored = scorer.score(rows, {**none, "p_offer": {"discount": F.col("offered")}})
     change = expected_revenue(F.col("p_offer"), F.col("price"), F.col("offered")) - expected_revenue(
         F.col("p_none"), F.col("price"), F.lit(0.0)
@@ -88,14 +89,22 @@ def policy_revenue(test: DataFrame, coupons: DataFrame, scorer) -> DataFrame:
     return shared.unionByName(changes).groupBy("policy").agg(F.sum("revenue").alias("total_revenue"))
 
 
-def expected_total_revenue(test: DataFrame, coupons: DataFrame, scorer) -> DataFrame:
+def expected_total_revenue(
+    test: DataFrame, coupons: DataFrame, scorer, rows_at: RowsAt | None = None
+) -> DataFrame:
     """One-row total for a single coupon assignment."""
     tagged = coupons.withColumn("policy", F.lit("optimal"))
-    return policy_revenue(test, tagged, scorer).filter("policy = 'optimal'").select("total_revenue")
+    totals = policy_revenue(test, tagged, scorer, rows_at)
+    return totals.filter("policy = 'optimal'").select("total_revenue")
 
 
 def compare_policies(
-    test: DataFrame, optimal: DataFrame, scorer, params: Params, placement: str = "by_key"
+    test: DataFrame,
+    optimal: DataFrame,
+    scorer,
+    params: Params,
+    placement: str = "by_key",
+    rows_at: RowsAt | None = None,
 ) -> DataFrame:
     """Totals of zero, random and optimal coupons.
 
@@ -113,4 +122,4 @@ def compare_policies(
         for name, df in zip(POLICIES, (zero, random, optimal))
     ]
     coupons = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    return policy_revenue(test, coupons, scorer)
+    return policy_revenue(test, coupons, scorer, rows_at)

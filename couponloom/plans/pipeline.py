@@ -53,6 +53,10 @@ def run(
         if scorer == "trees"
         else RateScorer(data, params)
     )
+
+    def rows_at(keys: DataFrame) -> DataFrame:
+        return model_data(data, packed, params, [params.test_week], encoded=True, only=keys)
+
     fitted = model.score(train, {"probability": {}})
     write_coupons(top_coupons(test, model, params), output)
     optimal = read_coupons(spark, output)
@@ -60,5 +64,5 @@ def run(
         rows,
         log_loss(fitted, "purchased", "probability"),
         optimal,
-        compare_policies(test, optimal, model, params),
+        compare_policies(test, optimal, model, params, rows_at=rows_at),
     )

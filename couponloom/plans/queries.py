@@ -71,19 +71,33 @@ class Star:
     def categorised(self) -> DataFrame:
         return features.with_category(self.panel, self.params)
 
-    def model_data(self, weeks: list[int] | None = None, encoded: bool = False) -> DataFrame:
+    @property
+    def past(self) -> DataFrame:
+        return features.with_past(self.panel)
+
+    def model_data(
+        self,
+        weeks: list[int] | None = None,
+        encoded: bool = False,
+        only: DataFrame | None = None,
+    ) -> DataFrame:
         return features.model_data(
-            self.written_facts, self.written_cells, self.params, weeks, encoded
+            self.written_facts, self.written_cells, self.params, weeks, encoded, only
         )
 
-    @cached_property
-    def test(self) -> DataFrame:
+    def test_at(self, keys: DataFrame | None) -> DataFrame:
         """Test-week rows with the columns the rate scorer and the allocation need."""
         p, weeks = self.params, [self.params.test_week]
-        rows = panel(self.written_facts, p, weeks, p.model_products, with_history=False)
+        rows = panel(
+            self.written_facts, p, weeks, p.model_products, with_history=False, only=keys
+        )
         rows = impute_price(rows, self.written_facts, p, weeks)
         return features.with_category(rows, p)
 
+    @cached_property
+    def test(self) -> DataFrame:
+        return self.test_at(None)
+
     @cached_property
     def rate_scorer(self) -> RateScorer:
         return RateScorer(self.written_facts, self.params)
@@ -243,26 +257,26 @@ def _recency_default(s: Star) -> DataFrame:
 
 
 def _weeks_since_purchase(s: Star) -> DataFrame:
-    return features.with_recency(s.panel, s.params).select(*KEY, "weeks_since_last_purchase")
+    return features.with_recency(s.past, s.params).select(*KEY, "weeks_since_last_purchase")
 
 
 def _trend(window: int) -> Callable[[Star], DataFrame]:
     def query(s: Star) -> DataFrame:
-        return features.with_trends(s.panel, s.params).select(*KEY, f"trend_{window}")
+        return features.with_trends(s.past, s.params).select(*KEY, f"trend_{window}")
 
     return query
 
 
 def _product_freq(s: Star) -> DataFrame:
-    return features.with_product_frequency(s.panel).select(*KEY, "product_freq")
+    return features.with_product_frequency(s.past).select(*KEY, "product_freq")
 
 
 def _sp_redemption_rate(s: Star) -> DataFrame:
-    return features.with_running_rates(s.panel).select(*KEY, "shopper_product_redemption_rate")
+    return features.with_running_rates(s.past).select(*KEY, "shopper_product_redemption_rate")
 
 
 def _discount_buy(s: Star) -> DataFrame:
-    return features.with_running_rates(s.panel).select(*KEY, "discount_buy")
+    return features.with_running_rates(s.past).select(*KEY, "discount_buy")
 
 
 def _redemption_rate(s: Star) -> DataFrame:
@@ -386,14 +400,17 @@ def _zero_coupons(s: Star) -> DataFrame:
 
 
 def _expected_total_revenue(s: Star) -> DataFrame:
-    total = policies.expected_total_revenue(s.test, s.optimal, s.rate_scorer)
+    optimal = private_stage(s.spark, "coupons", lambda: s.optimal)
+    total = policies.expected_total_revenue(s.test, optimal, s.rate_scorer, s.test_at)
     return total.select(F.round("total_revenue", 4).alias("total_revenue"))
 
 
 def _policy_comparison(placement: str) -> Callable[[Star], DataFrame]:
     def query(s: Star) -> DataFrame:
         optimal = private_stage(s.spark, "coupons", lambda: s.optimal)
-        totals = policies.compare_policies(s.test, optimal, s.rate_scorer, s.params, placement)
+        totals = policies.compare_policies(
+            s.test, optimal, s.rate_scorer, s.params, placement, s.test_at
+        )
         return totals.select("policy", F.round("total_revenue", 4).alias("total_revenue"))
 
     return query
@@ -458,7 +475,12 @@ def _gbt_policy_comparison(s: Star) -> DataFrame:
     test = test_rows(rows, s.params)
     scorer = TreeScorer(train_rows(rows, s.params), TREE_ITERATIONS)
     optimal = private_stage(s.spark, "coupons", lambda: top_coupons(test, scorer, s.params))
-    return policies.compare_policies(test, optimal, scorer, s.params)
+    week = [s.params.test_week]
+
+    def rows_at(keys: DataFrame) -> DataFrame:
+        return s.model_data(week, encoded=True, only=keys)
+
+    return policies.compare_policies(test, optimal, scorer, s.params, rows_at=rows_at)
 
 
 def _model(s: Star):

@@ -126,7 +126,7 @@ def scored(spark):
 
 @pytest.mark.parametrize("placement", ["by_key", "same_products"])
 def test_policy_totals_equal_the_overlay_of_all_rows(spark, scored, placement):
-    _, _, test, scorer = scored
+    data, _, test, scorer = scored
     optimal = top_coupons(test, scorer, SMALL).cache()
     got = {r.policy: r.total_revenue for r in compare_policies(test, optimal, scorer, SMALL, placement).collect()}
     slots = optimal.toPandas()
@@ -144,6 +144,11 @@ def test_policy_totals_equal_the_overlay_of_all_rows(spark, scored, placement):
         total = scorer.score(placed, {"p": {}}).agg(F.sum(F.expr("p * price * (1 - discount)"))).first()[0]
         assert got[policy] == pytest.approx(total)
     assert got["optimal"] >= got["zero"] - 1e-9 or placement == "same_products"
+    by_keys = compare_policies(
+        test, optimal, scorer, SMALL, placement,
+        rows_at=lambda keys: model_data(data, cells(data, SMALL), SMALL, [6], encoded=True, only=keys),
+    )
+    assert {r.policy: r.total_revenue for r in by_keys.collect()} == pytest.approx(got)
     single = expected_total_revenue(test, optimal, scorer).first().total_revenue
     assert single == pytest.approx(got["optimal"])
 

@@ -12,6 +12,7 @@ from couponloom.operators.features import (
     model_data,
     with_category,
     with_cluster,
+    with_past,
     with_product_frequency,
     with_recency,
     with_running_rates,
@@ -125,7 +126,9 @@ def test_history_features(spark, seed):
         *KEY, "weeks_since_last_purchase", "trend_1", "trend_3", "product_freq",
         "shopper_product_redemption_rate", "discount_buy",
     ]
-    built = with_product_frequency(with_trends(with_recency(panel(data, SMALL), SMALL), SMALL))
+    built = with_product_frequency(
+        with_trends(with_recency(with_past(panel(data, SMALL)), SMALL), SMALL)
+    )
     got = with_running_rates(built).toPandas()
     assert rows(got, columns) == rows(pd.DataFrame(want, columns=columns), columns)
 
@@ -217,4 +220,29 @@ def test_frequency_is_null_in_week_zero(spark):
         F.lit(0).alias("week"),
         F.expr("array(named_struct('week', 0, 'purchased', 1L, 'received', 0L, 'redeemed', 0L))").alias("history"),
     )
-    assert with_product_frequency(row).first().product_freq is None
+    assert with_product_frequency(with_past(row)).first().product_freq is None
+
+
+@pytest.mark.parametrize("with_history", [True, False])
+def test_panel_of_given_keys_equals_the_rows_of_the_whole(spark, with_history):
+    data, _ = frames(spark, 2)
+    keys = panel(data, SMALL, with_history=False).select(*KEY).distinct().sample(0.3, 1)
+    outside = spark.createDataFrame([(6, 0, 26), (6, 3, 1), (1, 0, 1)], keys.schema)
+    tagged = keys.unionByName(outside).withColumn("tag", F.explode(F.array(F.lit(1), F.lit(2)))).cache()
+    got = panel(data, SMALL, with_history=with_history, only=tagged).toPandas()
+    want = panel(data, SMALL, with_history=with_history).join(tagged, KEY).toPandas()
+    assert len(want) > 20
+    columns = [*KEY, "price", "discount", "purchased", "tag"]
+    assert rows(got, columns) == rows(want, columns)
+    if with_history:
+        assert sorted(map(str, got.history)) == sorted(map(str, want.history))
+
+
+def test_model_data_of_given_keys(spark):
+    data, _ = frames(spark, 4)
+    packed = cells(data, SMALL)
+    whole = model_data(data, packed, SMALL, [6], encoded=True).toPandas()
+    keys = spark.createDataFrame([(6, s, p) for s in range(3) for p in (0, 7, 13)], "week int, shopper int, product int")
+    got = model_data(data, packed, SMALL, [6], encoded=True, only=keys).toPandas()
+    columns = list(whole.columns)
+    assert rows(got, columns) == rows(whole[whole["product"].isin([0, 7, 13])], columns)
