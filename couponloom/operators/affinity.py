@@ -152,6 +152,7 @@ def cooccurrence(
             .join(vectors.select(*group, *side(2)), group)
             .filter("tile_1 <= tile_2")
             .drop(*group)
+            .sortWithinPartitions("tile_1", "tile_2")  # few tiles per Arrow batch
         )
     partial = pairs.mapInArrow(
         _gram(min(n_members, TILE)), "member_1 int, member_2 int, n bigint"

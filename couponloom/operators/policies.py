@@ -64,15 +64,23 @@ def on_products_of(policy: DataFrame, optimal: DataFrame) -> DataFrame:
     return optimal.drop("discount").join(slots, ["shopper", "coupon"])
 
 
-def policy_revenue(test: DataFrame, coupons: DataFrame, scorer, rows_at: RowsAt | None = None) -> DataFrame:
+def policy_revenue(
+    test: DataFrame,
+    coupons: DataFrame,
+    scorer,
+    rows_at: RowsAt | None = None,
+    keep_substitutes: bool = True,
+) -> DataFrame:
     """(policy, total_revenue) of tagged coupons over all test rows.
 
     Every policy shares the revenue of the uncouponed rows, so the panel is scored once
     without discounts and each coupon adds the change it makes to its own row. Coupons
-    carry a `policy` column; rows keep their observed substitute discount. `rows_at`
-    gives the test rows of the coupon keys; without it they are joined to all test rows.
+    carry a `policy` column. Rows keep their observed substitute discount, or have none,
+    as in the what-if scenarios, without `keep_substitutes`. `rows_at` gives the test
+    rows of the coupon keys; without it they are joined to all test rows.
     """
-    none = {"p_none": {"discount": F.lit(0.0)}}
+    fixed = {} if keep_substitutes else {"substitute_discount": F.lit(0.0)}
+    none = {"p_none": {"discount": F.lit(0.0), **fixed}}
     base = scorer.score(test, none).agg(
         F.sum(expected_revenue(F.col("p_none"), F.col("price"), F.lit(0.0))).alias("revenue")
     )
@@ -81,7 +89,7 @@ def policy_revenue(test: DataFrame, coupons: DataFrame, scorer, rows_at: RowsAt
         *[F.col(c).cast("int") for c in KEY], "policy", F.col("discount").alias("offered")
     )
     rows = test.join(offered, KEY) if rows_at is None else rows_at(offered)
-    scored = scorer.score(rows, {**none, "p_offer": {"discount": F.col("offered")}})
+    scored = scorer.score(rows, {**none, "p_offer": {"discount": F.col("offered"), **fixed}})
     change = expected_revenue(F.col("p_offer"), F.col("price"), F.col("offered")) - expected_revenue(
         F.col("p_none"), F.col("price"), F.lit(0.0)
     )

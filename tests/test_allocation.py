@@ -14,6 +14,7 @@ from couponloom.operators.histories import cells
 from couponloom.operators.policies import (
     compare_policies,
     expected_total_revenue,
+    policy_revenue,
     random_slots,
     zero_slots,
 )
@@ -198,3 +199,13 @@ def test_whole_pipeline(spark, tmp_path, scorer):
     assert not (chosen["product"] // 10).groupby(chosen.shopper).apply(lambda c: c.duplicated().any()).any()
     assert {r.policy for r in result.policies.collect()} == {"zero", "random", "optimal"}
     assert result.train_log_loss.first()[0] > 0
+
+
+def test_zero_policy_equals_scenario_zero_without_substitutes(spark, scored):
+    """Evaluation keeps observed substitute discounts unless told otherwise."""
+    data, rows, test, _ = scored
+    scorer = TreeScorer(train_rows(rows, SMALL).cache(), iterations=2, depth=3)
+    zero = zero_slots(spark, SMALL).withColumn("policy", F.lit("zero"))
+    totals = policy_revenue(test, zero, scorer, keep_substitutes=False).filter("policy = 'zero'")
+    scenario = delta_revenue(test, scorer, SMALL).filter("discount = 0").agg(F.sum("exp_revenue"))
+    assert totals.first().total_revenue == pytest.approx(scenario.first()[0])

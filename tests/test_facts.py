@@ -1,6 +1,7 @@
 """Inputs, cleaning, rates, narrowing and staged tables on hand-made rows."""
 
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,8 +112,26 @@ def test_stage_is_read_through_and_keyed_by_fingerprint(spark, tmp_path):
     assert Params().fingerprint("x") != Params().fingerprint("y")
 
 
+class FakeSession:
+    """The two settings that decide about the shared folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark) == named.rstrip("/")
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+
+
+def test_temporary_folder_only_in_local_mode():
+    local = FakeSession("local[4]")
+    assert shared_folder(local) == shared_folder(local)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(FakeSession(master))
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
