@@ -19,7 +19,9 @@ def weekly_elasticity(inputs: Inputs, params: Params) -> DataFrame:
     Every product id is given for every week that has facts.
     """
     weeks = F.col("week").between(params.start_week - 1, params.test_week)
-    joined = baskets_coupons(inputs.baskets.filter(weeks), inputs.coupons.filter(weeks))
+    joined = baskets_coupons(
+        inputs.baskets.filter(weeks), inputs.coupons.filter(weeks), inputs.unique_keys
+    )
     offered = F.coalesce("discount", F.lit(0.0))
     special = F.round(offered) == percent(params.elasticity_discount)
     counts = joined.groupBy("week", "product").agg(

@@ -16,9 +16,24 @@ def filter_shoppers(df: DataFrame, params: Params) -> DataFrame:
     return df.filter(F.col("shopper") < params.n_shoppers)
 
 
-def baskets_coupons(baskets: DataFrame, coupons: DataFrame) -> DataFrame:
-    """Full outer join on the key; repeated keys fan out."""
-    return baskets.join(coupons, KEY, "full")
+def baskets_coupons(
+    baskets: DataFrame, coupons: DataFrame, unique_keys: bool = False
+) -> DataFrame:
+    """Full outer join on the key; repeated keys fan out.
+
+    Spark cannot split a hot key of a full outer join, so unless the keys of both sides
+    are known to be unique it is written as matches plus both unmatched sides: adaptive
+    execution splits a hot key on either side of the inner join and on the left of the
+    anti joins, whose right sides are distinct keys.
+    """
+    if unique_keys:
+        return baskets.join(coupons, KEY, "full")
+    matched = baskets.join(coupons, KEY)
+    only_bought = baskets.join(coupons.select(*KEY).distinct(), KEY, "left_anti")
+    only_offered = coupons.join(baskets.select(*KEY).distinct(), KEY, "left_anti")
+    return matched.unionByName(only_bought, allowMissingColumns=True).unionByName(
+        only_offered, allowMissingColumns=True
+    )
 
 
 def clean(joined: DataFrame) -> DataFrame:
@@ -37,11 +52,8 @@ def clean(joined: DataFrame) -> DataFrame:
 
 def facts(inputs: Inputs, params: Params) -> DataFrame:
     """Cleaned facts of the first shoppers; the filter reaches both scans."""
-    return clean(
-        baskets_coupons(
-            filter_shoppers(inputs.baskets, params), filter_shoppers(inputs.coupons, params)
-        )
-    )
+    baskets, coupons = (filter_shoppers(df, params) for df in (inputs.baskets, inputs.coupons))
+    return clean(baskets_coupons(baskets, coupons, inputs.unique_keys))
 
 
 def duplicate_keys(df: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -88,4 +88,4 @@ def star_inputs(spark: SparkSession, sf_dir: str, n_shoppers: int) -> Inputs:
     paid = F.col("tenths") * (100 - F.coalesce("percent", F.lit(0))) / F.lit(1000.0)
     baskets = seen.filter(F.col("tenths").isNotNull()).withColumn("price", paid)
     coupons = seen.filter(F.col("percent").isNotNull()).withColumnRenamed("percent", "discount")
-    return Inputs(conform(baskets, BASKETS), conform(coupons, COUPONS))
+    return Inputs(conform(baskets, BASKETS), conform(coupons, COUPONS), unique_keys=True)

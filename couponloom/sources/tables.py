@@ -40,6 +40,8 @@ class Inputs:
     baskets: DataFrame
     coupons: DataFrame
     coupon_index: DataFrame | None = None
+    # True where both tables are known to hold a (week, shopper, product) once.
+    unique_keys: bool = False
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

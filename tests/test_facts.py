@@ -21,7 +21,7 @@ from couponloom.sources.tables import (
 )
 from couponloom.workspace import shared_folder, stage
 from dataclasses import replace
-from tests.helpers import SMALL, inputs
+from tests.helpers import SMALL, inputs, random_rows, rows
 
 KEY = ["week", "shopper", "product"]
 
@@ -153,3 +153,20 @@ def test_parameters():
     assert replace(p, n_products=95).model_products == 90
     assert replace(p, n_products=400).model_products == 250
     assert math.isclose(sum(p.discounts), 0.9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_split_join_equals_the_full_outer_join(spark, seed):
+    given = inputs(spark, *random_rows(seed, repeats=3))
+    columns = [*KEY, "price", "discount"]
+    split, full = (
+        baskets_coupons(given.baskets, given.coupons, unique).toPandas() for unique in (False, True)
+    )
+    assert rows(split, columns) == rows(full, columns)
+    assert split.price.isna().any() and split.discount.isna().any()
+
+
+def test_no_full_outer_join_of_keys_that_may_be_hot(spark):
+    given = inputs(spark, *random_rows(1))
+    text = facts(given, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in text and "LeftAnti" in text

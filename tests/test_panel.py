@@ -24,7 +24,8 @@ from couponloom.operators.panel import dense_counts, grid, panel
 from couponloom.operators.prices import impute_price, mode_price
 from couponloom.operators.rates import panel_redemption
 from dataclasses import replace
-from tests.helpers import SMALL, dense, frames, rows
+from couponloom.operators.facts import facts
+from tests.helpers import SMALL, dense, frames, inputs, random_rows, rows
 
 KEY = ["week", "shopper", "product"]
 SEEDS = [1, 2, 3]
@@ -246,3 +247,29 @@ def test_model_data_of_given_keys(spark):
     got = model_data(data, packed, SMALL, [6], encoded=True, only=keys).toPandas()
     columns = list(whole.columns)
     assert rows(got, columns) == rows(whole[whole["product"].isin([0, 7, 13])], columns)
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """No result is cut and no list grows when one purchase is repeated 300 times."""
+    baskets, coupons = random_rows(6)
+    baskets += [(5, 1, 3, 10.0)] * 300
+    coupons += [(5, 1, 3, 20.0)]
+    data = facts(inputs(spark, baskets, coupons), SMALL)
+    data_pd = data.toPandas()
+    want = dense(data_pd, SMALL)
+    built = panel(data, SMALL)
+    columns = [*KEY, "price", "discount", "purchased"]
+    got = built.withColumn("entries", F.size("history")).toPandas()
+    assert rows(got, columns) == rows(want, columns)
+    assert got.entries.max() <= data_pd.week.nunique()
+    bought, _, _ = _lists(data_pd)
+    trend = with_trends(with_past(built), SMALL).filter("week = 6 AND shopper = 1 AND product = 3").first()
+    assert trend.trend_1 == sum(w == 5 for w in bought[1, 3]) >= 300
+    counts = dense_counts(data, SMALL, "shopper", SMALL.train_weeks).filter("shopper = 1").toPandas()
+    assert counts.n_rows.sum() == len(want.query("shopper == 1 and week < 6"))
+    _, received, redeemed = _lists(data_pd)
+    pairs = [(s, p) for s, p in want.query("shopper == 1")[["shopper", "product"]].itertuples(index=False)]
+    rate = panel_redemption(cells(data, SMALL), SMALL, "shopper").filter("shopper = 1").first()[1]
+    assert rate == pytest.approx(
+        sum(len(redeemed.get(p, [])) for p in pairs) / sum(len(received.get(p, [])) for p in pairs)
+    )
