@@ -1,8 +1,8 @@
 """Expressions over the history of a shopper-product pair.
 
-A history is array<struct<week, purchased, received, redeemed>>: one entry per week
-with the number of purchases, offers and redeemed offers, ascending by week. Repeated
-keys raise the counts, so the array never outgrows the number of weeks.
+A history is an array of structs, one per week and ascending, with at least `week` and the
+counts `purchased`, `received` and `redeemed`. Repeated keys raise the counts, so the
+array never outgrows the number of weeks.
 """
 
 from __future__ import annotations

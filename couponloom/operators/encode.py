@@ -38,9 +38,3 @@ def woe(data: DataFrame, params: Params, by: str, products: int | None = None) -
         / ((F.col("n") - F.col("pos") + F.lit(1.0)) / (negatives + 2.0))
     )
     return counts.select(by, F.when(F.col("n") > 1, evidence).otherwise(0.0).alias(f"{by}_WOE"))
-
-
-def attach_woe(rows: DataFrame, codes: DataFrame, by: str) -> DataFrame:
-    """Codes joined to rows of either split; unseen values get zero."""
-    name = f"{by}_WOE"
-    return rows.join(codes, by, "left").fillna(0.0, [name])

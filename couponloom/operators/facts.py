@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponloom.functions.columns import percent_of, shelf_price
+from couponloom.functions.columns import shelf_price
 from couponloom.params import Params
 from couponloom.sources.tables import Inputs
 
@@ -76,7 +76,3 @@ def week_counts(data: DataFrame) -> DataFrame:
         F.count_if(offered & bought).alias("redeemed"),
         F.sum("discount").alias("discount"),
     )
-
-
-def with_percent(data: DataFrame) -> DataFrame:
-    return data.withColumn("percent", percent_of("discount"))

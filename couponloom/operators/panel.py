@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponloom.functions.columns import in_domain, product_block
+from couponloom.functions.columns import in_domain, percent_of, product_block
 from couponloom.operators.facts import KEY
 from couponloom.operators.histories import cells
 from couponloom.params import Params
@@ -29,16 +29,11 @@ def grid(spark: SparkSession, params: Params) -> DataFrame:
 
 def _with_cell_columns(rows: DataFrame, weeks: list[int]) -> DataFrame:
     """`history` of the row's pair and `offers` of its cell in the panel weeks."""
-    given = F.filter(
-        "items", lambda i: (i["discount"] != 0) & i["week"].between(min(weeks), max(weeks))
-    )
-    own = F.filter("items", lambda i: i["product"] == F.col("product"))
-    counts = ("week", "purchased", "received", "redeemed")
     return rows.withColumns({
-        "offers": F.transform(
-            given, lambda i: F.struct(i["week"].alias("week"), i["discount"].alias("discount"))
+        "offers": F.filter(
+            "items", lambda i: (i["discount"] != 0) & i["week"].between(min(weeks), max(weeks))
         ),
-        "history": F.transform(own, lambda i: F.struct(*[i[c].alias(c) for c in counts])),
+        "history": F.filter("items", lambda i: i["product"] == F.col("product")),
     })
 
 
@@ -67,8 +62,8 @@ def panel(
     """Facts of the panel weeks plus a default row for every key without a fact.
 
     Default rows have no price, no discount and no purchase. With `with_history` each
-    row carries `history` of its pair and `offers` (week, discount) of its shopper and
-    product block; otherwise only the facts of the panel weeks are read. `by_shopper`,
+    row carries the cell entries of its pair as `history` and those with a discount in
+    the panel weeks as `offers`; otherwise only the facts of the panel weeks are read. `by_shopper`,
     unique per shopper, is attached before the cells are opened. `packed` are the cells
     of the facts where they are written already. `only` restricts the panel to given
     keys, whose further columns are carried along, without opening the other ones.
@@ -133,8 +128,7 @@ def dense_counts(
     values, other = (
         (products, params.n_shoppers) if by == "product" else (params.n_shoppers, products)
     )
-    percent = F.round(F.col("discount") * 100).cast("int").alias("percent")
-    counted = inside.groupBy(by, percent).agg(
+    counted = inside.groupBy(by, percent_of("discount").alias("percent")).agg(
         F.count("*").alias("n_rows"), F.sum(F.col("purchased").cast("long")).alias("purchases")
     )
     taken = inside.select(*KEY).distinct().groupBy(by).agg(F.count("*").alias("taken"))

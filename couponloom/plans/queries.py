@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from couponloom.functions import history as H
-from couponloom.functions.columns import percent_of
 from couponloom.operators import affinity, embeddings, features, narrow, policies, rates
 from couponloom.operators.allocation import delta_revenue, scenarios, top_coupons
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.elasticity import attach_elasticity, product_elasticity, weekly_elasticity
-from couponloom.operators.encode import attach_woe, test_rows, train_rows, woe
+from couponloom.operators.encode import test_rows, train_rows, woe
 from couponloom.operators.facts import KEY, baskets_coupons, duplicate_keys, facts, filter_shoppers
 from couponloom.operators.histories import (
     cells,
@@ -350,13 +349,19 @@ def _with_rounded_codes(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in codes})
 
 
-def _woe(by: str) -> Callable[[Star], DataFrame]:
-    def query(s: Star) -> DataFrame:
-        codes = woe(s.written_facts, s.params, by)
-        rows = panel(s.written_facts, s.params, with_history=False)
-        return _with_rounded_codes(attach_woe(rows.select(*KEY, "purchased"), codes, by))
+def _woe_shopper(s: Star) -> DataFrame:
+    codes = woe(s.written_facts, s.params, "shopper")
+    rows = panel(s.written_facts, s.params, by_shopper=codes, with_history=False)
+    return _with_rounded_codes(rows.select(*KEY, "purchased", "shopper_WOE"))
 
-    return query
+
+def _woe_product(s: Star) -> DataFrame:
+    codes = woe(s.written_facts, s.params, "product")
+    rows = panel(s.written_facts, s.params, with_history=False).select(*KEY, "purchased")
+    joined = join_dimension(
+        rows, codes, ["product"], s.params.n_products, spread=["shopper", "week"]
+    )
+    return _with_rounded_codes(joined)
 
 
 def _purchase_rates(s: Star) -> DataFrame:
@@ -545,8 +550,8 @@ _PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "train_split": _train_split,
     "test_split": _test_split,
     "feature_columns": _feature_columns,
-    "woe_shopper": _woe("shopper"),
-    "woe_product": _woe("product"),
+    "woe_shopper": _woe_shopper,
+    "woe_product": _woe_product,
     "purchase_rates": _purchase_rates,
     "log_loss": _log_loss,
     "scenarios": _scenarios,

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from couponloom.operators import affinity
 from couponloom.operators.affinity import (
