@@ -4,10 +4,11 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from couponloom.operators.dims import join_dimension
-from couponloom.operators.facts import facts
+from couponloom.operators.facts import baskets_coupons, facts
 from couponloom.operators.features import model_data
 from couponloom.operators.histories import cells
 from couponloom.operators.panel import panel
@@ -118,3 +119,35 @@ def test_written_facts_are_sorted_by_week(spark, sf, no_broadcast):
     for path in files:
         weeks = pq.read_table(path, columns=["week"]).column("week").to_pylist()
         assert weeks == sorted(weeks)
+
+
+@pytest.fixture
+def eager_skew_handling(spark, no_broadcast):
+    """Adaptive execution with thresholds that a small test can reach."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_key_of_the_purchase_offer_join_is_split(spark, eager_skew_handling):
+    def rows(n, name):
+        key = [(F.col("id") % 90).cast("int").alias("week"), (F.col("id") / 90).cast("int").alias("shopper")]
+        return spark.range(n).select(*key, F.lit(1).alias("product"), F.rand(1).alias(name))
+
+    hot = spark.range(450_000).select(
+        F.lit(5).alias("week"), F.lit(3).alias("shopper"), F.lit(1).alias("product"), F.rand(2).alias("price")
+    )
+    baskets = rows(900_000, "price").union(hot).repartition(12)
+    joined = baskets_coupons(baskets, rows(600_000, "discount").repartition(12))
+    execution = joined._jdf.queryExecution()
+    assert execution.toRdd().count() == 1_350_000
+    assert "skew=true" in execution.executedPlan().toString()
