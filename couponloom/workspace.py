@@ -7,12 +7,8 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_NOT_WRITTEN = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
-
-
 @cache
 def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="run-")
@@ -34,32 +30,81 @@ def enable_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """A written table counts only with the marker that its whole job was committed."""
+    files, _ = _hadoop_path(spark, path)
+    return files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, folder = _hadoop_path(spark, path)
+    files.delete(folder, True)
+
+
+def _publish(spark: SparkSession, built: str, path: str) -> None:
+    """Rename a committed folder into place; the first of several builders wins."""
+    files, source = _hadoop_path(spark, built)
+    _, target = _hadoop_path(spark, path)
+    if not _committed(spark, path):
+        files.delete(target, True)
+        files.mkdirs(target.getParent())
+        if files.rename(source, target):
+            return
+        if not _committed(spark, path):
+            raise RuntimeError(f"cannot publish {path}")
+    files.delete(source, True)
+
+
 def stage(
     spark: SparkSession,
     name: str,
     fingerprint: str,
     build: Callable[[], DataFrame],
     folder: str | None = None,
+    partition_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Read-through stage: read the written table, or build it, write it and read it.
 
     The fingerprint of parameters and inputs is part of the path, so a change of
-    either never meets a stale table. A job that failed leaves no readable table
-    and is built again.
+    either never meets a stale table. The table is written into a folder of its own
+    and renamed into place after its commit, so no reader meets half of it; what a
+    lost job left behind has no commit marker and is built again.
     """
-    path = f"{folder or shared_folder(spark)}/stages/{name}-{fingerprint}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in _NOT_WRITTEN:
-            raise
-    build().write.mode("overwrite").option("compression", "gzip").parquet(path)
+    root = f"{folder or shared_folder(spark)}/stages"
+    path = f"{root}/{name}-{fingerprint}"
+    if not _committed(spark, path):
+        built = f"{root}/building/{name}-{fingerprint}-{uuid.uuid4().hex}"
+        writer = build().write.option("compression", "gzip")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(built)
+        _publish(spark, built, path)
     return spark.read.parquet(path)
 
 
+_private: dict[str, list[str]] = {}
+
+
+def private_folder(spark: SparkSession, name: str) -> str:
+    """A new shared folder for this session's own files; release() removes it."""
+    path = f"{shared_folder(spark)}/private/{name}-{uuid.uuid4().hex}"
+    _private.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def private_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Stage no other run reads: plans that use a frame many times compute it once."""
-    path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = private_folder(spark, name)
     frame = build()
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the session's private folders; frames that read them are then spent."""
+    for path in _private.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
