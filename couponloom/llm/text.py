@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text a block of documents or a file should hold; a single longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -86,3 +87,33 @@ def open_file(uri: str) -> pa.NativeFile:
 def folder_uri(folder: str) -> str:
     """A plain path as a URI that Arrow's file systems take."""
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def appended(
+    docs: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]],
+    schema: str, part_bytes: int = BLOCK_BYTES // 4,
+) -> DataFrame:
+    """Columns computed from the texts beside each row, which travels whole in the struct `row`.
+
+    `make` runs in the Python worker and gives the function from texts to new columns; it
+    gets at most `part_bytes` of text at a time, or one text. Names of the rows' own
+    columns cannot clash with the new ones.
+    """
+    added = T.StructType.fromDDL(schema)
+    names = ["row", *added.fieldNames()]
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            rows = batch.column(0)
+            texts = text_bytes(rows.field(place))
+            for part in chunks([len(t) for t in texts], part_bytes):
+                columns = compute(texts[part])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.slice(part.start, part.stop - part.start), *columns], names=names
+                )
+
+    out = T.StructType([T.StructField("row", docs.schema, False), *added.fields])
+    whole = docs.withColumn(text, F.col(text).cast("string")) if dict(docs.dtypes)[text] != "string" else docs
+    return whole.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, out)
