@@ -46,9 +46,27 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+again AS (SELECT words FROM win GROUP BY words HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(s, s + 35)) AS p FROM win WHERE words IN (SELECT words FROM again))),
+lost AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+       sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(places, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
     return {
+        "op2_super_kmers": _SUBSTRINGS,
         "op7_warc_bundles": _WARC,
         "op8_wu_manber": _WU_MANBER,
     }

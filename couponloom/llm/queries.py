@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from couponloom.llm.super_kmers import op2_super_kmers
 from couponloom.llm.token_files import op9_token_files
 from couponloom.llm.warc import op7_warc_bundles
 from couponloom.llm.wu_manber import op8_wu_manber
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_warc_bundles, op8_wu_manber, op9_token_files]
+    found = [op2_super_kmers, op7_warc_bundles, op8_wu_manber, op9_token_files]
     return {query.__name__: query for query in found}
