@@ -63,10 +63,24 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
 FROM d LEFT JOIN lost USING (doc_id)
 """
 
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op2_super_kmers": _SUBSTRINGS,
+        "op3_branch_and_bound": _TOP_K,
         "op7_warc_bundles": _WARC,
         "op8_wu_manber": _WU_MANBER,
     }
