@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from couponloom.llm.license_scan import NOTICES, SHINGLE
+
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,11 +78,36 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_NOTICES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(NOTICES.items()))
+_LICENSES = f"""
+WITH t AS (
+  SELECT license, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {_NOTICES}) n(license, text)),
+ts AS (
+  SELECT license, k, len(w) - k + 1 AS size, unnest(list_distinct(list_transform(
+           range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS shingle
+  FROM (SELECT *, least(len(w), {SHINGLE}) AS k FROM t)),
+tn AS (SELECT license, k, size, count(*) AS n FROM ts GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ds AS (
+  SELECT doc_id, k, i - 1 AS i, array_to_string(w[i:i + k - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM d, (SELECT DISTINCT k FROM ts) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, license, size, i, shingle FROM ds JOIN ts USING (k, shingle)),
+win AS (
+  SELECT doc_id, license, c * size AS first, count(DISTINCT shingle) AS n
+  FROM (SELECT *, unnest([i // size, i // size - 1]) AS c FROM hit) WHERE c >= 0 GROUP BY ALL),
+ok AS (SELECT doc_id, license, first, win.n / CAST(tn.n AS DOUBLE) AS containment
+       FROM win JOIN tn USING (license) WHERE win.n / CAST(tn.n AS DOUBLE) >= 0.8)
+SELECT doc_id, license, containment, first AS first_word FROM ok
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, first) = 1
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op2_super_kmers": _SUBSTRINGS,
         "op3_branch_and_bound": _TOP_K,
+        "op10_license_scan": _LICENSES,
         "op7_warc_bundles": _WARC,
         "op8_wu_manber": _WU_MANBER,
     }
