@@ -12,13 +12,14 @@ from couponloom.llm.simhash import op6_simhash
 from couponloom.llm.super_kmers import op2_super_kmers
 from couponloom.llm.token_files import op9_token_files
 from couponloom.llm.top_k import op3_branch_and_bound
+from couponloom.llm.toxicity import op5_noisy_channel
 from couponloom.llm.warc import op7_warc_bundles
 from couponloom.llm.wu_manber import op8_wu_manber
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_merge_dropout, op2_super_kmers, op3_branch_and_bound, op6_simhash, op7_warc_bundles, op8_wu_manber,
+        op1_merge_dropout, op2_super_kmers, op3_branch_and_bound, op5_noisy_channel, op6_simhash, op7_warc_bundles, op8_wu_manber,
         op9_token_files, op10_license_scan,
     ]
     return {query.__name__: query for query in found}
