@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from couponloom.llm.license_scan import op10_license_scan
+from couponloom.llm.lm_scoring import op4_attention
 from couponloom.llm.merge_dropout import op1_merge_dropout
 from couponloom.llm.simhash import op6_simhash
 from couponloom.llm.super_kmers import op2_super_kmers
@@ -19,7 +20,8 @@ from couponloom.llm.wu_manber import op8_wu_manber
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_merge_dropout, op2_super_kmers, op3_branch_and_bound, op5_noisy_channel, op6_simhash, op7_warc_bundles, op8_wu_manber,
+        op1_merge_dropout, op2_super_kmers, op3_branch_and_bound, op4_attention, op5_noisy_channel,
+        op6_simhash, op7_warc_bundles, op8_wu_manber,
         op9_token_files, op10_license_scan,
     ]
     return {query.__name__: query for query in found}
