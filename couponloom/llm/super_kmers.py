@@ -31,6 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -261,7 +262,7 @@ def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: set[int]) -> pa.Tab
         for answer in answers.column("answer").to_pylist() for i in range(0, len(answer), 24)
     }
     texts = text_bytes(docs.column("text"))
-    n_words, spans, kept = [], [], []
+    n_words, spans, kept, cleaned = [], [], [], []
     for part in chunks([len(t) for t in texts], _PART_BYTES):
         words, (first, length, strings, _, _) = _items(texts[part], size, hot if bits else set())
         cover = np.zeros(len(words.hashes) + 1, dtype=np.int64)
@@ -282,15 +283,19 @@ def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: set[int]) -> pa.Tab
             if marked.any():
                 spans.append(_spans(marked))
                 kept.append(b" ".join([own[i] for i in np.flatnonzero(~marked).tolist()]))
+                cleaned.append(kept[-1])
             else:
                 spans.append([])
                 kept.append(b" ".join(own))
+                cleaned.append(None)
+    given = docs.column("text")
+    changed = pa.chunked_array([pa.array(cleaned, pa.binary()).cast(given.type)])
     return pa.Table.from_arrays([
         docs.column("row"), pa.chunked_array([pa.array(n_words, pa.int64())]),
         pa.chunked_array([pa.array(spans, pa.list_(_FOUND))]),
-        pa.chunked_array([pa.array(kept, pa.binary()).cast(pa.string())]),
+        pc.coalesce(changed, given),
         pa.chunked_array([pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]),
-    ], names=["row", "n_words", "spans", "kept", "kept_sha256"])
+    ], names=["row", "n_words", "spans", "cleaned", "kept_sha256"])
 
 
 def _minimisers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -319,7 +324,11 @@ def hot_minimisers(rows: DataFrame, size: int) -> set[int]:
 def repeated_windows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Each row of docs with n_words, spans of words in repeated windows, kept text and its SHA-256."""
+    """Each row of docs with n_words and spans of words in repeated windows.
+
+    cleaned: the words outside, joined by one space, or the text as it is where none is
+    inside; kept_sha256: SHA-256 of the joined words in both cases. `row` is without the text.
+    """
     blocks = block_count(docs, text, block_bytes)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")), F.lit(blocks)).alias("block"),
@@ -334,7 +343,7 @@ def repeated_windows(
     )
     answers = sent.groupBy("bucket").applyInArrow(lambda table: _count(table, size), "block long, answer binary")
     added = T.StructType.fromDDL(
-        "n_words long, spans array<struct<start: long, end: long>>, kept string, kept_sha256 string"
+        "n_words long, spans array<struct<start: long, end: long>>, cleaned string, kept_sha256 string"
     )
     found = T.StructType([T.StructField("row", rows.schema["row"].dataType, False), *added.fields])
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
