@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from couponloom.params import Params
+from couponloom.params import PERCENT_DIGITS, Params
 
 
 def ratio(numerator, denominator) -> Column:
@@ -19,8 +19,21 @@ def _double(value) -> Column:
 
 
 def percent_of(discount) -> Column:
-    """Integer percent of a discount fraction, so that equality is exact."""
-    return F.round(_double(discount) * 100).cast("int")
+    """Percent of a discount fraction to six digits, so that equality is exact: 29.6 is not 30."""
+    return exact_percent(_double(discount) * 100)
+
+
+def exact_percent(value) -> Column:
+    return F.round(_double(value), PERCENT_DIGITS)
+
+
+def exact_units(fraction) -> Column:
+    """A fraction in whole billionths: sums of these do not depend on their order."""
+    return F.round(_double(fraction) * 1e9).cast("long")
+
+
+def exact_fraction(units: Column) -> Column:
+    return units / F.lit(1e9)
 
 
 def shelf_price(price, discount) -> Column:

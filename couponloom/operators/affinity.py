@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vector, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +16,12 @@ from couponloom.workspace import private_stage
 
 BASKET = ["week", "shopper"]
 SHOPPERS_PER_BUCKET = 65_536
-# Products and copies of one product that one basket list may hold.
+# A basket list holds at most so many items.
 PRODUCTS_PER_LIST = 4_096
-COPIES_PER_LIST = 1_000
-# Members per tile of the co-occurrence matrix, and tiles a task holds before it emits.
-TILE = 512
-TILES_HELD = 32
+COPIES_PER_LIST = 1
+# Members of a group whose pairs are formed at once, and distinct pairs a task holds before it emits.
+TILE = 2_048
+PAIRS_HELD = 1 << 21
 PIVOT_LIMIT = 1_000
 
 
@@ -48,29 +48,44 @@ def basket_ids(baskets: DataFrame) -> DataFrame:
 
 
 def with_basket_id(baskets: DataFrame) -> DataFrame:
+    """Rows without a week or shopper belong to no basket and leave."""
     return baskets.join(basket_ids(baskets), BASKET)
 
 
 def basket_lists(baskets: DataFrame) -> DataFrame:
     """(week, shopper, part, items): products of a basket as strings, in product order.
 
-    A basket is one list, part 0, unless it holds more products or copies of a product
-    than a list may have; then it goes on in further parts and no item is lost.
+    A basket is one list, part 0, whatever its products are. One with more items than a
+    list may hold goes on in further parts, cut by position, and no item is lost.
     """
+    limit = PRODUCTS_PER_LIST * COPIES_PER_LIST
     counted = baskets.groupBy(*BASKET, "product").agg(F.count("*").alias("n"))
-    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES_PER_LIST)))
-    copies = F.least(F.col("n") - F.col("block") * COPIES_PER_LIST, F.lit(COPIES_PER_LIST))
-    part = F.struct("block", F.floor(F.col("product") / PRODUCTS_PER_LIST).alias("range"))
-    parts = (
-        counted.withColumn("block", block)
-        .groupBy(*BASKET, part.alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("product", copies.cast("int").alias("n")))).alias("c"))
+    ahead = W.partitionBy(*BASKET).orderBy("product").rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    first, last = F.floor(F.col("start") / limit), F.floor((F.col("start") + F.col("n") - 1) / limit)
+    cut = placed.withColumn("part", F.explode(F.sequence(first, last)))
+    copies = F.least(F.col("start") + F.col("n"), (F.col("part") + 1) * limit) - F.greatest(
+        "start", F.col("part") * limit
+    )
+    parts = cut.groupBy(*BASKET, "part").agg(
+        F.sort_array(F.collect_list(F.struct("product", copies.cast("int").alias("n")))).alias("c")
     )
     items = F.flatten(
         F.transform("c", lambda x: F.array_repeat(x["product"].cast("string"), x["n"]))
     )
-    label = F.col("part.block") * F.lit(1_000_000) + F.col("part.range")
-    return parts.select(*BASKET, label.alias("part"), items.alias("items"))
+    return parts.select(*BASKET, "part", items.alias("items"))
+
+
+def context_lists(baskets: DataFrame) -> DataFrame:
+    """Lists in which any two items of a basket meet: the basket, or each pair of its parts."""
+    lists = basket_lists(baskets)
+    whole = W.partitionBy(*BASKET)
+    several = F.max("part").over(whole) > 0
+    marked = lists.withColumn("several", several)
+    cut = marked.filter("several").drop("several")
+    later = cut.select(*BASKET, F.col("part").alias("later"), F.col("items").alias("more"))
+    pairs = cut.join(later, BASKET).filter("part < later").select(F.concat("items", "more").alias("items"))
+    return marked.filter("NOT several").select("items").unionByName(pairs)
 
 
 def max_basket_size(baskets: DataFrame) -> DataFrame:
@@ -78,86 +93,106 @@ def max_basket_size(baskets: DataFrame) -> DataFrame:
     return sizes.agg(F.max("size").alias("max_basket_size"))
 
 
-def _gram(width: int):
-    """Partial co-occurrence sums of a task, one dense tile per pair of member ranges."""
-
-    def dense(lists: pa.ListArray, counts: pa.ListArray) -> np.ndarray:
-        lengths = np.diff(lists.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        matrix = np.zeros((len(lists), width))
-        matrix[rows, lists.flatten().to_numpy() % TILE] = counts.flatten().to_numpy()
-        return matrix
-
-    def emit(sums: dict) -> Iterator[pa.RecordBatch]:
-        for (a, b), tile in sums.items():
-            i, j = np.nonzero(tile)
-            n = tile[i, j].astype(np.int64)
-            i, j = i + a * TILE, j + b * TILE
-            sides = [(i, j, n)] if a == b else [(i, j, n), (j, i, n)]
-            for one, two, value in sides:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(value, pa.int64())],
-                    names=["member_1", "member_2", "n"],
-                )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for batch in batches:
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            left, right = columns["tile_1"].to_numpy(), columns["tile_2"].to_numpy()
-            for a, b in {*zip(left.tolist(), right.tolist())}:
-                picked = pa.array((left == a) & (right == b))
-                x, xn, y, yn = (
-                    columns[c].filter(picked) for c in ("members_1", "counts_1", "members_2", "counts_2")
-                )
-                product = dense(x, xn).T @ dense(y, yn)
-                sums[a, b] = sums[a, b] + product if (a, b) in sums else product
-                if len(sums) > TILES_HELD:
-                    yield from emit(sums)
-                    sums = {}
-        yield from emit(sums)
-
-    return run
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the ranges [start, start + length), one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+_SHIFT = 1 << 31
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of a task over its groups, one row for each pair of members held."""
+    keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def added(left, left_n, right, right_n) -> None:
+        nonlocal keys, sums
+        found = (left + _SHIFT).astype(np.uint64) << np.uint64(32) | (right + _SHIFT).astype(np.uint64)
+        keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        total = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(total, place, np.concatenate([sums, left_n * right_n]))
+        sums = total
+
+    def emit() -> pa.RecordBatch:
+        nonlocal keys, sums
+        one = (keys >> np.uint64(32)).astype(np.int64) - _SHIFT
+        two = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - _SHIFT
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(sums, pa.int64())],
+            names=["member_1", "member_2", "n"],
+        )
+        keys, sums = keys[:0], sums[:0]
+        return out
+
+    def flat(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = batch.column(k)
+        rows = lists.flatten()
+        member, n = (rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        return member, n, offsets - offsets[0]
+
+    for batch in batches:
+        left, left_n, offsets = flat(batch, 0)
+        right, right_n, others = flat(batch, 1)
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        place = np.arange(len(left))
+        alone = np.diff(others)[rows] == 0
+        # A group meets itself from each member on, or the whole of another slice.
+        pool, pool_n = np.concatenate([left, right]), np.concatenate([left_n, right_n])
+        start = np.where(alone, place, len(left) + others[:-1][rows])
+        count = np.where(alone, offsets[1:][rows] - place, np.diff(others)[rows])
+        done = np.cumsum(count)
+        at = 0
+        while at < len(left):
+            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS_HELD, side="right")))
+            one, two = np.repeat(place[at:end], count[at:end]), _ranges(start[at:end], count[at:end])
+            added(left[one], left_n[one], pool[two], pool_n[two])
+            if len(keys) > PAIRS_HELD:
+                yield emit()
+            at = end
+    yield emit()
 
 
 def cooccurrence(
-    df: DataFrame, member: str, n_members: int, group: list[str] | None = None
+    df: DataFrame, member: str, n_members: int | None = None, group: list[str] | None = None
 ) -> DataFrame:
     """(member_1, member_2, n): sum over groups of n(group, 1) * n(group, 2).
 
     Both directions and the diagonal are given. Members of a group are counted first,
-    then each task multiplies its count vectors tile by tile and sends on only its sums,
-    so pairs within a group are never emitted as rows.
+    then each task adds up the pairs of its groups and sends on only its sums, half of
+    the table, so pairs within a group are never emitted as rows. A group of many members
+    is cut into slices, and the pairs of slices are dealt out over the tasks. Every
+    member is kept, whatever `n_members` says.
     """
     group = group or BASKET
     counts = (
-        df.filter(F.col(member).between(0, n_members - 1))
+        df.filter(F.col(member).isNotNull())
         .groupBy(*group, F.col(member).cast("int").alias("member"))
         .agg(F.count("*").alias("n"))
     )
-    tile = F.floor(F.col("member") / TILE).cast("int")
-    vectors = counts.groupBy(*group, tile.alias("tile")).agg(
-        F.collect_list(F.struct("member", "n")).alias("c")
-    )
-    vectors = vectors.select(*group, "tile", F.col("c.member").alias("members"), F.col("c.n").alias("counts"))
-
-    def side(k: int) -> list:
-        return [F.col(c).alias(f"{c}_{k}") for c in ("tile", "members", "counts")]
-
-    if n_members <= TILE:
-        pairs = vectors.select(*side(1), *side(2))
-    else:
-        pairs = (
-            vectors.select(*group, *side(1))
-            .join(vectors.select(*group, *side(2)), group)
-            .filter("tile_1 <= tile_2")
-            .drop(*group)
-            .sortWithinPartitions("tile_1", "tile_2")  # few tiles per Arrow batch
+    vectors = counts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("member", "n"))).alias("c"))
+    none = F.slice("c", 1, 0)
+    small = vectors.filter(F.size("c") <= TILE).select(F.col("c").alias("left"), none.alias("right"))
+    slices = F.sequence(F.lit(0), F.floor((F.size("c") - 1) / TILE).cast("int"))
+    large = (
+        vectors.filter(F.size("c") > TILE)
+        .select(*group, "c", F.explode(slices).alias("i"), slices.alias("all"))
+        .select(*group, "c", "i", F.explode(F.filter("all", lambda j: j >= F.col("i"))).alias("j"))
+        .select(
+            *group, "i", "j",
+            F.slice("c", F.col("i") * TILE + 1, TILE).alias("left"),
+            F.when(F.col("i") == F.col("j"), none).otherwise(F.slice("c", F.col("j") * TILE + 1, TILE)).alias("right"),
         )
-    partial = pairs.mapInArrow(
-        _gram(min(n_members, TILE)), "member_1 int, member_2 int, n bigint"
+        .repartition(*group, "i", "j")
+        .select("left", "right")
     )
-    return partial.groupBy("member_1", "member_2").agg(F.sum("n").alias("n"))
+    partial = small.unionByName(large).mapInArrow(_pair_sums, "member_1 int, member_2 int, n bigint")
+    half = partial.groupBy("member_1", "member_2").agg(F.sum("n").alias("n"))
+    there = F.struct("member_1", "member_2")
+    back = F.struct(F.col("member_2").alias("member_1"), F.col("member_1").alias("member_2"))
+    both = F.when(F.col("member_1") == F.col("member_2"), F.array(there)).otherwise(F.array(there, back))
+    return half.select(F.explode(both).alias("pair"), "n").select("pair.member_1", "pair.member_2", "n")
 
 
 def cooccurrence_table(edges: DataFrame, n_members: int, value: str = "n") -> DataFrame:
@@ -175,24 +210,31 @@ def clip_diagonal(edges: DataFrame) -> DataFrame:
 
     Adds the distance 1 - n. Pairs without an edge have n 0 and distance 1.
     """
-    others = edges.filter("member_1 != member_2")
-    diagonal = edges.filter("member_1 = member_2")
-    total = others.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double")).scalar()
-    members = diagonal.agg(F.count("*").cast("double")).scalar()
-    clipped = diagonal.select("member_1", "member_2", F.try_divide(total, members * members).alias("n"))
-    return (
-        others.withColumn("n", F.col("n").cast("double"))
-        .unionByName(clipped)
-        .withColumn("distance", 1 - F.col("n"))
-    )
+    own = F.col("member_1") == F.col("member_2")
+    total = F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).cast("double")
+    members = F.count_if(own).cast("double")
+    mean = edges.agg(F.try_divide(total, members * members).alias("mean")).scalar()
+    return edges.select(
+        "member_1", "member_2", F.when(own, mean).otherwise(F.col("n").cast("double")).alias("n")
+    ).withColumn("distance", 1 - F.col("n"))
+
 
+@F.udf(returnType=VectorUDT())
+def _sparse(size: int, row: list) -> Vector:
+    """One call for each member."""
+    return Vectors.sparse(size, [x["member_2"] for x in row], [x["n"] for x in row])
 
-def member_clusters(edges: DataFrame, n_members: int, k: int = 3, seed: int = 42) -> DataFrame:
-    """(member, cluster) by the rows of the clipped table, written before the iterations."""
-    table = cooccurrence_table(clip_diagonal(edges), n_members)
-    columns = [c for c in table.columns if c != "member_1"]
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(table)
-    named = vectors.select(F.col("member_1").alias("member"), "features")
+
+def member_clusters(edges: DataFrame, n_members: int | None = None, k: int = 3, seed: int = 42) -> DataFrame:
+    """(member, cluster) by the rows of the clipped table, written before the iterations.
+
+    A row is the sparse vector of its edges, so the table is never widened to columns.
+    """
+    size = n_members or (edges.agg(F.max("member_1")).first()[0] or 0) + 1
+    entries = clip_diagonal(edges).groupBy("member_1").agg(
+        F.sort_array(F.collect_list(F.struct("member_2", "n"))).alias("row")
+    )
+    named = entries.select(F.col("member_1").alias("member"), _sparse(F.lit(size), "row").alias("features"))
     rows = private_stage(edges.sparkSession, "member-rows", lambda: named)
     model = BisectingKMeans(k=k, seed=seed).fit(rows)
     return model.transform(rows).select("member", F.col("prediction").alias("cluster"))
@@ -200,7 +242,7 @@ def member_clusters(edges: DataFrame, n_members: int, k: int = 3, seed: int = 42
 
 def order_by_cluster(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges with the positions of both members in (cluster, member) order."""
-    order = W.orderBy("cluster", "member")  # one row per member of a pivoted table
+    order = W.orderBy("cluster", "member")  # one row per member
     placed = clusters.withColumn("position", F.row_number().over(order) - 1)
 
     def side(k: int) -> DataFrame:
@@ -211,7 +253,7 @@ def order_by_cluster(edges: DataFrame, clusters: DataFrame) -> DataFrame:
         )
 
     return (
-        edges.join(F.broadcast(side(1)), "member_1")
-        .join(F.broadcast(side(2)), "member_2")
+        edges.join(side(1), "member_1")
+        .join(side(2), "member_2")
         .orderBy("position_1", "position_2")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponloom.functions.columns import elasticity, ratio
+from couponloom.functions.columns import elasticity, exact_percent, ratio
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.facts import baskets_coupons
 from couponloom.operators.panel import dense_counts
@@ -23,7 +23,7 @@ def weekly_elasticity(inputs: Inputs, params: Params) -> DataFrame:
         inputs.baskets.filter(weeks), inputs.coupons.filter(weeks), inputs.unique_keys
     )
     offered = F.coalesce("discount", F.lit(0.0))
-    special = F.round(offered) == percent(params.elasticity_discount)
+    special = exact_percent(offered) == percent(params.elasticity_discount)
     counts = joined.groupBy("week", "product").agg(
         F.count_if(offered == 0).alias("regular_buys"),
         F.count_if(offered > 0).alias("offers"),

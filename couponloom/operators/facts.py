@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponloom.functions.columns import shelf_price
+from couponloom.functions.columns import exact_fraction, exact_units, shelf_price
 from couponloom.params import Params
 from couponloom.sources.tables import Inputs
 
@@ -74,5 +74,5 @@ def week_counts(data: DataFrame) -> DataFrame:
         F.sum(F.col("purchased").cast("long")).alias("purchased"),
         F.count_if(offered).alias("received"),
         F.count_if(offered & bought).alias("redeemed"),
-        F.sum("discount").alias("discount"),
+        exact_fraction(F.sum(exact_units("discount"))).alias("discount"),
     )

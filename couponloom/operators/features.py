@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions import history as H
-from couponloom.functions.columns import product_category
+from couponloom.functions.columns import exact_fraction, exact_units, product_category
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.elasticity import attach_elasticity
 from couponloom.operators.encode import woe
@@ -15,6 +15,7 @@ from couponloom.operators.prices import impute_price
 from couponloom.operators.rates import panel_redemption
 from couponloom.params import Params
 
+# Columns that are no features.
 NON_FEATURES = ["shopper", "week", "product", "purchased", "product_cat"]
 
 
@@ -28,11 +29,9 @@ def with_substitute_discount(rows: DataFrame) -> DataFrame:
     Only facts carry discounts, so the sum comes from the `offers` of the cell.
     """
     same_week = F.filter("offers", lambda o: o["week"] == F.col("week"))
-    given = F.aggregate(same_week, F.lit(0.0), lambda acc, o: acc + o["discount"])
-    return rows.withColumn(
-        "substitute_discount",
-        F.when(F.col("product_cat").isNotNull(), given - F.col("discount")),
-    )
+    given = F.aggregate(same_week, F.lit(0).cast("long"), lambda acc, o: acc + exact_units(o["discount"]))
+    others = exact_fraction(given - exact_units("discount"))
+    return rows.withColumn("substitute_discount", F.when(F.col("product_cat").isNotNull(), others))
 
 
 def cluster_dimension(df: DataFrame, params: Params) -> DataFrame:

@@ -138,7 +138,7 @@ def dense_counts(
         .join(taken, by, "left")
         .select(
             by,
-            F.lit(0).alias("percent"),
+            F.lit(0.0).alias("percent"),
             (F.lit(other * len(weeks)).cast("long") - F.coalesce("taken", F.lit(0))).alias("n_rows"),
             F.lit(0).cast("long").alias("purchases"),
         )

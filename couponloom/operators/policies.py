@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import expected_revenue
@@ -22,15 +22,16 @@ def _draw(seed: int, slot: Column, below: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % below
 
 
-def random_slots(spark: SparkSession, params: Params) -> DataFrame:
-    """(shopper, week, coupon, product, discount): n distinct random products per shopper.
+def random_slots(slots: DataFrame, params: Params) -> DataFrame:
+    """(shopper, week, coupon, product, discount): random coupons on the given slots.
 
-    Distinct products are drawn by the swap-in method: step j draws from 0..j and takes
+    slots: (shopper, week, coupon), those of the optimal coupons or of the coupon index. A
+    shopper gets as many random coupons as there are slots, on distinct products. Distinct products are drawn by the swap-in method: step j draws from 0..j and takes
     j itself when the draw is already taken. That needs one hash per coupon instead of
     one per shopper and product, and no shuffle.
     """
-    n = min(params.n_coupons, params.n_products)
-    steps = F.sequence(F.lit(params.n_products - n), F.lit(params.n_products - 1))
+    n = F.least(F.greatest(F.lit(params.n_coupons), F.col("coupon") + 1), F.lit(params.n_products)).cast("int")
+    steps = F.sequence(F.lit(params.n_products) - n, F.lit(params.n_products - 1))
 
     def add(chosen, j):
         drawn = _draw(params.seed, j, j + 1).cast("int")
@@ -39,23 +40,18 @@ def random_slots(spark: SparkSession, params: Params) -> DataFrame:
     products = F.aggregate(steps, F.array().cast("array<int>"), add)
     values = F.array(*[F.lit(d) for d in params.discounts])
     drawn = _draw(params.seed + 1, F.col("coupon"), F.lit(len(params.discounts)))
-    return (
-        spark.range(params.n_shoppers)
-        .select(F.col("id").alias("shopper"), F.lit(params.test_week).cast("long").alias("week"))
-        .select("shopper", "week", F.posexplode(products).alias("coupon", "product"))
-        .select(
-            "shopper",
-            "week",
-            F.col("coupon").cast("long"),
-            F.col("product").cast("long"),
-            F.element_at(values, (drawn + 1).cast("int")).alias("discount"),
-        )
+    return slots.filter(F.col("coupon").between(0, params.n_products - 1)).select(
+        F.col("shopper").cast("long").alias("shopper"),
+        F.col("week").cast("long").alias("week"),
+        F.col("coupon").cast("long").alias("coupon"),
+        F.element_at(products, (F.col("coupon") + 1).cast("int")).cast("long").alias("product"),
+        F.element_at(values, (drawn + 1).cast("int")).alias("discount"),
     )
 
 
-def zero_slots(spark: SparkSession, params: Params) -> DataFrame:
-    """The slots of the random policy without any discount."""
-    return random_slots(spark, params).withColumn("discount", F.lit(0.0))
+def zero_slots(slots: DataFrame, params: Params) -> DataFrame:
+    """The coupons of the random policy without any discount."""
+    return random_slots(slots, params).withColumn("discount", F.lit(0.0))
 
 
 def on_products_of(policy: DataFrame, optimal: DataFrame) -> DataFrame:
@@ -113,16 +109,22 @@ def compare_policies(
     params: Params,
     placement: str = "by_key",
     rows_at: RowsAt | None = None,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """Totals of zero, random and optimal coupons.
 
+    Zero and random coupons fill the given slots of the test week, else those of the
+    optimal ones.
+
     placement "by_key" gives each policy its own products; "same_products" places all
     discounts on the optimal products and so compares discounts only.
     """
     if placement not in ("by_key", "same_products"):
         raise ValueError(f"unknown placement: {placement}")
-    spark = test.sparkSession
-    random, zero = random_slots(spark, params), zero_slots(spark, params)
+    given = optimal if slots is None else slots.filter(
+        (F.col("week") == params.test_week) & F.col("shopper").between(0, params.n_shoppers - 1)
+    )
+    random, zero = random_slots(given, params), zero_slots(given, params)
     if placement == "same_products":
         random, zero = on_products_of(random, optimal), on_products_of(zero, optimal)
     tagged = [

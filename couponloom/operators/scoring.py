@@ -22,6 +22,9 @@ from couponloom.operators.panel import dense_counts
 from couponloom.params import Params
 from couponloom.workspace import enable_checkpoints
 
+# A product's rates: a hundred percents of 24 bytes and some room.
+MAP_BYTES = 4_096
+
 Scenarios = Mapping[str, Mapping[str, Column]]
 
 # Features that are null where the data has no evidence.
@@ -48,7 +51,7 @@ class RateScorer:
 
     def __init__(self, data: DataFrame, params: Params):
         self.params = params
-        # One map per product with at most 101 integer percents.
+        # One map per product with the percents it was offered at.
         self.rates = (
             purchase_rates(data, params, params.model_products)
             .groupBy("product")
@@ -57,7 +60,8 @@ class RateScorer:
 
     def score(self, rows: DataFrame, scenarios: Scenarios) -> DataFrame:
         joined = join_dimension(
-            rows, self.rates, ["product"], self.params.model_products, spread=["shopper", "week"]
+            rows, self.rates, ["product"], self.params.model_products, spread=["shopper", "week"],
+            row_bytes=MAP_BYTES,
         )
         columns = {
             name: F.coalesce(

@@ -7,12 +7,15 @@ import json
 import math
 from dataclasses import asdict, dataclass
 
+# Digits to which percents are compared.
+PERCENT_DIGITS = 6
 # Cluster label of each category, list position = category.
 CATEGORY_CLUSTERS = (
     1, 1, 2, 2, 0, 1, 0, 2, 2, 2, 0, 2, 2, 2, 2, 1, 2, 1, 2, 0, 2, 1, 2, 1, 2,
 )
 
 
+# The defaults of the task.
 @dataclass(frozen=True)
 class Params:
     test_week: int = 90
@@ -61,7 +64,7 @@ class Params:
         return math.ceil(self.test_week * self.recency_factor)
 
     @property
-    def percents(self) -> list[int]:
+    def percents(self) -> list[float]:
         return [percent(d) for d in self.discounts]
 
     def fingerprint(self, *more: str) -> str:
@@ -69,5 +72,5 @@ class Params:
         return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def percent(discount: float) -> int:
-    return round(discount * 100)
+def percent(discount: float) -> float:
+    return round(discount * 100, PERCENT_DIGITS)

@@ -25,7 +25,7 @@ VIEWS = {
           UNION ALL
           SELECT ship_week AS week, shopper, product, (disc + 2) * 5 AS discount FROM li
           WHERE disc BETWEEN 1 AND 4) u
-        WHERE week BETWEEN 0 AND 92 GROUP BY week, shopper, product""",
+        GROUP BY week, shopper, product""",
     "listed": "SELECT week, shopper, product, min(reg10) AS reg10 FROM li GROUP BY week, shopper, product",
     "baskets": """
         SELECT b.week, b.shopper, b.product,
@@ -111,6 +111,7 @@ VIEWS = {
         SELECT product, reg_buy / CAST(nullif(reg_n, 0) AS DOUBLE) AS reg,
                d30_buy / CAST(nullif(d30_n, 0) AS DOUBLE) AS d30 FROM train_counts""",
     "elasticity": "SELECT product, (d30 - reg) / nullif(3e-1 * reg, 0) AS elasticities FROM train_rates",
+    # The labels of params.CATEGORY_CLUSTERS.
     "clusters": """
         SELECT CAST(i - 1 AS INT) AS product_cat, CAST(labels[i] AS INT) AS cat_cluster
         FROM (SELECT [1, 1, 2, 2, 0, 1, 0, 2, 2, 2, 0, 2, 2, 2, 2, 1, 2, 1, 2, 0, 2, 1, 2, 1, 2] AS labels),
@@ -149,7 +150,7 @@ VIEWS = {
              / ((count(*) - sum(purchased) + 1e0) / ((SELECT n FROM totals) + 2e0))) ELSE 0e0 END AS product_WOE
         FROM train GROUP BY product""",
     "scorer": """
-        SELECT product, CAST(round(discount * 100) AS INT) AS percent,
+        SELECT product, round(discount * 100, 6) AS percent,
                (sum(purchased) + 1e0) / (count(*) + 2e0) AS probability
         FROM train GROUP BY product, percent""",
     "test": "SELECT *, product // 10 AS product_cat FROM dataset WHERE week = 90",
@@ -162,7 +163,7 @@ VIEWS = {
                coalesce(r.probability, 5e-1) AS probability,
                coalesce(r.probability, 5e-1) * w.price * (1e0 - w.discount) AS exp_revenue
         FROM what_if w LEFT JOIN scorer r
-          ON r.product = w.product AND r.percent = CAST(round(w.discount * 100) AS INT)""",
+          ON r.product = w.product AND r.percent = round(w.discount * 100, 6)""",
     "deltas": """
         SELECT a.week, a.shopper, a.product, a.price, a.product_cat, a.discount, a.probability,
                a.exp_revenue,
@@ -198,7 +199,8 @@ VIEWS = {
         SELECT w.shopper, CAST(90 AS BIGINT) AS week, CAST(d.coupon AS BIGINT) AS coupon,
                CAST([p0, p1, p2, p3, p4][d.coupon + 1] AS BIGINT) AS product,
                [15e-2, 2e-1, 25e-2, 3e-1][pick + 1] AS discount
-        FROM draw_4 w JOIN draws d ON w.shopper = d.shopper""",
+        FROM draw_4 w JOIN draws d ON w.shopper = d.shopper
+        JOIN optimal o ON o.shopper = d.shopper AND o.coupon = d.coupon""",
     "zero_slots": "SELECT shopper, week, coupon, product, 0e0 AS discount FROM random_slots",
     "placed": """
         SELECT 'zero' AS policy, shopper, product, discount FROM zero_slots
@@ -249,7 +251,7 @@ def _policy_totals(placed: str) -> str:
         LEFT JOIN {placed} c
           ON c.policy = q.policy AND c.shopper = t.shopper AND c.product = t.product
         LEFT JOIN scorer r ON r.product = t.product
-          AND r.percent = CAST(round(coalesce(c.discount, 0e0) * 100) AS INT)
+          AND r.percent = round(coalesce(c.discount, 0e0) * 100, 6)
         GROUP BY q.policy"""
 
 
@@ -280,7 +282,6 @@ SELECTS = {
     "filter_shoppers": "SELECT * FROM baskets WHERE shopper < (SELECT s // 2 FROM size)",
     "baskets_coupons": "SELECT * FROM joined",
     "clean": "SELECT * FROM facts",
-    "grid": "SELECT * FROM grid",
     "grid_facts": "SELECT * FROM panel",
     "histories": """
         SELECT week, shopper, product, week_hist, discount_received_weeks, discount_redeemed_weeks
@@ -355,7 +356,7 @@ SELECTS = {
     "log_loss": """
         SELECT round(avg(-(purchased * ln(probability) + (1 - purchased) * ln(1e0 - probability))), 9) AS log_loss
         FROM train t JOIN scorer r
-          ON r.product = t.product AND r.percent = CAST(round(t.discount * 100) AS INT)""",
+          ON r.product = t.product AND r.percent = round(t.discount * 100, 6)""",
     "scenarios": "SELECT * FROM what_if",
     "delta_revenue": "SELECT * FROM deltas",
     "top_coupons": "SELECT * FROM optimal",

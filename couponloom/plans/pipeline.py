@@ -42,10 +42,11 @@ def run(
     other inputs never meet stages of these.
     """
     key = params.fingerprint(source)
-    data = stage(spark, "facts", key, lambda: facts(inputs, params), folder)
+    data = stage(spark, "facts", key, lambda: facts(inputs, params).sortWithinPartitions("week"), folder)
     packed = stage(spark, "cells", key, lambda: cells(data, params), folder)
     rows = stage(
-        spark, "model-data", key, lambda: model_data(data, packed, params, encoded=True), folder
+        spark, "model-data", key, lambda: model_data(data, packed, params, encoded=True), folder,
+        partition_by=("week",),
     )
     train, test = train_rows(rows, params), test_rows(rows, params)
     model = (
@@ -64,5 +65,5 @@ def run(
         rows,
         log_loss(fitted, "purchased", "probability"),
         optimal,
-        compare_policies(test, optimal, model, params, rows_at=rows_at),
+        compare_policies(test, optimal, model, params, rows_at=rows_at, slots=inputs.coupon_index),
     )

@@ -24,7 +24,7 @@ from couponloom.operators.histories import (
     received_weeks,
     redeemed_weeks,
 )
-from couponloom.operators.panel import dense_counts, grid, panel
+from couponloom.operators.panel import dense_counts, panel
 from couponloom.operators.prices import impute_price, last_week_mode_price, mode_price
 from couponloom.operators.scoring import RateScorer, TreeScorer, log_loss, purchase_rates
 from couponloom.params import Params
@@ -34,7 +34,6 @@ from couponloom.workspace import private_stage, shared_folder, stage
 
 # Products with and without a category occur when the binned range ends at 90.
 PARTLY_BINNED = {"n_products": 95}
-TREE_ITERATIONS = 20
 
 
 class Star:
@@ -56,7 +55,7 @@ class Star:
     @cached_property
     def written_facts(self) -> DataFrame:
         """Facts written once, for plans that read them many times."""
-        return private_stage(self.spark, "facts", lambda: facts(self.inputs, self.params))
+        return private_stage(self.spark, "facts", lambda: self.facts.sortWithinPartitions("week"))
 
     @cached_property
     def written_cells(self) -> DataFrame:
@@ -107,12 +106,20 @@ class Star:
 
     @property
     def products(self) -> DataFrame:
-        return affinity.cooccurrence(self.inputs.baskets, "product", self.params.n_products)
+        return affinity.cooccurrence(self.inputs.baskets, "product")
 
     @property
     def categories(self) -> DataFrame:
         baskets = features.with_category(self.inputs.baskets, self.params)
-        return affinity.cooccurrence(baskets, "product_cat", self.params.n_categories)
+        return affinity.cooccurrence(baskets, "product_cat")
+
+    @cached_property
+    def written_products(self) -> DataFrame:
+        return private_stage(self.spark, "products", lambda: self.products)
+
+    @cached_property
+    def written_categories(self) -> DataFrame:
+        return private_stage(self.spark, "categories", lambda: self.categories)
 
 
 def _joined(column) -> F.Column:
@@ -178,10 +185,6 @@ def _clean(s: Star) -> DataFrame:
     return s.facts
 
 
-def _grid(s: Star) -> DataFrame:
-    return grid(s.spark, s.params)
-
-
 def _grid_facts(s: Star) -> DataFrame:
     return panel(s.written_facts, s.params, with_history=False)
 
@@ -247,8 +250,7 @@ def _cluster_dummies(s: Star) -> DataFrame:
 
 def _substitute_discount(s: Star) -> DataFrame:
     rows = features.with_substitute_discount(s.categorised)
-    value = F.round("substitute_discount", 6) + F.lit(0.0)
-    return rows.select(*KEY, "discount", "product_cat", value.alias("substitute_discount"))
+    return rows.select(*KEY, "discount", "product_cat", "substitute_discount")
 
 
 def _recency_default(s: Star) -> DataFrame:
@@ -322,25 +324,20 @@ def _elasticity_feature(s: Star) -> DataFrame:
     return attach_elasticity(rows, s.written_facts, s.params).select(*KEY, "elasticities")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Sums of fractions depend on their order in the last digits."""
-    return df.withColumn("substitute_discount", F.round("substitute_discount", 6) + F.lit(0.0))
-
-
 def _model_data(s: Star) -> DataFrame:
-    return _rounded(s.model_data())
+    return s.model_data()
 
 
 def _train_split(s: Star) -> DataFrame:
-    return _rounded(train_rows(s.model_data(s.params.train_weeks), s.params))
+    return train_rows(s.model_data(s.params.train_weeks), s.params)
 
 
 def _test_split(s: Star) -> DataFrame:
-    return _rounded(test_rows(s.model_data([s.params.test_week]), s.params))
+    return test_rows(s.model_data([s.params.test_week]), s.params)
 
 
 def _feature_columns(s: Star) -> DataFrame:
-    rows = _with_rounded_codes(_rounded(s.model_data(encoded=True)))
+    rows = _with_rounded_codes(s.model_data(encoded=True))
     return rows.select(*features.feature_names(rows))
 
 
@@ -397,11 +394,11 @@ def _top_coupons(s: Star) -> DataFrame:
 
 
 def _random_coupons(s: Star) -> DataFrame:
-    return policies.random_slots(s.spark, s.params)
+    return policies.random_slots(s.optimal, s.params)
 
 
 def _zero_coupons(s: Star) -> DataFrame:
-    return policies.zero_slots(s.spark, s.params)
+    return policies.zero_slots(s.optimal, s.params)
 
 
 def _expected_total_revenue(s: Star) -> DataFrame:
@@ -446,31 +443,31 @@ def _category_cooccurrence(s: Star) -> DataFrame:
 
 
 def _cooccurrence_clipped(s: Star) -> DataFrame:
-    return affinity.clip_diagonal(s.products)
+    return affinity.clip_diagonal(s.written_products)
 
 
 def _category_clusters(s: Star) -> DataFrame:
-    return affinity.member_clusters(s.categories, s.params.n_categories)
+    return affinity.member_clusters(s.written_categories, s.params.n_categories)
 
 
 def _cooccurrence_ordered(s: Star) -> DataFrame:
-    edges = affinity.clip_diagonal(s.categories)
+    edges = affinity.clip_diagonal(s.written_categories)
     return affinity.order_by_cluster(edges, _category_clusters(s))
 
 
 def _written_model_data(s: Star) -> DataFrame:
-    return private_stage(s.spark, "model-data", lambda: s.model_data(encoded=True))
+    return private_stage(s.spark, "model-data", lambda: s.model_data(encoded=True), ("week",))
 
 
 def _gbt_train_predictions(s: Star) -> DataFrame:
     train = train_rows(_written_model_data(s), s.params)
-    scored = TreeScorer(train, TREE_ITERATIONS).score(train, {"probability": {}})
+    scored = TreeScorer(train).score(train, {"probability": {}})
     return scored.select(*KEY, "purchased", "probability")
 
 
 def _gbt_test_scores(s: Star) -> DataFrame:
     rows = _written_model_data(s)
-    scorer = TreeScorer(train_rows(rows, s.params), TREE_ITERATIONS)
+    scorer = TreeScorer(train_rows(rows, s.params))
     scored = scorer.score(test_rows(rows, s.params), {"probability": {}})
     return scored.select(*KEY, "purchased", "probability")
 
@@ -478,7 +475,7 @@ def _gbt_test_scores(s: Star) -> DataFrame:
 def _gbt_policy_comparison(s: Star) -> DataFrame:
     rows = _written_model_data(s)
     test = test_rows(rows, s.params)
-    scorer = TreeScorer(train_rows(rows, s.params), TREE_ITERATIONS)
+    scorer = TreeScorer(train_rows(rows, s.params))
     optimal = private_stage(s.spark, "coupons", lambda: top_coupons(test, scorer, s.params))
     week = [s.params.test_week]
 
@@ -497,7 +494,7 @@ def _product_embeddings(s: Star) -> DataFrame:
 
 
 def _similar_products(s: Star) -> DataFrame:
-    return embeddings.similar_products(_model(s), 0)
+    return embeddings.all_similar_products(_model(s))
 
 
 def _embedding_projection(s: Star) -> DataFrame:
@@ -515,7 +512,6 @@ _PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "filter_shoppers": _filter_shoppers,
     "baskets_coupons": _baskets_coupons,
     "clean": _clean,
-    "grid": _grid,
     "grid_facts": _grid_facts,
     "histories": _histories,
     "week_hist": _week_hist,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from couponloom.params import Params
 from couponloom.sources.tables import BASKETS, COUPONS, Inputs, conform
 
-LAST_WEEK = 92
 DAYS_PER_WEEK = 26
 N_PRODUCTS = 100
 CUSTOMERS_PER_SHOPPER = 15
@@ -78,7 +77,7 @@ def observations(spark: SparkSession, sf_dir: str, n_shoppers: int) -> DataFrame
         .groupBy("seen.week", "shopper", "product")
         .agg(
             F.min("seen.tenths").alias("tenths"),
-            F.max(F.when(F.col("seen.week").between(0, LAST_WEEK), F.col("seen.percent"))).alias("percent"),
+            F.max("seen.percent").alias("percent"),
         )
     )
 

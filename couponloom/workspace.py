@@ -96,11 +96,13 @@ def private_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def private_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def private_stage(
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+) -> DataFrame:
     """Stage no other run reads: plans that use a frame many times compute it once."""
     path = private_folder(spark, name)
     frame = build()
-    frame.write.parquet(path)
+    (frame.write.partitionBy(*partition_by) if partition_by else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -6,9 +6,11 @@ from collections import Counter
 import pytest
 
 from couponloom.operators import affinity
+from couponloom.operators import embeddings as embedding_module
 from couponloom.operators.affinity import (
     basket_lists,
     clip_diagonal,
+    context_lists,
     cooccurrence,
     cooccurrence_table,
     max_basket_size,
@@ -17,6 +19,7 @@ from couponloom.operators.affinity import (
     with_basket_id,
 )
 from couponloom.operators.embeddings import (
+    all_similar_products,
     embeddings,
     load_or_train,
     projection,
@@ -45,10 +48,10 @@ def brute_force(rows):
     return dict(want)
 
 
-@pytest.mark.parametrize("tile,held", [(512, 32), (4, 32), (4, 1)])
+@pytest.mark.parametrize("tile,held", [(2048, 1 << 21), (4, 40), (4, 1)])
 def test_cooccurrence_equals_brute_force(spark, monkeypatch, tile, held):
     monkeypatch.setattr(affinity, "TILE", tile)
-    monkeypatch.setattr(affinity, "TILES_HELD", held)
+    monkeypatch.setattr(affinity, "PAIRS_HELD", held)
     rows = some_baskets()
     got = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product", 12)
     edges = {(r.member_1, r.member_2): r.n for r in got.collect()}
@@ -61,6 +64,15 @@ def test_members_without_id_are_left_out(spark):
     assert [tuple(r) for r in cooccurrence(df, "product", 5).collect()] == [(1, 1, 1)]
 
 
+def test_sparse_baskets_of_a_wide_catalogue(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "TILE", 16)
+    rng = random.Random(1)
+    rows = [(0, s, rng.randrange(20_000)) for s in range(300) for _ in range(6)]
+    rows += [(1, 0, p) for p in rng.sample(range(20_000), 100)] + [(1, 1, 25_000), (1, 1, 3)]
+    edges = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product", 100)
+    assert {(r.member_1, r.member_2): r.n for r in edges.collect()} == brute_force(rows)
+
+
 def test_table_and_clipped_diagonal(spark):
     edges = spark.createDataFrame([(0, 0, 9), (0, 1, 4), (1, 0, 4), (1, 1, 7)], "member_1 int, member_2 int, n long")
     table = {r.member_1: (r.with_0, r.with_1, r.with_2) for r in cooccurrence_table(edges, 3).collect()}
@@ -113,7 +125,25 @@ def test_basket_lists_keep_every_item(spark, monkeypatch):
     assert {k: sorted(v) for k, v in again.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_embeddings_find_products_bought_together(spark, tmp_path):
+def test_a_basket_is_one_list_whatever_its_products(spark, monkeypatch):
+    df = spark.createDataFrame([(0, 0, 9000), (0, 0, 1), (0, 0, 5000), (0, 0, 1)], SCHEMA)
+    assert [(r.part, r["items"]) for r in basket_lists(df).collect()] == [(0, ["1", "1", "5000", "9000"])]
+    monkeypatch.setattr(affinity, "PRODUCTS_PER_LIST", 2)
+    rows = [(0, 0, p) for p in range(7)] + [(0, 1, 8), (0, 1, 9)]
+    contexts = [r["items"] for r in context_lists(spark.createDataFrame(rows, SCHEMA)).collect()]
+    met = {frozenset((a, b)) for c in contexts for a in c for b in c if a != b}
+    assert met == {frozenset(map(str, (a, b))) for a in range(7) for b in range(a)} | {frozenset(("8", "9"))}
+
+
+def test_clusters_of_more_members_than_columns(spark):
+    rows = [(w, s, 1000 * (s % 3) + k) for w in range(2) for s in range(60) for k in range(s, s + 700, 7)]
+    edges = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product").cache()
+    clusters = member_clusters(edges, 5_000)
+    assert clusters.count() == len({p for _, _, p in rows}) > 1_000
+    assert {r.cluster for r in clusters.select("cluster").distinct().collect()} == {0, 1, 2}
+
+
+def test_embeddings_find_products_bought_together(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     rows = []
     for week in range(40):
@@ -127,6 +157,11 @@ def test_embeddings_find_products_bought_together(spark, tmp_path):
     assert {len(r.embedding) for r in vectors} == {16}
     near = [r["product"] for r in similar_products(model, 3, 5).collect()]
     assert len(near) == 5 and sum(p < 10 for p in near) >= 4
+    every = all_similar_products(model, 5).collect()
+    assert len(every) == 20 * 5 and all(r["product"] != r.similar for r in every)
+    assert [r.similar for r in sorted(every, key=lambda r: r["rank"]) if r["product"] == 3] == near
+    monkeypatch.setattr(embedding_module, "BLOCK_ROWS", 3)
+    assert sorted(all_similar_products(model, 5).collect()) == sorted(every)
     points = projection(model)
     assert points.columns == ["product", "x", "y"] and points.count() == 20
     loaded = load_or_train(df.limit(0), f"{tmp_path}/model")

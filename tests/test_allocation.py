@@ -100,21 +100,52 @@ def test_delta_is_against_the_zero_discount_of_the_same_row(spark):
     assert got[0.3].delta_revenue == pytest.approx(0.8 * 7 - 4)
 
 
+def all_slots(spark, params):
+    """Every coupon slot of every shopper in the test week."""
+    return spark.range(params.n_shoppers).select(
+        F.col("id").alias("shopper"),
+        F.lit(params.test_week).alias("week"),
+        F.explode(F.sequence(F.lit(0), F.lit(params.n_coupons - 1))).alias("coupon"),
+    )
+
+
 @pytest.mark.parametrize("n_products,n_coupons", [(250, 5), (5, 5), (3, 5)])
 def test_random_slots_are_distinct_and_repeatable(spark, n_products, n_coupons):
     params = Params(n_shoppers=400, n_products=n_products, n_coupons=n_coupons)
-    got = random_slots(spark, params).toPandas()
+    slots = all_slots(spark, params)
+    got = random_slots(slots, params).toPandas()
     per = min(n_products, n_coupons)
     assert len(got) == 400 * per
     assert (got.groupby("shopper")["product"].nunique() == per).all()
     assert got["product"].between(0, n_products - 1).all()
     assert set(got.discount) == set(params.discounts)
-    assert got.equals(random_slots(spark, params).toPandas())
-    other = random_slots(spark, replace(params, seed=7)).toPandas()
+    assert got.equals(random_slots(slots, params).toPandas())
+    other = random_slots(slots, replace(params, seed=7)).toPandas()
     assert not got[["product", "discount"]].equals(other[["product", "discount"]])
     if n_products == 250:
         assert got["product"].nunique() > 240
-    assert set(zero_slots(spark, params).toPandas().discount) == {0.0}
+    assert set(zero_slots(slots, params).toPandas().discount) == {0.0}
+
+
+def test_random_coupons_fill_the_given_slots_only(spark):
+    """A shopper with fewer optimal coupons gets as many random ones."""
+    params = Params(n_shoppers=3)
+    given = [(0, 90, k) for k in range(5)] + [(1, 90, 0), (1, 90, 1)]
+    slots = spark.createDataFrame(given, "shopper int, week int, coupon int")
+    got = random_slots(slots, params)
+    assert sorted((r.shopper, r.week, r.coupon) for r in got.collect()) == given
+    whole = {(r.shopper, r.coupon): (r["product"], r.discount) for r in random_slots(all_slots(spark, params), params).collect()}
+    assert {(r.shopper, r.coupon): (r["product"], r.discount) for r in got.collect()}.items() <= whole.items()
+
+
+def test_coupon_index_gives_the_slots(spark, scored):
+    _, _, test, scorer = scored
+    optimal = top_coupons(test, scorer, SMALL).cache()
+    index = spark.createDataFrame([(0, 6, 0), (0, 5, 1), (99, 6, 0)], "shopper int, week int, coupon int")
+    got = {r.policy: r.total_revenue for r in compare_policies(test, optimal, scorer, SMALL, slots=index).collect()}
+    tagged = random_slots(index.filter("week = 6 and shopper = 0"), SMALL).withColumn("policy", F.lit("random"))
+    want = policy_revenue(test, tagged, scorer).filter("policy = 'random'").first().total_revenue
+    assert got["random"] == pytest.approx(want)
 
 
 @pytest.fixture(scope="module")
@@ -131,7 +162,7 @@ def test_policy_totals_equal_the_overlay_of_all_rows(spark, scored, placement):
     optimal = top_coupons(test, scorer, SMALL).cache()
     got = {r.policy: r.total_revenue for r in compare_policies(test, optimal, scorer, SMALL, placement).collect()}
     slots = optimal.toPandas()
-    random_pd = random_slots(spark, SMALL).toPandas()
+    random_pd = random_slots(optimal, SMALL).toPandas()
     if placement == "same_products":
         random_pd = slots.drop(columns="discount").merge(random_pd[["shopper", "coupon", "discount"]])
     zero_pd = slots.assign(discount=0.0)
@@ -205,7 +236,7 @@ def test_zero_policy_equals_scenario_zero_without_substitutes(spark, scored):
     """Evaluation keeps observed substitute discounts unless told otherwise."""
     data, rows, test, _ = scored
     scorer = TreeScorer(train_rows(rows, SMALL).cache(), iterations=2, depth=3)
-    zero = zero_slots(spark, SMALL).withColumn("policy", F.lit("zero"))
+    zero = zero_slots(all_slots(spark, SMALL), SMALL).withColumn("policy", F.lit("zero"))
     totals = policy_revenue(test, zero, scorer, keep_substitutes=False).filter("policy = 'zero'")
     scenario = delta_revenue(test, scorer, SMALL).filter("discount = 0").agg(F.sum("exp_revenue"))
     assert totals.first().total_revenue == pytest.approx(scenario.first()[0])

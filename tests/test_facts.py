@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from couponloom.operators import dims
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.elasticity import weekly_elasticity
-from couponloom.operators.facts import baskets_coupons, clean, duplicate_keys, facts
+from couponloom.operators.facts import baskets_coupons, clean, duplicate_keys, facts, week_counts
 from couponloom.operators.narrow import narrow, profile
 from couponloom.operators.rates import coupon_share, customer_redemption_rate, redemption_rate
+from couponloom.operators.scoring import RateScorer, purchase_rates
 from couponloom.params import Params
 from couponloom.sources.tables import (
     COUPON_INDEX,
@@ -170,3 +171,28 @@ def test_no_full_outer_join_of_keys_that_may_be_hot(spark):
     given = inputs(spark, *random_rows(1))
     text = facts(given, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in text and "LeftAnti" in text
+
+
+def test_fractional_percents_are_not_whole_ones(spark):
+    """29.6 is not the 30 percent offer, and 12.5 has a rate of its own."""
+    baskets = [(w, s, 0, 10.0) for w in (4, 5) for s in range(3)]
+    coupons = [(4, 0, 0, 29.6), (4, 1, 0, 30.0), (5, 0, 0, 12.5), (5, 1, 0, 12.0), (5, 2, 0, 13.0)]
+    given = inputs(spark, baskets, coupons)
+    data = facts(given, SMALL)
+    rates = {r.percent for r in purchase_rates(data, SMALL).filter("product = 0").collect()}
+    assert {0.0, 12.0, 12.5, 13.0, 29.6, 30.0} == rates
+    scored = RateScorer(data, SMALL).score(
+        spark.createDataFrame([(0, 0.125), (0, 0.13)], "product int, discount double"), {"p": {}}
+    )
+    assert {r.discount: r.p for r in scored.collect()} == {0.125: 2 / 3, 0.13: 2 / 3}
+    weekly = {r.week: r for r in weekly_elasticity(given, SMALL).filter("product = 0").collect()}
+    one = weekly_elasticity(inputs(spark, baskets, [c for c in coupons if c[3] == 30.0]), SMALL)
+    assert weekly[5].elast is not None and one.filter("product = 0 and week = 5").first().elast is not None
+
+
+def test_sums_of_discounts_do_not_depend_on_their_order(spark):
+    rows = [(1, 0, 0, d, 0) for d in (0.1, 0.2, 0.3, 0.15, 0.15)]
+    frame = spark.createDataFrame(rows, "week int, shopper int, product int, discount double, purchased int")
+    for parts in (1, 3):
+        assert week_counts(frame.repartition(parts)).first().discount == 0.9
+    assert week_counts(frame.orderBy(F.desc("discount"))).first().discount == 0.9

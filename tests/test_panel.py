@@ -53,7 +53,7 @@ def test_grid_is_the_whole_product(spark):
 def test_dense_counts_need_no_panel(spark, seed, by):
     data, data_pd = frames(spark, seed)
     train = dense(data_pd, SMALL, 20).query("week < 6")
-    train["percent"] = (train.discount * 100).round().astype(int)
+    train["percent"] = (train.discount * 100).round(6)
     want = train.groupby([by, "percent"]).purchased.agg(["size", "sum"]).reset_index()
     want.columns = [by, "percent", "n_rows", "purchases"]
     got = dense_counts(data, SMALL, by, SMALL.train_weeks, 20).toPandas()
