@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.linalg import Vector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -220,7 +220,7 @@ def clip_diagonal(edges: DataFrame) -> DataFrame:
 
 
 @F.udf(returnType=VectorUDT())
-def _sparse(size: int, row: list) -> Vector:
+def _sparse(size, row):
     """One call for each member."""
     return Vectors.sparse(size, [x["member_2"] for x in row], [x["n"] for x in row])
 

@@ -25,9 +25,11 @@ def train_embeddings(
 ) -> Word2VecModel:
     """Skip-gram over basket lists; the window is the longest list.
 
-    The number of partitions is fixed, so a seed gives one model on any cluster.
+    Partitions are fixed in number and content, so the size of the cluster does not enter;
+    what is left open is the trainer's order of words that are equally frequent.
     """
-    lists = context_lists(baskets).orderBy(F.xxhash64("items"), "items").persist()
+    dealt = context_lists(baskets).repartition(partitions or PARTITIONS, F.xxhash64("items"))
+    lists = dealt.sortWithinPartitions("items").persist()
     try:
         longest = lists.agg(F.max(F.size("items"))).first()[0] or 1
         return Word2Vec(
