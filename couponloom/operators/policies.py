@@ -26,9 +26,10 @@ def random_slots(slots: DataFrame, params: Params) -> DataFrame:
     """(shopper, week, coupon, product, discount): random coupons on the given slots.
 
     slots: (shopper, week, coupon), those of the optimal coupons or of the coupon index. A
-    shopper gets as many random coupons as there are slots, on distinct products. Distinct products are drawn by the swap-in method: step j draws from 0..j and takes
-    j itself when the draw is already taken. That needs one hash per coupon instead of
-    one per shopper and product, and no shuffle.
+    shopper gets as many random coupons as there are slots, on distinct products. These
+    are drawn by the swap-in method: step j draws from 0..j and takes j itself when the
+    draw is already taken. That needs one hash per coupon instead of one per shopper and
+    product, and no shuffle.
     """
     n = F.least(F.greatest(F.lit(params.n_coupons), F.col("coupon") + 1), F.lit(params.n_products)).cast("int")
     steps = F.sequence(F.lit(params.n_products) - n, F.lit(params.n_products - 1))
