@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from couponloom.llm.text import (
-    BLOCK_BYTES,
     block_count,
     chunks,
     folder_uri,
@@ -42,6 +41,8 @@ from couponloom.llm.word_ids import word_encoder
 from couponloom.workspace import private_folder
 
 MAGIC = b"DAC1"
+#: Text of one file: its ids and levels are held by one task.
+FILE_BYTES = 8 << 20
 _HEAD = struct.Struct("<4sIQQ")
 #: Bits of a bitmap that share one entry of the rank directory.
 SUPERBLOCK = 512
@@ -138,12 +139,13 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     encoder, keys, lengths, ids = word_encoder(path), [], [], []
     for batch in batches:
         texts = text_bytes(batch.column("text"))
-        for part in chunks([len(t) for t in texts], BLOCK_BYTES // 4):
+        for part in chunks([len(t) for t in texts], FILE_BYTES):
             found, counts = encoder.encode(texts[part])
             ends = np.cumsum(counts)
             lengths.append(counts + 1)
             ids.append(np.insert(found, ends, end_id).astype(np.uint32))
         keys += batch.column("key").to_pylist()
+        pa.default_memory_pool().release_unused()
     shard = TaskContext.get().partitionId()
     counts = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     content = pack(keys, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
@@ -156,7 +158,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 
 def write_tokens(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2,
-    folder: str | None = None, file_bytes: int = BLOCK_BYTES,
+    folder: str | None = None, file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Encode all texts, write them in key order, return the written index of the files.
 
