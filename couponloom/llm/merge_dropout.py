@@ -4,43 +4,49 @@ A text is encoded as the model's own byte-pair encoder does it: spaces become U+
 put in front, and an agenda of adjacent pairs merges the best scored piece first, the
 leftmost of equals. With dropout, a candidate taken from the agenda is skipped when a keyed
 hash of (seed, variant, unit, its two ends) falls below the rate, and is not offered again.
-Rate 0 gives the model's plain encoding. A unit is what merges can never leave: spaces and
-the characters up to the next space. Its variant follows from seed, key and place of the
+Rate 0 gives the model's plain encoding. A unit is what merges can never leave: it ends where
+two characters follow each other that no piece holds together. Its variant follows from seed, text and place of the
 occurrence, so one word is segmented in up to `variants` ways, and the same seed gives the
-same ids on any cluster.
+same ids on any cluster. Distinct units of a batch are encoded once for each variant.
 
 Decoding joins the pieces: U+2581 becomes a space, byte pieces become bytes, the space put in
 front is dropped. A U+2581 of the text itself is always encoded by byte pieces, so decoding
 gives every text back exactly.
 
 Contract: null texts are encoded as empty ones and decode to empty texts; empty texts have no
-ids. Rows that repeat are encoded alike. Long texts are worked through in parts of units.
+ids. Rows that repeat are encoded alike.
 Rows keep all their columns in the struct `row`.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import zlib
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from couponloom.llm.text import appended
+from couponloom.llm.text import appended, ragged
 
 SPACE = "▁"
+_RAW = SPACE.encode()
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 #: Units remembered by a Python worker.
-MEMORY = 150_000
-_UNITS_AT_ONCE = 1 << 18
+MEMORY = 300_000
+
+
+_NEVER = float("inf")
+_SHORT = 128
+
+
+def _draw(key: int, start: int, end: int) -> int:
+    """The keyed hash of a candidate by its two ends; the key is a hash itself."""
+    return (key ^ (start << 32 | end)) * _ODD & _MASK
 
 
 class PieceModel:
@@ -57,35 +63,77 @@ class PieceModel:
         if len(self.bytes) < 256:
             raise ValueError("the model has no byte pieces")
         self.ids = {pieces[i]: i for i in usual}
-        self.scores = {pieces[i]: model.get_score(i) for i in usual}
+        #: Place of a piece on the agenda: the best score is the smallest.
+        self.ranks = {pieces[i]: -model.get_score(i) for i in usual}
         self.output = [b""] * model.vocab_size()
         for value, i in self.bytes.items():
             self.output[i] = bytes([value])
         for i in usual:
             self.output[i] = pieces[i].replace(SPACE, " ").encode()
-        # Characters that no longer piece holds can only stand alone: they end a unit too.
-        joined = {c for piece in self.ids if len(piece) > 1 for c in piece}
-        self._unit = regex.compile(
-            f"{SPACE}*[^{SPACE}\n\x00]+|{SPACE}+|[\n\x00]" if not joined & {"\n", "\x00"} else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        )
+        self.joins = self._pairs_that_join()
+
+    def _pairs_that_join(self) -> np.ndarray:
+        """For two bytes of a text, at first << 8 | second, whether any piece holds both together.
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text that merges cannot leave; U+0000 stands for a U+2581 of the text."""
-        return self._unit.findall(text)
+        A space stands for U+2581. All bytes of other characters count as one; where two
+        characters never are neighbours in a piece, no merge crosses them.
+        """
+        pairs = np.zeros((256, 256), dtype=bool)
+        pairs[0x80:, 0x80:] = True
+
+        def bytes_of(c: str) -> slice:
+            first = 0x20 if c == SPACE else ord(c)
+            return slice(first, first + 1) if first < 0x80 else slice(0x80, 256)
+
+        for piece in self.ids:
+            for one, two in zip(piece, piece[1:]):
+                pairs[bytes_of(one), bytes_of(two)] = True
+        return pairs.ravel()
 
     def encode_unit(self, unit: str, rate: float, key: int) -> list[int]:
         """Ids of a unit; `key` is the hash of seed, variant and unit."""
+        limit = int(rate * (_MASK + 1))
+        symbols = self._merge(unit, limit, key) if len(unit) <= _SHORT else self._merge_long(unit, limit, key)
+        out = []
+        for symbol in symbols:
+            i = self.ids.get(symbol)
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[b] for b in symbol.encode()]
+        return out
+
+    def _merge(self, unit: str, limit: int, key: int) -> list[str]:
+        """Symbols after the merges; the agenda has a rank for each pair of neighbours."""
+        rank, symbols, place = self.ranks.get, list(unit), list(range(len(unit) + 1))
+        agenda = [rank(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == _NEVER:
+                break
+            i = agenda.index(best)
+            if limit and _draw(key, place[i], place[i + 2]) < limit:
+                agenda[i] = _NEVER
+                continue
+            symbols[i] += symbols.pop(i + 1)
+            del place[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], _NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], _NEVER)
+        return symbols
+
+    def _merge_long(self, unit: str, limit: int, key: int) -> list[str]:
+        """The same with the agenda in a heap, for units where a scan of it would be long."""
         symbols: list[str | None] = list(unit)
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        scores, agenda, limit = self.scores, [], int(rate * (_MASK + 1))
+        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(left: int, right: int) -> None:
             if left >= 0 and right < n:
                 piece = symbols[left] + symbols[right]
-                score = scores.get(piece)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, piece))
+                if (rank := self.ranks.get(piece)) is not None:
+                    heapq.heappush(agenda, (rank, left, right, piece))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -94,27 +142,21 @@ class PieceModel:
             a, b = symbols[left], symbols[right]
             if a is None or b is None or len(a) + len(b) != len(piece) or after[left] != right:
                 continue
-            if limit:
-                h = (key ^ (left << 32 | right + len(b))) * _ODD & _MASK
-                h = (h ^ h >> 29) * _ODD & _MASK
-                if h ^ h >> 32 < limit:
-                    continue
+            if limit and _draw(key, left, right + len(b)) < limit:
+                continue
             symbols[left], symbols[right] = piece, None
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
             offer(before[left], left)
             offer(left, after[left])
-        out = []
-        for symbol in symbols:
-            if symbol is None:
-                continue
-            i = self.ids.get(symbol)
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.bytes[b] for b in (SPACE if symbol == "\x00" else symbol).encode()]
-        return out
+        return [s for s in symbols if s is not None]
+
+    def encode_bytes(self, unit: bytes, rate: float, key: int) -> list[int]:
+        """Ids of a unit of a text, where a space is a space."""
+        if unit == _RAW:
+            return [self.bytes[b] for b in unit]
+        return self.encode_unit(unit.decode().replace(" ", SPACE), rate, key)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of the ids."""
@@ -122,64 +164,98 @@ class PieceModel:
         return joined[1:] if joined[:1] == b" " else joined
 
 
+def unit_starts(content: bytes, texts: np.ndarray, joins: np.ndarray) -> np.ndarray:
+    """First bytes of the units of texts, each with a space in front, one after the other."""
+    buffer = np.frombuffer(content, np.uint8)
+    start = np.ones(len(buffer), dtype=bool)
+    np.logical_not(joins[buffer[:-1].astype(np.uint16) << np.uint16(8) | buffer[1:]], out=start[1:])
+    start[texts] = True
+    if _RAW in content:
+        raw = np.flatnonzero((buffer[:-2] == _RAW[0]) & (buffer[1:-1] == _RAW[1]) & (buffer[2:] == _RAW[2]))
+        start[raw] = True
+        start[raw[raw + 3 < len(buffer)] + 3] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Encodes texts, remembering the ids of units and variants."""
+    """Encodes texts, remembering the ids of units in the variants that were asked for."""
 
     def __init__(self, path: str, rate: float, seed: int, variants: int, memory: int = MEMORY):
         self.model, self.rate, self.variants = PieceModel(path), rate, variants if rate else 1
-        self._seed = seed
-        self._memory = memory
-        self._known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _ids(self, unit: str, variant: int) -> bytes:
-        key = xxhash.xxh3_64_intdigest(unit.encode(), (self._seed << 8 ^ variant) & _MASK)
-        return np.array(self.model.encode_unit(unit, self.rate, key), dtype="<u2").tobytes()
-
-    def encode(self, text: str, key: bytes) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers; key tells equal texts of documents apart."""
-        if not text:
-            return b""
-        # A NUL of the text cannot be told from a marked U+2581: such texts go by characters.
-        if "\x00" in text or SPACE in text:
-            return self._encode_marked(text, key)
-        return self._encode(SPACE + text.replace(" ", SPACE), key)
-
-    def _encode_marked(self, text: str, key: bytes) -> bytes:
-        out, first = [], True
-        for part in regex.split(f"([\x00{SPACE}])", text):
-            if part in ("\x00", SPACE):
-                head = [self.model.ids[SPACE]] if first else []
-                out.append(np.array(head + [self.model.bytes[b] for b in part.encode()], dtype="<u2").tobytes())
-            elif part:
-                out.append(self._encode((SPACE if first else "") + part.replace(" ", SPACE), key))
-            first = first and not part
-        return b"".join(out)
-
-    def _encode(self, text: str, key: bytes) -> bytes:
-        units = iter(self.model.units(text))
-        state = xxhash.xxh3_64_intdigest(key, self._seed & _MASK)
-        out = []
-        while part := list(islice(units, _UNITS_AT_ONCE)):
-            if self.variants == 1:
-                known = self._known[0]
-                for unit in part:
-                    ids = known.get(unit)
-                    out.append(self._add(unit, 0) if ids is None else ids)
-            else:
-                state = (state * _ODD + 1) & _MASK
-                choice = np.random.Generator(np.random.Philox(key=state)).integers(0, self.variants, len(part), np.uint8)
-                tables = self._known
-                for unit, variant in zip(part, choice.tolist(), strict=True):
-                    ids = tables[variant].get(unit)
-                    out.append(self._add(unit, variant) if ids is None else ids)
-        return b"".join(out)
-
-    def _add(self, unit: str, variant: int) -> bytes:
-        known = self._known[variant]
-        if len(known) * self.variants > self._memory:
-            known.clear()
-        ids = known[unit] = self._ids(unit, variant)
-        return ids
+        self._seed, self._memory = seed, memory
+        self._forget()
+
+    def _forget(self) -> None:
+        self._codes: dict[bytes, int] = {}
+        #: Place of each unit's variants among the learned ones, -1 where it was not asked for.
+        self._learned = np.zeros((0, self.variants), dtype=np.int64)
+        self._ids = np.zeros(0, dtype=np.uint16)
+        self._starts, self._lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _learn(self, units: list[bytes], variants: list[int]) -> np.ndarray:
+        """Places of newly encoded units."""
+        found = []
+        for unit, variant in zip(units, variants, strict=True):
+            key = xxhash.xxh3_64_intdigest(unit, (self._seed << 8 ^ variant) & _MASK)
+            found.append(self.model.encode_bytes(unit, self.rate, key))
+        first, lengths = len(self._starts), np.array([len(ids) for ids in found], dtype=np.int64)
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
+        self._lengths = np.concatenate([self._lengths, lengths])
+        self._ids = np.concatenate([self._ids, np.array([i for ids in found for i in ids], dtype=np.uint16)])
+        return first + np.arange(len(found))
+
+    def _known(self, names: list[bytes]) -> np.ndarray:
+        """Codes of the units; new ones get the next codes."""
+        if len(self._codes) + len(names) > self._memory:
+            new = sum(1 for name in names if name not in self._codes)
+            if len(self._codes) + new > self._memory:
+                self._forget()
+        codes = np.fromiter((self._codes.setdefault(n, len(self._codes)) for n in names), np.int64, len(names))
+        added = len(self._codes) - len(self._learned)
+        self._learned = np.concatenate([self._learned, np.full((added, self.variants), -1)])
+        return codes
+
+    def _variants(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Variant of each unit, from seed, text and place in the text."""
+        state = np.array([xxhash.xxh3_64_intdigest(t, self._seed & _MASK) for t in texts], dtype=np.uint64)
+        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        x = np.repeat(state, counts) + place.astype(np.uint64) * np.uint64(_ODD)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x >> np.uint64(40)) % np.uint64(self.variants)).astype(np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit integers."""
+        full = [t for t in texts if t]
+        if not full:
+            return [b""] * len(texts)
+        content = b" " + b" ".join(full)
+        sizes = np.array([len(t) + 1 for t in full], dtype=np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        starts = unit_starts(content, firsts, self.model.joins)
+        counts = np.diff(np.append(np.searchsorted(starts, firsts), len(starts)))
+        offsets = np.append(starts, len(content)).astype(np.int64)
+        units = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(content)]
+        ).dictionary_encode()
+        names = units.dictionary.to_pylist()
+        asked = units.indices.to_numpy(zero_copy_only=False).astype(np.int64) * self.variants
+        asked += self._variants(full, counts) if self.variants > 1 else 0
+        used = np.zeros(len(names) * self.variants, dtype=bool)
+        used[asked] = True
+        used = np.flatnonzero(used)
+        code = self._known(names)[used // self.variants]
+        variant = used % self.variants
+        new = np.flatnonzero(self._learned[code, variant] < 0)
+        units = [names[k] for k in (used[new] // self.variants).tolist()]
+        self._learned[code[new], variant[new]] = self._learn(units, variant[new].tolist())
+        place = np.zeros(len(names) * self.variants, dtype=np.int64)
+        place[used] = self._learned[code, variant]
+        own = place[asked]
+        lengths = self._lengths[own]
+        ids = self._ids[ragged(self._starts[own], lengths)].astype("<u2").tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)] * 2
+        done = iter([ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+        return [next(done) if t else b"" for t in texts]
 
 
 @cache
@@ -193,7 +269,7 @@ def _model(path: str) -> PieceModel:
 
 
 def encode(
-    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int = 4
+    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int = 2
 ) -> DataFrame:
     """Each row of docs with `ids`: u16 little-endian piece ids of its whole text."""
 
@@ -201,7 +277,7 @@ def encode(
         encoder = _encoder(model, rate, seed, variants)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            return [pa.array([encoder.encode(t.decode(), hashlib.sha1(t).digest()) for t in texts], pa.binary())]
+            return [pa.array(encoder.encode(texts), pa.binary())]
 
         return compute
 
@@ -220,30 +296,18 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             decoded = pa.array(found, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
-
-
-def _digest(batches):
-    for batch in batches:
-        ids = [x or b"" for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"),
-            pa.array([len(x) // 2 for x in ids], pa.int64()),
-            pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64()),
-            batch.column("decoded_sha256"), batch.column("lossless"),
-        ], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "lossless"])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digest(coded: DataFrame, model: str) -> DataFrame:
-    """Ids counted and summed up, decoded, and the decoded text held against the text."""
+    """Ids counted and summed up as they are stored, decoded, and the text they give held against the text."""
     source = F.coalesce(F.col("row.text"), F.lit(""))
-    return (
-        decode(coded, model)
-        .select(
-            F.col("row.doc_id").cast("long").alias("doc_id"), "ids",
-            F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == source).alias("lossless"),
-        )
-        .mapInArrow(_digest, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return decode(coded, model).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        (F.octet_length("ids") / 2).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == source).alias("lossless"),
     )
 
 

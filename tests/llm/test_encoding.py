@@ -1,6 +1,5 @@
 """Merge-dropout encoding and token files."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -69,26 +68,32 @@ def test_plain_encoding_is_the_models_own():
     model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     plain = Encoder(piece_model(), 0.0, 1, 4)
     for t in [t for t in strange(300) if SPACE not in t and "\x00" not in t] + [t or "" for _, t in ODD[:6]]:
-        assert np.frombuffer(plain.encode(t, b""), "<u2").tolist() == model.encode(t)
+        assert np.frombuffer(plain.encode([t.encode()])[0], "<u2").tolist() == model.encode(t)
 
 
 def test_dropout_is_seeded_varied_and_lossless():
     model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     a, same, other = (Encoder(piece_model(), 0.3, seed, 4, memory=50) for seed in (1, 1, 2))
-    differ = 0
-    for n, t in enumerate([*strange(300), "therefore " * 50]):
-        ids = a.encode(t, str(n).encode())
-        assert ids == same.encode(t, str(n).encode())
-        differ += ids != other.encode(t, str(n).encode())
-        assert a.model.decode(np.frombuffer(ids, "<u2")) == t.encode()
-        assert model.decode(np.frombuffer(ids, "<u2").tolist()) == t
-    assert differ > 100
-    ways = a.encode("therefore " * 50, b"x")
+    texts = [t.encode() for t in [*strange(300), "therefore " * 50]]
+    ids = a.encode(texts)
+    assert ids == [same.encode([t])[0] for t in texts]
+    assert sum(x != y for x, y in zip(ids, other.encode(texts))) > 100
+    for t, found in zip(texts, ids):
+        assert a.model.decode(np.frombuffer(found, "<u2")) == t
+        assert model.decode(np.frombuffer(found, "<u2").tolist()) == t.decode()
+    ways = a.encode([b"therefore " * 50])[0]
     assert len(set(np.frombuffer(ways, "<u2").tolist())) > 3
-    every = np.frombuffer(Encoder(piece_model(), 1.0, 1, 1).encode("therefore", b""), "<u2")
+    every = np.frombuffer(Encoder(piece_model(), 1.0, 1, 1).encode([b"therefore"])[0], "<u2")
     assert len(every) == len("therefore") + 1
 
 
+def test_both_agendas_merge_alike(monkeypatch):
+    model, texts = Encoder(piece_model(), 0.2, 1, 1).model, [t.replace(" ", SPACE) for t in strange(300, 5)]
+    short = [model.encode_unit(t, rate, k) for k, t in enumerate(texts) for rate in (0.0, 0.3)]
+    monkeypatch.setattr("couponloom.llm.merge_dropout._SHORT", 0)
+    assert short == [model.encode_unit(t, rate, k) for k, t in enumerate(texts) for rate in (0.0, 0.3)]
+
+
 def test_encode_and_decode_rows(odd, none):
     model = piece_model()
     coded = decode(encode(odd, model), model)
@@ -96,8 +101,6 @@ def test_encode_and_decode_rows(odd, none):
     assert coded.count() == len(ODD) and coded.select("row.*").columns == odd.columns
     same = by_id(encode(odd.repartition(5), model).select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h")), "d", "h")
     assert same == by_id(coded.select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h")), "d", "h")
-    direct = Encoder(model, 0.1, 1, 4)
-    t = ODD[0][1]
-    want = direct.encode(t, hashlib.sha1(t.encode()).digest()).hex().upper()
+    want = Encoder(model, 0.1, 1, 2).encode([ODD[0][1].encode()])[0].hex().upper()
     assert (1, want) in same
     assert encode(none, model).count() == 0
