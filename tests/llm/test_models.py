@@ -49,6 +49,17 @@ def test_probabilities_of_all_ids_sum_to_one():
         assert sum(10 ** (w - before) for w in whole) == pytest.approx(1.0, rel=1e-4)
 
 
+def test_ids_never_seen_share_what_is_left():
+    classes = np.array([0, 0, 0, 1, 2, 2])
+    counts = np.array([3, 4, 5, 3]), np.array([4, 5, 3, 5]), np.array([5, 2, 1, 1])
+    corpus = attention.corpus_tables(classes, 3, (classes[counts[0]], *counts[1:]), (counts[0], classes[counts[1]], counts[2]), counts)
+    score = attention.Scorer(corpus, weights(3))
+    whole = score(np.array([x for i in range(6) for x in (4, 0, i)]), np.full(6, 3))
+    before = score(np.array([4, 0]), np.array([2]))[0]
+    assert sum(10 ** (w - before) for w in whole) == pytest.approx(1.0, rel=1e-4)
+    assert whole[0] == whole[1] == whole[2] and len(corpus.prior) == 4
+
+
 def test_scores_do_not_depend_on_the_batch_and_each_id_counts_once():
     corpus, rng = small_corpus(), np.random.default_rng(3)
     score = attention.Scorer(corpus, weights())
@@ -64,7 +75,7 @@ def test_scores_do_not_depend_on_the_batch_and_each_id_counts_once():
 def test_gradient_is_the_slope():
     corpus, w = small_corpus(), {k: v.astype(np.float64) for k, v in weights().items()}
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 12, (3, CONTEXT + SCORED))
+    ids = corpus.place[rng.integers(0, 12, (3, CONTEXT + SCORED))]
     target = rng.integers(0, 4, (3, SCORED))
     before = np.where(np.arange(CONTEXT + SCORED) < np.array([[0], [3], [8]]), -1e9, 0.0)
     valid = np.ones((3, SCORED))
@@ -87,7 +98,8 @@ def test_gradient_is_the_slope():
 def test_training_lowers_the_loss():
     corpus, rng = small_corpus(), np.random.default_rng(6)
     ids = np.cumsum(rng.integers(0, 2, (300, CONTEXT + SCORED)), axis=1) % 12
-    target = corpus.classes[(ids[:, CONTEXT:] + 1) % 12]
+    target = corpus.classes[corpus.place[(ids[:, CONTEXT:] + 1) % 12]]
+    ids = corpus.place[ids]
     windows = corpus.classes[ids], ids, np.zeros(ids.shape, np.float32), target, np.ones(target.shape, np.float32)
     start = attention.initial(4, 0)
     end = start
