@@ -36,8 +36,8 @@ SPACE = "▁"
 _RAW = SPACE.encode()
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
-#: Units remembered by a Python worker.
-MEMORY = 300_000
+#: Units remembered by a task.
+MEMORY = 250_000
 
 
 _NEVER = float("inf")
@@ -181,7 +181,7 @@ class Encoder:
     """Encodes texts, remembering the ids of units in the variants that were asked for."""
 
     def __init__(self, path: str, rate: float, seed: int, variants: int, memory: int = MEMORY):
-        self.model, self.rate, self.variants = PieceModel(path), rate, variants if rate else 1
+        self.model, self.rate, self.variants = _model(path), rate, variants if rate else 1
         self._seed, self._memory = seed, memory
         self._forget()
 
@@ -258,11 +258,6 @@ class Encoder:
         return [next(done) if t else b"" for t in texts]
 
 
-@cache
-def _encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
-    return Encoder(path, rate, seed, variants)
-
-
 @cache
 def _model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -274,7 +269,8 @@ def encode(
     """Each row of docs with `ids`: u16 little-endian piece ids of its whole text."""
 
     def make():
-        encoder = _encoder(model, rate, seed, variants)
+        # One for each task: what it remembers goes with the task.
+        encoder = Encoder(model, rate, seed, variants)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             return [pa.array(encoder.encode(texts), pa.binary())]
