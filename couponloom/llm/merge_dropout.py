@@ -3,11 +3,12 @@
 A text is encoded as the model's own byte-pair encoder does it: spaces become U+2581, one is
 put in front, and an agenda of adjacent pairs merges the best scored piece first, the
 leftmost of equals. With dropout, a candidate taken from the agenda is skipped when a keyed
-hash of (seed, variant, unit, its two ends) falls below the rate, and is not offered again.
-Rate 0 gives the model's plain encoding. A unit is what merges can never leave: it ends where
-two characters follow each other that no piece holds together. Its variant follows from seed, text and place of the
-occurrence, so one word is segmented in up to `variants` ways, and the same seed gives the
-same ids on any cluster. Distinct units of a batch are encoded once for each variant.
+hash of (seed, text, place of the unit, its two ends) falls below the rate, and is not offered
+again. Rate 0 gives the model's plain encoding. A unit is what merges can never leave: it ends
+where two characters follow each other that no piece holds together. Every occurrence draws
+for itself, so a word is segmented in as many ways as its candidates allow, and the same seed
+gives the same ids on any cluster. What follows from the same skipped candidates of a unit is
+merged once and remembered; draws and merges of many units are made at once in numpy.
 
 Decoding joins the pieces: U+2581 becomes a space, byte pieces become bytes, the space put in
 front is dropped. A U+2581 of the text itself is always encoded by byte pieces, so decoding
@@ -21,6 +22,7 @@ Rows keep all their columns in the struct `row`.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -36,17 +38,41 @@ SPACE = "▁"
 _RAW = SPACE.encode()
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
-#: Units remembered by a task.
+_MIX = 0xBF58476D1CE4E5B9
+#: Outcomes of units remembered by a task.
 MEMORY = 250_000
 
 
 _NEVER = float("inf")
 _SHORT = 128
+#: Bytes from which a unit is merged anew for each occurrence: its outcomes hardly repeat.
+_LONG = 32
+#: Occurrences whose draws are made at once.
+_AT_ONCE = 1 << 16
 
 
-def _draw(key: int, start: int, end: int) -> int:
-    """The keyed hash of a candidate by its two ends; the key is a hash itself."""
-    return (key ^ (start << 32 | end)) * _ODD & _MASK
+def _mark(start: int, end: int) -> int:
+    """A candidate by its two ends."""
+    return start << 32 | end
+
+
+def _draw(key: int, mark: int) -> int:
+    """The keyed hash of a candidate; the key is a hash itself."""
+    x = (key ^ mark) * _ODD & _MASK
+    return (x ^ x >> 32) * _MIX & _MASK
+
+
+def _draws(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The same for many."""
+    x = (keys ^ marks) * np.uint64(_ODD)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_MIX)
+    return x
+
+
+def _limit(rate: float) -> int:
+    """Candidates whose hash is below it are skipped."""
+    return int(rate * (_MASK + 1))
 
 
 class PieceModel:
@@ -71,6 +97,7 @@ class PieceModel:
         for i in usual:
             self.output[i] = pieces[i].replace(SPACE, " ").encode()
         self.joins = self._pairs_that_join()
+        self._tables()
 
     def _pairs_that_join(self) -> np.ndarray:
         """For two bytes of a text, at first << 8 | second, whether any piece holds both together.
@@ -90,10 +117,96 @@ class PieceModel:
                 pairs[bytes_of(one), bytes_of(two)] = True
         return pairs.ravel()
 
+    def _tables(self) -> None:
+        """Merges of two symbols in arrays; a symbol is a piece's id, or vocabulary + byte for one that is no piece."""
+        size = len(self.output)
+        number = {chr(b): size + b for b in range(128)} | self.ids
+        #: Symbol of each character of a text; -1 for those whose bytes are no single piece.
+        self._first = np.full(0x110000, -1, dtype=np.int64)
+        for c, i in number.items():
+            if len(c) == 1:
+                self._first[ord(c)] = i
+        self._first[[0x20, ord(SPACE)]] = self.ids.get(SPACE, -1), -1
+        self._single = frozenset(map(chr, np.flatnonzero(self._first >= 0).tolist()))
+        merges = sorted(
+            (number[p[:k]] << 32 | number[p[k:]], i)
+            for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number
+        )
+        self._pairs = np.array([pair for pair, _ in merges] + [1 << 62], dtype=np.int64)
+        self._merged = np.array([i for _, i in merges] + [0], dtype=np.int64)
+        self._ranks = np.full(size, _NEVER)
+        self._ranks[list(self.ids.values())] = [self.ranks[p] for p in self.ids]
+        self._stored = np.concatenate([np.arange(size), [self.bytes[b] for b in range(128)]])
+
+    def _offered(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and number of the pieces that two symbols give; -1 is no symbol."""
+        pair = left << 32 | right
+        place = np.searchsorted(self._pairs, pair)
+        merged = self._merged[place]
+        return np.where((self._pairs[place] == pair) & (left >= 0) & (right >= 0), self._ranks[merged], _NEVER), merged
+
+    def together(self, unit: bytes) -> bool:
+        """Whether `outcomes` takes the unit."""
+        return len(unit) < _LONG and (unit.isascii() and SPACE in self.ids or self._single.issuperset(unit.decode()))
+
+    def outcomes(self, origin: list[tuple[bytes, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
+        """`outcome` of many units that it takes: ids, how many each has, candidates, how many each has."""
+        units = [unit.decode() for unit, _ in origin]
+        lengths = np.array([len(unit) for unit in units])
+        n, width = len(units), int(lengths.max())
+        joined = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+        at = np.arange(width + 2)
+        symbols = np.full((n, width + 2), -1, dtype=np.int64)
+        symbols[at[None] < lengths[:, None]] = self._first[joined]
+        after = np.minimum(at[None] + 1, lengths[:, None])
+        before = np.repeat(at[None] - 1, n, axis=0)
+        n_skipped = np.array([len(s) for _, s in origin])
+        skips = np.full((n, max(1, int(n_skipped.max()))), -1, dtype=np.int64)
+        skips[np.arange(skips.shape[1])[None] < n_skipped[:, None]] = [m for _, s in origin for m in s]
+        ranks, merged = np.full(symbols.shape, _NEVER), np.zeros(symbols.shape, dtype=np.int64)
+        ranks[:, :-1], merged[:, :-1] = self._offered(symbols[:, :-1], symbols[:, 1:])
+        passed, own, taken = np.zeros(n, dtype=np.int64), np.arange(n), []
+        while len(own):
+            i = ranks[own].argmin(axis=1)
+            going = ranks[own, i] < _NEVER
+            own, i = own[going], i[going]
+            j = after[own, i]
+            end = after[own, j]
+            mark = i << 32 | end
+            skip = (skips[own] == mark[:, None]).any(axis=1)
+            open_ = ~skip & (passed[own] == n_skipped[own])
+            taken.append((own[open_], mark[open_]))
+            passed[own] += skip
+            ranks[own[skip], i[skip]] = _NEVER
+            u, i, j, end = own[~skip], i[~skip], j[~skip], end[~skip]
+            symbols[u, i] = merged[u, i]
+            symbols[u, j], ranks[u, j] = -1, _NEVER
+            after[u, i], before[u, end] = end, i
+            ranks[u, i], merged[u, i] = self._offered(symbols[u, i], symbols[u, end])
+            ahead = i > 0
+            u, i = u[ahead], i[ahead]
+            b = before[u, i]
+            ranks[u, b], merged[u, b] = self._offered(symbols[u, b], symbols[u, i])
+        whose, marks = (np.concatenate(x) for x in zip(*taken, strict=True)) if taken else (own, own)
+        kept = symbols >= 0
+        return (self._stored[symbols[kept]], kept.sum(axis=1), marks[np.argsort(whose, kind="stable")],
+                np.bincount(whose, minlength=n))
+
     def encode_unit(self, unit: str, rate: float, key: int) -> list[int]:
-        """Ids of a unit; `key` is the hash of seed, variant and unit."""
-        limit = int(rate * (_MASK + 1))
-        symbols = self._merge(unit, limit, key) if len(unit) <= _SHORT else self._merge_long(unit, limit, key)
+        """Ids of a unit; `key` is the hash of seed, text and place."""
+        limit = _limit(rate)
+        if len(unit) > _SHORT:
+            return self._ids_of(self._merge_long(unit, limit, key))
+        return self._ids_of(self._merge(unit, (lambda mark: _draw(key, mark) < limit) if limit else None)[0])
+
+    def outcome(self, unit: bytes, skipped: tuple[int, ...]) -> tuple[list[int], list[int]]:
+        """Ids of a unit of which these candidates are skipped, and those taken after the last of them."""
+        if unit == _RAW:
+            return self.encode_bytes(unit, 0.0, 0), []
+        symbols, taken = self._merge(unit.decode().replace(" ", SPACE), skipped.__contains__ if skipped else None)
+        return self._ids_of(symbols), taken[taken.index(skipped[-1]) + 1 :] if skipped else taken
+
+    def _ids_of(self, symbols: list[str]) -> list[int]:
         out = []
         for symbol in symbols:
             i = self.ids.get(symbol)
@@ -103,16 +216,17 @@ class PieceModel:
                 out += [self.bytes[b] for b in symbol.encode()]
         return out
 
-    def _merge(self, unit: str, limit: int, key: int) -> list[str]:
-        """Symbols after the merges; the agenda has a rank for each pair of neighbours."""
-        rank, symbols, place = self.ranks.get, list(unit), list(range(len(unit) + 1))
+    def _merge(self, unit: str, skips: Callable[[int], bool] | None) -> tuple[list[str], list[int]]:
+        """Symbols after the merges and the candidates taken; the agenda has a rank for each pair of neighbours."""
+        rank, symbols, place, taken = self.ranks.get, list(unit), list(range(len(unit) + 1)), []
         agenda = [rank(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
         while agenda:
             best = min(agenda)
             if best == _NEVER:
                 break
             i = agenda.index(best)
-            if limit and _draw(key, place[i], place[i + 2]) < limit:
+            taken.append(_mark(place[i], place[i + 2]))
+            if skips and skips(taken[-1]):
                 agenda[i] = _NEVER
                 continue
             symbols[i] += symbols.pop(i + 1)
@@ -121,7 +235,7 @@ class PieceModel:
                 agenda[i - 1] = rank(symbols[i - 1] + symbols[i], _NEVER)
             if i < len(agenda):
                 agenda[i] = rank(symbols[i] + symbols[i + 1], _NEVER)
-        return symbols
+        return symbols, taken
 
     def _merge_long(self, unit: str, limit: int, key: int) -> list[str]:
         """The same with the agenda in a heap, for units where a scan of it would be long."""
@@ -142,7 +256,7 @@ class PieceModel:
             a, b = symbols[left], symbols[right]
             if a is None or b is None or len(a) + len(b) != len(piece) or after[left] != right:
                 continue
-            if limit and _draw(key, left, right + len(b)) < limit:
+            if limit and _draw(key, _mark(left, right + len(b))) < limit:
                 continue
             symbols[left], symbols[right] = piece, None
             after[left] = after[right]
@@ -178,50 +292,106 @@ def unit_starts(content: bytes, texts: np.ndarray, joins: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of units in the variants that were asked for."""
+    """Encodes texts, remembering the outcomes of units.
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int, memory: int = MEMORY):
-        self.model, self.rate, self.variants = _model(path), rate, variants if rate else 1
-        self._seed, self._memory = seed, memory
+    The outcomes of a unit are a tree: its root is the plain encoding, a child is what follows
+    when one candidate of its parent is skipped and none before it. An occurrence goes down
+    by its own draws until it skips nothing more. `variants` limits nothing; it was the number
+    of outcomes a unit could have.
+    """
+
+    def __init__(self, path: str, rate: float, seed: int, variants: int | None = None, memory: int = MEMORY):
+        self.model, self.rate = _model(path), rate
+        self._limit, self._seed, self._memory = _limit(rate), seed, memory
         self._forget()
 
     def _forget(self) -> None:
-        self._codes: dict[bytes, int] = {}
-        #: Place of each unit's variants among the learned ones, -1 where it was not asked for.
-        self._learned = np.zeros((0, self.variants), dtype=np.int64)
+        self._roots: dict[bytes, int] = {}
+        #: Of each outcome: its unit and skipped candidates, its ids, the candidates it can still skip.
+        self._from: list[tuple[bytes, tuple[int, ...]]] = []
         self._ids = np.zeros(0, dtype=np.uint16)
         self._starts, self._lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._marks, self._children = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self._firsts, self._counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, units: list[bytes], variants: list[int]) -> np.ndarray:
-        """Places of newly encoded units."""
-        found = []
-        for unit, variant in zip(units, variants, strict=True):
-            key = xxhash.xxh3_64_intdigest(unit, (self._seed << 8 ^ variant) & _MASK)
-            found.append(self.model.encode_bytes(unit, self.rate, key))
-        first, lengths = len(self._starts), np.array([len(ids) for ids in found], dtype=np.int64)
+    def _add(self, origin: list, ids: np.ndarray, lengths: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new outcomes."""
+        number = len(self._from) + np.arange(len(origin))
+        self._from += origin
         self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
         self._lengths = np.concatenate([self._lengths, lengths])
-        self._ids = np.concatenate([self._ids, np.array([i for ids in found for i in ids], dtype=np.uint16)])
-        return first + np.arange(len(found))
-
-    def _known(self, names: list[bytes]) -> np.ndarray:
-        """Codes of the units; new ones get the next codes."""
-        if len(self._codes) + len(names) > self._memory:
-            new = sum(1 for name in names if name not in self._codes)
-            if len(self._codes) + new > self._memory:
-                self._forget()
-        codes = np.fromiter((self._codes.setdefault(n, len(self._codes)) for n in names), np.int64, len(names))
-        added = len(self._codes) - len(self._learned)
-        self._learned = np.concatenate([self._learned, np.full((added, self.variants), -1)])
-        return codes
-
-    def _variants(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Variant of each unit, from seed, text and place in the text."""
+        self._ids = np.concatenate([self._ids, ids.astype(np.uint16)])
+        self._firsts = np.concatenate([self._firsts, len(self._marks) + np.cumsum(counts) - counts])
+        self._counts = np.concatenate([self._counts, counts])
+        self._marks = np.concatenate([self._marks, marks.astype(np.uint64)])
+        self._children = np.concatenate([self._children, np.full(len(marks), -1)])
+        return number
+
+    def _add_each(self, origin: list, found: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        """The same for ids and candidates one by one."""
+        return self._add(
+            origin, np.array([i for ids, _ in found for i in ids], dtype=np.int64),
+            np.array([len(ids) for ids, _ in found], dtype=np.int64),
+            np.array([m for _, marks in found for m in marks], dtype=np.int64),
+            np.array([len(marks) for _, marks in found], dtype=np.int64),
+        )
+
+    def _learn(self, origin: list[tuple[bytes, tuple[int, ...]]]) -> np.ndarray:
+        """Numbers of new outcomes of units and skipped candidates."""
+        number = np.empty(len(origin), dtype=np.int64)
+        together = np.fromiter((self.model.together(unit) for unit, _ in origin), bool, len(origin))
+        places = np.flatnonzero(together)
+        for at in range(0, len(places), _AT_ONCE):
+            part = places[at : at + _AT_ONCE]
+            own = [origin[k] for k in part.tolist()]
+            number[part] = self._add(own, *self.model.outcomes(own))
+        others = np.flatnonzero(~together)
+        own = [origin[k] for k in others.tolist()]
+        number[others] = self._add_each(own, [self.model.outcome(*x) if self._shared(x[0]) else ([], []) for x in own])
+        return number
+
+    def _plain(self, names: list[bytes]) -> np.ndarray:
+        """Roots of the units."""
+        if len(self._from) > self._memory:
+            self._forget()
+        new = [name for name in names if name not in self._roots]
+        self._roots.update(zip(new, self._learn([(name, ()) for name in new]).tolist(), strict=True))
+        return np.fromiter(map(self._roots.__getitem__, names), np.int64, len(names))
+
+    def _shared(self, unit: bytes) -> bool:
+        return not self._limit or len(unit) < _LONG
+
+    def _keys(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Key of each unit, from seed, text and place in the text."""
         state = np.array([xxhash.xxh3_64_intdigest(t, self._seed & _MASK) for t in texts], dtype=np.uint64)
         place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         x = np.repeat(state, counts) + place.astype(np.uint64) * np.uint64(_ODD)
-        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x >> np.uint64(40)) % np.uint64(self.variants)).astype(np.int64)
+        return (x ^ x >> np.uint64(29)) * np.uint64(_MIX)
+
+    def _skip(self, nodes: np.ndarray, keys: np.ndarray) -> None:
+        """Put the outcomes that the keys draw in place of the roots."""
+        asked = np.arange(len(nodes))
+        while len(asked):
+            own = nodes[asked]
+            counts = self._counts[own]
+            place, asker = ragged(self._firsts[own], counts), np.repeat(asked, counts)
+            skipped = np.ones(len(place), dtype=bool)
+            if self._limit <= _MASK:
+                skipped = _draws(keys[asker], self._marks[place]) < np.uint64(self._limit)
+            place, asker = place[skipped], asker[skipped]
+            first = np.ones(len(asker), dtype=bool)
+            first[1:] = asker[1:] != asker[:-1]
+            place, asked = place[first], asker[first]
+            new = np.unique(place[self._children[place] < 0])
+            if len(new):
+                parents = (np.searchsorted(self._firsts, new, side="right") - 1).tolist()
+                origin = [
+                    (self._from[parent][0], (*self._from[parent][1], mark))
+                    for parent, mark in zip(parents, self._marks[new].tolist(), strict=True)
+                ]
+                found = self._learn(origin)
+                self._children[new] = found
+            nodes[asked] = self._children[place]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
@@ -238,19 +408,19 @@ class Encoder:
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(content)]
         ).dictionary_encode()
         names = units.dictionary.to_pylist()
-        asked = units.indices.to_numpy(zero_copy_only=False).astype(np.int64) * self.variants
-        asked += self._variants(full, counts) if self.variants > 1 else 0
-        used = np.zeros(len(names) * self.variants, dtype=bool)
-        used[asked] = True
-        used = np.flatnonzero(used)
-        code = self._known(names)[used // self.variants]
-        variant = used % self.variants
-        new = np.flatnonzero(self._learned[code, variant] < 0)
-        units = [names[k] for k in (used[new] // self.variants).tolist()]
-        self._learned[code[new], variant[new]] = self._learn(units, variant[new].tolist())
-        place = np.zeros(len(names) * self.variants, dtype=np.int64)
-        place[used] = self._learned[code, variant]
-        own = place[asked]
+        unit = units.indices.to_numpy(zero_copy_only=False)
+        own = self._plain(names)[unit]
+        if self._limit:
+            keys = self._keys(full, counts)
+            for at in range(0, len(own), _AT_ONCE):
+                self._skip(own[at : at + _AT_ONCE], keys[at : at + _AT_ONCE])
+            alone = np.flatnonzero(~np.fromiter(map(self._shared, names), bool, len(names))[unit])
+            origin = [(names[k], ()) for k in unit[alone].tolist()]
+            found = [
+                (self.model.encode_bytes(name, self.rate, key), [])
+                for (name, _), key in zip(origin, keys[alone].tolist(), strict=True)
+            ]
+            own[alone] = self._add_each(origin, found)
         lengths = self._lengths[own]
         ids = self._ids[ragged(self._starts[own], lengths)].astype("<u2").tobytes()
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)] * 2
@@ -264,7 +434,7 @@ def _model(path: str) -> PieceModel:
 
 
 def encode(
-    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int = 2
+    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int | None = None
 ) -> DataFrame:
     """Each row of docs with `ids`: u16 little-endian piece ids of its whole text."""
 

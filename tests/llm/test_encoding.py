@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from couponloom.llm.merge_dropout import SPACE, Encoder, decode, encode, piece_model
+from couponloom.llm.merge_dropout import SPACE, Encoder, decode, encode, piece_model, unit_starts
 from couponloom.llm.token_files import TokenFile, pack, read_tokens, write_tokens
 from couponloom.llm.word_ids import WordEncoder
 from tests.llm.conftest import ODD, by_id
@@ -87,6 +87,32 @@ def test_dropout_is_seeded_varied_and_lossless():
     assert len(every) == len("therefore") + 1
 
 
+def test_every_occurrence_draws_for_itself():
+    encoder, n = Encoder(piece_model(), 0.1, 1), 3000
+    output = encoder.model.output
+    ids = np.frombuffer(encoder.encode([b" ".join([b"international"] * n)])[0], "<u2").tolist()
+    ways, now = [], []
+    for piece in (output[i] for i in ids):
+        if piece.startswith(b" "):
+            ways.append(tuple(now))
+            now = []
+        now.append(piece)
+    ways = [*ways[1:], tuple(now)]
+    assert len(ways) == n and set(map(b"".join, ways)) == {b" international"}
+    assert len(set(ways)) > 30 and 0.4 < ways.count((b" international",)) / n < 0.9
+
+
+def test_outcomes_are_those_of_the_agenda():
+    for rate in (0.1, 0.5):
+        encoder = Encoder(piece_model(), rate, 3, memory=200)
+        for t in [t.encode() for t in [*strange(200, 8), "therefore " * 9, "가" * 60 + "é" * 200] if t]:
+            starts = unit_starts(b" " + t, np.array([0]), encoder.model.joins).tolist()
+            units = [(b" " + t)[a:b] for a, b in zip(starts, [*starts[1:], len(t) + 1])]
+            keys = encoder._keys([t], np.array([len(units)])).tolist()
+            want = [i for unit, key in zip(units, keys) for i in encoder.model.encode_bytes(unit, rate, key)]
+            assert np.frombuffer(encoder.encode([t])[0], "<u2").tolist() == want
+
+
 def test_both_agendas_merge_alike(monkeypatch):
     model, texts = Encoder(piece_model(), 0.2, 1, 1).model, [t.replace(" ", SPACE) for t in strange(300, 5)]
     short = [model.encode_unit(t, rate, k) for k, t in enumerate(texts) for rate in (0.0, 0.3)]
