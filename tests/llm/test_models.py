@@ -152,6 +152,20 @@ def test_restoring_leaves_plain_words_alone():
     assert len(restorer.text("a " * 3000)) > 0
 
 
+def test_long_runs_and_tokens_are_decoded_whole():
+    model = CharacterModel({**LETTERS, "ass": 3.0})
+    restorer = Restorer(model)
+    for separator in (" ", "."):
+        assert restorer.text(separator.join("youareathing" * 40 + "idiot")).replace(" ", "").endswith("idiot")
+    assert restorer.text("idi" + "o" * 500 + "t") == "idiot"
+    assert "moron" in restorer.text("see" * 40 + ".m.o.r.o.n")
+    assert restorer.text("an @$$ $ 2024 $455,00 +") == "an ass $ 2024 $455,00 +"
+    score = Scorer(ToxicityModel(LETTERS, {("idiot", 0): 0.9}, 0.01))
+    clean = "you are a thing " * 3 + " ".join("seeyou" * 100)
+    assert score(clean) == pytest.approx(0.01)
+    assert score(clean + " a n i d i o t") > 0.5 and score("thing " + "an.".join([""] * 60) + "1d10t") > 0.5
+
+
 def test_scores_rise_with_stems_only():
     score = Scorer(ToxicityModel(LETTERS, {("idiot", 0): 0.9, ("moron", 0): 0.8, ("lose", 2): 0.7}, 0.01))
     assert score("") == score("a thing") == pytest.approx(0.01)
