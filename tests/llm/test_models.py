@@ -189,6 +189,11 @@ def labelled(documents, spark, n=400):
     return documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
 
 
+def test_rare_stems_are_learned():
+    counts = [(("idiot", 0), 0, 2000), (("estup", 0), 0, 24), (("the", 0), 9000, 2100)]
+    assert toxicity.choose_stems(counts, 15_000, 5_000).keys() == {("idiot", 0), ("estup", 0)}
+
+
 def test_held_out_toxicity(documents, spark, odd, none):
     docs, labels = labelled(documents, spark)
     model = toxicity.train(docs, labels, toxicity.usable_label())
