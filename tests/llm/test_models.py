@@ -72,6 +72,19 @@ def test_scores_do_not_depend_on_the_batch_and_each_id_counts_once():
     assert ahead[:, CONTEXT:].sum() == 0
 
 
+def test_every_given_pair_is_found():
+    size, rng = 3000, np.random.default_rng(9)
+    keys = np.sort(rng.choice(size * size, 200_000, replace=False))
+    before, after, n = keys // size, keys % size, rng.integers(1, 50, len(keys)).astype(float)
+    classes = np.zeros(size, dtype=np.int64)
+    corpus = attention.corpus_tables(classes, 1, (classes[before], after, n), (before, classes[after], n), (before, after, n))
+    seen, kinds = np.bincount(before, n, size), np.bincount(before, minlength=size) + 0.5
+    before_, after_ = corpus.place[before], corpus.place[after]
+    backed = np.exp(corpus.within[0, after_].astype(float))
+    want = np.log((n + kinds[before] * backed) / (seen + kinds)[before])
+    assert corpus.inner(before_, after_) == pytest.approx(want, abs=1e-4)
+
+
 def test_gradient_is_the_slope():
     corpus, w = small_corpus(), {k: v.astype(np.float64) for k, v in weights().items()}
     rng = np.random.default_rng(5)
