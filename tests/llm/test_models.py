@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,16 @@ def test_training_lowers_the_loss():
     assert mean[1] > mean[0] + 0.05
 
 
+def test_all_windows_of_all_texts_are_trained_on():
+    texts = [text(k, 3 + k % 90) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = [w for b in lm_scoring._gather(iter([batch]), WORDS) for w in b.column("window").to_pylist() if w]
+    ids, lengths = lm_scoring.Subwords(WORDS).encode([t.encode() for t in texts])
+    _, inputs, ahead, targets, valid = attention.windows(ids, lengths)
+    for got, want in zip(lm_scoring._unpack(found), (inputs, np.where(ahead, np.float32(-1e9), np.float32(0)), targets, valid)):
+        assert (got == want).all()
+
+
 def test_scoring_of_odd_rows(odd, none):
     learned = id_remainder("doc_id", 7) != 2
     found = lm_scoring.score(odd, learned, WORDS, block_bytes=20_000)
