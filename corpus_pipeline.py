@@ -5,8 +5,8 @@ stage at most and no plan spans the run. A stage works on all rows that its pred
 kept and returns the columns of documents; the last returns the encoded documents.
 
 Null and empty texts pass every stage but near-dedup, where they are duplicates of each
-other as any equal texts. Null doc_ids are told apart by their texts. Extra columns travel
-along.
+other as any equal texts. Null doc_ids are told apart by their texts, and so are different texts
+under one doc_id. Extra columns travel along.
 """
 
 from __future__ import annotations
@@ -31,11 +31,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest doc_id."""
-    # Documents without an id come after all others, equal texts under one key.
-    key = F.coalesce(
-        F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 61))
-    )
-    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Equal texts of an id have one key. Documents without an id, and all texts of an id but the
+    # one of smallest hash, come after all others.
+    text = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = rows.select(F.col("row.doc_id").alias("shared"), text.alias("hash")).where("shared is not null")
+    shared = own.groupBy("shared").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first != last")
+    later = F.lit(1 << 62) + F.pmod(F.xxhash64("row.doc_id", F.coalesce(F.col("row.text"), F.lit(""))), F.lit(1 << 61))
+    key = F.when(F.col("row.doc_id").isNull() | (F.col("first") != text), later).otherwise(F.col("row.doc_id"))
+    keyed = rows.join(shared, F.col("row.doc_id") == F.col("shared"), "left").select(key.alias("key"), "row")
     found = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), key="key")
     kept = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
     return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -267,6 +267,13 @@ def test_pipeline_of_odd_rows(documents, spark, tmp_path):
     assert held.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
 
 
+def test_different_texts_of_an_id_are_documents_of_their_own(documents, spark):
+    one, two, three = text(910, 60), text(911, 60), text(912, 60)
+    docs = documents([(1, one), (1, two), (1, two), (2, three), (3, two), (None, three)])
+    found = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["text"] for r in found.collect()) == sorted([one, two, three])
+
+
 def test_run_over_no_documents(none, spark, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
