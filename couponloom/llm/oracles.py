@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from couponloom.llm.license_scan import NOTICES, SHINGLE
+from couponloom.llm.url_filter import RULES
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +103,63 @@ SELECT doc_id, license, containment, first AS first_word FROM ok
 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, first) = 1
 """
 
+_SEARCH = f"""
+WITH d AS (
+  SELECT doc_id, {_FOLDED.format(text=_lower("coalesce(text, '')"))} AS terms FROM documents),
+n AS (SELECT doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS all_terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM n) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * documents) // all_terms) AS m FROM n, total),
+i AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_FOLDED.format(text=_lower("coalesce(text, '')"))}) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+_URLS = f"""
+WITH r(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, {_lower("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (
+  SELECT *, (SELECT max([lpad(CAST(length(rule_host || rule_path) AS VARCHAR), 4, '0'), rule_host || rule_path, verdict]) FROM r
+             WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS found
+  FROM u)
+SELECT page_id, host, path, found[2] AS rule, coalesce(found[3], 'allow') AS verdict FROM f
+"""
+
+_HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM pos JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -110,4 +168,7 @@ def statements() -> dict[str, str]:
         "op10_license_scan": _LICENSES,
         "op7_warc_bundles": _WARC,
         "op8_wu_manber": _WU_MANBER,
+        "op11_shared_terms": _SEARCH,
+        "op12_bloom_cascade": _URLS,
+        "op13_kronecker": _HARD_NEGATIVES,
     }
