@@ -34,26 +34,34 @@ def profile(df: DataFrame) -> DataFrame:
     return bounds.select(F.inline("bounds"))
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Cast integers to the narrowest type and doubles in float range to float.
-
-    Needs the one-row profile first, so it runs a job. There is no half type.
-    """
-    fields = {f.name: f.dataType for f in df.schema}
-    numeric = [c for c, t in fields.items() if isinstance(t, _INTEGERS + _FLOATS)]
-    row = df.agg(
-        *[F.min(c).alias(f"{c}_min") for c in numeric], *[F.max(c).alias(f"{c}_max") for c in numeric]
-    ).first()
+def narrowest(schema: T.StructType, bounds: dict[str, tuple[float, float]]) -> dict[str, str]:
+    """The narrowest type of each column that has bounds and a narrower type. There is no half type."""
 
     def target(name: str) -> str | None:
-        low, high = row[f"{name}_min"], row[f"{name}_max"]
-        if low is None:
-            return None
-        if isinstance(fields[name], _FLOATS):
+        low, high = bounds[name]
+        if isinstance(schema[name].dataType, _FLOATS):
             return "float" if -FLOAT_MAX < low and high < FLOAT_MAX else None
         return next((t for t, lo, hi in INTEGER_BOUNDS if lo < low and high < hi), None)
 
-    targets = {c: target(c) for c in numeric}
+    targets = {c: target(c) for c in schema.names if c in bounds}
+    return {c: t for c, t in targets.items() if t}
+
+
+def narrow_to(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     return df.select(*[
-        F.col(c).cast(targets[c]).alias(c) if targets.get(c) else F.col(c) for c in df.columns
+        F.col(c).cast(targets[c]).alias(c) if c in targets else F.col(c) for c in df.columns
     ])
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """Cast integers to the narrowest type and doubles in float range to float.
+
+    Needs the one-row profile first, so it runs a job; files are narrowed by their footers
+    as they are read, see sources.tables.
+    """
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, _INTEGERS + _FLOATS)]
+    row = df.agg(
+        *[F.min(c).alias(f"{c}_min") for c in numeric], *[F.max(c).alias(f"{c}_max") for c in numeric]
+    ).first()
+    bounds = {c: (row[f"{c}_min"], row[f"{c}_max"]) for c in numeric if row[f"{c}_min"] is not None}
+    return narrow_to(df, narrowest(df.schema, bounds))

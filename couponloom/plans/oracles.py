@@ -279,6 +279,9 @@ SELECTS = {
     "narrow_types": """
         SELECT week::TINYINT AS week, shopper::TINYINT AS shopper, product::TINYINT AS product,
                price::FLOAT AS price FROM baskets""",
+    "narrow_on_read": """
+        SELECT week::TINYINT AS week, shopper::TINYINT AS shopper, product::TINYINT AS product,
+               price::FLOAT AS price FROM baskets""",
     "filter_shoppers": "SELECT * FROM baskets WHERE shopper < (SELECT s // 2 FROM size)",
     "baskets_coupons": "SELECT * FROM joined",
     "clean": "SELECT * FROM facts",

@@ -29,8 +29,8 @@ from couponloom.operators.prices import impute_price, last_week_mode_price, mode
 from couponloom.operators.scoring import RateScorer, TreeScorer, log_loss, purchase_rates
 from couponloom.params import Params
 from couponloom.sources.star import star_inputs, star_params, star_table
-from couponloom.sources.tables import Inputs, read_coupons, write_coupons
-from couponloom.workspace import private_stage, shared_folder, stage
+from couponloom.sources.tables import Inputs, read_coupons, read_inputs, write_coupons
+from couponloom.workspace import private_folder, private_stage, shared_folder, stage
 
 # Products with and without a category occur when the binned range ends at 90.
 PARTLY_BINNED = {"n_products": 95}
@@ -172,6 +172,14 @@ def _narrow_types(s: Star) -> DataFrame:
     return narrow.narrow(s.inputs.baskets)
 
 
+def _narrow_on_read(s: Star) -> DataFrame:
+    """The inputs as files, baskets read back in types that hold the keys of both tables."""
+    folder = private_folder(s.spark, "inputs")
+    s.inputs.baskets.write.parquet(f"{folder}/baskets.parquet")
+    s.inputs.coupons.write.parquet(f"{folder}/coupons.parquet")
+    return read_inputs(s.spark, folder, coupon_index=None, narrow=True).baskets
+
+
 def _filter_shoppers(s: Star) -> DataFrame:
     half = replace(s.params, n_shoppers=s.params.n_shoppers // 2)
     return filter_shoppers(s.inputs.baskets, half)
@@ -509,6 +517,7 @@ _PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "coupon_sink_roundtrip": _coupon_sink_roundtrip,
     "profile_min_max": _profile_min_max,
     "narrow_types": _narrow_types,
+    "narrow_on_read": _narrow_on_read,
     "filter_shoppers": _filter_shoppers,
     "baskets_coupons": _baskets_coupons,
     "clean": _clean,

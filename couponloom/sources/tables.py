@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from couponloom.operators.narrow import narrow_to, narrowest
+from couponloom.sources.bounds import Bounds, common_bounds, file_bounds
+
 BASKETS = T.StructType([
     T.StructField("week", T.IntegerType()),
     T.StructField("shopper", T.IntegerType()),
@@ -60,21 +63,34 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return conform(spark.read.parquet(path), schema)
 
 
+def _bounds(spark: SparkSession, path: str, schema: T.StructType) -> Bounds:
+    def use(raw: DataFrame, columns: list[str]) -> DataFrame:
+        return conform(raw, T.StructType([schema[c] for c in columns]))
+
+    return file_bounds(spark.read.parquet(path), schema.names, use)
+
+
 def read_inputs(
     spark: SparkSession,
     folder: str,
     baskets: str = "baskets.parquet",
     coupons: str = "coupons.parquet",
     coupon_index: str | None = "coupon_index.parquet",
+    narrow: bool = False,
 ) -> Inputs:
-    slots = None if coupon_index is None else read_table(
-        spark, f"{folder}/{coupon_index}", COUPON_INDEX
-    )
-    return Inputs(
-        read_table(spark, f"{folder}/{baskets}", BASKETS),
-        read_table(spark, f"{folder}/{coupons}", COUPONS),
-        slots,
-    )
+    """The input tables; with `narrow` in the narrowest types that hold their values.
+
+    Values are then bounded by the files' footers, so no job reads data where those
+    suffice. A column that several tables have gets one type in all of them, so joins need no casts.
+    """
+    paths = {f"{folder}/{baskets}": BASKETS, f"{folder}/{coupons}": COUPONS}
+    if coupon_index is not None:
+        paths[f"{folder}/{coupon_index}"] = COUPON_INDEX
+    tables = [read_table(spark, path, schema) for path, schema in paths.items()]
+    if narrow:
+        bounds = common_bounds([_bounds(spark, path, schema) for path, schema in paths.items()])
+        tables = [narrow_to(table, narrowest(table.schema, bounds)) for table in tables]
+    return Inputs(*tables)
 
 
 def write_coupons(coupons: DataFrame, path: str) -> None:
