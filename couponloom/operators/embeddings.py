@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from couponloom.operators.affinity import context_lists
+from couponloom.operators.nearest import BLOCK_ROWS, nearest
 
 MIN_COUNT = 2
 PARTITIONS = 8
-# Vectors of a block that are compared with those of another block at once.
-BLOCK_ROWS = 2_048
 DEFAULT_MAX_SENTENCE = 1_000
 
 
@@ -70,46 +66,9 @@ def similar_products(model: Word2VecModel, product: int, n: int = 10) -> DataFra
     )
 
 
-def _nearest(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
-    """The n most similar products of the right block for each of the left one."""
-    if not left.num_rows or not right.num_rows:
-        return _NEAR.empty_table()
-
-    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        vectors = np.array(table.column("embedding").to_pylist())
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return table.column("product").to_numpy(), vectors / np.maximum(norms, 1e-12)
-
-    (one, x), (two, y) = unit(left), unit(right)
-    near = np.round(x @ y.T, 9)
-    near[one[:, None] == two[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(two, near.shape), -near))[:, : n + 1]
-    value = np.take_along_axis(near, order, axis=1)
-    row, place = np.nonzero(np.isfinite(value))
-    return pa.Table.from_arrays(
-        [pa.array(one[row]), pa.array(two[order[row, place]]), pa.array(value[row, place])], schema=_NEAR
-    )
-
-
-_NEAR = pa.schema([("product", pa.int32()), ("similar", pa.int32()), ("similarity", pa.float64())])
-
-
-def all_similar_products(model: Word2VecModel, n: int = 10) -> DataFrame:
-    """(product, rank, similar, similarity): the n nearest products of every product by cosine.
-
-    Vectors are compared block by block, and each pair of blocks keeps n for a product.
-    """
-    vectors = embeddings(model)
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    block = F.pmod(F.xxhash64("product"), F.lit(blocks)).cast("int")
-    left = vectors.select("product", "embedding", block.alias("a"), every.alias("b"))
-    right = vectors.select("product", "embedding", every.alias("a"), block.alias("b"))
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
-        lambda one, two: _nearest(one, two, n), "product int, similar int, similarity double"
-    )
-    rank = F.row_number().over(W.partitionBy("product").orderBy(F.desc("similarity"), "similar"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= n).select("product", "rank", "similar", "similarity")
+def all_similar_products(model: Word2VecModel, n: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(product, rank, similar, similarity): the n nearest products of every product by cosine."""
+    return nearest(embeddings(model), n, block_rows)
 
 
 def projection(model: Word2VecModel) -> DataFrame:

@@ -6,7 +6,6 @@ from collections import Counter
 import pytest
 
 from couponloom.operators import affinity
-from couponloom.operators import embeddings as embedding_module
 from couponloom.operators.affinity import (
     basket_lists,
     clip_diagonal,
@@ -143,7 +142,7 @@ def test_clusters_of_more_members_than_columns(spark):
     assert {r.cluster for r in clusters.select("cluster").distinct().collect()} == {0, 1, 2}
 
 
-def test_embeddings_find_products_bought_together(spark, tmp_path, monkeypatch):
+def test_embeddings_find_products_bought_together(spark, tmp_path):
     rng = random.Random(3)
     rows = []
     for week in range(40):
@@ -160,8 +159,7 @@ def test_embeddings_find_products_bought_together(spark, tmp_path, monkeypatch):
     every = all_similar_products(model, 5).collect()
     assert len(every) == 20 * 5 and all(r["product"] != r.similar for r in every)
     assert [r.similar for r in sorted(every, key=lambda r: r["rank"]) if r["product"] == 3] == near
-    monkeypatch.setattr(embedding_module, "BLOCK_ROWS", 3)
-    assert sorted(all_similar_products(model, 5).collect()) == sorted(every)
+    assert sorted(all_similar_products(model, 5, block_rows=3).collect()) == sorted(every)
     points = projection(model)
     assert points.columns == ["product", "x", "y"] and points.count() == 20
     loaded = load_or_train(df.limit(0), f"{tmp_path}/model")
