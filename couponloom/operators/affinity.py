@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ COPIES_PER_LIST = 1
 TILE = 2_048
 PAIRS_HELD = 1 << 21
 PIVOT_LIMIT = 1_000
+# Power iterations, and the partitions of the edges in them.
+ITERATIONS = 10
+PARTITIONS = 32
+MEMBERS_PER_BUCKET = 65_536
 
 
 def basket_ids(baskets: DataFrame) -> DataFrame:
@@ -172,20 +177,20 @@ def cooccurrence(
         .agg(F.count("*").alias("n"))
     )
     vectors = counts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("member", "n"))).alias("c"))
-    none = F.slice("c", 1, 0)
+    none = F.array().cast(vectors.schema["c"].dataType)
     small = vectors.filter(F.size("c") <= TILE).select(F.col("c").alias("left"), none.alias("right"))
-    slices = F.sequence(F.lit(0), F.floor((F.size("c") - 1) / TILE).cast("int"))
-    large = (
+    # A group is cut before its slices are paired, so a pair of slices carries those two alone.
+    last = F.floor((F.size("c") - 1) / TILE).cast("int")
+    slices = (
         vectors.filter(F.size("c") > TILE)
-        .select(*group, "c", F.explode(slices).alias("i"), slices.alias("all"))
-        .select(*group, "c", "i", F.explode(F.filter("all", lambda j: j >= F.col("i"))).alias("j"))
-        .select(
-            *group, "i", "j",
-            F.slice("c", F.col("i") * TILE + 1, TILE).alias("left"),
-            F.when(F.col("i") == F.col("j"), none).otherwise(F.slice("c", F.col("j") * TILE + 1, TILE)).alias("right"),
-        )
-        .repartition(*group, "i", "j")
-        .select("left", "right")
+        .select(*group, "c", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        .select(*group, "last", "i", F.slice("c", F.col("i") * TILE + 1, TILE).alias("left"))
+    )
+    ahead = slices.withColumn("j", F.explode(F.sequence("i", "last")))
+    other = slices.select(*[F.col(c).alias(f"{c}_of") for c in group], F.col("i").alias("j_of"), F.col("left").alias("right"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in group], F.col("j") == F.col("j_of"))
+    large = ahead.join(other, same).select(
+        "left", F.when(F.col("i") == F.col("j"), none).otherwise(F.col("right")).alias("right")
     )
     partial = small.unionByName(large).mapInArrow(_pair_sums, "member_1 int, member_2 int, n bigint")
     half = partial.groupBy("member_1", "member_2").agg(F.sum("n").alias("n"))
@@ -198,13 +203,31 @@ def cooccurrence(
 def cooccurrence_table(edges: DataFrame, n_members: int, value: str = "n") -> DataFrame:
     """Dense table, one column per member; for member sets that fit into columns."""
     if n_members > PIVOT_LIMIT:
-        raise ValueError(f"{n_members} members do not fit into columns, use the edges")
+        raise ValueError(f"{n_members} members do not fit into columns, use cooccurrence_blocks")
     table = edges.groupBy("member_1").pivot("member_2", list(range(n_members))).agg(F.sum(value))
     return table.fillna(0).select(
         "member_1", *[F.col(str(k)).alias(f"with_{k}") for k in range(n_members)]
     )
 
 
+def cooccurrence_blocks(edges: DataFrame, n_members: int, value: str = "n", width: int = PIVOT_LIMIT) -> DataFrame:
+    """(member_1, first, counts): the dense table in blocks of columns, for any number of members.
+
+    A row is cut into arrays of `width` counts from member `first` on, the last one shorter. Blocks
+    without any count are rows of zeros. Members from `n_members` on have no column.
+    """
+    first = F.expr(f"member_2 - member_2 % {width}")
+    inside = edges.filter(F.col("member_2").between(0, n_members - 1))
+    held = inside.groupBy("member_1", first.alias("first")).agg(
+        F.map_from_entries(F.collect_list(F.struct("member_2", value))).alias("held")
+    )
+    starts = F.sequence(F.lit(0), F.lit(n_members - 1), F.lit(width))
+    places = edges.select("member_1").distinct().select("member_1", F.explode(starts).alias("first"))
+    last = F.least(F.col("first") + width, F.lit(n_members)) - 1
+    count = F.transform(F.sequence("first", last), lambda k: F.coalesce(F.col("held")[k], F.lit(0)))
+    return places.join(held, ["member_1", "first"], "left").select("member_1", "first", count.alias("counts"))
+
+
 def clip_diagonal(edges: DataFrame) -> DataFrame:
     """Self co-occurrence becomes the mean of the table with a zero diagonal.
 
@@ -219,31 +242,59 @@ def clip_diagonal(edges: DataFrame) -> DataFrame:
     ).withColumn("distance", 1 - F.col("n"))
 
 
-@F.udf(returnType=VectorUDT())
-def _sparse(size, row):
-    """One call for each member."""
-    return Vectors.sparse(size, [x["member_2"] for x in row], [x["n"] for x in row])
+def member_clusters(
+    edges: DataFrame, k: int = 3, iterations: int = ITERATIONS, partitions: int = PARTITIONS
+) -> DataFrame:
+    """(member, cluster) by power iteration on the edges, whose counts are the similarities.
+
+    Work and memory follow the edges: no row vector of a member is built, so neither the number of
+    members nor one that meets all others matters. Clusters are numbered by their smallest member;
+    members that meet no other one are cluster k. Partitions are fixed, so that the size of
+    the cluster does not enter.
+    """
+    spark = edges.sparkSession
+    pairs = edges.filter((F.col("member_1") < F.col("member_2")) & (F.col("n") > 0)).select(
+        F.col("member_1").cast("long").alias("src"), F.col("member_2").cast("long").alias("dst"),
+        F.col("n").cast("double").alias("weight"),
+    )
+    fixed = private_stage(
+        spark, "pairs", lambda: pairs.repartition(partitions, "src").sortWithinPartitions("src", "dst")
+    ).repartition(partitions, "src")
+    members = edges.select(F.col("member_1").alias("member")).distinct()
+    if fixed.isEmpty():
+        return members.withColumn("cluster", F.lit(k))
+    found = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(fixed)
+    named = private_stage(
+        spark, "clusters", lambda: found.select(F.col("id").cast("int").alias("member"), F.col("cluster").alias("found"))
+    )
+    firsts = sorted(tuple(r) for r in named.groupBy("found").agg(F.min("member")).select("min(member)", "found").collect())
+    number = F.create_map(*[F.lit(x) for i, (_, old) in enumerate(firsts) for x in (old, i)])  # k entries
+    labels = named.select("member", number[F.col("found")].alias("cluster"))
+    return members.join(labels, "member", "left").select("member", F.coalesce("cluster", F.lit(k)).alias("cluster"))
 
 
-def member_clusters(edges: DataFrame, n_members: int | None = None, k: int = 3, seed: int = 42) -> DataFrame:
-    """(member, cluster) by the rows of the clipped table, written before the iterations.
+def cluster_positions(clusters: DataFrame) -> DataFrame:
+    """(member, cluster, position): zero-based position in (cluster, member) order.
 
-    A row is the sparse vector of its edges, so the table is never widened to columns.
+    Members are ranked inside ranges of neighbouring ids of one cluster and shifted by the sizes of earlier
+    ranges; the one window without a partition sees a row for each range.
     """
-    size = n_members or (edges.agg(F.max("member_1")).first()[0] or 0) + 1
-    entries = clip_diagonal(edges).groupBy("member_1").agg(
-        F.sort_array(F.collect_list(F.struct("member_2", "n"))).alias("row")
+    bucket = F.floor(F.col("member") / MEMBERS_PER_BUCKET).alias("bucket")
+    placed = clusters.select("member", "cluster", bucket)
+    sizes = placed.groupBy("cluster", "bucket").agg(F.count("*").alias("size"))
+    before = W.orderBy("cluster", "bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("cluster", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("cluster", "bucket").orderBy("member")
+    return (
+        placed.withColumn("rank", F.row_number().over(inside))
+        .join(starts, ["cluster", "bucket"])
+        .select("member", "cluster", (F.col("start") + F.col("rank") - 1).alias("position"))
     )
-    named = entries.select(F.col("member_1").alias("member"), _sparse(F.lit(size), "row").alias("features"))
-    rows = private_stage(edges.sparkSession, "member-rows", lambda: named)
-    model = BisectingKMeans(k=k, seed=seed).fit(rows)
-    return model.transform(rows).select("member", F.col("prediction").alias("cluster"))
 
 
 def order_by_cluster(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges with the positions of both members in (cluster, member) order."""
-    order = W.orderBy("cluster", "member")  # one row per member
-    placed = clusters.withColumn("position", F.row_number().over(order) - 1)
+    """Edges with the positions of both members in (cluster, member) order, dealt and sorted by them."""
+    placed = private_stage(edges.sparkSession, "positions", lambda: cluster_positions(clusters))
 
     def side(k: int) -> DataFrame:
         return placed.select(
@@ -252,8 +303,6 @@ def order_by_cluster(edges: DataFrame, clusters: DataFrame) -> DataFrame:
             F.col("position").alias(f"position_{k}"),
         )
 
-    return (
-        edges.join(side(1), "member_1")
-        .join(side(2), "member_2")
-        .orderBy("position_1", "position_2")
-    )
+    order = ["position_1", "position_2"]
+    joined = edges.join(side(1), "member_1").join(side(2), "member_2")
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -51,10 +51,14 @@ def cluster_dummies(df: DataFrame) -> DataFrame:
     return df.withColumns(dummies).drop("cat_cluster")
 
 
-def recency_default(df: DataFrame, params: Params) -> DataFrame:
-    """One row: weeks since last purchase where there is none."""
-    latest = F.max("week") * F.lit(params.recency_factor)
-    return df.agg(F.ceil(latest).cast("int").alias("recency_default"))
+def recency_default(data: DataFrame, params: Params) -> DataFrame:
+    """One row: weeks since last purchase where there is none, from the last week of the panel.
+
+    The panel is dense, so it ends with its last week whether that has facts or not.
+    """
+    inside = F.max(F.when(F.col("week").isin(params.panel_weeks), F.col("week")))
+    latest = F.greatest(inside, F.lit(max(params.panel_weeks))) * F.lit(params.recency_factor)
+    return data.agg(F.ceil(latest).cast("int").alias("recency_default"))
 
 
 def with_past(rows: DataFrame) -> DataFrame:

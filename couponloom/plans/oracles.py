@@ -376,6 +376,13 @@ SELECTS = {
         SELECT max(n) AS max_basket_size FROM (SELECT count(*) AS n FROM baskets GROUP BY week, shopper)""",
     "cooccurrence": "SELECT * FROM edges",
     "cooccurrence_pivot": f"SELECT member_1, {_PIVOT} FROM edges GROUP BY member_1",
+    "cooccurrence_blocks": """
+        SELECT m.member_1, CAST(m.member_2 // 32 * 32 AS INT) AS first,
+               string_agg(CAST(coalesce(e.n, 0) AS VARCHAR), ',' ORDER BY m.member_2) AS counts
+        FROM (SELECT member_1, CAST(k AS INT) AS member_2
+              FROM (SELECT DISTINCT member_1 FROM edges), range(100) members(k)) m
+        LEFT JOIN edges e ON e.member_1 = m.member_1 AND e.member_2 = m.member_2
+        GROUP BY m.member_1, m.member_2 // 32""",
     "category_cooccurrence": "SELECT * FROM cat_edges",
     "cooccurrence_clipped": """
         SELECT member_1, member_2,

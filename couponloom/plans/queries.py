@@ -262,7 +262,7 @@ def _substitute_discount(s: Star) -> DataFrame:
 
 
 def _recency_default(s: Star) -> DataFrame:
-    return features.recency_default(panel(s.written_facts, s.params, with_history=False), s.params)
+    return features.recency_default(s.inputs.baskets, s.params)
 
 
 def _weeks_since_purchase(s: Star) -> DataFrame:
@@ -446,6 +446,11 @@ def _cooccurrence_pivot(s: Star) -> DataFrame:
     return affinity.cooccurrence_table(s.products, s.params.n_products)
 
 
+def _cooccurrence_blocks(s: Star) -> DataFrame:
+    table = affinity.cooccurrence_blocks(s.products, s.params.n_products, width=32)
+    return table.withColumn("counts", F.array_join(F.transform("counts", lambda n: n.cast("string")), ","))
+
+
 def _category_cooccurrence(s: Star) -> DataFrame:
     return s.categories
 
@@ -455,7 +460,7 @@ def _cooccurrence_clipped(s: Star) -> DataFrame:
 
 
 def _category_clusters(s: Star) -> DataFrame:
-    return affinity.member_clusters(s.written_categories, s.params.n_categories)
+    return affinity.member_clusters(s.written_categories)
 
 
 def _cooccurrence_ordered(s: Star) -> DataFrame:
@@ -572,6 +577,7 @@ _PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "max_basket_size": _max_basket_size,
     "cooccurrence": _cooccurrence,
     "cooccurrence_pivot": _cooccurrence_pivot,
+    "cooccurrence_blocks": _cooccurrence_blocks,
     "category_cooccurrence": _category_cooccurrence,
     "cooccurrence_clipped": _cooccurrence_clipped,
     "category_clusters": _category_clusters,

@@ -9,8 +9,10 @@ from couponloom.operators import affinity
 from couponloom.operators.affinity import (
     basket_lists,
     clip_diagonal,
+    cluster_positions,
     context_lists,
     cooccurrence,
+    cooccurrence_blocks,
     cooccurrence_table,
     max_basket_size,
     member_clusters,
@@ -85,7 +87,7 @@ def test_table_and_clipped_diagonal(spark):
 def test_clusters_separate_planted_groups_and_order_the_edges(spark):
     rows = [(w, s, 3 * (s % 3) + k) for w in range(3) for s in range(9) for k in range(3)]
     edges = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product", 9)
-    clusters = member_clusters(edges, 9)
+    clusters = member_clusters(edges)
     label = {r.member: r.cluster for r in clusters.collect()}
     assert len(set(label.values())) == 3
     assert all(label[3 * g] == label[3 * g + k] for g in range(3) for k in range(3))
@@ -134,14 +136,68 @@ def test_a_basket_is_one_list_whatever_its_products(spark, monkeypatch):
     assert met == {frozenset(map(str, (a, b))) for a in range(7) for b in range(a)} | {frozenset(("8", "9"))}
 
 
-def test_clusters_of_more_members_than_columns(spark):
+def planted(groups, size, seed, hub=False, stray=0.0):
+    """Baskets of one group each; a hub is in all of them, strays come from anywhere."""
+    rng, rows = random.Random(seed), []
+    for week in range(6):
+        for shopper in range(20 * groups):
+            group = shopper % groups
+            rows += [(week, shopper, group * size + p) for p in rng.sample(range(size), size // 2)]
+            rows += [(week, shopper, groups * size)] if hub else []
+            rows += [(week, shopper, rng.randrange(groups * size))] if rng.random() < stray else []
+    return rows
+
+
+@pytest.mark.parametrize("hub,stray", [(False, 0.0), (True, 0.0), (True, 0.3)])
+def test_clusters_find_groups_around_a_hub(spark, hub, stray):
+    rows = planted(3, 12, 5, hub, stray) + [(9, 9, 500)]
+    edges = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product")
+    label = {r.member: r.cluster for r in member_clusters(edges).collect()}
+    assert set(label) == {p for _, _, p in rows}
+    assert [{label[12 * g + p] for p in range(12)} for g in range(3)] == [{0}, {1}, {2}]
+    assert label[500] == 3  # meets no other member
+    assert label == {r.member: r.cluster for r in member_clusters(edges.repartition(3)).collect()}
+
+
+def test_clusters_of_thousands_of_members(spark):
     rows = [(w, s, 1000 * (s % 3) + k) for w in range(2) for s in range(60) for k in range(s, s + 700, 7)]
     edges = cooccurrence(spark.createDataFrame(rows, SCHEMA), "product").cache()
-    clusters = member_clusters(edges, 5_000)
+    clusters = member_clusters(edges)
     assert clusters.count() == len({p for _, _, p in rows}) > 1_000
     assert {r.cluster for r in clusters.select("cluster").distinct().collect()} == {0, 1, 2}
 
 
+def test_clusters_of_members_that_never_meet(spark):
+    edges = cooccurrence(spark.createDataFrame([(0, 0, 1), (0, 1, 2)], SCHEMA), "product")
+    assert sorted(tuple(r) for r in member_clusters(edges).collect()) == [(1, 3), (2, 3)]
+    assert member_clusters(edges.limit(0)).count() == 0
+
+
+def test_positions_are_those_of_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "MEMBERS_PER_BUCKET", 7)
+    rng = random.Random(8)
+    label = {m: rng.randrange(3) for m in rng.sample(range(200), 90)}
+    clusters = spark.createDataFrame(list(label.items()), "member int, cluster int")
+    got = {r.member: r.position for r in cluster_positions(clusters).collect()}
+    want = sorted(label, key=lambda m: (label[m], m))
+    assert got == {m: i for i, m in enumerate(want)}
+    members = sorted(label)
+    edges = spark.createDataFrame([(a, b, 1) for a in members for b in rng.sample(members, 5)], "member_1 int, member_2 int, n int")
+    ordered = order_by_cluster(edges, clusters).collect()
+    assert [(r.position_1, r.position_2) for r in ordered] == sorted((want.index(r.member_1), want.index(r.member_2)) for r in ordered)
+    assert len(ordered) == edges.count()
+
+
+def test_table_in_blocks_of_columns(spark):
+    edges = spark.createDataFrame([(0, 0, 9), (0, 4, 4), (4, 0, 4), (4, 4, 7)], "member_1 int, member_2 int, n long")
+    got = sorted((r.member_1, r["first"], r.counts) for r in cooccurrence_blocks(edges, 5, width=2).collect())
+    assert got == [
+        (0, 0, [9, 0]), (0, 2, [0, 0]), (0, 4, [4]), (4, 0, [4, 0]), (4, 2, [0, 0]), (4, 4, [7]),
+    ]
+    wide = cooccurrence_blocks(edges, 100_000)
+    assert wide.count() == 2 * 100 and wide.agg({"member_1": "max"}).first()[0] == 4
+
+
 def test_embeddings_find_products_bought_together(spark, tmp_path):
     rng = random.Random(3)
     rows = []

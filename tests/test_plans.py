@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from couponloom.operators.affinity import cluster_positions, cooccurrence
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.facts import baskets_coupons, facts
 from couponloom.operators.features import model_data
@@ -20,7 +21,7 @@ from tests.helpers import SMALL, frames
 QUERIES = entry.queries()
 MODELS = {
     "gbt_train_predictions", "gbt_test_scores", "gbt_policy_comparison", "product_embeddings",
-    "similar_products", "embedding_projection", "category_clusters", "cooccurrence_ordered",
+    "similar_products", "embedding_projection",
 }
 
 
@@ -112,6 +113,23 @@ def test_cooccurrence_sums_inside_tasks_before_the_shuffle(spark, sf):
     assert "Join" not in "".join(above)
 
 
+def test_positions_need_no_window_over_all_members(spark):
+    clusters = spark.range(1000).selectExpr("cast(id as int) member", "cast(id % 3 as int) cluster")
+    text = plan(cluster_positions(clusters))
+    above = [line for line in text.splitlines() if "Exchange SinglePartition" in line]
+    # One row a range of members comes together.
+    assert len(above) == 1 and "partial_count" in text
+    assert not any("member" in line for line in above)
+    assert "HashAggregate" in "".join(text.splitlines()[text.splitlines().index(above[0]) + 1 : text.splitlines().index(above[0]) + 3])
+
+
+def test_slices_of_a_hot_group_travel_alone(spark):
+    df = spark.range(10).selectExpr("1 week", "cast(id as int) shopper", "cast(id as int) product")
+    text = plan(cooccurrence(df, "product"))
+    assert "slice(c" in text
+    assert not any("c#" in line and "Exchange" in line and "j#" in line for line in text.splitlines())
+
+
 def test_written_facts_are_sorted_by_week(spark, sf, no_broadcast):
     """Row group statistics can then skip the weeks outside the panel."""
     star = Star(spark, sf)
