@@ -49,15 +49,24 @@ def redeemed_weeks(data: DataFrame) -> DataFrame:
 
 
 def cells(data: DataFrame, params: Params) -> DataFrame:
-    """Facts packed per (shopper, block of products).
+    """(shopper, block, histories, offers): facts packed per shopper and block of products.
 
-    A cell holds one entry per product of the block and week, so its size is bounded
-    by category size x weeks whatever the number of facts. Written once, it serves the
-    panel and the redemption rates without another pass over the facts.
+    `histories` maps a product to its week entries, see functions.history, so a row finds its own by
+    one look-up; `offers` are the entries of the block that carry a discount. Both hold one entry per
+    product and week at most, so a cell is bounded by category size x weeks whatever the number of
+    facts. Written once, cells serve the panel and the redemption rates without another pass over the
+    facts. Facts without a product are in no cell.
     """
-    entry = F.struct("product", "week", "n_rows", "purchased", "received", "redeemed", "discount")
-    return (
-        week_counts(data)
-        .groupBy("shopper", product_block(params).alias("block"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("items"))
+    counts = week_counts(data.filter("product IS NOT NULL")).withColumn("block", product_block(params))
+    entry = F.struct("week", "n_rows", "purchased", "received", "redeemed", "discount")
+    offer = F.when(F.col("discount") != 0, F.struct("week", "discount"))
+    # Dealt by cell once: neither aggregation below shuffles again.
+    pairs = (
+        counts.repartition("shopper", "block")
+        .groupBy("shopper", "block", "product")
+        .agg(F.sort_array(F.collect_list(entry)).alias("history"), F.sort_array(F.collect_list(offer)).alias("offers"))
+    )
+    return pairs.groupBy("shopper", "block").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("product", "history")))).alias("histories"),
+        F.sort_array(F.flatten(F.collect_list("offers"))).alias("offers"),
     )

@@ -27,14 +27,17 @@ def grid(spark: SparkSession, params: Params) -> DataFrame:
     )
 
 
-def _with_cell_columns(rows: DataFrame, weeks: list[int]) -> DataFrame:
-    """`history` of the row's pair and `offers` of its cell in the panel weeks."""
-    return rows.withColumns({
-        "offers": F.filter(
-            "items", lambda i: (i["discount"] != 0) & i["week"].between(min(weeks), max(weeks))
-        ),
-        "history": F.filter("items", lambda i: i["product"] == F.col("product")),
-    })
+def _prepared(packed: DataFrame, weeks: list[int]) -> DataFrame:
+    """Cells with their `offers` of the panel weeks, picked once a cell and not once a row."""
+    inside = F.filter("offers", lambda o: o["week"].between(min(weeks), max(weeks)))
+    return packed.withColumn("offers", inside)
+
+
+def _with_history(rows: DataFrame) -> DataFrame:
+    """`history` of the row's pair, looked up in its cell; empty where the pair has no fact."""
+    kind = rows.schema["histories"].dataType.valueType
+    own = F.coalesce(F.col("histories")[F.col("product")], F.array().cast(kind))
+    return rows.withColumn("history", own).drop("histories")
 
 
 def _open_cells(dense: DataFrame, params: Params, weeks: list[int], products: int) -> DataFrame:
@@ -44,9 +47,7 @@ def _open_cells(dense: DataFrame, params: Params, weeks: list[int], products: in
     opened = dense.withColumn("product", F.explode(F.sequence(F.col("block") * size, last)))
     wanted = F.array(*[F.lit(w) for w in weeks])
     seen = F.transform("history", lambda h: h["week"])
-    return _with_cell_columns(opened, weeks).withColumn(
-        "week", F.explode(F.array_except(wanted, seen))
-    )
+    return _with_history(opened).withColumn("week", F.explode(F.array_except(wanted, seen)))
 
 
 def panel(
@@ -62,7 +63,7 @@ def panel(
     """Facts of the panel weeks plus a default row for every key without a fact.
 
     Default rows have no price, no discount and no purchase. With `with_history` each
-    row carries the cell entries of its pair as `history` and those with a discount in
+    row carries the week entries of its pair as `history` and those of its cell with a discount in
     the panel weeks as `offers`; otherwise only the facts of the panel weeks are read. `by_shopper`,
     unique per shopper, is attached before the cells are opened. `packed` are the cells
     of the facts where they are written already. `only` restricts the panel to given
@@ -77,6 +78,7 @@ def panel(
     inside = data.filter(in_domain(params, products))
     if packed is None:
         packed = cells(inside if with_history else inside.filter(in_weeks), params)
+    packed = _prepared(packed, weeks)
 
     if only is None:
         shoppers = spark.range(params.n_shoppers).select(F.col("id").cast("int").alias("shopper"))
@@ -87,8 +89,7 @@ def panel(
     if only is not None:
         observed = observed.join(only, KEY)
     if with_history:
-        observed = observed.withColumn("block", block).join(packed, ["shopper", "block"])
-        observed = _with_cell_columns(observed, weeks)
+        observed = _with_history(observed.withColumn("block", block).join(packed, ["shopper", "block"]))
 
     wanted = shoppers if only is None else only.withColumn("block", block)
     extra = [] if only is None else [c for c in only.columns if c not in KEY]
@@ -97,14 +98,12 @@ def panel(
         extra += [c for c in by_shopper.columns if c != "shopper"]
     if only is None:
         wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    empty = F.array().cast(packed.schema["items"].dataType)
-    wanted = wanted.join(packed, ["shopper", "block"], "left").withColumn(
-        "items", F.coalesce("items", empty)
-    )
+    none = F.array().cast(packed.schema["offers"].dataType)
+    wanted = wanted.join(packed, ["shopper", "block"], "left").withColumn("offers", F.coalesce("offers", none))
     if only is None:
         missing = _open_cells(wanted, params, weeks, products)
     else:
-        missing = _with_cell_columns(wanted, weeks).filter(
+        missing = _with_history(wanted).filter(
             ~F.exists("history", lambda h: h["week"] == F.col("week"))
         )
     missing = missing.withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import in_domain, ratio
+from couponloom.functions.history import before, total
 from couponloom.params import Params
 
 
@@ -36,34 +37,28 @@ def coupon_share(data: DataFrame, params: Params) -> DataFrame:
 
 
 def _weighted(packed: DataFrame, params: Params) -> DataFrame:
-    """Offers and redeemed offers per key, weighted with the panel rows of the pair.
+    """Offers and redeemed offers per pair, weighted with the panel rows of the pair.
 
     A pair has one panel row per week, and more only where a key of the panel weeks is
-    repeated; those few entries are looked up inside the cell.
+    repeated, which its history tells.
     """
     weeks = params.panel_weeks
-    repeated = F.filter(
-        "items", lambda i: i["week"].between(min(weeks), max(weeks)) & (i["n_rows"] > 1)
-    )
-    counted = F.col("items")
-    if params.redemption_before_test_week:
-        counted = F.filter("items", lambda i: i["week"] < params.test_week)
-
-    def weighted(item):
-        own = F.filter("repeated", lambda r: r["product"] == item["product"])
-        more = F.aggregate(own, F.lit(0).cast("long"), lambda acc, r: acc + r["n_rows"] - 1)
-        weight = more + len(weeks)
+
+    def weighted(pair):
+        product, history = pair["key"], pair["value"]
+        more = F.aggregate(
+            history, F.lit(0).cast("long"),
+            lambda acc, h: acc + F.when(h["week"].between(min(weeks), max(weeks)), h["n_rows"] - 1).otherwise(0),
+        )
+        counted = before(history, F.lit(params.test_week)) if params.redemption_before_test_week else history
         return F.struct(
-            item["product"].alias("product"),
-            (item["received"] * weight).alias("received"),
-            (item["redeemed"] * weight).alias("redeemed"),
+            product.alias("product"),
+            (total(counted, "received") * (more + len(weeks))).alias("received"),
+            (total(counted, "redeemed") * (more + len(weeks))).alias("redeemed"),
         )
 
-    offered = F.filter("counted", lambda i: i["received"] > 0)
-    return (
-        packed.select("shopper", repeated.alias("repeated"), counted.alias("counted"))
-        .select("shopper", F.inline(F.transform(offered, weighted)))
-    )
+    pairs = F.transform(F.map_entries("histories"), weighted)
+    return packed.select("shopper", F.inline(pairs)).filter("received > 0")
 
 
 def panel_redemption(

@@ -43,7 +43,7 @@ def run(
     """
     key = params.fingerprint(source)
     data = stage(spark, "facts", key, lambda: facts(inputs, params).sortWithinPartitions("week"), folder)
-    packed = stage(spark, "cells", key, lambda: cells(data, params), folder)
+    packed = stage(spark, "cell-maps", key, lambda: cells(data, params), folder)
     rows = stage(
         spark, "model-data", key, lambda: model_data(data, packed, params, encoded=True), folder,
         partition_by=("week",),

@@ -63,6 +63,24 @@ def test_opened_panel_rows_are_never_shuffled(spark, no_broadcast):
         assert not any("Exchange" in line for above in opened for line in above)
 
 
+def test_rows_look_their_history_up(spark, sf):
+    """No row filters the entries of its whole cell."""
+    text = plan(QUERIES["histories"](spark, sf))
+    assert "histories#" in text and "items" not in text
+    assert not re.search(r"filter\((histories|map_values)", text)
+    rows = [line for line in text.splitlines() if "explode(array_except" in line or "AS history#" in line]
+    assert rows and not any("filter(" in line for line in rows)
+
+
+def test_cells_are_dealt_once(spark, no_broadcast):
+    """Repeated keys are counted before the shuffle by cell; the two packings above it share that."""
+    data, _ = frames(spark, 1)
+    text = plan(cells(data, SMALL))
+    above = ancestors(text, "REPARTITION_BY_COL")[0]
+    assert not any("Exchange" in line for line in above)
+    assert "partial_count" in text
+
+
 def test_ranks_are_limited_before_each_shuffle(spark, sf):
     text = plan(QUERIES["top_coupons"](spark, sf))
     assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 2
