@@ -229,7 +229,7 @@ VIEWS = {
 }
 
 
-def _statement(select: str) -> str:
+def _statement(select: str, kind: str = "AS") -> str:
     """The select preceded by the views it needs."""
     needed: set[str] = set()
     todo = [select]
@@ -238,7 +238,7 @@ def _statement(select: str) -> str:
         found = [v for v in VIEWS if v in words and v not in needed]
         needed.update(found)
         todo.extend(VIEWS[v] for v in found)
-    views = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
+    views = ",\n".join(f"{name} {kind} ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
     return f"WITH {views}\n{select}" if views else select
 
 
@@ -327,8 +327,9 @@ SELECTS = {
     "shopper_redemption": "SELECT * FROM shopper_rates",
     "product_redemption": "SELECT * FROM product_rates",
     "redemption_features": """
-        SELECT week, shopper, product, shopper_redemption_rate, product_redemption_rate
-        FROM grid JOIN shopper_rates USING (shopper) JOIN product_rates USING (product)""",
+        SELECT d.week, d.shopper, d.product, shopper_redemption_rate, product_redemption_rate
+        FROM dataset d LEFT JOIN shopper_rates s ON s.shopper = d.shopper
+        LEFT JOIN product_rates p ON p.product = d.product""",
     "weekly_elasticity": """
         SELECT product, week + 1 AS week, (dr - reg) / nullif(3e-1 * reg, 0) AS elast FROM (
           SELECT w.week, CAST(p AS INT) AS product,
@@ -341,7 +342,9 @@ SELECTS = {
           LEFT JOIN joined j ON j.week = w.week AND j.product = p
           GROUP BY w.week, p)""",
     "product_elasticity": "SELECT * FROM elasticity",
-    "elasticity_feature": "SELECT week, shopper, product, elasticities FROM grid LEFT JOIN elasticity USING (product)",
+    "elasticity_feature": """
+        SELECT d.week, d.shopper, d.product, elasticities
+        FROM dataset d LEFT JOIN elasticity e ON e.product = d.product""",
     "model_data": _MODEL,
     "train_split": _MODEL + " WHERE week BETWEEN 86 AND 89",
     "test_split": _MODEL + " WHERE week = 90",
@@ -361,7 +364,11 @@ SELECTS = {
         FROM train t JOIN scorer r
           ON r.product = t.product AND r.percent = round(t.discount * 100, 6)""",
     "scenarios": "SELECT * FROM what_if",
-    "delta_revenue": "SELECT * FROM deltas",
+    "delta_revenue": """
+        SELECT week, shopper, product, price, product_cat, discount, probability, exp_revenue,
+               CASE WHEN discount <> 0 THEN exp_revenue - max(CASE WHEN discount = 0 THEN exp_revenue END)
+                 OVER (PARTITION BY shopper, product) END AS delta_revenue
+        FROM scored""",
     "top_coupons": "SELECT * FROM optimal",
     "random_coupons": "SELECT * FROM random_slots",
     "zero_coupons": "SELECT * FROM zero_slots",
@@ -392,5 +399,12 @@ SELECTS = {
 }
 
 
+# Statements whose views are to be computed once and as they stand.
+MATERIALISED = {"redemption_features", "elasticity_feature", "delta_revenue"}
+
+
 def statements() -> dict[str, str]:
-    return {name: _statement(select.strip()) for name, select in SELECTS.items()}
+    return {
+        name: _statement(select.strip(), "AS MATERIALIZED" if name in MATERIALISED else "AS")
+        for name, select in SELECTS.items()
+    }
