@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -10,21 +9,24 @@ from pyspark.sql import functions as F
 
 from couponloom.operators.affinity import context_lists
 from couponloom.operators.nearest import BLOCK_ROWS, nearest
+from couponloom.workspace import content_fingerprint, stage_folder
 
 MIN_COUNT = 2
+DIMENSIONS = 100
+SEED = 42
 PARTITIONS = 8
 DEFAULT_MAX_SENTENCE = 1_000
 
 
 def train_embeddings(
-    baskets: DataFrame, dimensions: int = 100, seed: int = 42, partitions: int | None = None
+    baskets: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, partitions: int = PARTITIONS
 ) -> Word2VecModel:
     """Skip-gram over basket lists; the window is the longest list.
 
     Partitions are fixed in number and content, so the size of the cluster does not enter;
     what is left open is the trainer's order of words that are equally frequent.
     """
-    dealt = context_lists(baskets).repartition(partitions or PARTITIONS, F.xxhash64("items"))
+    dealt = context_lists(baskets).repartition(partitions, F.xxhash64("items"))
     lists = dealt.sortWithinPartitions("items").persist()
     try:
         longest = lists.agg(F.max(F.size("items"))).first()[0] or 1
@@ -35,23 +37,28 @@ def train_embeddings(
             minCount=MIN_COUNT,
             windowSize=longest,
             maxSentenceLength=max(longest, DEFAULT_MAX_SENTENCE),
-            numPartitions=partitions or PARTITIONS,
+            numPartitions=partitions,
             seed=seed,
         ).fit(lists)
     finally:
         lists.unpersist()
 
 
-def load_or_train(baskets: DataFrame, path: str, **kwargs) -> Word2VecModel:
-    """Saved model of the path, or a new one that is saved there."""
-    try:
-        return Word2VecModel.load(path)
-    except PySparkException as error:
-        if "PATH_NOT_FOUND" not in str(error) and "does not exist" not in str(error):
-            raise
-    model = train_embeddings(baskets, **kwargs)
-    model.write().overwrite().save(path)
-    return model
+def load_or_train(baskets: DataFrame, folder: str | None = None, **kwargs) -> Word2VecModel:
+    """The model of these baskets and parameters, trained where the folder has none.
+
+    The path carries a fingerprint of both, and a model is published whole: other baskets never meet
+    it, and one that a lost job left half written is trained again.
+    """
+    spark = baskets.sparkSession
+    read = baskets.select("week", "shopper", "product")
+    options = {"dimensions": DIMENSIONS, "seed": SEED, "partitions": PARTITIONS} | kwargs
+    key = content_fingerprint(read, repr(sorted(options.items())), f"{MIN_COUNT} {DEFAULT_MAX_SENTENCE}")
+
+    def write(path: str) -> None:
+        train_embeddings(read, **options).save(path)
+
+    return Word2VecModel.load(stage_folder(spark, "embeddings", key, write, folder))
 
 
 def embeddings(model: Word2VecModel) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def facts(inputs: Inputs, params: Params) -> DataFrame:
     return clean(baskets_coupons(baskets, coupons, inputs.unique_keys))
 
 
+def input_weeks(inputs: Inputs) -> list[int | None]:
+    """Weeks of both tables, ascending, None first where rows have no week."""
+    found = inputs.baskets.select("week").union(inputs.coupons.select("week")).distinct().collect()
+    return sorted((r["week"] for r in found), key=lambda w: (w is not None, w))
+
+
+def in_weeks(inputs: Inputs, weeks: list[int | None]) -> Inputs:
+    """The inputs' rows of some weeks; a fact is made of rows of one week."""
+    known = F.col("week").isin([w for w in weeks if w is not None])
+    wanted = known | F.col("week").isNull() if None in weeks else known
+    return replace(inputs, baskets=inputs.baskets.filter(wanted), coupons=inputs.coupons.filter(wanted))
+
+
+def facts_fingerprint(params: Params, source: str) -> str:
+    """Facts depend on the number of shoppers and on no week."""
+    return Params(n_shoppers=params.n_shoppers).fingerprint("facts", source)
+
+
 def duplicate_keys(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return df.groupBy(*(key or KEY)).agg(F.count("*").alias("n")).filter("n > 1")

@@ -102,10 +102,12 @@ def _value_dimension(
     return rates.join(woe(data, params, by, params.model_products), by, "left")
 
 
-def dataset(data: DataFrame, params: Params, packed: DataFrame | None = None) -> DataFrame:
+def dataset(
+    data: DataFrame, params: Params, packed: DataFrame | None = None, weeks: list[int] | None = None
+) -> DataFrame:
     """Panel with histories and imputed prices, before any feature."""
-    rows = panel(data, params, packed=packed)
-    return impute_price(rows, data, params, params.panel_weeks)
+    weeks = weeks or params.panel_weeks
+    return impute_price(panel(data, params, weeks, packed=packed), data, params, weeks)
 
 
 def model_data(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from couponloom.functions import history as H
@@ -48,16 +48,19 @@ def redeemed_weeks(data: DataFrame) -> DataFrame:
     )
 
 
-def cells(data: DataFrame, params: Params) -> DataFrame:
+def cells(data: DataFrame, params: Params, observation: Observation | None = None) -> DataFrame:
     """(shopper, block, histories, offers): facts packed per shopper and block of products.
 
     `histories` maps a product to its week entries, see functions.history, so a row finds its own by
     one look-up; `offers` are the entries of the block that carry a discount. Both hold one entry per
     product and week at most, so a cell is bounded by category size x weeks whatever the number of
     facts. Written once, cells serve the panel and the redemption rates without another pass over the
-    facts. Facts without a product are in no cell.
+    facts. Facts without a product are in no cell. An `observation` gets `most`, the rows of the most
+    repeated key, from the counts that are made anyway.
     """
     counts = week_counts(data.filter("product IS NOT NULL")).withColumn("block", product_block(params))
+    if observation is not None:
+        counts = counts.observe(observation, F.max("n_rows").alias("most"))
     entry = F.struct("week", "n_rows", "purchased", "received", "redeemed", "discount")
     offer = F.when(F.col("discount") != 0, F.struct("week", "discount"))
     # Dealt by cell once: neither aggregation below shuffles again.

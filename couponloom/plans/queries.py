@@ -30,7 +30,7 @@ from couponloom.operators.scoring import RateScorer, TreeScorer, log_loss, purch
 from couponloom.params import Params
 from couponloom.sources.star import star_inputs, star_params, star_table
 from couponloom.sources.tables import Inputs, read_coupons, read_inputs, write_coupons
-from couponloom.workspace import private_folder, private_stage, shared_folder, stage
+from couponloom.workspace import private_folder, private_stage, shared_folder, weekly_stage
 
 # Products with and without a category occur when the binned range ends at 90.
 PARTLY_BINNED = {"n_products": 95}
@@ -142,14 +142,18 @@ def _duplicate_keys(s: Star) -> DataFrame:
 
 
 def _cached_dataset(s: Star) -> DataFrame:
+    """The weeks before the test week are written first, so the second reading builds one week."""
     folder = f"{shared_folder(s.spark)}/{uuid.uuid4().hex}"
     key = s.params.fingerprint(s.sf_dir)
 
-    def read() -> DataFrame:
-        return stage(s.spark, "dataset", key, lambda: features.dataset(s.written_facts, s.params), folder)
+    def read(weeks: list[int]) -> DataFrame:
+        return weekly_stage(
+            s.spark, "dataset", key, weeks,
+            lambda some: features.dataset(s.written_facts, s.params, s.written_cells, some), folder,
+        )
 
-    read()
-    return read().select(
+    read(s.params.train_weeks)
+    return read(s.params.panel_weeks).select(
         *KEY,
         "price",
         "discount",
@@ -499,7 +503,7 @@ def _gbt_policy_comparison(s: Star) -> DataFrame:
 
 
 def _model(s: Star):
-    return embeddings.train_embeddings(s.inputs.baskets)
+    return embeddings.load_or_train(s.inputs.baskets)
 
 
 def _product_embeddings(s: Star) -> DataFrame:

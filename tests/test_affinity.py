@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from couponloom.operators import affinity
+from couponloom.operators import embeddings as embedding_module
 from couponloom.operators.affinity import (
     basket_lists,
     clip_diagonal,
@@ -218,8 +219,28 @@ def test_embeddings_find_products_bought_together(spark, tmp_path):
     assert sorted(all_similar_products(model, 5, block_rows=3).collect()) == sorted(every)
     points = projection(model)
     assert points.columns == ["product", "x", "y"] and points.count() == 20
-    loaded = load_or_train(df.limit(0), f"{tmp_path}/model")
+    loaded = load_or_train(df.repartition(5), f"{tmp_path}/model", dimensions=16, partitions=1)
     first, second = (
         {r["product"]: r.embedding for r in embeddings(m).collect()} for m in (model, loaded)
     )
     assert first == second
+
+
+def test_other_baskets_or_parameters_never_get_the_old_model(spark, tmp_path, monkeypatch):
+    trained, train = [], embedding_module.train_embeddings
+    monkeypatch.setattr(embedding_module, "train_embeddings", lambda b, **k: trained.append(k) or train(b, **k))
+    df = spark.createDataFrame([(w, s, p) for w in range(3) for s in range(4) for p in range(3)], SCHEMA)
+
+    def load(baskets, **kwargs):
+        return {r["product"] for r in embeddings(load_or_train(baskets, str(tmp_path), partitions=1, **kwargs)).collect()}
+
+    assert load(df, dimensions=4) == load(df, dimensions=4) == {0, 1, 2}
+    assert len(trained) == 1
+    assert load(df.filter("product < 2"), dimensions=4) == {0, 1}
+    load(df, dimensions=5)
+    assert len(trained) == 3
+    # A model without its marker was left half written.
+    for marker in tmp_path.glob("stages/embeddings-*/_SUCCESS"):
+        marker.unlink()
+    assert load(df, dimensions=4) == {0, 1, 2}
+    assert len(trained) == 4

@@ -232,6 +232,44 @@ def test_whole_pipeline(spark, tmp_path, scorer):
     assert result.train_log_loss.first()[0] > 0
 
 
+def test_a_false_claim_of_unique_keys_fails_the_run(spark, tmp_path):
+    baskets, coupons = random_rows(4, repeats=1)
+    baskets, coupons = ([*{r[:3]: r for r in rows}.values()] for rows in (baskets, coupons))
+
+    def start(rows, folder):
+        given = replace(inputs(spark, rows, coupons), unique_keys=True)
+        return run(spark, given, SMALL, f"{tmp_path}/out", "v1", scorer="rates", folder=f"{tmp_path}/{folder}")
+
+    assert start(baskets, "a").coupons.count() > 0
+    with pytest.raises(ValueError, match="unique_keys"):
+        start([*baskets, baskets[0]], "b")
+    assert not list((tmp_path / "b" / "stages").glob("cell-maps-*"))
+    # Facts are right whatever the claim, and stay; a second run meets the same proof.
+    with pytest.raises(ValueError, match="unique_keys"):
+        start([*baskets, baskets[0]], "b")
+
+
+def test_a_new_week_of_facts_is_added(spark, tmp_path):
+    baskets, coupons = random_rows(4, repeats=1)
+
+    def start(weeks):
+        given = inputs(spark, [r for r in baskets if r[0] in weeks], [r for r in coupons if r[0] in weeks])
+        return run(spark, given, SMALL, f"{tmp_path}/out", "v1", scorer="rates", folder=str(tmp_path))
+
+    def facts_of_weeks():
+        (folder,) = (tmp_path / "stages").glob("facts-*")
+        return {p.name: p.stat().st_mtime_ns for p in folder.iterdir()}
+
+    start(range(8))
+    before = facts_of_weeks()
+    whole = sorted(map(tuple, start(range(9)).model_data.collect()), key=str)
+    after = facts_of_weeks()
+    assert set(after) - set(before) == {"week=8"} and {k: after[k] for k in before} == before
+    given = inputs(spark, baskets, coupons)
+    fresh = run(spark, given, SMALL, f"{tmp_path}/out", "v1", scorer="rates", folder=f"{tmp_path}/fresh")
+    assert whole == sorted(map(tuple, fresh.model_data.collect()), key=str)
+
+
 def test_zero_policy_equals_scenario_zero_without_substitutes(spark, scored):
     """Evaluation keeps observed substitute discounts unless told otherwise."""
     data, rows, test, _ = scored
