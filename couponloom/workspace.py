@@ -183,7 +183,18 @@ def private_stage(
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the session's private folders; frames that read them are then spent."""
-    for path in _private.pop(spark.sparkContext.applicationId, []):
+def private_folders(spark: SparkSession) -> int:
+    """Number of the session's private folders, for release()."""
+    return len(_private.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Remove the session's private folders; frames that read them are then spent.
+
+    The first `since` folders and the one to `keep` stay.
+    """
+    held = _private.get(spark.sparkContext.applicationId, [])
+    gone = [path for path in held[since:] if path != keep]
+    held[since:] = [path for path in held[since:] if path == keep]
+    for path in gone:
         remove(spark, path)

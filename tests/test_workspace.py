@@ -4,7 +4,14 @@ import pytest
 
 from couponloom.operators.encode import test_rows as in_test_week
 from couponloom.params import Params
-from couponloom.workspace import content_fingerprint, private_stage, release, stage, weekly_stage
+from couponloom.workspace import (
+    content_fingerprint,
+    private_folders,
+    private_stage,
+    release,
+    stage,
+    weekly_stage,
+)
 
 
 def test_a_half_written_stage_is_built_again(spark, tmp_path):
@@ -111,3 +118,15 @@ def test_private_stages_can_be_removed(spark):
     assert Path(folder).exists()
     release(spark)
     assert not Path(folder).exists()
+
+
+def test_only_later_folders_are_released(spark):
+    early = private_stage(spark, "early", lambda: spark.range(1))
+    since = private_folders(spark)
+    late, kept = (private_stage(spark, name, lambda: spark.range(2)) for name in ("late", "kept"))
+    release(spark, since, kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+    assert early.count() == 1 and kept.count() == 2 and private_folders(spark) == since + 1
+    with pytest.raises(Exception):
+        late.collect()
+    release(spark)
+    assert private_folders(spark) == 0
