@@ -88,6 +88,8 @@ class PieceModel:
         usual = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if len(self.bytes) < 256:
             raise ValueError("the model has no byte pieces")
+        if model.vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 65,536 pieces do not fit into 16 bits")
         self.ids = {pieces[i]: i for i in usual}
         #: Place of a piece on the agenda: the best score is the smallest.
         self.ranks = {pieces[i]: -model.get_score(i) for i in usual}
@@ -291,16 +293,36 @@ def unit_starts(content: bytes, texts: np.ndarray, joins: np.ndarray) -> np.ndar
     return np.flatnonzero(start)
 
 
+class Growing:
+    """An array that values are added to; its room doubles."""
+
+    def __init__(self, kind: type):
+        self._room, self.size = np.zeros(1024, dtype=kind), 0
+
+    @property
+    def held(self) -> np.ndarray:
+        """The values so far, which may be written to."""
+        return self._room[: self.size]
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self._room):
+            room = np.zeros(max(end, 2 * len(self._room)), dtype=self._room.dtype)
+            room[: self.size] = self.held
+            self._room = room
+        self._room[self.size : end] = values
+        self.size = end
+
+
 class Encoder:
     """Encodes texts, remembering the outcomes of units.
 
     The outcomes of a unit are a tree: its root is the plain encoding, a child is what follows
     when one candidate of its parent is skipped and none before it. An occurrence goes down
-    by its own draws until it skips nothing more. `variants` limits nothing; it was the number
-    of outcomes a unit could have.
+    by its own draws until it skips nothing more.
     """
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int | None = None, memory: int = MEMORY):
+    def __init__(self, path: str, rate: float, seed: int, memory: int = MEMORY):
         self.model, self.rate = _model(path), rate
         self._limit, self._seed, self._memory = _limit(rate), seed, memory
         self._forget()
@@ -309,22 +331,22 @@ class Encoder:
         self._roots: dict[bytes, int] = {}
         #: Of each outcome: its unit and skipped candidates, its ids, the candidates it can still skip.
         self._from: list[tuple[bytes, tuple[int, ...]]] = []
-        self._ids = np.zeros(0, dtype=np.uint16)
-        self._starts, self._lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._marks, self._children = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self._firsts, self._counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._ids = Growing(np.uint16)
+        self._starts, self._lengths = Growing(np.int64), Growing(np.int64)
+        self._marks, self._children = Growing(np.uint64), Growing(np.int64)
+        self._firsts, self._counts = Growing(np.int64), Growing(np.int64)
 
     def _add(self, origin: list, ids: np.ndarray, lengths: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers of new outcomes."""
         number = len(self._from) + np.arange(len(origin))
         self._from += origin
-        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
-        self._lengths = np.concatenate([self._lengths, lengths])
-        self._ids = np.concatenate([self._ids, ids.astype(np.uint16)])
-        self._firsts = np.concatenate([self._firsts, len(self._marks) + np.cumsum(counts) - counts])
-        self._counts = np.concatenate([self._counts, counts])
-        self._marks = np.concatenate([self._marks, marks.astype(np.uint64)])
-        self._children = np.concatenate([self._children, np.full(len(marks), -1)])
+        self._starts.add(self._ids.size + np.cumsum(lengths) - lengths)
+        self._lengths.add(lengths)
+        self._ids.add(ids)
+        self._firsts.add(self._marks.size + np.cumsum(counts) - counts)
+        self._counts.add(counts)
+        self._marks.add(marks)
+        self._children.add(np.full(len(marks), -1))
         return number
 
     def _add_each(self, origin: list, found: list[tuple[list[int], list[int]]]) -> np.ndarray:
@@ -373,25 +395,25 @@ class Encoder:
         asked = np.arange(len(nodes))
         while len(asked):
             own = nodes[asked]
-            counts = self._counts[own]
-            place, asker = ragged(self._firsts[own], counts), np.repeat(asked, counts)
+            counts = self._counts.held[own]
+            place, asker = ragged(self._firsts.held[own], counts), np.repeat(asked, counts)
             skipped = np.ones(len(place), dtype=bool)
             if self._limit <= _MASK:
-                skipped = _draws(keys[asker], self._marks[place]) < np.uint64(self._limit)
+                skipped = _draws(keys[asker], self._marks.held[place]) < np.uint64(self._limit)
             place, asker = place[skipped], asker[skipped]
             first = np.ones(len(asker), dtype=bool)
             first[1:] = asker[1:] != asker[:-1]
             place, asked = place[first], asker[first]
-            new = np.unique(place[self._children[place] < 0])
+            new = np.unique(place[self._children.held[place] < 0])
             if len(new):
-                parents = (np.searchsorted(self._firsts, new, side="right") - 1).tolist()
+                parents = (np.searchsorted(self._firsts.held, new, side="right") - 1).tolist()
                 origin = [
                     (self._from[parent][0], (*self._from[parent][1], mark))
-                    for parent, mark in zip(parents, self._marks[new].tolist(), strict=True)
+                    for parent, mark in zip(parents, self._marks.held[new].tolist(), strict=True)
                 ]
                 found = self._learn(origin)
-                self._children[new] = found
-            nodes[asked] = self._children[place]
+                self._children.held[new] = found
+            nodes[asked] = self._children.held[place]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
@@ -421,8 +443,8 @@ class Encoder:
                 for (name, _), key in zip(origin, keys[alone].tolist(), strict=True)
             ]
             own[alone] = self._add_each(origin, found)
-        lengths = self._lengths[own]
-        ids = self._ids[ragged(self._starts[own], lengths)].astype("<u2").tobytes()
+        lengths = self._lengths.held[own]
+        ids = self._ids.held[ragged(self._starts.held[own], lengths)].astype("<u2").tobytes()
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)] * 2
         done = iter([ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
         return [next(done) if t else b"" for t in texts]
@@ -433,21 +455,30 @@ def _model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def _texts(found: list[str | None]) -> pa.Array:
+    return pa.array(found, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
+
+
 def encode(
-    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int | None = None
+    docs: DataFrame, model: str, text: str = "text", rate: float = 0.1, seed: int = 1, with_text: bool = False
 ) -> DataFrame:
-    """Each row of docs with `ids`: u16 little-endian piece ids of its whole text."""
+    """Each row of docs with `ids`: u16 little-endian piece ids of its whole text.
+
+    `with_text` adds `decoded`, the text of those ids, as `decode` does, but in the same map.
+    """
 
     def make():
         # One for each task: what it remembers goes with the task.
-        encoder = Encoder(model, rate, seed, variants)
+        encoder, pieces = Encoder(model, rate, seed), _model(model)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            return [pa.array(encoder.encode(texts), pa.binary())]
+            ids = encoder.encode(texts)
+            columns = [pa.array(ids, pa.binary())]
+            return [*columns, _texts([pieces.decode(np.frombuffer(x, "<u2")) for x in ids])] if with_text else columns
 
         return compute
 
-    return appended(docs, text, make, "ids binary")
+    return appended(docs, text, make, "ids binary, decoded string" if with_text else "ids binary")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -459,16 +490,15 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             found = [
                 None if x is None else pieces.decode(np.frombuffer(x, "<u2")) for x in batch.column(ids).to_pylist()
             ]
-            decoded = pa.array(found, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(found)], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digest(coded: DataFrame, model: str) -> DataFrame:
-    """Ids counted and summed up as they are stored, decoded, and the text they give held against the text."""
+def digest(coded: DataFrame) -> DataFrame:
+    """Ids counted and summed up as they are stored, and the text they decode to held against the text."""
     source = F.coalesce(F.col("row.text"), F.lit(""))
-    return decode(coded, model).select(
+    return coded.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         (F.octet_length("ids") / 2).cast("long").alias("n_ids"),
         F.crc32("ids").alias("ids_crc32"),
@@ -487,4 +517,4 @@ def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all `documents` with merge-dropout of 0.1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = piece_model()
-    return digest(encode(docs, model), model)
+    return digest(encode(docs, model, with_text=True))

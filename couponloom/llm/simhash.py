@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from couponloom.llm.components import components
-from couponloom.llm.text import text_bytes
+from couponloom.llm.text import give_back, text_bytes
 from couponloom.workspace import private_stage
 
 BITS = 64
@@ -71,6 +71,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) ->
     for batch in batches:
         found = np.array([fingerprint(t, shingle, seed) for t in text_bytes(batch.column("text"))], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found.view(np.int64))], names=["key", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:

@@ -10,14 +10,16 @@ Texts are dealt into blocks by a hash of key and text. A block sends each distin
 once, with a mark when it holds it several times; a bucket answers the block with a bit per
 window of the string; the block then marks the words of its texts. What travels from a
 passage that many texts share is thus one string a block, never one a text. A minimiser
-that holds more than 1/`HOT_SHARE` of the strings (near copies differ, so their strings do
-not fall together) is dealt out further, each window by its own hash. Which minimisers those
-are is read from every `HOT_EVERY`-th text; the list has at most HOT_SHARE entries and decides
-only where windows meet, not which are found.
+of more than `HOT_STRINGS` strings (near copies differ, so their strings do not fall together) is
+dealt out further, each window by its own hash, so no minimiser's windows fill a task. The strings
+of every minimiser are counted over all texts first, each task's distinct ones once. The list is
+sent to all tasks and holds `HOT_LIST` minimisers, the largest ones, at most; it decides only where
+windows meet, not which are found.
 
 Contract of `repeated_windows`: words are [^\\x20\\x09-\\x0D]+, unchanged; null and empty
 texts have none; texts of fewer than `size` words have no window and lose nothing. Windows
-are judged on the input. A row that is repeated whole has all its windows repeated. Rows keep
+are judged on the input. A row that is repeated whole has all its windows repeated. Texts of any
+length are read whole, one that passes a block is a block of its own. An empty table gives no rows. Rows keep
 all their columns in the struct `row`.
 """
 
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,23 +35,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from couponloom.llm.text import BLOCK_BYTES, block_count, chunks, ragged, text_bytes
+from couponloom.llm.text import block_count, chunks, give_back, ragged, text_bytes
 
 #: Words of the runs that minimisers are taken from.
 MER = 4
 #: Windows of one string at most: their answers are the bits of one word.
 RUN = 64
+#: Bytes of text of a block; what its task holds is some ten times that.
+BLOCK_BYTES = 6 << 20
 #: Packed bytes are about three times the text.
 BUCKETS_PER_BLOCK = 3
-HOT_SHARE = 2000
-HOT_EVERY = 64
+#: Strings of one minimiser that are sorted together, and minimisers sent to all tasks: 2 MB.
+HOT_STRINGS = 2048
+HOT_LIST = 1 << 18
+_COUNTED_AT_ONCE = 1 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
+#: Times _A this is one.
+_A_BACK = np.uint64(pow(int(_A), -1, 1 << 64))
 _PART_BYTES = 4 << 20
 
 
@@ -109,18 +117,25 @@ class Words:
         again = np.add.reduceat(same, np.concatenate([[0], np.cumsum(span)[:-1]]).astype(np.int64)) > 1
         return first, length, value, again
 
+    def run_hashes(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """A hash of the words [first, first + count): a polynomial, moved to the run's start."""
+        n = len(self.hashes)
+        forth, back = (np.cumprod(np.full(n + 1, base, dtype=np.uint64)) for base in (_A, _A_BACK))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * forth[:n], dtype=np.uint64)])
+        return _mix((sums[first + count] - sums[first]) * back[first])
+
     def strings(self, first: np.ndarray, count: np.ndarray) -> list[bytes]:
         """The words [first, first + count) as they stand in the buffer."""
         a, b, content = self.starts[first], self.ends[first + count - 1], self.content
         return [content[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _items(texts: list[bytes], size: int, hot: set[int]) -> tuple[Words, tuple]:
+def _items(texts: list[bytes], size: int, hot: np.ndarray) -> tuple[Words, tuple]:
     """Words, and (first word, windows, string, routing value, again) of what is sent."""
     words = Words(texts)
     first, length, value, again = words.super_kmers(size)
-    if hot:
-        apart = np.isin(value, np.array(sorted(hot), dtype=np.uint64))
+    if len(hot):
+        apart = np.isin(value, hot)
         if apart.any():
             single = ragged(first[apart], length[apart])
             keep = ~apart
@@ -136,16 +151,17 @@ def _items(texts: list[bytes], size: int, hot: set[int]) -> tuple[Words, tuple]:
     return words, (first, length, words.strings(first, length + size - 1), value, again)
 
 
+_NONE = np.zeros(0, np.uint64)
 _SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
 
 
-def _send(key: tuple, table: pa.Table, size: int, buckets: int, hot: set[int]) -> pa.Table:
+def _send(key: tuple, table: pa.Table, size: int, buckets: int, hot: Broadcast) -> pa.Table:
     """The distinct strings of a block, packed by bucket."""
     texts = text_bytes(table.column("text"))
     marks: dict[bytes, int] = {}
     routes: list[int] = []
     for part in chunks([len(t) for t in texts], _PART_BYTES):
-        _, (_, _, strings, value, again) = _items(texts[part], size, hot)
+        _, (_, _, strings, value, again) = _items(texts[part], size, hot.value)
         for string, route, repeats in zip(strings, value.tolist(), again.tolist(), strict=True):
             if string in marks:
                 marks[string] |= 1
@@ -256,7 +272,7 @@ def _spans(covered: np.ndarray) -> list[dict]:
 _FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: set[int]) -> pa.Table:
+def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: Broadcast) -> pa.Table:
     """Covered words of a block's texts."""
     bits = {
         answer[i : i + 16]: answer[i + 16 : i + 24]
@@ -265,7 +281,7 @@ def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: set[int]) -> pa.Tab
     texts = text_bytes(docs.column("text"))
     n_words, spans, kept, cleaned = [], [], [], []
     for part in chunks([len(t) for t in texts], _PART_BYTES):
-        words, (first, length, strings, _, _) = _items(texts[part], size, hot if bits else set())
+        words, (first, length, strings, _, _) = _items(texts[part], size, hot.value if bits else _NONE)
         cover = np.zeros(len(words.hashes) + 1, dtype=np.int64)
         if bits:
             digests = map(xxhash.xxh3_128_digest, strings)
@@ -300,26 +316,44 @@ def _mark(docs: pa.Table, answers: pa.Table, size: int, hot: set[int]) -> pa.Tab
 
 
 def _minimisers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """How many runs each minimiser has in a task's texts."""
-    counts: Counter[int] = Counter()
+    """How many distinct strings each minimiser has in a task's texts."""
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        value, run = np.concatenate([np.zeros((0, 2), np.uint64), *held]).T
+        held.clear()
+        order = np.lexsort((run, value))
+        value, run = value[order], run[order]
+        distinct = np.ones(len(value), dtype=bool)
+        distinct[1:] = (value[1:] != value[:-1]) | (run[1:] != run[:-1])
+        values, n = np.unique(value[distinct], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["minimiser", "n"])
+
     for batch in batches:
         texts = text_bytes(batch.column("text"))
         for part in chunks([len(t) for t in texts], _PART_BYTES):
-            counts.update(Words(texts[part]).super_kmers(size)[2].tolist())
-    held = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(held), pa.array(list(counts.values()), pa.int64())], names=["minimiser", "n"]
-    )
+            words = Words(texts[part])
+            first, length, value, _ = words.super_kmers(size)
+            if len(first):
+                held.append(np.stack([value, words.run_hashes(first, length + size - 1)], axis=1))
+            if sum(map(len, held)) > _COUNTED_AT_ONCE:
+                yield counted()
+    yield counted()
+    give_back()
 
 
-def hot_minimisers(rows: DataFrame, size: int) -> set[int]:
-    """Minimisers with more than 1/HOT_SHARE of the runs in every HOT_EVERY-th text: fewer than HOT_SHARE."""
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(HOT_EVERY)) == 0)
-    counts = some.select("text").mapInArrow(partial(_minimisers, size=size), "minimiser long, n long")
-    counts = counts.groupBy("minimiser").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(HOT_SHARE).collect()
-    runs = sum(row["n"] for row in top)
-    return {row["minimiser"] & (1 << 64) - 1 for row in top if row["n"] >= 16 and row["n"] * HOT_SHARE > runs}
+def _trimmed(out: pa.Table) -> pa.Table:
+    """What a group gives, when all that it took is freed."""
+    give_back()
+    return out
+
+
+def hot_minimisers(rows: DataFrame, size: int) -> np.ndarray:
+    """Minimisers of more than HOT_STRINGS strings, the HOT_LIST largest at most, in ascending order."""
+    counts = rows.select("text").mapInArrow(partial(_minimisers, size=size), "minimiser long, n long")
+    counts = counts.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_STRINGS)
+    found = counts.orderBy(F.desc("n"), "minimiser").limit(HOT_LIST).select("minimiser").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
 def repeated_windows(
@@ -336,19 +370,23 @@ def repeated_windows(
         F.col(text).cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
     )
-    hot = hot_minimisers(rows, size)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(rows, size))
     buckets = blocks * BUCKETS_PER_BLOCK
-    sent = rows.groupBy("block").applyInArrow(
-        lambda key, table: _send(key, table, size, buckets, hot),
+    # As many partitions as groups: a task has a few groups, whatever the number of all.
+    dealt = rows.repartition(blocks, "block")
+    sent = dealt.groupBy("block").applyInArrow(
+        lambda key, table: _trimmed(_send(key, table, size, buckets, hot)),
         "bucket long, block long, packed binary",
     )
-    answers = sent.groupBy("bucket").applyInArrow(lambda table: _count(table, size), "block long, answer binary")
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+        lambda table: _trimmed(_count(table, size)), "block long, answer binary"
+    )
     added = T.StructType.fromDDL(
         "n_words long, spans array<struct<start: long, end: long>>, cleaned string, kept_sha256 string"
     )
     found = T.StructType([T.StructField("row", rows.schema["row"].dataType, False), *added.fields])
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda texts, given: _mark(texts, given, size, hot), found
+    return dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(
+        lambda texts, given: _trimmed(_mark(texts, given, size, hot)), found
     )
 
 

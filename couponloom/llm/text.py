@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +86,24 @@ def open_file(uri: str) -> pa.NativeFile:
     return files.open_input_file(path)
 
 
-def folder_uri(folder: str) -> str:
-    """A plain path as a URI that Arrow's file systems take."""
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+def folder_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark takes it from, as Arrow reads it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = files.makeQualified(path).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim, or nothing where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; a reused worker else keeps the most that a task ever held."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def appended(
@@ -113,6 +130,8 @@ def appended(
                 yield pa.RecordBatch.from_arrays(
                     [rows.slice(part.start, part.stop - part.start), *columns], names=names
                 )
+        del compute
+        give_back()
 
     out = T.StructType([T.StructField("row", docs.schema, False), *added.fields])
     whole = docs.withColumn(text, F.col(text).cast("string")) if dict(docs.dtypes)[text] != "string" else docs

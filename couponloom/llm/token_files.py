@@ -166,7 +166,7 @@ def write_tokens(
     key are dealt by text, so a repeated key does not make one long file.
     """
     spark = docs.sparkSession
-    folder = folder_uri(folder or private_folder(spark, "tokens"))
+    folder = folder_uri(spark, folder or private_folder(spark, "tokens"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     files = (

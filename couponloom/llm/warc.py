@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import partial
 
 import pyarrow as pa
@@ -195,7 +196,7 @@ def write_bundles(
 ) -> DataFrame:
     """Write all pages, return the written index of the records."""
     spark = pages.sparkSession
-    folder = folder_uri(folder or private_folder(spark, "warc"))
+    folder = folder_uri(spark, folder or private_folder(spark, "warc"))
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
@@ -222,16 +223,18 @@ _FIELDS = [
 def _read(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(name, kind) for name, _, kind in _FIELDS if name in wanted])
     uri, reader, held = None, None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bundle"] != uri:
-                uri = row["bundle"]
-                reader = BundleReader(open_file(uri))
-            found = parse(reader.record(row["frame"], row["offset"], row["length"]))
-            held.append({name: found[name] for name in wanted})
-            if len(held) == 500:
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
-                held = []
+    with ExitStack() as opened:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bundle"] != uri:
+                    opened.close()
+                    uri = row["bundle"]
+                    reader = BundleReader(opened.enter_context(open_file(uri)))
+                found = parse(reader.record(row["frame"], row["offset"], row["length"]))
+                held.append({name: found[name] for name in wanted})
+                if len(held) == 500:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 

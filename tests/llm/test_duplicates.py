@@ -62,13 +62,33 @@ def test_repeated_windows_of_random_texts(documents, monkeypatch):
     docs = documents(rows)
     assert digested(repeated_windows(docs, block_bytes=6000)) == expected(rows, 35)
     # Minimisers that are dealt out by window give the same.
-    monkeypatch.setattr(super_kmers, "HOT_EVERY", 1)
-    monkeypatch.setattr(super_kmers, "HOT_SHARE", 20_000)
+    assert not len(super_kmers.hot_minimisers(docs.select("text"), 35))
+    monkeypatch.setattr(super_kmers, "HOT_STRINGS", 2)
     hot = super_kmers.hot_minimisers(docs.select("text"), 35)
-    assert hot
+    assert len(hot) > 5
     assert digested(repeated_windows(docs, block_bytes=6000)) == expected(rows, 35)
 
 
+def test_one_long_text_makes_a_minimiser_hot(documents, monkeypatch):
+    """Many different strings of one minimiser, all in one text and in no other."""
+    monkeypatch.setattr(super_kmers, "HOT_STRINGS", 20)
+    rng = random.Random(9)
+    # Four words of a small hash are the minimiser wherever they stand.
+    runs = [f"k{i} four words here" for i in range(3000)]
+    least = min(runs, key=lambda r: int(super_kmers.Words([r.encode()]).super_kmers(4)[2][0]))
+    lines = [" ".join([least] + [f"v{rng.randrange(9999)}" for _ in range(rng.randrange(31, 36))]) for _ in range(300)]
+    rows = [(0, " ".join(lines)), (1, text(1, 200)), (2, " ".join(lines[5:7]))]
+    docs = documents(rows)
+    assert len(super_kmers.hot_minimisers(docs.select("text"), 35))
+    assert digested(repeated_windows(docs)) == expected(rows, 35)
+
+
+def test_equal_runs_have_equal_hashes():
+    words = super_kmers.Words([b"a b c d e", b"x a b c d", b"b c d e a"])
+    hashes = words.run_hashes(np.array([0, 6, 1, 10, 2]), np.array([4, 4, 4, 4, 3]))
+    assert hashes[0] == hashes[1] and hashes[2] == hashes[3] and len(set(hashes.tolist())) == 3
+
+
 def test_no_documents_no_rows(none):
     assert repeated_windows(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from couponloom.llm.merge_dropout import SPACE, Encoder, decode, encode, piece_model, unit_starts
+from couponloom.llm.text import folder_uri
 from couponloom.llm.token_files import TokenFile, pack, read_tokens, write_tokens
 from couponloom.llm.word_ids import WordEncoder
 from tests.llm.conftest import ODD, by_id
@@ -45,6 +46,19 @@ def test_token_file_gives_every_token():
         file[3000]
 
 
+def test_folders_keep_the_file_system_that_spark_takes_them_from(spark, tmp_path):
+    assert folder_uri(spark, "/x/y") == "file:///x/y" == folder_uri(spark, "file:/x/y") == folder_uri(spark, "file:///x/y")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.viewfs.mounttable.other.link./shared", f"file://{tmp_path}")
+        conf.set("fs.defaultFS", "viewfs://other/")
+        assert folder_uri(spark, "/shared/x") == "viewfs://other/shared/x"
+        assert folder_uri(spark, "file:///x") == "file:///x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_token_files_round_trip(odd, none):
     single = Tokenizer.from_file(WORDS)
     index = write_tokens(odd, WORDS, file_bytes=20_000)
@@ -66,14 +80,14 @@ def test_token_files_round_trip(odd, none):
 
 def test_plain_encoding_is_the_models_own():
     model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
-    plain = Encoder(piece_model(), 0.0, 1, 4)
+    plain = Encoder(piece_model(), 0.0, 1)
     for t in [t for t in strange(300) if SPACE not in t and "\x00" not in t] + [t or "" for _, t in ODD[:6]]:
         assert np.frombuffer(plain.encode([t.encode()])[0], "<u2").tolist() == model.encode(t)
 
 
 def test_dropout_is_seeded_varied_and_lossless():
     model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
-    a, same, other = (Encoder(piece_model(), 0.3, seed, 4, memory=50) for seed in (1, 1, 2))
+    a, same, other = (Encoder(piece_model(), 0.3, seed, memory=50) for seed in (1, 1, 2))
     texts = [t.encode() for t in [*strange(300), "therefore " * 50]]
     ids = a.encode(texts)
     assert ids == [same.encode([t])[0] for t in texts]
@@ -83,7 +97,7 @@ def test_dropout_is_seeded_varied_and_lossless():
         assert model.decode(np.frombuffer(found, "<u2").tolist()) == t.decode()
     ways = a.encode([b"therefore " * 50])[0]
     assert len(set(np.frombuffer(ways, "<u2").tolist())) > 3
-    every = np.frombuffer(Encoder(piece_model(), 1.0, 1, 1).encode([b"therefore"])[0], "<u2")
+    every = np.frombuffer(Encoder(piece_model(), 1.0, 1).encode([b"therefore"])[0], "<u2")
     assert len(every) == len("therefore") + 1
 
 
@@ -114,7 +128,7 @@ def test_outcomes_are_those_of_the_agenda():
 
 
 def test_both_agendas_merge_alike(monkeypatch):
-    model, texts = Encoder(piece_model(), 0.2, 1, 1).model, [t.replace(" ", SPACE) for t in strange(300, 5)]
+    model, texts = Encoder(piece_model(), 0.2, 1).model, [t.replace(" ", SPACE) for t in strange(300, 5)]
     short = [model.encode_unit(t, rate, k) for k, t in enumerate(texts) for rate in (0.0, 0.3)]
     monkeypatch.setattr("couponloom.llm.merge_dropout._SHORT", 0)
     assert short == [model.encode_unit(t, rate, k) for k, t in enumerate(texts) for rate in (0.0, 0.3)]
@@ -127,6 +141,8 @@ def test_encode_and_decode_rows(odd, none):
     assert coded.count() == len(ODD) and coded.select("row.*").columns == odd.columns
     same = by_id(encode(odd.repartition(5), model).select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h")), "d", "h")
     assert same == by_id(coded.select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h")), "d", "h")
-    want = Encoder(model, 0.1, 1, 2).encode([ODD[0][1].encode()])[0].hex().upper()
+    want = Encoder(model, 0.1, 1).encode([ODD[0][1].encode()])[0].hex().upper()
     assert (1, want) in same
+    both = encode(odd, model, with_text=True).select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h"), "decoded")
+    assert by_id(both, "d", "h", "decoded") == by_id(coded.select(F.col("row.doc_id").alias("d"), F.hex("ids").alias("h"), "decoded"), "d", "h", "decoded")
     assert encode(none, model).count() == 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,14 +10,17 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from couponloom.llm import attention, lm_scoring, toxicity
 from couponloom.llm.attention import CONTEXT, SCORED
+from couponloom.llm.simhash import fingerprint
 from couponloom.llm.text import id_remainder
 from couponloom.llm.toxicity import CharacterModel, Restorer, Scorer, ToxicityModel, decode
 from tests.llm.conftest import ODD, by_id, text
+from tests.llm.test_duplicates import brute_components, kept_words
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -267,6 +271,58 @@ def test_pipeline_of_odd_rows(documents, spark, tmp_path):
     assert held.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
 
 
+def test_each_stage_equals_brute_force(documents, spark, tmp_path):
+    """Every row that a stage returns, recounted from the rows it was given."""
+    rng = random.Random(3)
+    shared = [text(700 + k, 45) for k in range(3)]
+    bench = [text(800 + k, n) for k, n in enumerate((30, 12, 4))]
+    texts = [" ".join(rng.choice([text(i, 30), rng.choice(shared), text(i + 500, 50)]) for _ in range(3)) for i in range(60)]
+    texts += [texts[3], texts[3] + " tail", bench[0] + " " + text(950, 40), text(951, 40) + " " + bench[2], "", None, "Ünï ▁ \x00"]
+    docs = documents(list(enumerate(texts)) + [(None, texts[5]), (4, texts[4])])
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def rows_of(frame):
+        return [(r["doc_id"], r["text"]) for r in frame.collect()]
+
+    def ordered(rows):
+        return sorted(rows, key=str)
+
+    distinct = [*dict.fromkeys(rows_of(docs))]
+    values = [fingerprint((t or "").encode()) for _, t in distinct]
+    roots = brute_components(values, 3)
+    groups = {}
+    for (i, t), root in zip(distinct, roots, strict=True):
+        groups.setdefault(root, []).append((i is None, i or 0, t))
+    want = [(None if none else i, t) for none, i, t in map(lambda g: min(g, key=lambda r: r[:2]), groups.values())]
+    deduped = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert ordered(rows_of(deduped)) == ordered(want)
+
+    cleaned = corpus_pipeline.substring_dedup(spark, deduped, str(tmp_path))
+    given = rows_of(deduped)
+    want = [(i, kept if gone else t) for (i, t), (_, gone, kept) in zip(given, kept_words([t for _, t in given], 35), strict=True)]
+    assert ordered(rows_of(cleaned)) == ordered(want) and want != given
+
+    def fold(t):
+        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+    def windows(t):
+        words = fold(t)
+        return {tuple(words[k : k + min(10, len(words))]) for k in range(max(1, len(words) - 9))} if words else set()
+
+    listed = set().union(*map(windows, bench))
+    clean = corpus_pipeline.decontamination(spark, cleaned, str(tmp_path))
+    want = [
+        (i, t) for i, t in rows_of(cleaned)
+        if not any(tuple(fold(t)[k : k + len(w)]) == w for w in listed for k in range(len(fold(t))))
+    ]
+    assert ordered(rows_of(clean)) == ordered(want) and len(want) == cleaned.count() - 2
+
+    coded = corpus_pipeline.encoding(spark, clean, str(tmp_path)).collect()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(coded) == len(want) and all(r["lossless"] and r["n_ids"] * 2 == len(r["ids"]) for r in coded)
+    assert max(max(np.frombuffer(r["ids"], "<u2"), default=0) for r in coded) < pieces.get_piece_size()
+
+
 def test_different_texts_of_an_id_are_documents_of_their_own(documents, spark):
     one, two, three = text(910, 60), text(911, 60), text(912, 60)
     docs = documents([(1, one), (1, two), (1, two), (2, three), (3, two), (None, three)])
