@@ -5,8 +5,8 @@ Scores are accumulated dimension block by dimension block. After each block a ca
 gain at most the product of the remaining masses (norms) of query and candidate; those that
 cannot reach the query's k-th best score any more are left out, and the survivors are
 compacted: first whole candidates, then single pairs. The k-th best score starts from the
-queries of the block themselves, which are candidates of each other, so every task prunes
-from its first row on.
+queries of the block themselves, which are candidates of each other: a job of its own finds it once
+for all tasks, and every task prunes from its first row on.
 
 Queries are worked off in blocks of `QUERY_ROWS`, each sent to all tasks, against all
 candidates: nothing is shuffled but the few best of each task.
@@ -39,6 +39,7 @@ DIMENSIONS = 16
 _QUERIES_AT_ONCE = 128
 #: Below this share of live pairs they are followed one by one.
 _SPARSE = 0.1
+_BEST = "query_id long, vec_id long, score long"
 
 
 def _arithmetic(*parts: np.ndarray) -> type:
@@ -84,18 +85,18 @@ class Best:
 class Search:
     """Queries of a block against batches of candidates."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, reached: np.ndarray | None = None):
+        """reached: scores that each query's k best are known to reach."""
         self.ids, self.k = ids, k
         self.order = np.argsort(-np.square(vectors.astype(np.float64)).sum(axis=0), kind="stable")
         self.vectors = vectors[:, self.order]
         self.rest = _rest(self.vectors)
-        self.seed = Best(len(ids), k)
-        self._scan(self.seed, ids, self.vectors)
+        self.reached = np.full(len(ids), -np.inf) if reached is None else reached
 
     def start(self) -> Best:
         """Nothing found yet, but scores that are known to be reached."""
         best = Best(len(self.ids), self.k)
-        best.least = self.seed.least.copy()
+        best.least = self.reached.copy()
         return best
 
     def scan(self, best: Best, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -114,8 +115,7 @@ class Search:
             other = self.ids[rows][q] != ids[c]
             q, c, s = q[other] + at, c[other], s[other]
             best.add(q, s.astype(np.int64), ids[c])
-            if best is not self.seed:
-                np.maximum(best.least, self.seed.least, out=best.least)
+            np.maximum(best.least, self.reached, out=best.least)
 
     def _pairs(self, queries, query_rest, least, columns, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, score) of all pairs that reach the least score."""
@@ -162,7 +162,7 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best_of_task(batches: Iterator[pa.RecordBatch], queries: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
-    search = Search(*queries.value, k)
+    search = Search(*queries.value)
     best = search.start()
     for batch in batches:
         if batch.num_rows:
@@ -192,6 +192,17 @@ def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["id"] for r in rows], dtype=np.int64), out
 
 
+def _reached(part: DataFrame, found: np.ndarray, queries: Broadcast, k: int) -> np.ndarray:
+    """The k-th best score of each query among the other queries; a row for each query at most."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best = part.mapInArrow(partial(_best_of_task, queries=queries, k=k), _BEST)
+    last = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    out = np.full(len(found), -np.inf)
+    for row in last.collect():
+        out[np.searchsorted(found, row["query_id"])] = row["score"]
+    return out
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
     scale: int = 64, query_rows: int = QUERY_ROWS,
@@ -201,19 +212,20 @@ def top_k(
     rows = _usable(vectors, key, vector, scale)
     asked = _usable(vectors.where(is_query), key, vector, scale).groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = max(1, math.ceil(asked.count() / query_rows))
-    folder = f"{private_folder(spark, 'top-k')}"
-    schema = "query_id long, vec_id long, score long"
-    spark.createDataFrame([], schema).write.parquet(f"{folder}")
+    folder = private_folder(spark, "top-k")
+    spark.createDataFrame([], _BEST).write.parquet(folder)
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked
         found = sorted(part.collect(), key=lambda r: r["id"])
         if not found:
             continue
-        queries = spark.sparkContext.broadcast(_matrix(found))
-        rows.mapInArrow(partial(_best_of_task, queries=queries, k=k), schema).write.mode("append").parquet(folder)
+        ids, matrix = _matrix(found)
+        seeds = _reached(part.select("id", "vector"), ids, spark.sparkContext.broadcast((ids, matrix, k)), k)
+        queries = spark.sparkContext.broadcast((ids, matrix, k, seeds))
+        rows.mapInArrow(partial(_best_of_task, queries=queries, k=k), _BEST).write.mode("append").parquet(folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (
-        spark.read.schema(schema).parquet(folder).withColumn("rank", rank).where(F.col("rank") <= k)
+        spark.read.schema(_BEST).parquet(folder).withColumn("rank", rank).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 

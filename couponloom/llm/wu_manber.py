@@ -4,19 +4,21 @@ Patterns are word windows of the benchmark items, as bytes with a space on eithe
 that an occurrence in a normalised text is a run of whole words. All patterns share a
 window of m bytes, the length of the shortest. A table gives for every hashed block how far
 the window may move on before a pattern can end there; where that is zero the block is the
-suffix of some pattern's window, its bucket names the patterns to test, and comparing bytes
-confirms them. The tables are probed for thousands of places of a text at once, each place
+suffix of some pattern's window, its bucket names the patterns to test, of which those that also
+begin like the window are confirmed by comparing bytes. Tables grow with the patterns, so shifts stay
+long whatever the number of items. The tables are probed for thousands of places of a text at once, each place
 jumping by its own shift.
 
 Contract of `occurrences`: null and empty texts have no words and no hits; null and empty
 items have no windows; equal items, also under several ids, are all reported; an item id
 that is null is reported as the empty string. A row may repeat: each is judged alone. No
-documents or no items give no hits. Rows keep all their columns in the struct `row`.
+documents or no items give no hits. Texts of any length are searched whole. Rows keep all their columns in the struct `row`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponloom.llm.text import appended
+from couponloom.llm.text import appended, ragged
 
 #: Bytes outside words become spaces, capital letters small ones.
 _OUTSIDE = [b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)]
@@ -34,7 +36,8 @@ FOLD = bytes.maketrans(
 #: Benchmark texts of one pattern table, in bytes; more items are searched in further blocks.
 ITEM_BYTES = 4 << 20
 _BLOCK = 8
-_TABLE_BITS = 18
+#: Slots of the shift table: four for each block of a pattern, between these powers of two, a byte each.
+_TABLE_BITS = 18, 25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,19 +62,37 @@ class WuManber:
         self.window = min(map(len, patterns))
         self.block = min(_BLOCK, self.window)
         self._mask = np.uint64((1 << 8 * self.block) - 1)
-        self._shift = np.full(1 << _TABLE_BITS, self.window - self.block + 1, dtype=np.int64)
-        self._buckets: dict[int, list[int]] = {}
+        places = self.window - self.block + 1
+        least, most = _TABLE_BITS
+        self._down = np.uint64(64 - min(most, max(least, (4 * places * len(patterns)).bit_length())))
+        self._shift = np.full(1 << 64 - int(self._down), min(places, 255), dtype=np.uint8)
         joined = np.frombuffer(b"".join(p[: self.window] for p in patterns) + bytes(8), np.uint8)
         starts = np.arange(len(patterns)) * self.window
-        for at in range(self.window - self.block + 1):
+        for at in range(places):
             hashed = self._hash(joined, starts + at)
-            np.minimum.at(self._shift, hashed, self.window - self.block - at)
-        for i, h in enumerate(hashed.tolist()):
-            self._buckets.setdefault(h, []).append(i)
+            np.minimum.at(self._shift, hashed, min(places - 1 - at, 255))
+        # Suffix buckets: patterns in order of their slot, with the first bytes of each.
+        self._order = np.argsort(hashed, kind="stable")
+        self._slots, self._begins = hashed[self._order], self._begin(joined, starts)[self._order]
+
+    def _loads(self, buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.ndarray(len(buffer) - 7, dtype="<u8", buffer=buffer, strides=(1,))[at] & self._mask
 
     def _hash(self, buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
-        loads = np.ndarray(len(buffer) - 7, dtype="<u8", buffer=buffer, strides=(1,))
-        return ((loads[at] & self._mask) * _MIX >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        return (self._loads(buffer, at) * _MIX >> self._down).astype(np.int64)
+
+    def _begin(self, buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """First and last bytes of windows, mixed."""
+        return self._loads(buffer, at) * _MIX ^ self._loads(buffer, at + (self.window - self.block))
+
+    def _confirmed(self, content: bytes, buffer: np.ndarray, start: np.ndarray, slot: np.ndarray) -> list[tuple[int, int]]:
+        """Places whose bucket has a pattern that stands there."""
+        low, high = (np.searchsorted(self._slots, slot, side=s) for s in ("left", "right"))
+        count = high - low
+        which, place = ragged(low, count), np.repeat(start, count)
+        same = self._begins[which] == np.repeat(self._begin(buffer, start), count)
+        patterns = self._order[which[same]].tolist()
+        return [(a, i) for a, i in zip(place[same].tolist(), patterns, strict=True) if content.startswith(self.patterns[i], a)]
 
     def search(self, content: bytes) -> list[tuple[int, int]]:
         """(first byte, pattern) of every occurrence, in no particular order."""
@@ -82,25 +103,19 @@ class WuManber:
         lanes = max(1, min(8192, (last - first) // 512))
         edges = np.linspace(first, last, lanes + 1).astype(np.int64)
         at, end = edges[:-1].copy(), edges[1:]
-        found = []
+        found: list[tuple[int, int]] = []
         while len(at):
             hashed = self._hash(buffer, at)
-            shift = self._shift[hashed]
+            shift = self._shift[hashed].astype(np.int64)
             hit = np.flatnonzero(shift == 0)
             if len(hit):
-                found.append((at[hit] - first, hashed[hit]))
+                found += self._confirmed(content, buffer, at[hit] - first, hashed[hit])
                 shift[hit] = 1
             at = at + shift
             live = at < end
             if not live.all():
                 at, end = at[live], end[live]
-        return [
-            (start, i)
-            for starts, hashes in found
-            for start, h in zip(starts.tolist(), hashes.tolist(), strict=True)
-            for i in self._buckets.get(h, ())
-            if content.startswith(self.patterns[i], start)
-        ]
+        return found
 
 
 class Search:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from couponloom.llm import simhash, super_kmers
+from couponloom.llm import simhash, super_kmers, wu_manber
 from couponloom.llm.components import components
 from couponloom.llm.super_kmers import repeated_windows
 from couponloom.llm.wu_manber import WuManber, occurrences, with_counts
@@ -222,3 +222,19 @@ def test_occurrences_equal_brute_force(spark, odd, none, monkeypatch, item_bytes
     assert occurrences(none, items).count() == 0
     empty = with_counts(occurrences(docs, items.where("false")))
     assert empty.where("n_hit > 0").count() == 0 and empty.count() == len(ODD)
+
+
+def test_tables_grow_with_the_patterns_and_find_the_same(monkeypatch):
+    rng = random.Random(12)
+    words = [f"{rng.randrange(10**6):x}" for _ in range(3000)]
+    patterns = sorted({" " + " ".join(rng.sample(words, 10)) + " " for _ in range(4000)})
+    patterns = [p.encode() for p in patterns]
+    content = b" ".join(rng.choice([patterns[rng.randrange(4000)], " ".join(rng.sample(words, 12)).encode()]) for _ in range(400))
+    table = WuManber(patterns)
+    assert len(table._shift) > 1 << 18 and (table._shift == 0).mean() < 0.05
+    found = sorted(table.search(content))
+    places = {m.start() for m in re.finditer(b" ", content)}
+    want = sorted((at, i) for at in places for i, p in enumerate(patterns) if content.startswith(p, at))
+    assert found == want and len(found) > 100
+    monkeypatch.setattr(wu_manber, "_TABLE_BITS", (4, 6))
+    assert sorted(WuManber(patterns).search(content)) == want

@@ -68,10 +68,13 @@ def test_pruning_leaves_out_candidates():
     near = rng.normal(0, 1, (200, 64)) * 2
     far = rng.normal(0, 1, (4000, 64)) * 30
     queries = np.floor(far[:50] * 10).astype(np.int64)
-    search = top_k.Search(np.arange(50), queries, 5)
+    among = top_k.Search(np.arange(50), queries, 5)
+    best = among.start()
+    among.scan(best, np.arange(50), queries)
+    search = top_k.Search(np.arange(50), queries, 5, best.least)
     kind = np.float64
     q, c, s = search._pairs(
-        search.vectors.astype(kind), search.rest, search.seed.least,
+        search.vectors.astype(kind), search.rest, search.start().least,
         np.ascontiguousarray(np.floor(near).T.astype(kind)), top_k._rest(np.floor(near)),
     )
     assert len(q) < 50 * 200 / 4
