@@ -24,9 +24,9 @@ COPIES_PER_LIST = 1
 TILE = 2_048
 PAIRS_HELD = 1 << 21
 PIVOT_LIMIT = 1_000
-# Power iterations, and the partitions of the edges in them.
+# Power iterations, and the edges of a partition in them.
 ITERATIONS = 10
-PARTITIONS = 32
+EDGES_PER_PARTITION = 200_000
 MEMBERS_PER_BUCKET = 65_536
 
 
@@ -242,27 +242,25 @@ def clip_diagonal(edges: DataFrame) -> DataFrame:
     ).withColumn("distance", 1 - F.col("n"))
 
 
-def member_clusters(
-    edges: DataFrame, k: int = 3, iterations: int = ITERATIONS, partitions: int = PARTITIONS
-) -> DataFrame:
+def member_clusters(edges: DataFrame, k: int = 3, iterations: int = ITERATIONS) -> DataFrame:
     """(member, cluster) by power iteration on the edges, whose counts are the similarities.
 
     Work and memory follow the edges: no row vector of a member is built, so neither the number of
     members nor one that meets all others matters. Clusters are numbered by their smallest member;
-    members that meet no other one are cluster k. Partitions are fixed, so that the size of
-    the cluster does not enter.
+    members that meet no other one are cluster k. Partitions follow from the number of edges, so that the
+    size of the cluster does not enter.
     """
     spark = edges.sparkSession
     pairs = edges.filter((F.col("member_1") < F.col("member_2")) & (F.col("n") > 0)).select(
         F.col("member_1").cast("long").alias("src"), F.col("member_2").cast("long").alias("dst"),
         F.col("n").cast("double").alias("weight"),
     )
-    fixed = private_stage(
-        spark, "pairs", lambda: pairs.repartition(partitions, "src").sortWithinPartitions("src", "dst")
-    ).repartition(partitions, "src")
+    written = private_stage(spark, "pairs", lambda: pairs)
     members = edges.select(F.col("member_1").alias("member")).distinct()
-    if fixed.isEmpty():
+    partitions = -(-written.count() // EDGES_PER_PARTITION)
+    if not partitions:
         return members.withColumn("cluster", F.lit(k))
+    fixed = written.repartition(partitions, "src").sortWithinPartitions("src", "dst")
     found = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(fixed)
     named = private_stage(
         spark, "clusters", lambda: found.select(F.col("id").cast("int").alias("member"), F.col("cluster").alias("found"))
