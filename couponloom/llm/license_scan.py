@@ -1,21 +1,23 @@
 """License scans: MinHash bands over overlapping text windows, in DataFrame functions only.
 
-A text's words are hashed to shingles of five words. A template of s shingles is looked for
-in windows of 2s shingles that start at every multiple of s, so that any s consecutive
-shingles lie in one window. Window and template are compared by bands of minimum hashes;
-`band_count` gives as many bands as make a window that holds `containment` of the template
-collide with probability 1 - `miss` at least. Only windows that hold a shingle of some
-template can share a minimum with one, so the others are passed over: two bit tables of the
-templates' shingles tell them. Windows that collide are verified by the exact share of the
-template's shingles in them.
+A text's words are hashed to shingles of five words. A template of s shingles is found where
+2s consecutive shingles, starting anywhere, hold `containment` of its distinct shingles: it may
+have up to s words put into it. It is looked for in windows of 3s shingles that start at every
+multiple of s, so that any 2s consecutive shingles lie in one window. Window and template are
+compared by bands of minimum hashes; `band_count` gives as many bands as make a window that
+holds `containment` of the template collide with probability 1 - `miss` at least. Only windows
+that hold a shingle of some template can share a minimum with one, so the others are passed
+over: two bit tables of the templates' shingles tell them. Windows that collide are verified,
+once each, by the exact share of the template's shingles in the 2s shingles from each place of
+their first s that holds one of them; no other start has more.
 
 The scan is a map over the documents with broadcasts of the templates, whose number is a
 parameter of the caller; only the best window of a document and license is aggregated.
 
 Contract of `scan`: words are [a-z0-9]+ of the lower-cased text. A template of fewer than
-five words is one shingle of all its words. Null and empty texts match nothing. Rows that
-repeat a key are one document. Of several windows the one with most of the template, then
-the first, is reported. Without documents or templates there are no rows. Other columns are
+five words is one shingle of all its words. Null and empty texts match nothing. Very long
+texts are scanned whole. Rows that repeat a key are one document. Of several places the one
+with most of the template, then the first, is reported: a shingle of the template stands there. Without documents or templates there are no rows. Other columns are
 not read.
 """
 
@@ -59,8 +61,8 @@ def band_count(similarity: float, rows: int, miss: float) -> int:
 
 
 def least_similarity(containment: float) -> float:
-    """Jaccard similarity of a template of s shingles and a window of 2s that holds this share of it."""
-    return containment / (3 - containment)
+    """Jaccard similarity of a template of s shingles and a window of 3s that holds this share of it."""
+    return containment / (4 - containment)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -99,7 +101,7 @@ def _is_set(table: Column, h: Column, shift: int) -> Column:
 
 
 def _windows(h: Column, sizes: list[int], table: list[tuple[list[int], int]], shingle: int) -> Column:
-    """Candidate windows of one text: shingle length, template size, first shingle, distinct shingles."""
+    """Candidate windows of one text: shingle length, template size, first place, shingles in their order."""
     place = F.array_compact(
         F.transform(
             h, lambda x, i: F.when(
@@ -113,14 +115,14 @@ def _windows(h: Column, sizes: list[int], table: list[tuple[list[int], int]], sh
     many = F.lit(len(sizes))
     coded = F.array_distinct(F.flatten(F.transform(place, lambda i: F.flatten(F.transform(
         numbered, lambda s, c: _let(
-            F.floor(i / s), lambda k: F.when(k > 0, F.array(k * many + c, (k - 1) * many + c)).otherwise(F.array(k * many + c))
+            F.floor(i / s), lambda k: F.transform(F.sequence(F.greatest(k - 2, F.lit(0)), k), lambda own: own * many + c)
         )
     )))))
     return F.transform(coded, lambda code: _let(
         F.element_at(numbered, (code % many + 1).cast("int")), lambda s: F.struct(
             F.lit(shingle).alias("shingle"), s.cast("int").alias("size"),
             (F.floor(code / many) * s).alias("first"),
-            F.array_distinct(F.slice(h, (F.floor(code / many) * s + 1).cast("int"), (2 * s).cast("int"))).alias("held"),
+            F.slice(h, (F.floor(code / many) * s + 1).cast("int"), (3 * s).cast("int")).alias("held"),
         )
     ))
 
@@ -136,6 +138,17 @@ def _signature(held: Column, bands: int, rows: int) -> Column:
     )
 
 
+def _best_start(held: Column, wanted: Column, size: Column, first: Column) -> Column:
+    """(less, first): share of the wanted shingles from the best start in the window, negated, and its place."""
+    starts = F.array_compact(F.transform(
+        F.slice(held, F.lit(1), size), lambda x, i: F.when(F.array_contains(wanted, x), i)
+    ))
+    return F.array_min(F.transform(starts, lambda i: F.struct(
+        (-F.size(F.array_intersect(F.slice(held, i + 1, 2 * size), wanted)) / F.size(wanted)).alias("less"),
+        (first + i).alias("first"),
+    )))
+
+
 def templates(spark: SparkSession, notices: dict[str, str], shingle: int = SHINGLE) -> DataFrame:
     """(license, shingle, size, wanted): distinct shingles of each notice."""
     rows = spark.createDataFrame(sorted(notices.items()), "license string, text string")
@@ -152,7 +165,7 @@ def scan(
     docs: DataFrame, notices: dict[str, str], key: str = "doc_id", text: str = "text", containment: float = 0.8,
     shingle: int = SHINGLE, rows: int = 1, miss: float = 1e-6,
 ) -> DataFrame:
-    """(key, license, containment, first_word): the best window of each document and license found in it."""
+    """(key, license, containment, first_word): the best place of each document and license found in it."""
     spark = docs.sparkSession
     known = templates(spark, notices, shingle)
     held = known.collect()
@@ -177,24 +190,23 @@ def scan(
     candidates = docs.select(
         F.col(key).alias("key"), F.explode_outer(_let(words(F.col(text)), windows)).alias("window")
     ).where(F.col("window").isNotNull())
-    signed = candidates.select(
-        "key", "window.shingle", "window.size", "window.first", "window.held",
-        F.posexplode(_signature(F.col("window.held"), bands, rows)).alias("band", "value"),
+    signed = candidates.select("key", "window.*", _signature(F.col("window.held"), bands, rows).alias("signature")).select(
+        "*", F.posexplode("signature").alias("band", "value")
     )
-    wanted = known.select(
-        "license", "shingle", "size", "wanted",
-        F.posexplode(_signature(F.col("wanted"), bands, rows)).alias("band", "value"),
+    wanted = known.withColumn("wanted_signature", _signature(F.col("wanted"), bands, rows)).select(
+        "*", F.posexplode("wanted_signature").alias("band", "value")
     )
-    share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-    verified = signed.join(F.broadcast(wanted), ["shingle", "size", "band", "value"]).select(
-        "key", "license", "first", share.alias("containment")
-    ).where(F.col("containment") >= containment)
-    best = F.min(F.struct((-F.col("containment")).alias("less"), F.col("first")))
-    return verified.groupBy("key", "license").agg(best.alias("best")).select(
+    # A window and a template that collide in several bands are verified for the first of them.
+    equal = F.zip_with("signature", "wanted_signature", lambda a, b: a == b)
+    verified = signed.join(F.broadcast(wanted), ["shingle", "size", "band", "value"]).where(
+        F.array_position(equal, True) == F.col("band") + 1
+    ).select("key", "license", _best_start(F.col("held"), F.col("wanted"), F.col("size"), F.col("first")).alias("best"))
+    found = verified.where(F.col("best.less") <= -containment)
+    return found.groupBy("key", "license").agg(F.min("best").alias("best")).select(
         F.col("key").alias(key), "license", (-F.col("best.less")).alias("containment"), F.col("best.first").alias("first_word")
     )
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in `documents`: at least 0.8 of a notice's five-word shingles in a window."""
+    """License notices in `documents`: at least 0.8 of a notice's s five-word shingles among 2s consecutive ones."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), NOTICES)

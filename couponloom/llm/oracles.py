@@ -95,8 +95,9 @@ ds AS (
         FROM d, (SELECT DISTINCT k FROM ts) WHERE len(w) >= k)),
 hit AS (SELECT doc_id, license, size, i, shingle FROM ds JOIN ts USING (k, shingle)),
 win AS (
-  SELECT doc_id, license, c * size AS first, count(DISTINCT shingle) AS n
-  FROM (SELECT *, unnest([i // size, i // size - 1]) AS c FROM hit) WHERE c >= 0 GROUP BY ALL),
+  SELECT a.doc_id, a.license, a.i AS first, count(DISTINCT b.shingle) AS n
+  FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.license = b.license AND b.i >= a.i AND b.i < a.i + 2 * a.size
+  GROUP BY ALL),
 ok AS (SELECT doc_id, license, first, win.n / CAST(tn.n AS DOUBLE) AS containment
        FROM win JOIN tn USING (license) WHERE win.n / CAST(tn.n AS DOUBLE) >= 0.8)
 SELECT doc_id, license, containment, first AS first_word FROM ok

@@ -146,12 +146,11 @@ def brute_scan(rows, notices, least=0.8):
         for i, t in rows:
             d = fold(t)
             held = [tuple(d[j : j + k]) for j in range(len(d) - k + 1)]
-            for first in range(0, len(held), size):
-                share = len(kinds & set(held[first : first + 2 * size])) / len(kinds)
-                if share >= least:
-                    best = out.get((i, name))
-                    if best is None or (-share, first) < best:
-                        out[i, name] = (-share, first)
+            shares = [len(kinds & set(held[first : first + 2 * size])) / len(kinds) for first in range(len(held))]
+            if max(shares, default=0) < least:
+                continue
+            best = (-max(shares), min(j for j, s in enumerate(shares) if s == max(shares) and held[j] in kinds))
+            out[i, name] = min(best, out.get((i, name), best))
     return sorted(((i, n, -s, f) for (i, n), (s, f) in out.items()), key=lambda r: [(v is not None, v) for v in r])
 
 
@@ -172,6 +171,16 @@ def test_scan_equals_brute_force(documents, none):
     assert scan(documents(rows), {"blank": " .. "}).count() == 0
 
 
+def test_notice_with_words_put_in_is_found_wherever_it_stands(documents):
+    words, more = NOTICES["gpl-3.0"].split(), text(8, 20)
+    texts = [" ".join([text(9, before), *words[:20], more, *words[20:]]) for before in range(40)]
+    texts += [" ".join([text(9, 7), *words[:at], more, *words[at:], text(4, 50)]) for at in range(1, len(words))]
+    rows = list(enumerate(texts))
+    got = by_id(scan(documents(rows), NOTICES), "doc_id", "license", "containment", "first_word")
+    assert got == brute_scan(rows, NOTICES)
+    assert [i for i, name, *_ in got if name == "gpl-3.0"] == list(range(len(rows)))
+
+
 def test_scan_runs_no_python(documents):
     plan = scan(documents([(1, "a")]), NOTICES)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
