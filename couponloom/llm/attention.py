@@ -12,6 +12,7 @@ it in that window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,13 +130,12 @@ def gradient(
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
 
-    def table(of: np.ndarray, d: np.ndarray) -> np.ndarray:
-        found = np.zeros((c, WIDTH), dtype=np.float32)
-        np.add.at(found, of.ravel(), d.reshape(-1, WIDTH))
-        return found
-
+    # Sums by class as products with 0 and 1.
+    of = (np.arange(c)[:, None] == classes.ravel()).astype(np.float32)
+    at_asked = np.ascontiguousarray(of.reshape(c, *classes.shape)[:, :, CONTEXT:]).reshape(c, -1)
     scale = np.float32(1 / np.sqrt(WIDTH))
-    tq, tk, tv = table(asked, dq * scale), table(classes, dk), table(classes, dv)
+    tq = at_asked @ (dq * scale).reshape(-1, WIDTH)
+    tk, tv = of @ dk.reshape(-1, WIDTH), of @ dv.reshape(-1, WIDTH)
     embed = weights["embed"]
     apart = ds.sum(axis=0)
     return {
@@ -146,12 +146,18 @@ def gradient(
     }
 
 
-def train(weights: Weights, prior: np.ndarray, windows: tuple[np.ndarray, ...], batch: int = 64, rate: float = 0.01) -> Weights:
-    """One pass of Adam over windows (classes, ids, before, target class, weight)."""
+def train(
+    weights: Weights, prior: np.ndarray, cut: Callable[[np.ndarray], tuple[np.ndarray, ...]], order: np.ndarray,
+    batch: int = 64, rate: float = 0.01,
+) -> Weights:
+    """One pass of Adam over the windows numbered in `order`.
+
+    `cut` gives windows by their numbers: classes, ids, before, target class, weight.
+    """
     weights = {k: w.copy() for k, w in weights.items()}
     first, second = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
-    for step, at in enumerate(range(0, len(windows[0]), batch), 1):
-        d = gradient(weights, prior, *(x[at : at + batch] for x in windows))
+    for step, at in enumerate(range(0, len(order), batch), 1):
+        d = gradient(weights, prior, *cut(order[at : at + batch]))
         for k in weights:
             first[k] = 0.9 * first[k] + 0.1 * d[k]
             second[k] = 0.99 * second[k] + 0.01 * d[k] ** 2
@@ -159,15 +165,23 @@ def train(weights: Weights, prior: np.ndarray, windows: tuple[np.ndarray, ...],
     return weights
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts given as start id, ids, end id, one after the other.
+def window_counts(lengths: np.ndarray) -> np.ndarray:
+    """Windows of texts given as start id, ids, end id."""
+    return -(-(lengths - 1) // SCORED)
+
+
+def windows(
+    ids: np.ndarray, lengths: np.ndarray, chosen: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts given as start id, ids, end id, one after the other; all, or those of the numbers chosen.
 
     Returns (text, input ids, places ahead of the text, target ids, target is within the text).
     """
     starts = np.cumsum(lengths) - lengths
-    count = -(-(lengths - 1) // SCORED)
-    text = np.repeat(np.arange(len(lengths)), count)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    after = np.cumsum(window_counts(lengths))
+    number = np.arange(after[-1] if len(after) else 0) if chosen is None else chosen
+    text = np.searchsorted(after, number, side="right")
+    number = number - (after - window_counts(lengths))[text]
     place = (number * SCORED - CONTEXT)[:, None] + _PLACE[None, :]
     last = lengths[text][:, None] - 1
     inputs = ids[starts[text][:, None] + np.clip(place, 0, last)]
@@ -183,40 +197,40 @@ class Corpus:
     place: number of an id in the tables, 0 for all ids that were never seen; the other tables
     know ids by these numbers only, so they are as large as the part of the vocabulary in use.
     classes: class of each id; prior: classes after an id; within: an id among its class after
-    a class; pairs, pair_within: an id among its class after an id, for frequent pairs (in order,
-    the largest number after them); rest: what a pair that is not among them gets in
-    place of the backoff's whole weight, by (id before, class).
+    a class; seen, kinds: how many ids of a class, and how many different ones, follow an id.
     """
 
     place: np.ndarray
     classes: np.ndarray
     prior: np.ndarray
     within: np.ndarray
-    pairs: np.ndarray
-    pair_within: np.ndarray
-    rest: np.ndarray
+    seen: np.ndarray
+    kinds: np.ndarray
 
-    def inner(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Log probability of ids within their classes."""
+    def inner(self, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log probability of ids within their classes; n: how often the pair is in the corpus."""
         own = self.classes[after]
-        found = self.within[self.classes[before], after] + self.rest[before, own]
-        wanted = _pair(before, after, len(self.classes))
-        at = np.searchsorted(self.pairs, wanted)
-        return np.where(self.pairs[at] == wanted, self.pair_within[at], found).astype(np.float64)
+        kinds = self.kinds[before, own] + 0.5
+        backed = np.exp(self.within[self.classes[before], after].astype(np.float64))
+        return np.log((n + kinds * backed) / (self.seen[before, own] + kinds))
 
 
-def _pair(before: np.ndarray, after: np.ndarray, n: int) -> np.ndarray:
-    """Both numbers in one, in 32 bits where n of them allow it; never the largest number."""
-    if n < 1 << 16:
-        return (before << 16 | after).astype(np.uint32)
-    return (before << 32 | after).astype(np.uint64)
+#: Bits of the second id of a pair.
+PAIR_BITS = 20
+
+
+def pairs_of(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring ids of texts in one number each, and each text's first; texts have two ids at least."""
+    keep = np.ones(max(len(ids) - 1, 0), dtype=bool)
+    keep[np.cumsum(lengths)[:-1] - 1] = False
+    return (ids[:-1] << PAIR_BITS | ids[1:])[keep], np.cumsum(lengths - 1) - (lengths - 1)
 
 
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def corpus_tables(classes: np.ndarray, n_classes: int, after_class: Counts, after_id: Counts, top: Counts) -> Corpus:
-    """Tables from counts of (class, id after), (id, class after) and the most frequent (id, id after)."""
+def corpus_tables(classes: np.ndarray, n_classes: int, after_class: Counts, after_id: Counts, kinds: np.ndarray) -> Corpus:
+    """Tables from counts of (class, id after) and (id, class after), the latter also of different ids."""
     vocabulary = len(classes)
     held = np.zeros((n_classes, vocabulary))
     np.add.at(held, after_class[:2], after_class[2])
@@ -229,8 +243,10 @@ def corpus_tables(classes: np.ndarray, n_classes: int, after_class: Counts, afte
     own = pairs.sum(axis=0) + 0.1
     coarse = pairs + _BACKOFF * own / own.sum()
     coarse /= coarse.sum(axis=1, keepdims=True)
-    prior = np.zeros((vocabulary, n_classes))
+    prior, many = np.zeros((vocabulary, n_classes)), np.zeros((vocabulary, n_classes), dtype=np.float32)
     np.add.at(prior, after_id[:2], after_id[2])
+    np.add.at(many, after_id[:2], kinds)
+    seen = prior.astype(np.float32)
     prior += (1.0 + (prior > 0).sum(axis=1, keepdims=True)) * coarse[classes]
     prior /= prior.sum(axis=1, keepdims=True)
     in_use = np.zeros(vocabulary, dtype=bool)
@@ -239,21 +255,8 @@ def corpus_tables(classes: np.ndarray, n_classes: int, after_class: Counts, afte
     # Ids never seen are alike: any of them stands for all.
     own = np.concatenate([[int(np.argmin(in_use))], np.flatnonzero(in_use)])
     classes, prior, within = classes[own].astype(np.int64), prior[own], within[:, own]
-    before, after, n = place[top[0]], place[top[1]], top[2]
-    order = np.lexsort((after, before))
-    before, after, n = (x[order] for x in (before, after, n))
-    seen, kinds = (np.zeros((len(own), n_classes), dtype=np.float32) for _ in range(2))
-    np.add.at(seen, (before, classes[after]), n)
-    np.add.at(kinds, (before, classes[after]), 1)
-    kinds += 0.5
-    weight = kinds[before, classes[after]]
-    pairs = _pair(before, after, len(own))
-    table = np.append(pairs, np.iinfo(pairs.dtype).max).astype(pairs.dtype)
-    backed = within[classes[before], after]
-    table_within = np.append(np.log((n + weight * backed) / (seen[before, classes[after]] + weight)), 0).astype(np.float32)
     return Corpus(
-        place, classes, np.log(prior).astype(np.float32), np.log(within).astype(np.float32),
-        table, table_within, np.log(kinds / (seen + kinds)).astype(np.float32),
+        place, classes, np.log(prior).astype(np.float32), np.log(within).astype(np.float32), seen[own], many[own]
     )
 
 
@@ -274,19 +277,24 @@ def cluster(profiles: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds:
 
 
 class Scorer:
-    """Log10 probability of texts given as id sequences."""
+    """Log10 probability of texts given as id sequences.
 
-    def __init__(self, corpus: Corpus, weights: Weights):
-        self.corpus, self.weights = corpus, weights
+    pairs, n: all pairs of neighbouring ids that occur in the texts, in order, and their counts in the corpus.
+    """
+
+    def __init__(self, corpus: Corpus, weights: Weights, pairs: np.ndarray, n: np.ndarray):
+        self.corpus, self.weights, self.pairs, self.n = corpus, weights, pairs, n
 
     def __call__(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Texts as start id, ids, end id; the start id is given, all others are scored."""
-        classes, ids = self.corpus.classes, self.corpus.place[ids]
-        inner = self.corpus.inner(ids[:-1], ids[1:])
-        starts = np.cumsum(lengths) - lengths
-        total = np.add.reduceat(np.append(inner, 0.0), starts) if len(starts) else np.zeros(0)
-        crossing = starts[1:] - 1
-        total[:-1] -= inner[crossing]
+        if not len(lengths):
+            return np.zeros(0)
+        found, starts = pairs_of(ids, lengths)
+        distinct, which = np.unique(found, return_inverse=True)
+        classes, place = self.corpus.classes, self.corpus.place
+        own = place[distinct >> PAIR_BITS], place[distinct & (1 << PAIR_BITS) - 1]
+        inner = self.corpus.inner(*own, self.n[np.searchsorted(self.pairs, distinct)])[which]
+        total, ids = np.add.reduceat(inner, starts), place[ids]
         for at, (text, inputs, ahead, targets, valid) in self._parts(ids, lengths):
             before = np.where(ahead, np.float32(-1e9), np.float32(0))
             scores = class_scores(self.weights, self.corpus.prior, classes[inputs], inputs, before, classes[targets])
@@ -296,7 +304,7 @@ class Scorer:
     def _parts(self, ids: np.ndarray, lengths: np.ndarray):
         """Windows of some texts after others, _WINDOWS_AT_ONCE at a time."""
         starts = np.cumsum(lengths) - lengths
-        count = np.cumsum(-(-(lengths - 1) // SCORED))
+        count = np.cumsum(window_counts(lengths))
         at = 0
         while at < len(lengths):
             done = count[at - 1] if at else 0

@@ -1,22 +1,27 @@
 """Scoring of whole texts by a subword attention model and by word counts.
 
+The texts are dealt into blocks by a hash of key and text. One pass over the blocks gathers
+1. each distinct word and each distinct pair of neighbouring subword ids, once a block, with
+   their counts in the block's training texts. They go to buckets by their hash; a bucket adds
+   up and answers each block in the order of its words and pairs. So a word or pair travels
+   once a block, never once an occurrence, and no word's rows can pile up. Every word and
+   every pair keeps its count.
+2. the ids of all training texts, packed into parts of about PART_IDS ids. A block is a random
+   share of the texts, so no window is shuffled, and copies of a text are in many parts.
+
 Learning runs over all texts that are not held out:
-1. One map counts pairs of neighbouring subword ids and writes all windows of all texts for the
-   attention weights: both grow with the input.
-2. Ids with like neighbours become one class (at most CLASSES of them; the tables that
+1. Ids with like neighbours become one class (at most CLASSES of them; the tables that
    reach the driver are bounded by the tokenizer's vocabulary).
-3. In each of `ROUNDS` rounds every part of the windows trains from the same weights, and
-   the parts' weights are averaged by Spark, weight by weight.
-
-Scoring deals the texts into blocks by a hash of key and text. A block sends each of its
-words once, with its count in training texts, to the word's bucket; the bucket adds up and
-answers with the totals in the order in which the words came. A word so travels once a block,
-never once an occurrence, and no word's rows can pile up. The block then scores its texts.
-
-Contract of `score`: null texts are empty; an empty text is the end token alone. Words are
-[^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Rows that repeat are counted and scored each.
-Without training texts all counts are zero and the model is uniform over classes and ids.
-Rows keep all their columns in the struct `row`.
+2. In each of `ROUNDS` rounds every part trains from the same weights on all windows of its
+   texts, in an order of its own, and the parts' weights are averaged by Spark, weight by weight.
+
+Then each block scores its texts with the answers of the buckets.
+
+Contract of `score`: null texts are empty; an empty text is the end token alone; very long texts
+are scored whole. Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Rows that repeat are
+counted and scored each. Without training texts all counts are zero and the model is uniform
+over classes and ids; without rows there is no result. Rows keep all their columns in the
+struct `row`.
 """
 
 from __future__ import annotations
@@ -36,21 +41,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from couponloom.llm import attention
-from couponloom.llm.attention import CLASSES, CONTEXT, SCORED
+from couponloom.llm.attention import CLASSES, PAIR_BITS, SCORED
 from couponloom.llm.text import BLOCK_BYTES, block_count, chunks, id_remainder, text_bytes
 from couponloom.llm.word_ids import word_encoder
 from couponloom.workspace import private_stage
 
 ROUNDS = 3
-#: Windows that one task trains on.
-PART_WINDOWS = 16_384
+#: Ids of training texts that are trained on one after the other; a longer text is a part of its own.
+PART_IDS = 16_384 * SCORED
 #: Ids by whose neighbourhood all ids are put into classes.
 NEIGHBOURS = 256
-#: Pairs of ids whose own counts are used.
-TOP_PAIRS = 1 << 19
 #: Ids rarer than this share a class.
 LEAST_COUNT = 20
-_IDS_AT_ONCE = 1 << 22
+_PAIRS_AT_ONCE = 1 << 22
+_PARTS_A_FILE = 8
 _PART_BYTES = 8 << 20
 
 
@@ -74,56 +78,6 @@ class Subwords:
         return out, lengths + 2
 
 
-_GATHERED = "kind int, pair long, n long, window binary"
-_GATHERED_ARROW = pa.schema([("kind", pa.int32()), ("pair", pa.int64()), ("n", pa.int64()), ("window", pa.binary())])
-
-
-def _packed_type(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
-def _gather(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
-    """Counts of id pairs of a task's texts (kind 0), and their windows to train on (kind 1)."""
-    subwords, held, size = Subwords(tokenizer), [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        unique, place = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(place, n, minlength=len(unique)).astype(np.int64)
-
-    for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for part in chunks([len(t) for t in texts], _PART_BYTES):
-            ids, lengths = subwords.encode(texts[part])
-            pairs = ids[:-1] << 20 | ids[1:]
-            keep = np.ones(len(pairs), dtype=bool)
-            keep[np.cumsum(lengths)[:-1] - 1] = False
-            keys, n = np.unique(pairs[keep], return_counts=True)
-            held.append((keys, n))
-            size += len(keys)
-            if size > _IDS_AT_ONCE:
-                held = [merged()]
-                size = len(held[0][0])
-            _, inputs, ahead, targets, valid = attention.windows(ids, lengths)
-            # Targets are the inputs one place on.
-            packed = np.concatenate([inputs, targets[:, -1:], ahead.sum(axis=1, keepdims=True),
-                                     valid.sum(axis=1, keepdims=True)], axis=1).astype(_packed_type(subwords.size))
-            if len(packed):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.ones(len(packed), np.int32)), pa.array(np.zeros(len(packed), np.int64)),
-                    pa.array(np.zeros(len(packed), np.int64)), pa.array([row.tobytes() for row in packed], pa.binary()),
-                ], schema=_GATHERED_ARROW)
-    if held:
-        keys, n = merged()
-        for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            size = len(keys[part])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(size, np.int32)), pa.array(keys[part]), pa.array(n[part]),
-                pa.array([None] * size, pa.binary()),
-            ], schema=_GATHERED_ARROW)
-
-
 def _columns(frame: DataFrame) -> list[np.ndarray]:
     """Columns of a bounded table."""
     found = frame.toArrow()
@@ -132,7 +86,7 @@ def _columns(frame: DataFrame) -> list[np.ndarray]:
 
 def find_classes(pairs: DataFrame, vocabulary: int, start: int, end: int, seed: int) -> np.ndarray:
     """Class of each id: 0 for rare ids, 1 and 2 for start and end, the others by their neighbours."""
-    before = pairs.groupBy(F.shiftright("pair", 20).alias("id")).agg(F.sum("n").alias("n"))
+    before = pairs.groupBy(F.shiftright("pair", PAIR_BITS).alias("id")).agg(F.sum("n").alias("n"))
     ids, n = _columns(before)
     classes = np.zeros(vocabulary, dtype=np.int64)
     count = np.zeros(vocabulary)
@@ -143,7 +97,7 @@ def find_classes(pairs: DataFrame, vocabulary: int, start: int, end: int, seed:
     spark = pairs.sparkSession
     if len(common):
         numbers = spark.createDataFrame([(int(i), k) for k, i in enumerate(top)], "id long, place int")
-        left, right = F.shiftright("pair", 20), F.col("pair").bitwiseAND((1 << 20) - 1)
+        left, right = F.shiftright("pair", PAIR_BITS), F.col("pair").bitwiseAND((1 << PAIR_BITS) - 1)
         near = pairs.select(left.alias("a"), right.alias("b"), "n")
         after = near.join(F.broadcast(numbers.withColumnRenamed("id", "b")), "b").select("a", "place", "n")
         ahead = near.join(F.broadcast(numbers.withColumnRenamed("id", "a")), "a").select(
@@ -161,67 +115,55 @@ def find_classes(pairs: DataFrame, vocabulary: int, start: int, end: int, seed:
     return classes
 
 
-def _unpack(rows: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Ids and targets of packed windows, places ahead of the text, weights of the targets."""
-    width = CONTEXT + SCORED
-    kind = f"<u{len(rows[0]) // (width + 3)}"
-    packed = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.int64)
-    ahead = np.where(np.arange(width) < packed[:, -2:-1], np.float32(-1e9), np.float32(0))
-    valid = (np.arange(SCORED) < packed[:, -1:]).astype(np.float32)
-    return packed[:, :width], ahead, packed[:, CONTEXT + 1 : -2], valid
-
-
-def _train_part(batches: Iterator[pa.RecordBatch], given: Broadcast, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Weights after one pass over a task's windows, times the number of windows."""
+def _train_part(batches: Iterator[pa.RecordBatch], given: Broadcast, values: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+    """Weights after one pass over each part, summed by the numbers of their windows."""
     corpus = given.value
-    rows = [w for batch in batches for w in batch.column("window").to_pylist()]
-    if rows:
-        inputs, ahead, targets, valid = _unpack(rows)
-        inputs, targets = corpus.place[inputs], corpus.place[targets]
-        n_classes = corpus.prior.shape[1]
-        found = attention.train(attention.unflat(values, n_classes), corpus.prior,
-                                (corpus.classes[inputs], inputs, ahead, corpus.classes[targets], valid))
-        trained = attention.flat(found).astype(np.float64)
+    n_classes = corpus.prior.shape[1]
+    total, count = np.zeros(len(values)), 0
+    for batch in batches:
+        for block, part, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "packed")), strict=True):
+            ids, lengths = _read_ids(packed)
+            ids = corpus.place[ids]
+
+            def cut(chosen: np.ndarray, ids=ids, lengths=lengths) -> tuple[np.ndarray, ...]:
+                _, inputs, ahead, targets, valid = attention.windows(ids, lengths, chosen)
+                before = np.where(ahead, np.float32(-1e9), np.float32(0))
+                return corpus.classes[inputs], inputs, before, corpus.classes[targets], valid.astype(np.float32)
+
+            order = np.random.default_rng([turn, block, part]).permutation(int(attention.window_counts(lengths).sum()))
+            found = attention.train(attention.unflat(values, n_classes), corpus.prior, cut, order)
+            total += attention.flat(found).astype(np.float64) * len(order)
+            count += len(order)
+    if count:
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(len(trained))), pa.array(trained * len(rows)), pa.array(np.full(len(trained), float(len(rows)))),
+            pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), float(count))),
         ], names=["place", "total", "windows"])
 
 
-def learn(docs: DataFrame, tokenizer: str, text: str = "text", seed: int = 1) -> tuple[Broadcast, attention.Weights]:
-    """Corpus tables, sent to all tasks, and attention weights from all texts of docs."""
-    spark, subwords = docs.sparkSession, Subwords(tokenizer)
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    gathered = private_stage(
-        spark, "gathered", lambda: texts.mapInArrow(partial(_gather, tokenizer=tokenizer), _GATHERED)
-    )
-    pairs = private_stage(
-        spark, "pairs", lambda: gathered.where("kind = 0").groupBy("pair").agg(F.sum("n").alias("n"))
-    )
+def learn(pairs: DataFrame, parts: DataFrame, subwords: Subwords, seed: int = 1) -> tuple[Broadcast, attention.Weights]:
+    """Corpus tables, sent to all tasks, and attention weights from all pairs and parts of the training texts."""
+    spark = pairs.sparkSession
     classes = find_classes(pairs, subwords.size, subwords.start, subwords.end, seed)
     of = spark.createDataFrame(pa.table({"a": np.arange(len(classes)), "class": classes}))
-    left, right = F.shiftright("pair", 20), F.col("pair").bitwiseAND((1 << 20) - 1)
+    left, right = F.shiftright("pair", PAIR_BITS), F.col("pair").bitwiseAND((1 << PAIR_BITS) - 1)
     both = pairs.select(left.alias("a"), right.alias("b"), "n")
     sums = both.join(F.broadcast(of), "a").groupBy("class", "b").agg(F.sum("n").alias("n"))
-    after_id = both.join(F.broadcast(of.withColumnRenamed("a", "b")), "b").groupBy("a", "class").agg(F.sum("n").alias("n"))
-    top = both.orderBy(F.desc("n"), "a", "b").limit(TOP_PAIRS)
-    corpus = attention.corpus_tables(classes, CLASSES, *(tuple(_columns(x)) for x in (sums, after_id, top)))
+    after_id = both.join(F.broadcast(of.withColumnRenamed("a", "b")), "b").groupBy("a", "class").agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds")
+    )
+    *after, kinds = _columns(after_id)
+    corpus = attention.corpus_tables(classes, CLASSES, tuple(_columns(sums)), tuple(after), kinds)
     weights = attention.initial(CLASSES, seed)
-    chosen = gathered.where("kind = 1").select("window")
-    total = chosen.count()
-    parts = max(1, -(-total // PART_WINDOWS))
     given = spark.sparkContext.broadcast(corpus)
-    for turn in range(ROUNDS if total else 0):
-        order = F.xxhash64("window", F.lit(turn))
-        dealt = chosen.repartition(parts, order).sortWithinPartitions(order, "window")
-        found = dealt.mapInArrow(partial(_train_part, given=given, values=attention.flat(weights)), "place long, total double, windows double")
+    for turn in range(ROUNDS if len(kinds) else 0):
+        found = parts.mapInArrow(
+            partial(_train_part, given=given, values=attention.flat(weights), turn=turn), "place long, total double, windows double"
+        )
         mean = found.groupBy("place").agg((F.sum("total") / F.sum("windows")).alias("value")).orderBy("place")
         weights = attention.unflat(_columns(mean)[1], CLASSES)
     return given, weights
 
 
-# Word counts
-
-
 def _words(texts: list[bytes]) -> list[list[bytes]]:
     return [t.lower().split() for t in texts]
 
@@ -234,78 +176,186 @@ def _in_order(words, buckets: int) -> list[tuple[int, list[bytes]]]:
     return [(bucket, sorted(own)) for bucket, own in sorted(held.items())]
 
 
-_SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
+def _pair_order(pairs: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Places of distinct pairs, which are in order, by bucket."""
+    bucket = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+    return [(k, own) for k, own in enumerate(np.split(order, ends[:-1])) if len(own)]
+
+
+class _Pairs:
+    """Distinct pairs of ids of many texts with their counts, merged as they grow."""
+
+    def __init__(self):
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size = 0
+
+    def add(self, pairs: np.ndarray, counted: bool | np.ndarray) -> None:
+        keys, place = np.unique(pairs, return_inverse=True)
+        n = np.bincount(place, np.broadcast_to(counted, len(pairs)), minlength=len(keys)).astype(np.int64)
+        self.merge(keys, n)
 
+    def merge(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self._held.append((keys, n))
+        self._size += len(keys)
+        if self._size > _PAIRS_AT_ONCE:
+            self.all()
 
-def _send(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
-    """The distinct words of a block with their counts in its training texts."""
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self._held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*self._held, strict=True))
+        unique, place = np.unique(keys, return_inverse=True)
+        self._held = [(unique, np.bincount(place, n, minlength=len(unique)).astype(np.int64))]
+        # What is merged is not counted: the next merge waits for as much again.
+        self._size = 0
+        return self._held[0]
+
+
+WORDS, PAIRS, PART = range(3)
+_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
+
+
+def _pack_ids(ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(
+        struct.pack("<I", len(lengths)) + lengths.astype("<u8").tobytes() + ids.astype("<u4").tobytes()
+    )
+
+
+def _read_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    plain = zstandard.ZstdDecompressor().decompress(packed)
+    (size,) = struct.unpack_from("<I", plain)
+    return np.frombuffer(plain, "<u4", -1, 4 + 8 * size), np.frombuffer(plain, "<u8", size, 4).astype(np.int64)
+
+
+def _send(key: tuple, table: pa.Table, buckets: int, tokenizer: str) -> pa.Table:
+    """The distinct words and pairs of a block with their counts in its training texts, and the ids of those."""
+    block, subwords = key[0].as_py(), Subwords(tokenizer)
     counts: Counter[bytes] = Counter()
+    pairs, out, parts = _Pairs(), [], 0
     texts = text_bytes(table.column("text"))
-    learned = table.column("learned").to_pylist()
-    for part in chunks([len(t) for t in texts], _PART_BYTES):
-        for words, train in zip(_words(texts[part]), learned[part], strict=True):
+    learned = np.array(table.column("learned").to_pylist(), dtype=bool)
+    # An order that does not depend on how the rows came.
+    order = sorted(range(len(texts)), key=lambda i: (xxhash.xxh3_128_digest(texts[i]), learned[i]))
+    texts, learned = [texts[i] for i in order], learned[order]
+    for chunk in chunks([len(t) for t in texts], _PART_BYTES):
+        for words, train in zip(_words(texts[chunk]), learned[chunk], strict=True):
             if train:
                 counts.update(words)
             else:
                 for word in words:
                     counts.setdefault(word, 0)
-    compress, out = zstandard.ZstdCompressor(level=3).compress, []
+        ids, lengths = subwords.encode([t.lower() for t in texts[chunk]])
+        train = learned[chunk]
+        pairs.add(attention.pairs_of(ids, lengths)[0], np.repeat(train, lengths - 1))
+        ids, lengths = ids[np.repeat(train, lengths)], lengths[train]
+        after = np.cumsum(lengths)
+        for part in chunks(lengths.tolist(), PART_IDS):
+            first = after[part.start] - lengths[part.start]
+            out.append({"kind": PART, "bucket": parts, "block": block,
+                        "packed": _pack_ids(ids[first : after[part.stop - 1]], lengths[part])})
+            parts += 1
+    compress = zstandard.ZstdCompressor(level=3).compress
     for bucket, own in _in_order(counts, buckets):
         n = np.fromiter((counts[w] for w in own), "<u4", len(own))
-        out.append({"bucket": bucket, "block": key[0].as_py(),
+        out.append({"kind": WORDS, "bucket": bucket, "block": block,
                     "packed": compress(struct.pack("<I", len(own)) + n.tobytes() + b" ".join(own))})
+    keys, n = pairs.all()
+    for bucket, own in _pair_order(keys, buckets):
+        out.append({"kind": PAIRS, "bucket": bucket, "block": block, "packed": _pack_pairs(keys[own], n[own])})
     return pa.Table.from_pylist(out, schema=_SENT)
 
 
-_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()),
+def _pack_pairs(pairs: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in order, as differences, and their counts."""
+    plain = np.diff(pairs, prepend=0).astype("<u8").tobytes() + n.astype("<u8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(plain)
+
+
+def _read_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u8").astype(np.int64).reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
+
+
+_ANSWER_DDL = "kind int, block long, bucket long, totals binary, all_words long, known long"
+_ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()),
                      ("all_words", pa.int64()), ("known", pa.int64())])
 
 
 def _add(key: tuple, table: pa.Table) -> pa.Table:
-    """Totals of a bucket's words, for each block in the order of its words."""
+    """Totals of a bucket's words or pairs, for each block in the order in which it sent them.
+
+    Pairs that are in training texts follow with their totals in a row without a block.
+    """
+    kind, bucket = key[0].as_py(), key[1].as_py()
+    blocks, packs = table.column("block").to_pylist(), table.column("packed").to_pylist()
+    compress = zstandard.ZstdCompressor(level=3).compress
+    row = {"kind": kind, "bucket": bucket, "all_words": 0, "known": 0}
+    if kind == PAIRS:
+        merged, rows = _Pairs(), []
+        for packed in packs:
+            merged.merge(*_read_pairs(packed))
+        keys, n = merged.all()
+        for block, packed in zip(blocks, packs, strict=True):
+            own = n[np.searchsorted(keys, _read_pairs(packed)[0])]
+            rows.append(row | {"block": block, "totals": compress(own.astype("<u8").tobytes())})
+        if n.any():
+            rows.append(row | {"block": None, "totals": _pack_pairs(keys[n > 0], n[n > 0])})
+        return pa.Table.from_pylist(rows, schema=_ANSWER)
     decompress, held, totals = zstandard.ZstdDecompressor().decompress, [], Counter()
-    for packed in table.column("packed").to_pylist():
+    for packed in packs:
         plain = decompress(packed)
         (size,) = struct.unpack_from("<I", plain)
         words, n = plain[4 + 4 * size :].split(b" "), np.frombuffer(plain, "<u4", size, 4).tolist()
         held.append(words)
         for word, k in zip(words, n, strict=True):
             totals[word] += k
-    compress = zstandard.ZstdCompressor(level=3).compress
-    rows = [
-        {"block": block, "bucket": key[0].as_py(), "all_words": sum(totals.values()) if i == 0 else 0,
-         "known": sum(1 for n in totals.values() if n) if i == 0 else 0,
-         "totals": compress(np.fromiter((totals[w] for w in words), "<u8", len(words)).tobytes())}
-        for i, (block, words) in enumerate(zip(table.column("block").to_pylist(), held, strict=True))
-    ]
-    return pa.Table.from_pylist(rows, schema=_ANSWER)
+    sums = {"all_words": sum(totals.values()), "known": sum(1 for n in totals.values() if n)}
+    return pa.Table.from_pylist([
+        row | {"block": block, "totals": compress(np.fromiter((totals[w] for w in words), "<u8", len(words)).tobytes())}
+        | (sums if i == 0 else {})
+        for i, (block, words) in enumerate(zip(blocks, held, strict=True))
+    ], schema=_ANSWER)
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column("totals").to_pylist():
+            pairs, n = _read_pairs(packed)
+            for at in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["pair", "n"])
 
 
 def _score(docs: pa.Table, answers: pa.Table, buckets: int, sums: tuple[int, int, int], corpus: Broadcast,
            weights: attention.Weights, tokenizer: str) -> pa.Table:
     """Counts and scores of a block's texts."""
     n_tokens, n_types, n_texts = sums
-    texts = text_bytes(docs.column("text"))
-    rows: list[list[bytes]] = []
+    texts, subwords, pairs = text_bytes(docs.column("text")), Subwords(tokenizer), _Pairs()
+    rows: list[np.ndarray] = []
+    encoded: list[tuple[np.ndarray, np.ndarray]] = []
     known: dict[bytes, int] = {}
     for part in chunks([len(t) for t in texts], _PART_BYTES):
         for words in _words(texts[part]):
-            rows.append([known.setdefault(w, len(known)) for w in words])
-    totals = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-    decompress, found = zstandard.ZstdDecompressor().decompress, np.zeros(len(known) + 1, dtype=np.int64)
+            rows.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+        ids, lengths = subwords.encode([t.lower() for t in texts[part]])
+        pairs.add(attention.pairs_of(ids, lengths)[0], False)
+        encoded.append((ids.astype(np.uint32), lengths))
+    decompress = zstandard.ZstdDecompressor().decompress
+    kinds, numbers, totals = (answers.column(c).to_pylist() for c in ("kind", "bucket", "totals"))
+    answer = {(k, b): t for k, b, t in zip(kinds, numbers, totals, strict=True)}
+    found = np.zeros(len(known) + 1, dtype=np.int64)
     for bucket, own in _in_order(known, buckets):
-        found[[known[w] for w in own]] = np.frombuffer(decompress(totals[bucket]), "<u8")
+        found[[known[w] for w in own]] = np.frombuffer(decompress(answer[WORDS, bucket]), "<u8")
     found[-1] = n_texts
+    keys, n = pairs.all()
+    for bucket, own in _pair_order(keys, buckets):
+        n[own] = np.frombuffer(decompress(answer[PAIRS, bucket]), "<u8")
     value = np.log10(found + 1.0) - np.log10(float(n_tokens + n_types + 1))
-    scorer, subwords = attention.Scorer(corpus.value, weights), Subwords(tokenizer)
-    base, has, model = [], [], []
-    for part in chunks([len(t) for t in texts], _PART_BYTES):
-        for row in rows[part]:
-            own = np.array([*row, len(known)])
-            base.append(float(value[own].sum()))
-            has.append(int((found[own] > 0).sum()))
-        ids, lengths = subwords.encode([t.lower() for t in texts[part]])
-        model += scorer(ids, lengths).tolist()
+    base = [float(value[r].sum() + value[-1]) for r in rows]
+    has = [int((found[r] > 0).sum() + (n_texts > 0)) for r in rows]
+    scorer = attention.Scorer(corpus.value, weights, keys, n)
+    model = [x for ids, lengths in encoded for x in scorer(ids.astype(np.int64), lengths).tolist()]
     column = lambda values, kind: pa.chunked_array([pa.array(values, kind)])
     return pa.Table.from_arrays([
         docs.column("row"), column([len(r) + 1 for r in rows], pa.int64()), column(has, pa.int64()),
@@ -317,8 +367,7 @@ def score(
     docs: DataFrame, learned: Column, tokenizer: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Each row of docs with token counts, word-count score and model score of its whole text."""
-    spark = docs.sparkSession
-    corpus, weights = learn(docs.where(learned), tokenizer, text)
+    spark, subwords = docs.sparkSession, Subwords(tokenizer)
     blocks = block_count(docs, text, block_bytes)
     buckets = max(1, blocks // 4)
     rows = docs.select(
@@ -326,21 +375,26 @@ def score(
         F.col(text).cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
     )
+    sent = private_stage(spark, "sent", lambda: rows.groupBy("block").applyInArrow(
+        lambda key, table: _send(key, table, buckets, tokenizer), "kind int, bucket long, block long, packed binary"
+    ), partition_by=("kind",))
     answers = private_stage(
-        spark, "totals",
-        lambda: rows.groupBy("block").applyInArrow(
-            lambda key, table: _send(key, table, buckets), "bucket long, block long, packed binary"
-        ).groupBy("bucket").applyInArrow(
-            lambda key, table: _add(key, table),
-            "block long, bucket long, totals binary, all_words long, known long",
-        ),
+        spark, "totals", lambda: sent.where(F.col("kind") != PART).groupBy("kind", "bucket").applyInArrow(_add, _ANSWER_DDL)
+    )
+    pairs = private_stage(
+        spark, "pairs", lambda: answers.where("block IS NULL").select("totals").mapInArrow(_pair_rows, "pair long, n long")
     )
+    own = sent.where(F.col("kind") == PART)
+    parts = private_stage(spark, "parts", lambda: own.select("block", "bucket", "packed").repartition(
+        max(1, own.count() // _PARTS_A_FILE), "block", "bucket"
+    ))
+    corpus, weights = learn(pairs, parts, subwords)
     counted = answers.agg(F.sum("all_words"), F.sum("known")).first()
     n_texts = docs.where(learned).count()
     sums = (counted[0] or 0) + n_texts, (counted[1] or 0) + (n_texts > 0), n_texts
     added = T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType, False), *added.fields])
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return rows.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(
         lambda own, totals: _score(own, totals, buckets, sums, corpus, weights, tokenizer), out
     )
 

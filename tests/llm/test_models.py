@@ -25,16 +25,39 @@ from tests.llm.test_duplicates import brute_components, kept_words
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def counted(before, after):
+    """Distinct pairs of ids as numbers, both ids, and counts."""
+    keys, n = np.unique(np.asarray(before) << attention.PAIR_BITS | np.asarray(after), return_counts=True)
+    return keys, keys >> attention.PAIR_BITS, keys & (1 << attention.PAIR_BITS) - 1, n
+
+
+def tables(classes, n_classes, before, after, n):
+    after_id = Counter()
+    kinds = Counter()
+    for b, c, k in zip(before.tolist(), classes[after].tolist(), n.tolist()):
+        after_id[b, c] += k
+        kinds[b, c] += 1
+    places = np.array(sorted(after_id)).T
+    own = (*places, np.array([after_id[x] for x in sorted(after_id)]))
+    return attention.corpus_tables(
+        classes, n_classes, (classes[before], after, n), own, np.array([kinds[x] for x in sorted(after_id)])
+    )
+
+
+def all_pairs(vocabulary, keys, n):
+    """Counts of every pair of ids there could be."""
+    ids = np.arange(vocabulary)
+    every = (ids[:, None] << attention.PAIR_BITS | ids[None, :]).ravel()
+    held = dict(zip(keys.tolist(), n.tolist()))
+    return every, np.array([held.get(x, 0) for x in every.tolist()])
+
+
 def small_corpus(vocabulary=12, n_classes=4, seed=0):
     rng = np.random.default_rng(seed)
     classes = rng.integers(0, n_classes, vocabulary)
-    ids = rng.integers(0, vocabulary, 400)
-    before, after = ids[:-1], ids[1:]
-    n = np.ones(len(before))
-    top = np.unique(before << 20 | after, return_counts=True)
-    pairs = top[0] >> 20, top[0] & (1 << 20) - 1, top[1]
-    pairs = tuple(x[: len(pairs[0]) // 2] for x in pairs)
-    return attention.corpus_tables(classes, n_classes, (classes[before], after, n), (before, classes[after], n), pairs)
+    ids = rng.integers(0, vocabulary, 100)
+    keys, before, after, n = counted(ids[:-1], ids[1:])
+    return tables(classes, n_classes, before, after, n), all_pairs(vocabulary, keys, n)
 
 
 def weights(n_classes=4, seed=1):
@@ -44,8 +67,8 @@ def weights(n_classes=4, seed=1):
 
 
 def test_probabilities_of_all_ids_sum_to_one():
-    corpus, vocabulary = small_corpus(), 12
-    score = attention.Scorer(corpus, weights())
+    (corpus, pairs), vocabulary = small_corpus(), 12
+    score = attention.Scorer(corpus, weights(), *pairs)
     for history in ([3], [3, 1, 4, 1, 5], list(range(12)) * 5):
         texts = [[*history, i] for i in range(vocabulary)]
         lengths = np.array([len(t) for t in texts])
@@ -57,8 +80,8 @@ def test_probabilities_of_all_ids_sum_to_one():
 def test_ids_never_seen_share_what_is_left():
     classes = np.array([0, 0, 0, 1, 2, 2])
     counts = np.array([3, 4, 5, 3]), np.array([4, 5, 3, 5]), np.array([5, 2, 1, 1])
-    corpus = attention.corpus_tables(classes, 3, (classes[counts[0]], *counts[1:]), (counts[0], classes[counts[1]], counts[2]), counts)
-    score = attention.Scorer(corpus, weights(3))
+    corpus = tables(classes, 3, *counts)
+    score = attention.Scorer(corpus, weights(3), *all_pairs(6, counts[0] << attention.PAIR_BITS | counts[1], counts[2]))
     whole = score(np.array([x for i in range(6) for x in (4, 0, i)]), np.full(6, 3))
     before = score(np.array([4, 0]), np.array([2]))[0]
     assert sum(10 ** (w - before) for w in whole) == pytest.approx(1.0, rel=1e-4)
@@ -66,8 +89,8 @@ def test_ids_never_seen_share_what_is_left():
 
 
 def test_scores_do_not_depend_on_the_batch_and_each_id_counts_once():
-    corpus, rng = small_corpus(), np.random.default_rng(3)
-    score = attention.Scorer(corpus, weights())
+    (corpus, pairs), rng = small_corpus(), np.random.default_rng(3)
+    score = attention.Scorer(corpus, weights(), *pairs)
     texts = [rng.integers(0, 12, n) for n in (2, 3, SCORED + 1, SCORED + 2, 5 * SCORED, 2000)]
     together = score(np.concatenate(texts), np.array([len(t) for t in texts]))
     alone = [score(t, np.array([len(t)]))[0] for t in texts]
@@ -77,21 +100,37 @@ def test_scores_do_not_depend_on_the_batch_and_each_id_counts_once():
     assert ahead[:, CONTEXT:].sum() == 0
 
 
-def test_every_given_pair_is_found():
-    size, rng = 3000, np.random.default_rng(9)
-    keys = np.sort(rng.choice(size * size, 200_000, replace=False))
-    before, after, n = keys // size, keys % size, rng.integers(1, 50, len(keys)).astype(float)
-    classes = np.zeros(size, dtype=np.int64)
-    corpus = attention.corpus_tables(classes, 1, (classes[before], after, n), (before, classes[after], n), (before, after, n))
-    seen, kinds = np.bincount(before, n, size), np.bincount(before, minlength=size) + 0.5
-    before_, after_ = corpus.place[before], corpus.place[after]
-    backed = np.exp(corpus.within[0, after_].astype(float))
-    want = np.log((n + kinds[before] * backed) / (seen + kinds)[before])
-    assert corpus.inner(before_, after_) == pytest.approx(want, abs=1e-4)
+def test_scores_equal_a_plain_loop():
+    """Every probability worked out for itself, from the counts of the corpus and the weights."""
+    rng = np.random.default_rng(0)
+    classes, ids = rng.integers(0, 4, 12), rng.integers(0, 12, 100)
+    count = Counter(zip(ids[:-1].tolist(), ids[1:].tolist()))
+    (corpus, pairs), w = small_corpus(), weights()
+    text = rng.integers(0, 12, 70)
+    value, place = 0.0, corpus.place
+    for at in range(len(text) - 1):
+        first = at // SCORED * SCORED - CONTEXT
+        seen = text[max(0, first) : at + 1]
+        embed = w["embed"][classes[seen]]
+        asked = embed[-1] @ w["query"]
+        scores = [asked @ (e @ w["key"]) / 4 + w["distance"][len(seen) - 1 - k] for k, e in enumerate(embed)]
+        shares = np.exp(scores) / np.exp(scores).sum()
+        mixed = sum(s * (e @ w["value"]) for s, e in zip(shares, embed))
+        logits = corpus.prior[place[text[at]]] + mixed @ w["out"] + w["bias"]
+        b, a = int(text[at]), int(text[at + 1])
+        value += logits[classes[a]] - np.log(np.exp(logits).sum())
+        own = [x for x in range(12) if classes[x] == classes[a]]
+        total, kinds = sum(count[b, x] for x in own), 0.5 + sum(count[b, x] > 0 for x in own)
+        # After its class an id has its share of the class's continuations, smoothed by its share of all.
+        held = {x: sum(n for (p, q), n in count.items() if q == x and classes[p] == classes[b]) for x in own}
+        plain = {x: sum(n for (p, q), n in count.items() if q == x) + 0.01 for x in own}
+        backed = (held[a] + 4 * plain[a] / sum(plain.values())) / (sum(held.values()) + 4)
+        value += np.log((count[b, a] + kinds * backed) / (total + kinds))
+    assert attention.Scorer(corpus, w, *pairs)(text, np.array([len(text)]))[0] == pytest.approx(value / np.log(10), rel=1e-4)
 
 
 def test_gradient_is_the_slope():
-    corpus, w = small_corpus(), {k: v.astype(np.float64) for k, v in weights().items()}
+    (corpus, _), w = small_corpus(), {k: v.astype(np.float64) for k, v in weights().items()}
     rng = np.random.default_rng(5)
     ids = corpus.place[rng.integers(0, 12, (3, CONTEXT + SCORED))]
     target = rng.integers(0, 4, (3, SCORED))
@@ -114,7 +153,7 @@ def test_gradient_is_the_slope():
 
 
 def test_training_lowers_the_loss():
-    corpus, rng = small_corpus(), np.random.default_rng(6)
+    (corpus, _), rng = small_corpus(), np.random.default_rng(6)
     ids = np.cumsum(rng.integers(0, 2, (300, CONTEXT + SCORED)), axis=1) % 12
     target = corpus.classes[corpus.place[(ids[:, CONTEXT:] + 1) % 12]]
     ids = corpus.place[ids]
@@ -122,19 +161,49 @@ def test_training_lowers_the_loss():
     start = attention.initial(4, 0)
     end = start
     for _ in range(3):
-        end = attention.train(end, corpus.prior, windows, batch=8)
+        end = attention.train(end, corpus.prior, lambda own: tuple(x[own] for x in windows), np.arange(300), batch=8)
     mean = [attention.class_scores(w, corpus.prior, *windows[:4]).mean() for w in (start, end)]
     assert mean[1] > mean[0] + 0.05
 
 
-def test_all_windows_of_all_texts_are_trained_on():
-    texts = [text(k, 3 + k % 90) for k in range(200)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    found = [w for b in lm_scoring._gather(iter([batch]), WORDS) for w in b.column("window").to_pylist() if w]
-    ids, lengths = lm_scoring.Subwords(WORDS).encode([t.encode() for t in texts])
-    _, inputs, ahead, targets, valid = attention.windows(ids, lengths)
-    for got, want in zip(lm_scoring._unpack(found), (inputs, np.where(ahead, np.float32(-1e9), np.float32(0)), targets, valid)):
-        assert (got == want).all()
+@pytest.mark.parametrize("least", [10, 1 << 22])
+def test_blocks_send_all_pairs_and_the_ids_of_training_texts(monkeypatch, least):
+    monkeypatch.setattr(lm_scoring, "_PAIRS_AT_ONCE", least)
+    monkeypatch.setattr(lm_scoring, "PART_IDS", 500)
+    monkeypatch.setattr(lm_scoring, "_PART_BYTES", 3000)
+    texts, learned = [text(k, 3 + k % 90) for k in range(200)], [k % 3 > 0 for k in range(200)]
+    split, own, bits = lm_scoring.Subwords(WORDS), [], attention.PAIR_BITS
+    blocks = [slice(0, 120), slice(120, 200)]
+    packs = []
+    for block, part in enumerate(blocks):
+        table = pa.table({"text": texts[part], "learned": learned[part]})
+        packs.append(lm_scoring._send((pa.scalar(block),), table, 3, WORDS))
+    sent = pa.concat_tables(packs).to_pylist()
+    for row in sent:
+        if row["kind"] == lm_scoring.PART:
+            ids, lengths = lm_scoring._read_ids(row["packed"])
+            own += [tuple(x) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    ids = [split.encode([t.encode()])[0].tolist() for t in texts]
+    assert Counter(own) == Counter(tuple(i) for i, train in zip(ids, learned) if train)
+    want = Counter(p for i, train in zip(ids, learned) if train for p in zip(i, i[1:]))
+    got = {}
+    for bucket in range(3):
+        rows = [r for r in sent if r["kind"] == lm_scoring.PAIRS and r["bucket"] == bucket]
+        answers = lm_scoring._add((pa.scalar(lm_scoring.PAIRS), pa.scalar(bucket)), pa.Table.from_pylist(rows)).to_pylist()
+        for row in answers:
+            if row["block"] is None:
+                keys, n = lm_scoring._read_pairs(row["totals"])
+                got |= {(k >> bits, k & (1 << bits) - 1): c for k, c in zip(keys.tolist(), n.tolist())}
+    assert got == dict(want)
+
+
+def test_windows_by_number_are_those_of_all():
+    lengths = np.array([2, 3, SCORED + 1, SCORED + 2, 2, 200])
+    ids = np.arange(lengths.sum())
+    every = attention.windows(ids, lengths)
+    chosen = np.random.default_rng(1).permutation(len(every[0]))
+    for one, all_ in zip(attention.windows(ids, lengths, chosen), every):
+        assert (one == all_[chosen]).all()
 
 
 def test_scoring_of_odd_rows(odd, none):
