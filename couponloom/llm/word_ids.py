@@ -25,13 +25,14 @@ class WordEncoder:
     """Encodes texts by a lower-casing tokenizer with word ends that never joins words over white space.
 
     Texts are split at ASCII white space, and the distinct words are encoded by the library,
-    once each while they are remembered; `memory` bounds the remembered words. Unicode white
+    once each while they are remembered. Beyond `memory` words only those of the texts at hand
+    stay remembered, so frequent words are not learned anew. Unicode white
     space stays inside a word and is the library's to split. New words of usual letters go
     to the library many in one text; the ids that end a pre-token show where each word stops.
     All other words go one by one.
     """
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,13 +43,22 @@ class WordEncoder:
         #: Ids are below this.
         self.vocabulary = len(self._ends)
         self._memory = memory
-        self._forget()
-
-    def _forget(self) -> None:
         self._codes: dict[bytes, int] = {b"": 0}
         self._ids = np.zeros(0, dtype=np.uint32)
         self._starts, self._lengths = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
+    def _keep(self, names: list[bytes], codes: np.ndarray) -> np.ndarray:
+        """Forget all words but these; their new codes. Words without a code stay without one."""
+        held = np.flatnonzero(codes > 0)
+        own, lengths = codes[held], self._lengths[codes[held]]
+        self._ids = self._ids[ragged(self._starts[own], lengths)]
+        self._starts = np.concatenate([[0], np.cumsum(lengths) - lengths])
+        self._lengths = np.concatenate([[0], lengths])
+        kept = codes.copy()
+        kept[held] = 1 + np.arange(len(held))
+        self._codes = {b"": 0, **{names[i]: k for k, i in enumerate(held.tolist(), 1)}}
+        return kept
+
     def _usual(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of words of usual letters, all after each other, and their number for each word."""
         expected = pc.count_substring_regex(words, _PRE_TOKENS).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -106,9 +116,7 @@ class WordEncoder:
         new = codes < 0
         if new.any():
             if len(self._codes) + int(new.sum()) > self._memory:
-                self._forget()
-                codes = self._known(names)
-                new = codes < 0
+                codes = self._keep(names, codes)
             codes[new] = self._learn(coded.dictionary.filter(pa.array(new)))
         own = codes[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self._lengths[own]
