@@ -144,8 +144,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
             ends = np.cumsum(counts)
             lengths.append(counts + 1)
             ids.append(np.insert(found, ends, end_id).astype(np.uint32))
+            del found, counts
         keys += batch.column("key").to_pylist()
-        pa.default_memory_pool().release_unused()
+        del texts
+        give_back()
     shard = TaskContext.get().partitionId()
     counts = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     content = pack(keys, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
