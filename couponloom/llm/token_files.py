@@ -33,6 +33,7 @@ from couponloom.llm.text import (
     block_count,
     chunks,
     folder_uri,
+    give_back,
     open_file,
     text_bytes,
     write_file,
