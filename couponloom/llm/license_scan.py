@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows, in DataFrame functions only.
 
 A text's words are hashed to shingles of five words. A template of s shingles is found where
-2s consecutive shingles, starting anywhere, hold `containment` of its distinct shingles: it may
-have up to s words put into it. It is looked for in windows of 3s shingles that start at every
+2s consecutive shingles, starting anywhere, hold `containment` of its distinct shingles: words may
+be put into it while that share is left, up to s of them. It is looked for in windows of 3s shingles that start at every
 multiple of s, so that any 2s consecutive shingles lie in one window. Window and template are
 compared by bands of minimum hashes; `band_count` gives as many bands as make a window that
 holds `containment` of the template collide with probability 1 - `miss` at least. Only windows
