@@ -1,5 +1,6 @@
 """Language model, toxicity and the pipeline."""
 
+import itertools
 import math
 import random
 import re
@@ -241,6 +242,26 @@ def test_decoding_sees_through(given, want):
     assert decode(given, CharacterModel(LETTERS)) == want
 
 
+def path_value(model, path):
+    """Log probability of a path's letters and the end of the word, less the costs of its choices."""
+    letters = " " * (model.order - 1) + "".join(t for t, _ in path) + " "
+    spoken = sum(model(letters[i - model.order + 1 : i], letters[i]) for i in range(model.order - 1, len(letters)))
+    return spoken - sum(cost for _, cost in path)
+
+
+@pytest.mark.parametrize("spelled", [False, True])
+def test_decoding_finds_the_best_of_all_paths(spelled):
+    model, rng = CharacterModel(LETTERS), random.Random(12)
+    for _ in range(150):
+        token = "".join(rng.choice("idotmrnse1035@$!.-_ii") for _ in range(rng.randrange(1, 8)))
+        paths = list(itertools.product(*toxicity.lattice(token, spelled)))
+        values = {}
+        for path in paths:
+            out = "".join(t for t, _ in path).strip()
+            values[out] = max(path_value(model, path), values.get(out, -math.inf))
+        assert values[decode(token, model, spelled)] == pytest.approx(max(values.values()), abs=1e-9)
+
+
 def test_restoring_leaves_plain_words_alone():
     restorer = Restorer(CharacterModel(LETTERS))
     for t in ["you are a thing", "total, 2024. see!", "(stupid)", "", "ünï cödé"]:
