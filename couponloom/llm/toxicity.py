@@ -9,8 +9,8 @@ noisy-or model of word stems scores the restored text. Tokens and runs of single
 decoded whole, however long. A token without any letter is restored where that gives a word of
 the character model; a number stays a number.
 
-Learned from a bounded sample of labelled rows (`TRAIN_ROWS`, those of smallest hash): words
-of both classes, from which the character model, the word features and their weights follow.
+Learned from all usable labelled rows: words of both classes, from which the character model, the
+word features and their weights follow.
 Scoring is a map over all whole texts.
 
 Contract of `score`: null and empty texts get the score of a text without any feature. Rows
@@ -37,8 +37,7 @@ from pyspark.sql import functions as F
 
 from couponloom.llm.text import appended, id_remainder, text_bytes
 
-TRAIN_ROWS = 20_000
-#: Documents of the sample a word or stem must be in to be learned from.
+#: Labelled documents a word or stem must be in to be learned from.
 LEAST_DOCS = 4
 #: Log-likelihood ratio from which a word tells the classes apart.
 LEAST_RATIO = 15.0
@@ -274,7 +273,7 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch], given: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Texts of the sample without any known stem, by label."""
+    """Texts learned from without any known stem, by label."""
     scorer, left = Scorer(given.value), [0, 0]
     for batch in batches:
         labels = batch.column("toxic").to_pylist()
@@ -318,24 +317,21 @@ def choose_stems(counts: list[tuple[Feature, int, int]], n_clean: int, n_toxic:
 
 def train(
     docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
-    label: str = "toxic", train_rows: int = TRAIN_ROWS,
+    label: str = "toxic",
 ) -> ToxicityModel:
-    """The model of at most `train_rows` labelled keys among the usable rows of labels."""
+    """The model of all labelled keys among the usable rows of labels."""
     spark = docs.sparkSession
     keys = (
         labels.where(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("key"), "key").limit(train_rows)
     )
-    sample = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(keys), "key"
-    ).select("toxic", "text")
-    counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    learned = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("toxic", "text")
+    counts = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
     n_clean, n_toxic = counts.get(0, 0), counts.get(1, 0)
     if not n_clean or not n_toxic:
         return ToxicityModel({}, {}, n_toxic / max(1, n_clean + n_toxic))
     found = (
-        sample.mapInArrow(_class_words, "stem string, grade int, clean long, toxic long").groupBy("stem", "grade")
+        learned.mapInArrow(_class_words, "stem string, grade int, clean long, toxic long").groupBy("stem", "grade")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
         .where((F.col("grade") == _WHOLE) | (F.col("toxic") >= F.col("clean"))).orderBy("grade", "stem").collect()
@@ -344,7 +340,7 @@ def train(
     counted = [((r["stem"], r["grade"]), r["clean"], r["toxic"]) for r in found if r["grade"] != _WHOLE]
     chosen = choose_stems(counted, n_clean, n_toxic)
     given = spark.sparkContext.broadcast(ToxicityModel(letters, chosen, 0.0))
-    left = sample.mapInArrow(partial(_without, given=given), "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n"))
+    left = learned.mapInArrow(partial(_without, given=given), "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n"))
     rest = {r["toxic"]: r["n"] for r in left.collect()}
     return ToxicityModel(letters, chosen, (rest.get(1, 0) + 0.5) / (rest.get(0, 0) + rest.get(1, 0) + 1.0))
 

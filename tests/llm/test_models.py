@@ -327,6 +327,22 @@ def test_held_out_toxicity(documents, spark, odd, none):
     assert toxicity.train(none, labels, F.lit(True)).base == 0.0
 
 
+def test_toxicity_learns_from_every_usable_label(documents, spark):
+    """No number of labels is the last: the model's share of label 1 counts those beyond any bound."""
+    n = 20_500
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    texts = F.when(F.col("doc_id") % 4 == 0, "idiot").otherwise("calm")
+    docs = labels.select("doc_id", F.concat(texts, F.lit(" word")).alias("text"))
+    seen = []
+    choose = toxicity.choose_stems
+    try:
+        toxicity.choose_stems = lambda counts, clean, toxic: seen.append(clean + toxic) or choose(counts, clean, toxic)
+        toxicity.train(docs, labels, F.lit(True))
+    finally:
+        toxicity.choose_stems = choose
+    assert seen == [n]
+
+
 # Pipeline
 
 
