@@ -11,6 +11,8 @@ from couponloom.sources.tables import BASKETS, COUPONS, Inputs, conform
 DAYS_PER_WEEK = 26
 N_PRODUCTS = 100
 CUSTOMERS_PER_SHOPPER = 15
+# Lines of a task where their shuffles would get larger ones.
+LINES_PER_TASK = 500_000
 # Columns read of each table; a given schema saves the inference job.
 SCHEMAS = {
     "customer": "c_custkey bigint",
@@ -39,6 +41,15 @@ def _week(day) -> F.Column:
     return F.floor(days / F.lit(DAYS_PER_WEEK)).cast("int")
 
 
+def line_tasks(lines: int, default: int) -> int | None:
+    """Partitions of the shuffles of so many lines, so that a task's memory does not grow with the input.
+
+    None where the session's own number is enough.
+    """
+    needed = -(-lines // LINES_PER_TASK)
+    return needed if needed > default else None
+
+
 def observations(spark: SparkSession, sf_dir: str, n_shoppers: int) -> DataFrame:
     """One row per (week, shopper, product): list price when bought, percent when offered.
 
@@ -49,10 +60,16 @@ def observations(spark: SparkSession, sf_dir: str, n_shoppers: int) -> DataFrame
     orders = star_table(spark, sf_dir, "orders")
     part = star_table(spark, sf_dir, "part")
     cut = F.round(F.col("l_discount") * 100).cast("int")
+    tasks = line_tasks(lineitem.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df: DataFrame, *by: str) -> DataFrame:
+        return df if tasks is None else df.repartition(tasks, *by)
+
+    sold = lineitem.select("l_orderkey", "l_partkey", cut.alias("cut"), _week("l_shipdate").alias("ship_week"))
+    ordered = orders.select("o_orderkey", "o_custkey", _week("o_orderdate").alias("week"))
     lines = (
-        lineitem.select("l_orderkey", "l_partkey", cut.alias("cut"), _week("l_shipdate").alias("ship_week"))
-        .join(orders.select("o_orderkey", "o_custkey", _week("o_orderdate").alias("week")),
-              F.col("l_orderkey") == F.col("o_orderkey"))
+        dealt(sold, "l_orderkey")
+        .join(dealt(ordered, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", F.round(F.col("p_retailprice") * 10).cast("long").alias("tenths")),
               F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -66,19 +83,17 @@ def observations(spark: SparkSession, sf_dir: str, n_shoppers: int) -> DataFrame
         F.lit(None).cast("long").alias("tenths"),
         ((F.col("cut") + 2) * 5).alias("percent"),
     )
+    seen = lines.select(
+        (F.col("o_custkey") % n_shoppers).cast("int").alias("shopper"),
+        (F.col("l_partkey") % N_PRODUCTS).cast("int").alias("product"),
+        F.explode(
+            F.when(F.col("cut").between(1, 4), F.array(bought, offered)).otherwise(F.array(bought))
+        ).alias("seen"),
+    ).select("shopper", "product", "seen.*")
     return (
-        lines.select(
-            (F.col("o_custkey") % n_shoppers).cast("int").alias("shopper"),
-            (F.col("l_partkey") % N_PRODUCTS).cast("int").alias("product"),
-            F.explode(
-                F.when(F.col("cut").between(1, 4), F.array(bought, offered)).otherwise(F.array(bought))
-            ).alias("seen"),
-        )
-        .groupBy("seen.week", "shopper", "product")
-        .agg(
-            F.min("seen.tenths").alias("tenths"),
-            F.max("seen.percent").alias("percent"),
-        )
+        dealt(seen, "week", "shopper", "product")
+        .groupBy("week", "shopper", "product")
+        .agg(F.min("tenths").alias("tenths"), F.max("percent").alias("percent"))
     )
 
 

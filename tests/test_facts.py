@@ -14,6 +14,7 @@ from couponloom.operators.narrow import narrow, profile
 from couponloom.operators.rates import coupon_share, customer_redemption_rate, redemption_rate
 from couponloom.operators.scoring import RateScorer, purchase_rates
 from couponloom.params import Params
+from couponloom.sources import star
 from couponloom.sources.tables import (
     COUPON_INDEX,
     read_coupons,
@@ -196,3 +197,14 @@ def test_sums_of_discounts_do_not_depend_on_their_order(spark):
     for parts in (1, 3):
         assert week_counts(frame.repartition(parts)).first().discount == 0.9
     assert week_counts(frame.orderBy(F.desc("discount"))).first().discount == 0.9
+
+
+def test_shuffles_of_lines_get_more_partitions_with_more_lines(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, star.observations(spark, data, 10).collect()))
+    assert star.line_tasks(star.LINES_PER_TASK * 3, 8) is None
+    assert star.line_tasks(star.LINES_PER_TASK * 30 + 1, 8) == 31
+    monkeypatch.setattr(star, "LINES_PER_TASK", 100)
+    dealt = star.observations(spark, data, 10)
+    assert sorted(map(tuple, dealt.collect())) == want
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
