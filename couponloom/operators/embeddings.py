@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from couponloom.operators.affinity import context_lists
 from couponloom.operators.nearest import BLOCK_ROWS, nearest
-from couponloom.workspace import content_fingerprint, stage_folder
+from couponloom.workspace import content_fingerprint, private_stage, stage_folder
 
 MIN_COUNT = 2
 DIMENSIONS = 100
 SEED = 42
+# Partitions of the training at least, and rows of baskets of each where that gives more.
 PARTITIONS = 8
+ROWS_PER_PARTITION = 1_000_000
 DEFAULT_MAX_SENTENCE = 1_000
 
 
@@ -48,11 +50,13 @@ def load_or_train(baskets: DataFrame, folder: str | None = None, **kwargs) -> Wo
     """The model of these baskets and parameters, trained where the folder has none.
 
     The path carries a fingerprint of both, and a model is published whole: other baskets never meet
-    it, and one that a lost job left half written is trained again.
+    it, and one that a lost job left half written is trained again. The baskets are written once for the
+    passes over them. Partitions follow from their rows, so the training has tasks for more cores.
     """
     spark = baskets.sparkSession
-    read = baskets.select("week", "shopper", "product")
-    options = {"dimensions": DIMENSIONS, "seed": SEED, "partitions": PARTITIONS} | kwargs
+    read = private_stage(spark, "baskets", lambda: baskets.select("week", "shopper", "product"))
+    partitions = max(PARTITIONS, -(-read.count() // ROWS_PER_PARTITION))
+    options = {"dimensions": DIMENSIONS, "seed": SEED, "partitions": partitions} | kwargs
     key = content_fingerprint(read, repr(sorted(options.items())), f"{MIN_COUNT} {DEFAULT_MAX_SENTENCE}")
 
     def write(path: str) -> None:

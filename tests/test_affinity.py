@@ -244,3 +244,14 @@ def test_other_baskets_or_parameters_never_get_the_old_model(spark, tmp_path, mo
         marker.unlink()
     assert load(df, dimensions=4) == {0, 1, 2}
     assert len(trained) == 4
+
+
+def test_partitions_of_the_training_follow_the_baskets(spark, tmp_path, monkeypatch):
+    used, train = [], embedding_module.train_embeddings
+    monkeypatch.setattr(embedding_module, "train_embeddings", lambda b, **k: used.append(k["partitions"]) or train(b, **k))
+    monkeypatch.setattr(embedding_module, "ROWS_PER_PARTITION", 4)
+    df = spark.createDataFrame([(w, s, p) for w in range(3) for s in range(4) for p in range(3)], SCHEMA)
+    load_or_train(df, str(tmp_path), dimensions=4)
+    monkeypatch.setattr(embedding_module, "ROWS_PER_PARTITION", 36)
+    load_or_train(df, str(tmp_path), dimensions=4)
+    assert used == [9, embedding_module.PARTITIONS]
