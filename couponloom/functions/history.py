@@ -32,6 +32,27 @@ def before(history: Column, week: Column) -> Column:
     return F.filter(history, lambda h: h["week"] < week)
 
 
+def shortened(history: Column, cut: int) -> Column:
+    """The history with its weeks from 0 to before the cut in one entry, which comes first.
+
+    That entry has the sums of their counts and the week of their latest purchase, 0 without one. What
+    is asked from a week of the cut or later about a window that starts with week 0 or the
+    cut or later is the same as of the whole history.
+    """
+    counts = ("purchased", "received", "redeemed")
+    inside = lambda h: h["week"].between(0, cut - 1)
+
+    def add(acc, h):
+        week = F.when(inside(h) & (h["purchased"] > 0), F.greatest(acc["week"], h["week"])).otherwise(acc["week"])
+        sums = [(acc[c] + F.when(inside(h), h[c]).otherwise(0)).alias(c) for c in counts]
+        return F.struct(week.cast("int").alias("week"), *sums)
+
+    none = F.struct(F.lit(0).alias("week"), *[F.lit(0).cast("long").alias(c) for c in counts])
+    rest = F.filter(history, lambda h: F.coalesce(~inside(h), F.lit(True)))
+    entry = lambda h: F.struct(*[h[c].alias(c) for c in ("week", *counts)])
+    return F.concat(F.array(F.aggregate(history, none, add)), F.transform(rest, entry))
+
+
 def weeks_since_purchase(past: Column, week: Column, default: Column) -> Column:
     latest = F.aggregate(
         past,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import exact_fraction, exact_units, shelf_price
@@ -81,18 +81,23 @@ def duplicate_keys(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(key or KEY)).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def week_counts(data: DataFrame) -> DataFrame:
-    """Rows, purchases, offers, redeemed offers and discount sum per key.
-
-    The partial aggregation runs before the shuffle, so a hot key arrives as one row
-    per map task.
-    """
+def week_sums() -> list[Column]:
+    """Rows, purchases, offers, redeemed offers and discount sum of facts."""
     offered = F.col("discount") != 0
     bought = F.col("purchased") == 1
-    return data.groupBy(*KEY).agg(
+    return [
         F.count("*").alias("n_rows"),
         F.sum(F.col("purchased").cast("long")).alias("purchased"),
         F.count_if(offered).alias("received"),
         F.count_if(offered & bought).alias("redeemed"),
         exact_fraction(F.sum(exact_units("discount"))).alias("discount"),
-    )
+    ]
+
+
+def week_counts(data: DataFrame) -> DataFrame:
+    """Sums per key, see week_sums.
+
+    The partial aggregation runs before the shuffle, so a hot key arrives as one row
+    per map task.
+    """
+    return data.groupBy(*KEY).agg(*week_sums())

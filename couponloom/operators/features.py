@@ -61,6 +61,11 @@ def recency_default(data: DataFrame, params: Params) -> DataFrame:
     return data.agg(F.ceil(latest).cast("int").alias("recency_default"))
 
 
+def look_back(params: Params) -> int:
+    """Weeks before the panel that the features tell apart; of older ones they read sums and the latest purchase."""
+    return max((0, *params.trend_windows))
+
+
 def with_past(rows: DataFrame) -> DataFrame:
     """`past`: the history before the week of the row, which the time features read."""
     return rows.withColumn("past", H.before(F.col("history"), F.col("week")))
@@ -133,6 +138,7 @@ def model_data(
         by_shopper=_value_dimension(data, packed, params, "shopper", encoded),
         packed=packed,
         only=only,
+        look_back=look_back(params),
     )
     rows = impute_price(rows, data, params, weeks)
     rows = with_substitute_discount(with_category(rows, params))

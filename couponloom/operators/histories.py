@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from couponloom.functions import history as H
 from couponloom.functions.columns import product_block
-from couponloom.operators.facts import week_counts
+from couponloom.operators.facts import week_counts, week_sums
 from couponloom.params import Params
 
 
@@ -48,7 +48,21 @@ def redeemed_weeks(data: DataFrame) -> DataFrame:
     )
 
 
-def cells(data: DataFrame, params: Params, observation: Observation | None = None) -> DataFrame:
+def _shortened_counts(data: DataFrame, cut: int) -> DataFrame:
+    """Counts by week with those of the weeks from 0 to before the cut in one row, as in H.shortened."""
+    old = F.coalesce(F.col("week").between(0, cut - 1), F.lit(False))
+    bought = F.when(F.col("old") & (F.col("purchased") == 1), F.col("week"))
+    marked = data.withColumn("old", old).withColumn("bought", bought)
+    latest = F.max("bought").alias("latest")
+    place = F.when(~F.col("old"), F.col("week")).alias("place")
+    counts = marked.groupBy("shopper", "product", "old", place).agg(latest, *week_sums())
+    week = F.when(F.col("old"), F.coalesce("latest", F.lit(0))).otherwise(F.col("place"))
+    return counts.withColumn("week", week).withColumn("discount", F.when(F.col("old"), 0.0).otherwise(F.col("discount")))
+
+
+def cells(
+    data: DataFrame, params: Params, observation: Observation | None = None, cut: int | None = None
+) -> DataFrame:
     """(shopper, block, histories, offers): facts packed per shopper and block of products.
 
     `histories` maps a product to its week entries, see functions.history, so a row finds its own by
@@ -56,9 +70,12 @@ def cells(data: DataFrame, params: Params, observation: Observation | None = Non
     product and week at most, so a cell is bounded by category size x weeks whatever the number of
     facts. Written once, cells serve the panel and the redemption rates without another pass over the
     facts. Facts without a product are in no cell. An `observation` gets `most`, the rows of the most
-    repeated key, from the counts that are made anyway.
+    repeated key, from the counts that are made anyway. With a `cut` histories are shortened as by
+    H.shortened, before they are packed, and `offers` are those of other weeks.
     """
-    counts = week_counts(data.filter("product IS NOT NULL")).withColumn("block", product_block(params))
+    known = data.filter("product IS NOT NULL")
+    counts = week_counts(known) if cut is None or cut <= 0 else _shortened_counts(known, cut)
+    counts = counts.withColumn("block", product_block(params))
     if observation is not None:
         counts = counts.observe(observation, F.max("n_rows").alias("most"))
     entry = F.struct("week", "n_rows", "purchased", "received", "redeemed", "discount")

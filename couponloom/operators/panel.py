@@ -10,11 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from couponloom.functions import history as H
 from couponloom.functions.columns import in_domain, percent_of, product_block
 from couponloom.operators.facts import KEY
 from couponloom.operators.histories import cells
 from couponloom.params import Params
 
+# Panel rows that a task opens. Cells are small beside the rows they are opened to, so the bytes of a
+# shuffle of cells do not tell how many tasks these need.
+ROWS_PER_TASK = 200_000
+
 
 def grid(spark: SparkSession, params: Params) -> DataFrame:
     """Every (week, shopper, product) of the panel, computed from one range."""
@@ -27,10 +32,21 @@ def grid(spark: SparkSession, params: Params) -> DataFrame:
     )
 
 
-def _prepared(packed: DataFrame, weeks: list[int]) -> DataFrame:
-    """Cells with their `offers` of the panel weeks, picked once a cell and not once a row."""
+def _prepared(packed: DataFrame, weeks: list[int], cut: int | None) -> DataFrame:
+    """Cells with their `offers` of the panel weeks, picked once a cell and not once a row.
+
+    With a `cut` their histories are shortened, once a pair and not once a row.
+    """
     inside = F.filter("offers", lambda o: o["week"].between(min(weeks), max(weeks)))
-    return packed.withColumn("offers", inside)
+    packed = packed.withColumn("offers", inside)
+    if cut is None or cut <= 0:
+        return packed
+    return packed.withColumn("histories", F.transform_values("histories", lambda _, h: H.shortened(h, cut)))
+
+
+def panel_tasks(params: Params, weeks: int, products: int) -> int:
+    """Tasks that open the whole panel: as many as its rows need."""
+    return -(-params.n_shoppers * products * weeks // ROWS_PER_TASK) or 1
 
 
 def _with_history(rows: DataFrame) -> DataFrame:
@@ -59,6 +75,7 @@ def panel(
     with_history: bool = True,
     packed: DataFrame | None = None,
     only: DataFrame | None = None,
+    look_back: int | None = None,
 ) -> DataFrame:
     """Facts of the panel weeks plus a default row for every key without a fact.
 
@@ -68,7 +85,8 @@ def panel(
     unique per shopper, is attached before the cells are opened. `packed` are the cells
     of the facts where they are written already. `only` restricts the panel to given
     keys, whose further columns are carried along, without opening the other ones.
-    Repeated keys keep all their rows.
+    Repeated keys keep all their rows. With `look_back` weeks a history has its entries of so many weeks
+    before the panel and later, and older ones as H.shortened joins them.
     """
     spark = data.sparkSession
     weeks = weeks or params.panel_weeks
@@ -76,9 +94,13 @@ def panel(
     block = product_block(params)
     in_weeks = F.col("week").isin(weeks)
     inside = data.filter(in_domain(params, products))
+    cut = None if look_back is None else min(weeks) - look_back
     if packed is None:
-        packed = cells(inside if with_history else inside.filter(in_weeks), params)
-    packed = _prepared(packed, weeks)
+        packed = cells(inside if with_history else inside.filter(in_weeks), params, cut=cut)
+        cut = None
+    # Both joins leave out the same cells, so that they share one shuffle.
+    packed = packed.filter(F.col("shopper").isNotNull() & F.col("block").isNotNull())
+    packed = _prepared(packed, weeks, cut)
 
     if only is None:
         shoppers = spark.range(params.n_shoppers).select(F.col("id").cast("int").alias("shopper"))
@@ -101,6 +123,8 @@ def panel(
     none = F.array().cast(packed.schema["offers"].dataType)
     wanted = wanted.join(packed, ["shopper", "block"], "left").withColumn("offers", F.coalesce("offers", none))
     if only is None:
+        # The join above shares its shuffle of cells with the observed rows; its tasks may be few.
+        wanted = wanted.repartition(panel_tasks(params, len(weeks), products), "shopper", "block")
         missing = _open_cells(wanted, params, weeks, products)
     else:
         missing = _with_history(wanted).filter(

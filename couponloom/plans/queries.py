@@ -71,7 +71,8 @@ class Star:
 
     @property
     def past(self) -> DataFrame:
-        return features.with_past(self.panel)
+        back = features.look_back(self.params)
+        return features.with_past(panel(self.written_facts, self.params, look_back=back))
 
     def model_data(
         self,

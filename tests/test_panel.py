@@ -1,14 +1,18 @@
 """Sparse formulations against the dense panel built by brute force."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from couponloom.functions import history as H
+from couponloom.operators import panel as panel_module
 from couponloom.operators.elasticity import product_elasticity
 from couponloom.operators.encode import woe
 from couponloom.operators.features import (
     cluster_dummies,
+    look_back,
     model_data,
     with_category,
     with_cluster,
@@ -107,6 +111,40 @@ def test_redemption_counts_every_panel_row(spark, by, before):
     assert got == pytest.approx(want)
 
 
+def _history_features(rows_):
+    return with_running_rates(with_product_frequency(with_trends(with_recency(with_past(rows_), LATE), LATE)))
+
+
+# Weeks of its own before the window: the features' entries of weeks 0 and 1 are joined to one.
+LATE = replace(SMALL, test_week=8, train_window=3, trend_windows=(1, 3))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("seed", SEEDS)
+def test_shortened_histories_give_the_features_of_whole_ones(spark, seed, packed):
+    data = frames(spark, seed, LATE)[0].withColumn("week", F.expr("IF(week = 0 AND product % 3 = 0, -1, week)"))
+    back = look_back(LATE)
+    assert min(LATE.panel_weeks) - back == 2
+    short = panel(data, LATE, look_back=back, packed=cells(data, LATE) if packed else None)
+    columns = [
+        *KEY, "price", "discount", "purchased", "weeks_since_last_purchase", "trend_1", "trend_3",
+        "product_freq", "shopper_product_redemption_rate", "discount_buy",
+    ]
+    whole = _history_features(panel(data, LATE)).toPandas()
+    assert rows(_history_features(short).toPandas(), columns) == rows(whole, columns)
+    assert short.filter(F.size("history") > 8).count() == 0
+
+
+def test_tasks_that_open_the_panel_follow_its_rows(spark, monkeypatch):
+    """A few bytes of cells are opened to many rows: as many tasks as these need, not as their bytes need."""
+    monkeypatch.setattr(panel_module, "ROWS_PER_TASK", 10)
+    data, _ = frames(spark, 1)
+    tasks = panel_module.panel_tasks(SMALL, len(SMALL.panel_weeks), SMALL.n_products)
+    assert tasks == 23
+    text = panel(data, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(shopper#\d+, block#\d+, {tasks}\), REPARTITION_BY_NUM", text)
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 def test_history_features(spark, seed):
     data, data_pd = frames(spark, seed)
