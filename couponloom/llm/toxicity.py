@@ -25,17 +25,16 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import partial
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponloom.llm.text import appended, id_remainder, text_bytes
+from couponloom.llm.text import appended, chunks, give_back, id_remainder, text_bytes
+from couponloom.workspace import private_stage
 
 #: Labelled documents a word or stem must be in to be learned from.
 LEAST_DOCS = 4
@@ -63,7 +62,10 @@ _RUN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t.\-_*]\S){3,}(?!\S)")
 #: Longer tokens are not remembered, and may be words joined by separators.
 _ONE_WORD = 64
-_PUNCTUATION = {i: " " for i in range(0x21, 0x7F) if not chr(i).isalnum()}
+#: UTF-8 with a space for each mark of ASCII; other characters hold none of these bytes.
+_PUNCTUATION = bytes(0x20 if 0x20 < i < 0x7F and not chr(i).isalnum() else i for i in range(256))
+#: Tokens of a text with single spaces that are no letters with marks after them.
+_ODD = rf"(?<![^ ])(?![a-zß-öø-ɏ]+[{re.escape(_EDGES)}]*(?![^ ]))[^ ]+"
 
 
 class CharacterModel:
@@ -188,12 +190,22 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """Restored text of lower-case text; tokens are joined by single spaces."""
-        text = _SPACED.sub(lambda m: decode(m[0], self._model), text)
-        return " ".join(map(self.token, text.split()))
+        text = " ".join(_SPACED.sub(lambda m: decode(m[0], self._model), text).split())
+        # Letters with marks after them stay as they are, but for runs of a letter.
+        odd = "|".join([_ODD, *[rf"(?<![^ ])(?=[^ ]*?{run})[^ ]+" for run in _runs(text)]])
+        return re.sub(odd, lambda m: self.token(m[0]), text)
+
+
+def _runs(text: str) -> list[str]:
+    """Letters that come three times in a row, so often each."""
+    units = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    same = units[1:] == units[:-1]
+    letters = map(chr, np.unique(units[:-2][same[1:] & same[:-1]]).tolist())
+    return [letter * 3 for letter in letters if letter.isalpha()]
 
 
 def words(text: str) -> list[str]:
-    return text.translate(_PUNCTUATION).split()
+    return text.encode().translate(_PUNCTUATION).decode().split()
 
 
 def features(counts: Counter[str], n_words: int) -> set[Feature]:
@@ -213,11 +225,11 @@ def features(counts: Counter[str], n_words: int) -> set[Feature]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Words of the character model, probability of label 1 for each feature alone and for none."""
+    """Words of the character model, probability of label 1 for each feature alone and for none (None: not known yet)."""
 
     letters: dict[str, float]
     stems: dict[Feature, float]
-    base: float
+    base: float | None
 
 
 class Scorer:
@@ -226,7 +238,7 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self._clean = {feature: 1.0 - p for feature, p in model.stems.items()}
         self._heads = frozenset(stem[: STEM[0]] for stem, _ in model.stems)
-        self._base = model.base
+        self._base = model.base or 0.0
         self.restorer = Restorer(CharacterModel(model.letters))
 
     def found(self, text: str) -> set[Feature]:
@@ -235,51 +247,116 @@ class Scorer:
         held = Counter([w for w in restored if w[: STEM[0]] in heads])
         return features(held, len(restored)) & self._clean.keys() if held else set()
 
+    def clean(self, text: str) -> float:
+        """Probability that no feature of the text made it toxic: 1 without any, else less."""
+        return math.prod(self._clean[f] for f in sorted(self.found(text)))
+
     def __call__(self, text: str) -> float:
-        return 1.0 - (1.0 - self._base) * math.prod(self._clean[f] for f in sorted(self.found(text)))
+        return 1.0 - (1.0 - self._base) * self.clean(text)
 
 
 #: Letters of the words that the character model learns from: longer runs of letters are noise more often than
 #: words. Stems are learned from words of any length, and restoring reads tokens of any length.
 MODEL_WORD = 24
-#: What is counted beside the grades of stems.
+#: What is counted beside the grades of stems: whole words.
 _WHOLE = len(GRADES)
-_COUNTED = pa.schema([("stem", pa.string()), ("grade", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64())])
-_HELD = 300_000
+#: Documents of each class, clean before toxic, for each grade of a stem and for the whole word.
+_COUNTS = [f"n{kind}_{label}" for kind in range(_WHOLE + 1) for label in (0, 1)]
+#: Stems and words that a task holds before it sends their counts on, and bytes of text it counts at once.
+_HELD = 500_000
+_AT_ONCE = 2 << 20
+
+
+def _groups(of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of equal neighbours and the sums of their numbers."""
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return first, np.add.reduceat(n, first) if len(first) else n
+
+
+class _Tally:
+    """Documents of each class that hold a stem in a grade, or a whole word."""
+
+    def __init__(self):
+        self._names: dict[str, int] = {}
+        self._counts = np.zeros((0, len(_COUNTS)), dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+    def _codes(self, names: list[str]) -> np.ndarray:
+        held = self._names
+        codes = np.fromiter([held.setdefault(name, len(held)) for name in names], np.int64, len(names))
+        if len(held) > len(self._counts):
+            more = max(len(held), 2 * len(self._counts)) - len(self._counts)
+            self._counts = np.concatenate([self._counts, np.zeros((more, len(_COUNTS)), np.int64)])
+        return codes
+
+    def _add(self, kind: int, codes: np.ndarray, of: np.ndarray, label: np.ndarray) -> None:
+        found = np.bincount(of * 2 + label, minlength=2 * len(codes)).reshape(-1, 2)
+        own = np.flatnonzero(found.any(axis=1))
+        self._counts[codes[own], 2 * kind : 2 * kind + 2] += found[own]
+
+    def add(self, texts: list[str], labels: np.ndarray) -> None:
+        """Count the words of lower-case texts and their beginnings."""
+        found = [words(t) for t in texts]
+        lengths = np.array([len(f) for f in found], dtype=np.int64)
+        # Words in order, so that words of one stem are neighbours in each text.
+        names = sorted(filter(str.isalpha, set(chain.from_iterable(found))))
+        if not names:
+            return
+        place = {name: k for k, name in enumerate(names)}
+        at = np.fromiter([place.get(w, -1) for f in found for w in f], np.int64, int(lengths.sum()))
+        text = np.repeat(np.arange(len(texts)), lengths)[at >= 0]
+        pairs, n = np.unique(text * len(names) + at[at >= 0], return_counts=True)
+        text, word = np.divmod(pairs, len(names))
+        label = labels[text]
+        letters = np.array([len(name) for name in names])
+        short = letters <= MODEL_WORD
+        keep, number = short[word], np.cumsum(short) - 1
+        whole = self._codes([names[i] for i in np.flatnonzero(short).tolist()])
+        self._add(_WHOLE, whole, number[word[keep]], label[keep])
+        least = [np.maximum(share * lengths, most) for share, most in GRADES]
+        for k in range(STEM[0], STEM[1] + 1):
+            long = letters >= k
+            own = np.flatnonzero(long)
+            if not len(own):
+                break
+            heads = [names[i][:k] for i in own.tolist()]
+            new = [True, *[a != b for a, b in zip(heads, heads[1:])]]
+            stem = np.full(len(names), -1)
+            stem[own] = np.cumsum(new) - 1
+            codes = self._codes([head for head, first in zip(heads, new, strict=True) if first])
+            keep = long[word]
+            text, word, n, label = text[keep], word[keep], n[keep], label[keep]
+            first, held = _groups(text * len(names) + stem[word], n)
+            of, where, which = stem[word[first]], text[first], label[first]
+            for grade, most in enumerate(least):
+                reached = held >= most[where]
+                if reached.any():
+                    self._add(grade, codes, of[reached], which[reached])
+
+    def flush(self) -> pa.RecordBatch:
+        held = self._counts[: len(self._names)]
+        columns = [pa.array(list(self._names), pa.string()), *[pa.array(held[:, i].copy()) for i in range(len(_COUNTS))]]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["stem", *_COUNTS])
 
 
 def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a stem or a whole word."""
-    counts: dict[tuple[str, int], list[int]] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [{"stem": s, "grade": k, "clean": n[0], "toxic": n[1]} for (s, k), n in sorted(counts.items())]
-        counts.clear()
-        return pa.RecordBatch.from_pylist(rows, schema=_COUNTED)
-
-    for batch in batches:
-        labels = batch.column("toxic").to_pylist()
-        for text, label in zip(text_bytes(batch.column("text")), labels, strict=True):
-            found = words(text.decode().lower())
-            held = Counter(found)
-            for feature in features(held, len(found)):
-                counts.setdefault(feature, [0, 0])[label] += 1
-            for word in held:
-                if word.isalpha() and len(word) <= MODEL_WORD:
-                    counts.setdefault((word, _WHOLE), [0, 0])[label] += 1
-            if len(counts) > _HELD:
-                yield flush()
-    yield flush()
-
-
-def _without(batches: Iterator[pa.RecordBatch], given: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Texts learned from without any known stem, by label."""
-    scorer, left = Scorer(given.value), [0, 0]
+    """Documents of each class that hold a stem or a whole word; those of all texts stand beside the empty word."""
+    tally, seen = _Tally(), np.zeros(2, dtype=np.int64)
     for batch in batches:
-        labels = batch.column("toxic").to_pylist()
-        for text, label in zip(text_bytes(batch.column("text")), labels, strict=True):
-            left[label] += not scorer.found(text.decode())
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(left, pa.int64())], names=["toxic", "n"])
+        labels = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        seen += np.bincount(labels, minlength=2)
+        texts = text_bytes(batch.column("text"))
+        for part in chunks([len(t) for t in texts], _AT_ONCE):
+            tally.add([t.decode().lower() for t in texts[part]], labels[part])
+            if len(tally) > _HELD:
+                yield tally.flush()
+    yield tally.flush()
+    none = [pa.array([int(n) if name.startswith(f"n{_WHOLE}_") else 0], pa.int64()) for name, n in zip(_COUNTS, np.tile(seen, _WHOLE + 1))]
+    yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), *none], names=["stem", *_COUNTS])
+    give_back()
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
@@ -315,49 +392,85 @@ def choose_stems(counts: list[tuple[Feature, int, int]], n_clean: int, n_toxic:
     return chosen
 
 
-def train(
+def _label_keys(labels: DataFrame, usable: Column, key: str, label: str) -> DataFrame:
+    return (
+        labels.where(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
+    )
+
+
+def learn(
     docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
     label: str = "toxic",
 ) -> ToxicityModel:
-    """The model of all labelled keys among the usable rows of labels."""
-    spark = docs.sparkSession
-    keys = (
-        labels.where(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
+    """Words and features of all labelled keys among the usable rows of labels.
+
+    The base is known only where there are no features to learn, without labelled rows of both classes.
+    """
+    keys = _label_keys(labels, usable, key, label)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    # Texts are shuffled once, here, and at any size: labels grow with the documents.
+    learned = texts.join(keys.hint("merge"), "key").select("toxic", "text")
+    counted = learned.mapInArrow(_class_words, ", ".join(["stem string", *[f"{name} long" for name in _COUNTS]]))
+    counted = counted.groupBy("stem").agg(*[F.sum(name).alias(name) for name in _COUNTS])
+    graded = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("grade"), F.col(f"n{kind}_0").alias("clean"), F.col(f"n{kind}_1").alias("toxic"))
+        for kind in range(_WHOLE + 1)
+    ])).alias("of")
+    found = (
+        counted.select("stem", graded).select("stem", "of.*")
+        .where((F.col("stem") == "") | (F.col("clean") + F.col("toxic") >= LEAST_DOCS))
+        .where((F.col("grade") == _WHOLE) | (F.col("toxic") >= F.col("clean"))).collect()
     )
-    learned = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("toxic", "text")
-    counts = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
-    n_clean, n_toxic = counts.get(0, 0), counts.get(1, 0)
+    found.sort(key=lambda r: (r["grade"], r["stem"]))
+    n_clean, n_toxic = next(((r["clean"], r["toxic"]) for r in found if r["stem"] == "" and r["grade"] == _WHOLE), (0, 0))
     if not n_clean or not n_toxic:
         return ToxicityModel({}, {}, n_toxic / max(1, n_clean + n_toxic))
-    found = (
-        learned.mapInArrow(_class_words, "stem string, grade int, clean long, toxic long").groupBy("stem", "grade")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
-        .where((F.col("grade") == _WHOLE) | (F.col("toxic") >= F.col("clean"))).orderBy("grade", "stem").collect()
-    )
+    found = [r for r in found if r["stem"]]
     letters = {r["stem"]: math.log1p(r["clean"] + r["toxic"]) for r in found if r["grade"] == _WHOLE}
-    counted = [((r["stem"], r["grade"]), r["clean"], r["toxic"]) for r in found if r["grade"] != _WHOLE]
-    chosen = choose_stems(counted, n_clean, n_toxic)
-    given = spark.sparkContext.broadcast(ToxicityModel(letters, chosen, 0.0))
-    left = learned.mapInArrow(partial(_without, given=given), "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n"))
+    counts = [((r["stem"], r["grade"]), r["clean"], r["toxic"]) for r in found if r["grade"] != _WHOLE]
+    return ToxicityModel(letters, choose_stems(counts, n_clean, n_toxic), None)
+
+
+def with_base(
+    model: ToxicityModel, scored: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", label: str = "toxic"
+) -> ToxicityModel:
+    """The model with its base: the share of label 1 among texts learned from without any feature.
+
+    scored: key and clean of `score` by the model for all documents. Their texts need not meet the labels.
+    """
+    if model.base is not None:
+        return model
+    keys = _label_keys(labels, usable, key, label)
+    left = scored.where("clean = 1").select(F.col(key).alias("key")).join(keys, "key").groupBy("toxic").agg(F.count("*").alias("n"))
     rest = {r["toxic"]: r["n"] for r in left.collect()}
-    return ToxicityModel(letters, chosen, (rest.get(1, 0) + 0.5) / (rest.get(0, 0) + rest.get(1, 0) + 1.0))
+    return replace(model, base=(rest.get(1, 0) + 0.5) / (rest.get(0, 0) + rest.get(1, 0) + 1.0))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
+    label: str = "toxic",
+) -> ToxicityModel:
+    """The model of all labelled keys among the usable rows of labels."""
+    model = learn(docs, labels, usable, key, text, label)
+    scored = score(docs.select(key, text), model, text).select(f"row.{key}", "clean")
+    return with_base(model, scored, labels, usable, key, label)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Each row of docs with the score of its whole text."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    """Each row of docs with the score of its whole text, and the probability that no feature made it toxic."""
+    given, base = docs.sparkSession.sparkContext.broadcast(model), model.base or 0.0
 
     def make():
         scorer = Scorer(given.value)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            return [pa.array([scorer(t.decode()) for t in texts], pa.float64())]
+            clean = np.array([scorer.clean(t.decode()) for t in texts], dtype=float)
+            return [pa.array(1.0 - (1.0 - base) * clean), pa.array(clean)]
 
         return compute
 
-    return appended(docs, text, make, "score double")
+    return appended(docs, text, make, "score double, clean double")
 
 
 def usable_label() -> Column:
@@ -368,8 +481,12 @@ def usable_label() -> Column:
 def op5_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all `documents`; learns from `labels` that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable_label())
-    return score(docs, model).select(
-        F.col("row.doc_id").alias("doc_id"), (id_remainder("row.doc_id", 4) == 2).alias("held_out"), "score",
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn(docs, labels, usable_label())
+    # Texts are restored once: what they hold is written, and the base follows from it.
+    held = private_stage(spark, "held", lambda: score(docs, model).select("row.doc_id", "clean"))
+    model = with_base(model, held, labels, usable_label())
+    return held.withColumn("score", F.lit(1.0) - F.lit(1.0 - model.base) * F.col("clean")).select(
+        "doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

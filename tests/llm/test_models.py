@@ -343,6 +343,58 @@ def test_toxicity_learns_from_every_usable_label(documents, spark):
     assert seen == [n]
 
 
+def test_texts_meet_the_labels_once_and_alike_at_any_size(documents, spark, monkeypatch):
+    """Only the counting of words shuffles texts, by a join that does not turn with the size of the labels."""
+    docs, labels = labelled(documents, spark, 100)
+    plans, plain = [], type(docs).mapInArrow
+
+    def watched(self, *given, **more):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *given, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    toxicity.train(docs, labels, toxicity.usable_label())
+    joined = [plan for plan in plans if "Join" in plan]
+    assert len(plans) == 2 and len(joined) == 1
+    assert "SortMergeJoin" in joined[0] and "BroadcastHashJoin" not in joined[0]
+
+
+def test_counted_words_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "_HELD", 50)
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 500)
+    texts = [text(k, 5 + 7 * k % 200) for k in range(60)]
+    texts += ["", "Straße, ÀÀÀ x² don't", "ab abc abcd abcde", "w" * 30 + " www", "日本語日本 日本語", "idiot! Idiots 1d10t"]
+    labels = [k % 3 == 0 for k in range(len(texts))]
+    want = Counter()
+    for t, label in zip(texts, labels):
+        words = toxicity.words(t.lower())
+        held = Counter(words)
+        for feature in toxicity.features(held, len(words)):
+            want[feature, int(label)] += 1
+        for word in held:
+            if word.isalpha() and len(word) <= toxicity.MODEL_WORD:
+                want[(word, toxicity._WHOLE), int(label)] += 1
+    given = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels).cast(pa.int32())], names=["text", "toxic"])
+    got = Counter()
+    for batch in toxicity._class_words(iter([given, given])):
+        for row in batch.to_pylist():
+            for name in toxicity._COUNTS:
+                kind, label = map(int, name[1:].split("_"))
+                got[(row["stem"], kind), label] += row[name]
+    whole = [got.pop((("", kind), label)) for kind in range(toxicity._WHOLE + 1) for label in (0, 1)]
+    assert whole == [0] * 2 * toxicity._WHOLE + [2 * labels.count(False), 2 * labels.count(True)]
+    assert +got == Counter({k: 2 * n for k, n in want.items()})
+
+
+def test_restored_texts_are_their_restored_tokens():
+    restorer, rng = Restorer(CharacterModel(LETTERS)), random.Random(3)
+    texts = ["".join(rng.choice("idotseé1!. -_*'“ßxx日²\t\n\x85") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    for t in [*texts, "idiooot! (moron) abc.. ...x moooron,", "x² ÿÿÿ. ééé idiot"]:
+        t = t.lower()
+        spaced = toxicity._SPACED.sub(lambda m: decode(m[0], restorer._model), t)
+        assert restorer.text(t) == " ".join(restorer.token(w) for w in spaced.split())
+
+
 # Pipeline
 
 
