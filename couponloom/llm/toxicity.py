@@ -72,7 +72,7 @@ class CharacterModel:
     """Interpolated character n-grams of words; a space is the edge of a word."""
 
     def __init__(self, words: dict[str, float], order: int = 4, weight: float = 2.0):
-        self.order, self._weight, self.words = order, weight, frozenset(words)
+        self.order, self._weight, self.words = order, weight, words
         grams: dict[str, float] = defaultdict(float)
         contexts: dict[str, float] = defaultdict(float)
         for word, n in words.items():
@@ -235,11 +235,11 @@ class ToxicityModel:
 class Scorer:
     """Noisy-or: a text is clean if none of the stems in it made it toxic."""
 
-    def __init__(self, model: ToxicityModel):
+    def __init__(self, model: ToxicityModel, letters: CharacterModel | None = None):
         self._clean = {feature: 1.0 - p for feature, p in model.stems.items()}
         self._heads = frozenset(stem[: STEM[0]] for stem, _ in model.stems)
         self._base = model.base or 0.0
-        self.restorer = Restorer(CharacterModel(model.letters))
+        self.restorer = Restorer(letters or CharacterModel(model.letters))
 
     def found(self, text: str) -> set[Feature]:
         """Known features of the restored text."""
@@ -459,10 +459,12 @@ def train(
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Each row of docs with the score of its whole text, and the probability that no feature made it toxic."""
-    given, base = docs.sparkSession.sparkContext.broadcast(model), model.base or 0.0
+    # The character model's words are many and its n-grams few: they are counted once, not in every task.
+    given = docs.sparkSession.sparkContext.broadcast((replace(model, letters={}), CharacterModel(model.letters)))
+    base = model.base or 0.0
 
     def make():
-        scorer = Scorer(given.value)
+        scorer = Scorer(*given.value)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             clean = np.array([scorer.clean(t.decode()) for t in texts], dtype=float)
