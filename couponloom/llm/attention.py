@@ -12,6 +12,7 @@ it in that window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ CLASSES = 64
 _BACKOFF, _UNSEEN = 4.0, 0.01
 #: Few enough windows for their arrays to stay in a core's cache.
 _WINDOWS_AT_ONCE = 192
+#: Batches of training that are cut at once.
+_BATCHES_AT_ONCE = 16
 _RANGE = 30.0
 
 Weights = dict[str, np.ndarray]
@@ -52,10 +55,11 @@ def flat(weights: Weights) -> np.ndarray:
 
 
 def unflat(values: np.ndarray, classes: int) -> Weights:
+    """The weights of `flat`, as views of the values where these are of their type."""
     found, at = {}, 0
     for name, shape in sorted(shapes(classes).items()):
         size = int(np.prod(shape))
-        found[name] = values[at : at + size].reshape(shape).astype(np.float32)
+        found[name] = values[at : at + size].reshape(shape).astype(np.float32, copy=False)
         at += size
     return found
 
@@ -66,29 +70,43 @@ _CAUSAL = np.where(_APART >= 0, 0.0, -1e9).astype(np.float32)
 _APART = np.maximum(_APART, 0)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, as a product."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
+
+
+def _rows(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of a table at places that are all within it, which numpy need not check."""
+    return np.take(table, places, axis=0, mode="clip")
+
+
 def _forward(weights: Weights, prior: np.ndarray, classes: np.ndarray, ids: np.ndarray, before: np.ndarray):
-    """Class scores after the scored places; before: -1e9 at places ahead of the text.
+    """Class scores after the scored places, less a shift of each row that keeps them in range.
 
-    prior: log probability of the classes after each id.
+    prior: log probability of the classes after each id; before: -1e9 at places ahead of the text.
+    Products are worked out window by window: small ones cost less than one large one. Shares of
+    attention are a / total, and a column of ones follows h, for the bias.
     """
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    embed = weights["embed"]
-    asked = classes[:, CONTEXT:]
-    queries, keys = embed @ weights["query"] * scale, embed @ weights["key"]
-    q, k, v = queries[asked], keys[classes], (embed @ weights["value"])[classes]
+    embed, n = weights["embed"], len(classes)
+    queries, keys = embed @ weights["query"] * np.float32(1 / np.sqrt(WIDTH)), embed @ weights["key"]
+    values = embed @ weights["value"]
+    q, k, v = _rows(queries, classes[:, CONTEXT:]), _rows(keys, classes), _rows(values, classes)
     a = q @ k.transpose(0, 2, 1)
-    a += (weights["distance"][_APART] + _CAUSAL)[None]
-    a += before[:, None, :]
+    a += weights["distance"][_APART] + _CAUSAL
+    ahead = np.flatnonzero(before[:, 0])
+    a[ahead] += before[ahead, None, :]
     # Every place sees itself; where scores cannot leave the range no row needs a shift.
     if _reach(queries, keys) + np.abs(weights["distance"]).max() > _RANGE:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = a @ v
-    z = h @ weights["out"]
-    z += prior[ids[:, CONTEXT:]]
-    z += weights["bias"]
-    return q, k, v, a, h, z
+    total = _sums(a)[:, :, None]
+    h = np.ones((n, SCORED, WIDTH + 1), a.dtype)
+    np.divide(a @ v, total, out=h[:, :, :WIDTH])
+    z = h @ np.concatenate([weights["out"], weights["bias"][None]])
+    z += _rows(prior, ids[:, CONTEXT:])
+    if _reach(values, weights["out"].T) + np.abs(weights["bias"]).max() > _RANGE:
+        z -= z.max(axis=2, keepdims=True)
+    return q, k, v, a, total, h, z
 
 
 def _reach(*tables: np.ndarray) -> float:
@@ -97,17 +115,26 @@ def _reach(*tables: np.ndarray) -> float:
     return float(one * two)
 
 
+def _summed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sum over windows and places of the products of their rows, worked out a few windows at a time."""
+    several = math.gcd(len(one), 8)
+    one, two = (x.reshape(len(x) // several, -1, x.shape[-1]) for x in (one, two))
+    return (one.transpose(0, 2, 1) @ two).sum(axis=0)
+
+
+def _places(target: np.ndarray, classes: int) -> np.ndarray:
+    """Places of the targets among the scores of all classes after all scored places."""
+    return np.arange(0, target.size * classes, classes) + target.ravel()
+
+
 def class_scores(
     weights: Weights, prior: np.ndarray, classes: np.ndarray, ids: np.ndarray, before: np.ndarray, target: np.ndarray
 ) -> np.ndarray:
     """Log probability of the target class at each scored place."""
     z = _forward(weights, prior, classes, ids, before)[-1]
-    values = weights["embed"] @ weights["value"]
-    if _reach(values, weights["out"].T) + np.abs(weights["bias"]).max() > _RANGE:
-        z -= z.max(axis=2, keepdims=True)
-    chosen = np.take_along_axis(z, target[:, :, None], axis=2)[:, :, 0]
+    chosen = z.ravel()[_places(target, z.shape[2])].reshape(target.shape)
     np.exp(z, out=z)
-    return chosen - np.log(z.sum(axis=2))
+    return chosen - np.log(_sums(z))
 
 
 def gradient(
@@ -115,34 +142,36 @@ def gradient(
     target: np.ndarray, weight: np.ndarray,
 ) -> Weights:
     """Mean gradient of the negative log probability; weight is 0 at places past the text."""
-    q, k, v, a, h, z = _forward(weights, prior, classes, ids, before)
+    q, k, v, a, total, h, z = _forward(weights, prior, classes, ids, before)
     n, c = max(1.0, float(weight.sum())), len(weights["embed"])
-    z -= z.max(axis=2, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
-    rows, places = np.indices(target.shape)
-    z[rows, places, target] -= 1
-    z *= (weight / n)[:, :, None].astype(np.float32)
-    asked = classes[:, CONTEXT:]
-    dh = z @ weights["out"].T
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-
+    # Probabilities less 1 at the target, all times their sum; the narrow factors are divided by it.
+    sums = _sums(z)
+    z.ravel()[_places(target, c)] -= sums.ravel()
+    part = (weight / sums / n)[:, :, None].astype(z.dtype)
+    dh = z @ np.ascontiguousarray(weights["out"].T)
+    dh *= part
+    out = _summed(h * part, z)
+    near = _sums(dh * h[:, :, :WIDTH])[:, :, None]
+    dh /= total
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= near / total
+    ds *= a
+    # For each place what it asks, shows and gives; the first places ask nothing.
+    d = np.empty((len(classes), CONTEXT + SCORED, 3 * WIDTH), a.dtype)
+    d[:, :CONTEXT, :WIDTH] = 0
+    np.matmul(ds, k, out=d[:, CONTEXT:, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * WIDTH :])
     # Sums by class as products with 0 and 1.
-    of = (np.arange(c)[:, None] == classes.ravel()).astype(np.float32)
-    at_asked = np.ascontiguousarray(of.reshape(c, *classes.shape)[:, :, CONTEXT:]).reshape(c, -1)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    tq = at_asked @ (dq * scale).reshape(-1, WIDTH)
-    tk, tv = of @ dk.reshape(-1, WIDTH), of @ dv.reshape(-1, WIDTH)
+    tq, tk, tv = np.split(_summed(d, _rows(np.eye(c, dtype=a.dtype), classes)).T, 3, axis=1)
+    tq = tq * np.float32(1 / np.sqrt(WIDTH))
     embed = weights["embed"]
-    apart = ds.sum(axis=0)
     return {
         "embed": tq @ weights["query"].T + tk @ weights["key"].T + tv @ weights["value"].T,
         "query": embed.T @ tq, "key": embed.T @ tk, "value": embed.T @ tv,
-        "distance": np.bincount(_APART.ravel(), apart.ravel(), minlength=CONTEXT + SCORED).astype(np.float32),
-        "out": h.reshape(-1, WIDTH).T @ z.reshape(-1, c), "bias": z.sum(axis=(0, 1)),
+        "distance": np.bincount(_APART.ravel(), ds.sum(axis=0).ravel(), minlength=CONTEXT + SCORED).astype(np.float32),
+        "out": out[:WIDTH], "bias": out[WIDTH],
     }
 
 
@@ -154,14 +183,17 @@ def train(
 
     `cut` gives windows by their numbers: classes, ids, before, target class, weight.
     """
-    weights = {k: w.copy() for k, w in weights.items()}
-    first, second = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
-    for step, at in enumerate(range(0, len(order), batch), 1):
-        d = gradient(weights, prior, *cut(order[at : at + batch]))
-        for k in weights:
-            first[k] = 0.9 * first[k] + 0.1 * d[k]
-            second[k] = 0.99 * second[k] + 0.01 * d[k] ** 2
-            weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+    values = flat(weights)
+    weights = unflat(values, len(weights["bias"]))
+    first, second = np.zeros_like(values), np.zeros_like(values)
+    for at in range(0, len(order), batch * _BATCHES_AT_ONCE):
+        many = cut(order[at : at + batch * _BATCHES_AT_ONCE])
+        for start in range(0, len(many[0]), batch):
+            d = flat(gradient(weights, prior, *(x[start : start + batch] for x in many)))
+            step = (at + start) // batch + 1
+            first = 0.9 * first + 0.1 * d
+            second = 0.99 * second + 0.01 * d**2
+            values -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
     return weights
 
 

@@ -1,13 +1,15 @@
 """Scoring of whole texts by a subword attention model and by word counts.
 
-The texts are dealt into blocks by a hash of key and text. One pass over the blocks gathers
+The texts are dealt into blocks by a hash of key and text. One pass over the blocks encodes
+each distinct word of a block once and gathers
 1. each distinct word and each distinct pair of neighbouring subword ids, once a block, with
    their counts in the block's training texts. They go to buckets by their hash; a bucket adds
    up and answers each block in the order of its words and pairs. So a word or pair travels
    once a block, never once an occurrence, and no word's rows can pile up. Every word and
    every pair keeps its count.
-2. the ids of all training texts, packed into parts of about PART_IDS ids. A block is a random
-   share of the texts, so no window is shuffled, and copies of a text are in many parts.
+2. all texts as their ids and their words' numbers, with the rows they are of, packed into parts
+   of about PART_IDS ids, training texts apart from the others. A block is a random share of the
+   texts, so no window is shuffled, and copies of a text are in many parts.
 
 Learning runs over all texts that are not held out:
 1. Ids with like neighbours become one class (at most CLASSES of them; the tables that
@@ -15,7 +17,7 @@ Learning runs over all texts that are not held out:
 2. In each of `ROUNDS` rounds every part trains from the same weights on all windows of its
    texts, in an order of its own, and the parts' weights are averaged by Spark, weight by weight.
 
-Then each block scores its texts with the answers of the buckets.
+Then each block scores its parts with the answers of the buckets; no text is read again.
 
 Contract of `score`: null texts are empty; an empty text is the end token alone; very long texts
 are scored whole. Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Rows that repeat are
@@ -28,11 +30,12 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
@@ -42,7 +45,7 @@ from pyspark.sql import types as T
 
 from couponloom.llm import attention
 from couponloom.llm.attention import CLASSES, PAIR_BITS, SCORED
-from couponloom.llm.text import BLOCK_BYTES, block_count, chunks, id_remainder, text_bytes
+from couponloom.llm.text import BLOCK_BYTES, block_count, chunks, give_back, id_remainder, keep_freed, ragged, text_bytes
 from couponloom.llm.word_ids import word_encoder
 from couponloom.workspace import private_stage
 
@@ -54,7 +57,6 @@ NEIGHBOURS = 256
 #: Ids rarer than this share a class.
 LEAST_COUNT = 20
 _PAIRS_AT_ONCE = 1 << 22
-_PARTS_A_FILE = 8
 _PART_BYTES = 8 << 20
 
 
@@ -67,8 +69,15 @@ class Subwords:
         self.start, self.end = vocabulary, vocabulary + 1
         self.size = vocabulary + 2
 
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and their number for each word: a text's ids are those of its words."""
+        return self._encoder.encode(words)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = self._encoder.encode(texts)
+        return self.enclosed(*self._encoder.encode(texts))
+
+    def enclosed(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end id put around each text's ids."""
         out = np.empty(len(ids) + 2 * len(lengths), dtype=np.int64)
         after = np.cumsum(lengths + 2)
         first = after - lengths - 2
@@ -118,6 +127,7 @@ def find_classes(pairs: DataFrame, vocabulary: int, start: int, end: int, seed:
 def _train_part(batches: Iterator[pa.RecordBatch], given: Broadcast, values: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
     """Weights after one pass over each part, summed by the numbers of their windows."""
     corpus = given.value
+    keep_freed()
     n_classes = corpus.prior.shape[1]
     total, count = np.zeros(len(values)), 0
     for batch in batches:
@@ -134,6 +144,7 @@ def _train_part(batches: Iterator[pa.RecordBatch], given: Broadcast, values: np.
             found = attention.train(attention.unflat(values, n_classes), corpus.prior, cut, order)
             total += attention.flat(found).astype(np.float64) * len(order)
             count += len(order)
+    give_back()
     if count:
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), float(count))),
@@ -164,8 +175,49 @@ def learn(pairs: DataFrame, parts: DataFrame, subwords: Subwords, seed: int = 1)
     return given, weights
 
 
-def _words(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts]
+class _Words:
+    """Distinct words of many texts, numbered as they come, with their ids and their counts in training texts."""
+
+    def __init__(self, subwords: Subwords):
+        self.numbers: dict[bytes, int] = {}
+        self.counts = np.zeros(0, dtype=np.int64)
+        self._subwords = subwords
+        self._ids, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, texts: list[bytes], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words one after the other, and how many words each text has."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        before, get = len(self.numbers), self.numbers.setdefault
+        # White space at either end of a text leaves an empty string there, which is no word.
+        own = np.fromiter((get(w, len(self.numbers)) if w else -1 for w in names), np.int64, len(names))
+        self._learn(names, own >= before)
+        numbers = own[coded.indices.to_numpy(zero_copy_only=False)]
+        real = numbers >= 0
+        lengths = np.diff(np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()])
+        numbers = numbers[real]
+        counts = np.bincount(numbers[np.repeat(learned, lengths)], minlength=len(self.numbers))
+        counts[:before] += self.counts
+        self.counts = counts
+        return numbers, lengths
+
+    def _learn(self, names: list[bytes], new: np.ndarray) -> None:
+        # The encoder gets all words at hand, of which it remembers those that it knows, as other blocks have them too.
+        ids, lengths = self._subwords.words(names)
+        self._ids = np.concatenate([self._ids, ids[np.repeat(new, lengths)]])
+        self._lengths = np.concatenate([self._lengths, lengths[new]])
+        self._starts = np.cumsum(self._lengths) - self._lengths
+
+    def lengths(self, numbers: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Ids of each text, given as numbers of its words, with start and end."""
+        after = np.concatenate([[0], np.cumsum(self._lengths[numbers])])[np.cumsum(n_words)]
+        return np.diff(after, prepend=0) + 2
+
+    def encode(self, numbers: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts given as numbers of their words, as `Subwords.encode` has them."""
+        ids = self._ids[ragged(self._starts[numbers], self._lengths[numbers])]
+        return self._subwords.enclosed(ids, self.lengths(numbers, n_words) - 2)
 
 
 def _in_order(words, buckets: int) -> list[tuple[int, list[bytes]]]:
@@ -191,10 +243,9 @@ class _Pairs:
         self._held: list[tuple[np.ndarray, np.ndarray]] = []
         self._size = 0
 
-    def add(self, pairs: np.ndarray, counted: bool | np.ndarray) -> None:
-        keys, place = np.unique(pairs, return_inverse=True)
-        n = np.bincount(place, np.broadcast_to(counted, len(pairs)), minlength=len(keys)).astype(np.int64)
-        self.merge(keys, n)
+    def add(self, pairs: np.ndarray, counted: bool) -> None:
+        keys, n = np.unique(pairs, return_counts=True)
+        self.merge(keys, n * counted)
 
     def merge(self, keys: np.ndarray, n: np.ndarray) -> None:
         self._held.append((keys, n))
@@ -213,8 +264,11 @@ class _Pairs:
         return self._held[0]
 
 
-WORDS, PAIRS, PART = range(3)
-_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
+#: Kinds of rows that a block sends: distinct words, distinct pairs, training texts and other texts.
+WORDS, PAIRS, PART, HELD = range(4)
+_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary()),
+                   ("words", pa.binary())])
+_SENT_DDL = "kind int, bucket long, block long, packed binary, words binary"
 
 
 def _pack_ids(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -230,41 +284,51 @@ def _read_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(key: tuple, table: pa.Table, buckets: int, tokenizer: str) -> pa.Table:
-    """The distinct words and pairs of a block with their counts in its training texts, and the ids of those."""
+    """The distinct words and pairs of a block with their counts in its training texts, and its texts.
+
+    Texts go as their ids and as their words' places among all words sent, with the rows they are of.
+    """
     block, subwords = key[0].as_py(), Subwords(tokenizer)
-    counts: Counter[bytes] = Counter()
-    pairs, out, parts = _Pairs(), [], 0
+    words, pairs, out, parts = _Words(subwords), _Pairs(), [], []
     texts = text_bytes(table.column("text"))
     learned = np.array(table.column("learned").to_pylist(), dtype=bool)
     # An order that does not depend on how the rows came.
-    order = sorted(range(len(texts)), key=lambda i: (xxhash.xxh3_128_digest(texts[i]), learned[i]))
-    texts, learned = [texts[i] for i in order], learned[order]
-    for chunk in chunks([len(t) for t in texts], _PART_BYTES):
-        for words, train in zip(_words(texts[chunk]), learned[chunk], strict=True):
-            if train:
-                counts.update(words)
-            else:
-                for word in words:
-                    counts.setdefault(word, 0)
-        ids, lengths = subwords.encode([t.lower() for t in texts[chunk]])
-        train = learned[chunk]
-        pairs.add(attention.pairs_of(ids, lengths)[0], np.repeat(train, lengths - 1))
-        ids, lengths = ids[np.repeat(train, lengths)], lengths[train]
-        after = np.cumsum(lengths)
-        for part in chunks(lengths.tolist(), PART_IDS):
-            first = after[part.start] - lengths[part.start]
-            out.append({"kind": PART, "bucket": parts, "block": block,
-                        "packed": _pack_ids(ids[first : after[part.stop - 1]], lengths[part])})
-            parts += 1
+    order = np.array(sorted(range(len(texts)), key=lambda i: (xxhash.xxh3_128_digest(texts[i]), learned[i])))
+    sent = {PART: 0, HELD: 0}
+    for chunk in chunks([len(texts[i]) for i in order], _PART_BYTES):
+        own = order[chunk]
+        train = learned[own]
+        numbers, n_words = words.add([texts[i] for i in own], train)
+        sizes, first = words.lengths(numbers, n_words), np.cumsum(n_words) - n_words
+        for kind, chosen in (PART, np.flatnonzero(train)), (HELD, np.flatnonzero(~train)):
+            for part in chunks(sizes[chosen].tolist(), PART_IDS):
+                at = chosen[part]
+                some = numbers[ragged(first[at], n_words[at])]
+                ids, lengths = words.encode(some, n_words[at])
+                pairs.add(attention.pairs_of(ids, lengths)[0], kind == PART)
+                parts.append((kind, sent[kind], _pack_ids(ids, lengths), some.astype(np.uint32), n_words[at], own[at]))
+                sent[kind] += 1
+        give_back()
     compress = zstandard.ZstdCompressor(level=3).compress
-    for bucket, own in _in_order(counts, buckets):
-        n = np.fromiter((counts[w] for w in own), "<u4", len(own))
+    place, before = np.empty(len(words.numbers), dtype=np.int64), 0
+    for bucket, held in _in_order(words.numbers, buckets):
+        at = np.fromiter((words.numbers[w] for w in held), np.int64, len(held))
+        place[at] = before + np.arange(len(held))
+        before += len(held)
         out.append({"kind": WORDS, "bucket": bucket, "block": block,
-                    "packed": compress(struct.pack("<I", len(own)) + n.tobytes() + b" ".join(own))})
+                    "packed": compress(struct.pack("<I", len(held)) + words.counts[at].astype("<u4").tobytes() + b" ".join(held))})
+    give_back()
     keys, n = pairs.all()
-    for bucket, own in _pair_order(keys, buckets):
-        out.append({"kind": PAIRS, "bucket": bucket, "block": block, "packed": _pack_pairs(keys[own], n[own])})
-    return pa.Table.from_pylist(out, schema=_SENT)
+    for bucket, held in _pair_order(keys, buckets):
+        out.append({"kind": PAIRS, "bucket": bucket, "block": block, "packed": _pack_pairs(keys[held], n[held])})
+    offsets = np.cumsum([0] * (1 + len(out)) + [len(rows) for *_, rows in parts])
+    for kind, number, packed, numbers, n_words, _ in parts:
+        out.append({"kind": kind, "bucket": number, "block": block, "packed": packed, "words": _pack_ids(place[numbers], n_words)})
+    found = pa.Table.from_pylist(out, schema=_SENT)
+    if "row" not in table.column_names:
+        return found
+    rows = table.column("row").combine_chunks().take(pa.array(np.concatenate([rows for *_, rows in parts])))
+    return found.append_column("rows", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows))
 
 
 def _pack_pairs(pairs: np.ndarray, n: np.ndarray) -> bytes:
@@ -286,7 +350,7 @@ _ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.
 def _add(key: tuple, table: pa.Table) -> pa.Table:
     """Totals of a bucket's words or pairs, for each block in the order in which it sent them.
 
-    Pairs that are in training texts follow with their totals in a row without a block.
+    Pairs come with their totals; those that are in training texts follow in a row without a block.
     """
     kind, bucket = key[0].as_py(), key[1].as_py()
     blocks, packs = table.column("block").to_pylist(), table.column("packed").to_pylist()
@@ -298,8 +362,8 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
             merged.merge(*_read_pairs(packed))
         keys, n = merged.all()
         for block, packed in zip(blocks, packs, strict=True):
-            own = n[np.searchsorted(keys, _read_pairs(packed)[0])]
-            rows.append(row | {"block": block, "totals": compress(own.astype("<u8").tobytes())})
+            own = _read_pairs(packed)[0]
+            rows.append(row | {"block": block, "totals": _pack_pairs(own, n[np.searchsorted(keys, own)])})
         if n.any():
             rows.append(row | {"block": None, "totals": _pack_pairs(keys[n > 0], n[n > 0])})
         return pa.Table.from_pylist(rows, schema=_ANSWER)
@@ -327,42 +391,43 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["pair", "n"])
 
 
-def _score(docs: pa.Table, answers: pa.Table, buckets: int, sums: tuple[int, int, int], corpus: Broadcast,
-           weights: attention.Weights, tokenizer: str) -> pa.Table:
+def _score(parts: pa.Table, answers: pa.Table, sums: tuple[int, int, int], corpus: Broadcast, weights: attention.Weights) -> pa.Table:
     """Counts and scores of a block's texts."""
+    keep_freed()
     n_tokens, n_types, n_texts = sums
-    texts, subwords, pairs = text_bytes(docs.column("text")), Subwords(tokenizer), _Pairs()
-    rows: list[np.ndarray] = []
-    encoded: list[tuple[np.ndarray, np.ndarray]] = []
-    known: dict[bytes, int] = {}
-    for part in chunks([len(t) for t in texts], _PART_BYTES):
-        for words in _words(texts[part]):
-            rows.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-        ids, lengths = subwords.encode([t.lower() for t in texts[part]])
-        pairs.add(attention.pairs_of(ids, lengths)[0], False)
-        encoded.append((ids.astype(np.uint32), lengths))
+    answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kinds, totals = (answers.column(c).to_pylist() for c in ("kind", "totals"))
     decompress = zstandard.ZstdDecompressor().decompress
-    kinds, numbers, totals = (answers.column(c).to_pylist() for c in ("kind", "bucket", "totals"))
-    answer = {(k, b): t for k, b, t in zip(kinds, numbers, totals, strict=True)}
-    found = np.zeros(len(known) + 1, dtype=np.int64)
-    for bucket, own in _in_order(known, buckets):
-        found[[known[w] for w in own]] = np.frombuffer(decompress(answer[WORDS, bucket]), "<u8")
-    found[-1] = n_texts
-    keys, n = pairs.all()
-    for bucket, own in _pair_order(keys, buckets):
-        n[own] = np.frombuffer(decompress(answer[PAIRS, bucket]), "<u8")
+    # Counts of the block's words in the order in which it sent them, and of the end token.
+    found = np.concatenate([*(np.frombuffer(decompress(t), "<u8") for k, t in zip(kinds, totals, strict=True) if k == WORDS),
+                            np.array([n_texts], "<u8")]).astype(np.int64)
+    keys, n = np.concatenate([np.stack(_read_pairs(t)) for k, t in zip(kinds, totals, strict=True) if k == PAIRS], axis=1)
+    order = np.argsort(keys)
+    scorer = attention.Scorer(corpus.value, weights, keys[order], n[order])
     value = np.log10(found + 1.0) - np.log10(float(n_tokens + n_types + 1))
-    base = [float(value[r].sum() + value[-1]) for r in rows]
-    has = [int((found[r] > 0).sum() + (n_texts > 0)) for r in rows]
-    scorer = attention.Scorer(corpus.value, weights, keys, n)
-    model = [x for ids, lengths in encoded for x in scorer(ids.astype(np.int64), lengths).tolist()]
+    tokens, known, base, model = [], [], [], []
+    for packed, packed_words in zip(*(parts.column(c).to_pylist() for c in ("packed", "words")), strict=True):
+        ids, lengths = _read_ids(packed)
+        model += scorer(ids.astype(np.int64), lengths).tolist()
+        words, n_words = _read_ids(packed_words)
+        for row in np.split(words, np.cumsum(n_words)[:-1]):
+            tokens.append(len(row) + 1)
+            known.append(int((found[row] > 0).sum() + (n_texts > 0)))
+            base.append(float(value[row].sum() + value[-1]))
     column = lambda values, kind: pa.chunked_array([pa.array(values, kind)])
     return pa.Table.from_arrays([
-        docs.column("row"), column([len(r) + 1 for r in rows], pa.int64()), column(has, pa.int64()),
-        column([n_tokens] * len(rows), pa.int64()), column(base, pa.float64()), column(model, pa.float64()),
+        pc.list_flatten(parts.column("rows")), column(tokens, pa.int64()), column(known, pa.int64()),
+        column([n_tokens] * len(tokens), pa.int64()), column(base, pa.float64()), column(model, pa.float64()),
     ], names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _lean(make: Callable[[], pa.Table]) -> pa.Table:
+    """A block's result, after the memory that it no longer needs went back to the system."""
+    found = make()
+    give_back()
+    return found
+
+
 def score(
     docs: DataFrame, learned: Column, tokenizer: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -375,27 +440,25 @@ def score(
         F.col(text).cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
     )
+    held = T.StructType([*T.StructType.fromDDL(_SENT_DDL).fields, T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])
     sent = private_stage(spark, "sent", lambda: rows.groupBy("block").applyInArrow(
-        lambda key, table: _send(key, table, buckets, tokenizer), "kind int, bucket long, block long, packed binary"
+        lambda key, table: _lean(lambda: _send(key, table, buckets, tokenizer)), held
     ), partition_by=("kind",))
     answers = private_stage(
-        spark, "totals", lambda: sent.where(F.col("kind") != PART).groupBy("kind", "bucket").applyInArrow(_add, _ANSWER_DDL)
+        spark, "totals", lambda: sent.where(F.col("kind") < PART).select("kind", "bucket", "block", "packed").groupBy("kind", "bucket").applyInArrow(_add, _ANSWER_DDL)
     )
     pairs = private_stage(
         spark, "pairs", lambda: answers.where("block IS NULL").select("totals").mapInArrow(_pair_rows, "pair long, n long")
     )
-    own = sent.where(F.col("kind") == PART)
-    parts = private_stage(spark, "parts", lambda: own.select("block", "bucket", "packed").repartition(
-        max(1, own.count() // _PARTS_A_FILE), "block", "bucket"
-    ))
-    corpus, weights = learn(pairs, parts, subwords)
+    corpus, weights = learn(pairs, sent.where(F.col("kind") == PART).select("block", "bucket", "packed"), subwords)
     counted = answers.agg(F.sum("all_words"), F.sum("known")).first()
     n_texts = docs.where(learned).count()
     sums = (counted[0] or 0) + n_texts, (counted[1] or 0) + (n_texts > 0), n_texts
     added = T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType, False), *added.fields])
-    return rows.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(
-        lambda own, totals: _score(own, totals, buckets, sums, corpus, weights, tokenizer), out
+    texts = sent.where(F.col("kind") >= PART).select("block", "packed", "words", "rows")
+    return texts.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(
+        lambda own, totals: _lean(lambda: _score(own, totals, sums, corpus, weights)), out
     )
 
 

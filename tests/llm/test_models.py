@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import resource
 import zlib
 from collections import Counter
 
@@ -198,6 +199,60 @@ def test_blocks_send_all_pairs_and_the_ids_of_training_texts(monkeypatch, least)
     assert got == dict(want)
 
 
+def test_texts_are_scored_from_the_ids_and_words_that_were_sent(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_IDS", 500)
+    monkeypatch.setattr(lm_scoring, "_PART_BYTES", 3000)
+    texts = [text(k, 3 + k % 90) for k in range(200)] + [None, "", " \n", "  Leading and trailing. ", "\u00dcber\u00a0all \u0130st <|endoftext|>"]
+    learned, split = [k % 3 > 0 for k in range(len(texts))], lm_scoring.Subwords(WORDS)
+    whole = [split.encode([(t or "").encode().lower()])[0] for t in texts]
+    given, encode = [], split._encoder.encode
+    monkeypatch.setattr(split._encoder, "encode", lambda words: given.extend(words) or encode(words))
+    table = pa.table({"text": texts, "learned": learned, "row": [{"doc_id": i} for i in range(len(texts))]})
+    sent = lm_scoring._send((pa.scalar(0),), table, 3, WORDS)
+    assert {*given} - {b""} == {w for t in texts for w in (t or "").encode().lower().split()}
+    kinds = np.array(sent.column("kind").to_pylist())
+    answers = []
+    for kind, bucket in itertools.product((lm_scoring.WORDS, lm_scoring.PAIRS), range(3)):
+        own = sent.filter(pa.array((kinds == kind) & (np.array(sent.column("bucket").to_pylist()) == bucket)))
+        answers.append(lm_scoring._add((pa.scalar(kind), pa.scalar(bucket)), own) if len(own) else None)
+    answers = pa.concat_tables([x for x in answers if x is not None])
+    answers = answers.filter(answers.column("block").is_valid())
+    count = Counter(w for t, train in zip(texts, learned) if train for w in (t or "").encode().lower().split())
+    pair = np.concatenate([attention.pairs_of(i.astype(np.int64), np.array([len(i)]))[0] for i, train in zip(whole, learned) if train])
+    keys, n = np.unique(pair, return_counts=True)
+    classes = np.arange(split.size) % 64
+    corpus = tables(classes, 64, keys >> attention.PAIR_BITS, keys & (1 << attention.PAIR_BITS) - 1, n)
+    held, w = dict(zip(keys.tolist(), n.tolist())), weights(64)
+    sums = sum(count.values()) + sum(learned), len(count) + 1, sum(learned)
+    parts = sent.filter(pa.array(kinds >= lm_scoring.PART))
+    answers = answers.take(pa.array(np.random.default_rng(0).permutation(len(answers))))
+    found = lm_scoring._score(parts, answers, sums, type("Sent", (), {"value": corpus}), w).to_pylist()
+    assert sorted(r["row"]["doc_id"] for r in found) == list(range(len(texts)))
+    for row in found:
+        i = row["row"]["doc_id"]
+        words = [*(texts[i] or "").encode().lower().split(), None]
+        own = np.unique(attention.pairs_of(whole[i].astype(np.int64), np.array([len(whole[i])]))[0])
+        plain = attention.Scorer(corpus, w, own, np.array([held.get(k, 0) for k in own.tolist()]))
+        assert row["score"] == pytest.approx(plain(whole[i].astype(np.int64), np.array([len(whole[i])]))[0], rel=1e-5)
+        known = [sum(learned) if x is None else count[x] for x in words]
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(words), sum(k > 0 for k in known), sums[0])
+        assert row["base_score"] == pytest.approx(sum(math.log10((k + 1) / (sums[0] + sums[1] + 1)) for k in known))
+
+
+def test_steps_of_training_keep_their_memory():
+    """Arrays of a step are not handed back to the system and taken anew in the next."""
+    rng = np.random.default_rng(0)
+    ids, lengths = rng.integers(0, 500, 48_000), np.full(480, 100)
+    (corpus, _) = small_corpus(500, 64)
+    part = pa.RecordBatch.from_pylist([{"block": 0, "bucket": 0, "packed": lm_scoring._pack_ids(ids, lengths)}])
+    given, values = type("Sent", (), {"value": corpus}), attention.flat(attention.initial(64, 1))
+    list(lm_scoring._train_part(iter([part]), given, values, 0))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    list(lm_scoring._train_part(iter([part]), given, values, 0))
+    steps = attention.window_counts(lengths).sum() / 64
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / steps < 250
+
+
 def test_windows_by_number_are_those_of_all():
     lengths = np.array([2, 3, SCORED + 1, SCORED + 2, 2, 200])
     ids = np.arange(lengths.sum())
