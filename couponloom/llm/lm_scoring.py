@@ -124,10 +124,17 @@ def find_classes(pairs: DataFrame, vocabulary: int, start: int, end: int, seed:
     return classes
 
 
+def _forget_words() -> None:
+    """No text is encoded any more: the words that a reused worker remembers make room for what is computed."""
+    word_encoder.cache_clear()
+    give_back()
+    keep_freed()
+
+
 def _train_part(batches: Iterator[pa.RecordBatch], given: Broadcast, values: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
     """Weights after one pass over each part, summed by the numbers of their windows."""
     corpus = given.value
-    keep_freed()
+    _forget_words()
     n_classes = corpus.prior.shape[1]
     total, count = np.zeros(len(values)), 0
     for batch in batches:
@@ -393,7 +400,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(parts: pa.Table, answers: pa.Table, sums: tuple[int, int, int], corpus: Broadcast, weights: attention.Weights) -> pa.Table:
     """Counts and scores of a block's texts."""
-    keep_freed()
+    _forget_words()
     n_tokens, n_types, n_texts = sums
     answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
     kinds, totals = (answers.column(c).to_pylist() for c in ("kind", "totals"))

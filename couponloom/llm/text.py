@@ -108,14 +108,14 @@ def give_back() -> None:
 
 @cache
 def keep_freed() -> None:
-    """Up to 64 MB of freed memory stays with this worker until `give_back`.
+    """Up to 16 MB of freed memory stays with this worker until `give_back`.
 
     Else the C library returns the arrays of a numpy loop to the system and gets them anew, page by page, in every step.
     """
     option = getattr(ctypes.CDLL(None), "mallopt", lambda name, value: 0)
     trim, mapped = -1, -3  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
-    option(trim, 64 << 20)
-    option(mapped, 16 << 20)
+    option(trim, 16 << 20)
+    option(mapped, 4 << 20)
 
 
 def appended(
