@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponloom.functions.columns import percent_of
+from couponloom.operators.boosting import MOST_DEPTH, BoostedTrees, boosted_trees
 from couponloom.operators.dims import join_dimension
 from couponloom.operators.features import feature_names
 from couponloom.operators.panel import dense_counts
@@ -24,6 +25,10 @@ from couponloom.workspace import enable_checkpoints
 
 # A product's rates: a hundred percents of 24 bytes and some room.
 MAP_BYTES = 4_096
+# Training rows up to which trees are fitted by Spark's GBTClassifier.
+SPARK_ROWS = 1_000_000
+# Weight of every tree but the first.
+STEP = 0.1
 
 Scenarios = Mapping[str, Mapping[str, Column]]
 
@@ -74,38 +79,63 @@ class RateScorer:
 
 
 class TreeScorer:
-    """Gradient-boosted trees on the panel features."""
+    """Gradient-boosted trees on the panel features.
+
+    Spark's trainer passes over every row and feature 500 times, so beyond `spark_rows` training rows the
+    same trees are fitted on binned rows, see operators.boosting. Those draw nothing, so `seed` is for Spark's.
+    """
 
     def __init__(
-        self, train: DataFrame, iterations: int = 100, depth: int = 5, seed: int = 42
+        self,
+        train: DataFrame,
+        iterations: int = 100,
+        depth: int = 5,
+        seed: int = 42,
+        spark_rows: int = SPARK_ROWS,
     ):
         enable_checkpoints(train.sparkSession)
         self.features = feature_names(train)
-        prepared = self._assemble(train, {}).select("features", F.col("purchased").cast("double"))
+        self.model: GBTClassificationModel | None = None
+        self.trees: BoostedTrees | None = None
+        label = F.col("purchased").cast("double")
+        if depth <= MOST_DEPTH and train.count() > spark_rows:
+            columns = self._columns({})
+            prepared = train.select(*[c.alias(n) for n, c in columns.items()], label.alias("purchased"))
+            self.trees = boosted_trees(prepared, list(columns), "purchased", iterations, depth, STEP)
+            return
+        prepared = self._assemble(train, {}).select("features", label)
         trees = GBTClassifier(
             labelCol="purchased",
             featuresCol="features",
             maxIter=iterations,
             maxDepth=depth,
-            stepSize=0.1,
+            stepSize=STEP,
             seed=seed,
             checkpointInterval=10,
         )
         trees.setRawPredictionCol(_OUTPUTS["rawPredictionCol"])
         trees.setProbabilityCol(_OUTPUTS["probabilityCol"])
         trees.setPredictionCol(_OUTPUTS["predictionCol"])
-        self.model: GBTClassificationModel = trees.fit(prepared)
+        self.model = trees.fit(prepared)
 
-    def _assemble(self, rows: DataFrame, overrides: Mapping[str, Column]) -> DataFrame:
-        """Vector of filled features and a 0/1 flag for each feature that may be null."""
+    def _columns(self, overrides: Mapping[str, Column]) -> dict[str, Column]:
+        """Filled features and a 0/1 flag for each feature that may be null."""
         value = {c: overrides.get(c, F.col(c)).cast("double") for c in self.features}
         inputs = {f"f_{c}": F.coalesce(v, F.lit(0.0)) for c, v in value.items()}
         flags = {f"f_{c}_missing": value[c].isNull().cast("double") for c in NULLABLE if c in value}
-        columns = {**inputs, **flags}
+        return {**inputs, **flags}
+
+    def _assemble(self, rows: DataFrame, overrides: Mapping[str, Column]) -> DataFrame:
+        columns = self._columns(overrides)
         assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
         return assembler.transform(rows.withColumns(columns)).drop(*columns)
 
     def score(self, rows: DataFrame, scenarios: Scenarios) -> DataFrame:
+        if self.trees is not None:
+            probability = self.trees.probability()
+            return rows.withColumns({
+                name: probability(*self._columns(overrides).values()) for name, overrides in scenarios.items()
+            })
         for name, overrides in scenarios.items():
             scored = self.model.transform(self._assemble(rows, overrides))
             probability = vector_to_array(_OUTPUTS["probabilityCol"])[1]
