@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from couponloom.operators.allocation import top_coupons
 from couponloom.operators.boosting import Bins, Split, Tree, _between, _positions, thresholds
+from couponloom.operators.policies import compare_policies
 from couponloom.operators.scoring import TreeScorer
+from couponloom.params import Params
 
 
 def training_rows(spark, n: int):
@@ -106,3 +109,30 @@ def test_odd_training_rows(spark):
     for wrong in (train.withColumn("price", F.lit(float("nan"))), train.withColumn("purchased", F.lit(2))):
         with pytest.raises(Exception, match="not a number|neither 0 nor 1"):
             TreeScorer(wrong, 1, 2, spark_rows=0)
+
+
+def test_repeated_training_rows_count_and_are_all_scored(spark):
+    train = training_rows(spark, 2_000)
+    twice = train.unionByName(train).cache()
+    scored = TreeScorer(twice, 4, 3, spark_rows=0).score(twice, {"probability": {}})
+    found = scored.groupBy("shopper").agg(F.count("*").alias("n"), F.count_distinct("probability").alias("p"))
+    assert found.filter("n = 2 AND p = 1").count() == found.count() == 2_000
+    expected = TreeScorer(twice, 4, 3).score(twice, {"probability": {}})
+    one, two = (d.orderBy("shopper").toPandas()["probability"].to_numpy() for d in (scored, expected))
+    assert np.allclose(one, two, atol=1e-8)
+
+
+def test_coupons_of_binned_trees_equal_those_of_spark(spark):
+    rows = training_rows(spark, 3_000).withColumns({
+        "product": (F.col("shopper") % 10).cast("int"),
+        "shopper": F.expr("shopper div 10").cast("int"),
+        "substitute_discount": F.lit(0.0),
+        "product_cat": (F.col("shopper") % 10 % 3).cast("int"),
+    }).cache()
+    params = Params(test_week=1, n_shoppers=300, n_products=10, n_coupons=2)
+    scorers = [TreeScorer(rows, 4, 4, spark_rows=n) for n in (0, 3_000)]
+    one, two = (sorted(map(tuple, top_coupons(rows, s, params).collect())) for s in scorers)
+    assert one == two and len(one) == 600
+    chosen = top_coupons(rows, scorers[1], params).cache()
+    totals = [{r.policy: r.total_revenue for r in compare_policies(rows, chosen, s, params).collect()} for s in scorers]
+    assert totals[0] == pytest.approx(totals[1]) and len(totals[0]) == 3
