@@ -3,9 +3,10 @@
 The trees are those of Spark's GBTClassifier: thresholds between neighbouring values, at most `BINS`
 bins a feature, splits by the drop of variance, ties to the first feature and threshold, leaves at
 their mean, first tree on the labels -1 and 1 and the others on the residuals of the log loss. What
-differs is how the rows are passed over. They are binned once into chunks of small codes, and a pass
-adds up counts and residuals per code and node inside the task, so a row costs a few array look-ups
-and not one update per feature. Residuals are added in whole units, so the trees do not depend on how
+differs is how the rows are passed over. They are binned once into small codes, rows of the same codes and
+label become one with their number, since no tree can tell them apart, and a pass adds up counts and
+residuals per code and node inside the task, so a row costs a few array look-ups and not one update
+per feature. Residuals are added in whole units, so the trees do not depend on how
 rows are dealt to tasks, and thresholds come from all rows and not from a sample.
 """
 
@@ -39,7 +40,8 @@ KEPT = StorageLevel.MEMORY_AND_DISK_DESER
 # Partial sums up to which tasks send theirs straight to the driver.
 DIRECT_SUMS = 128
 
-Chunk = tuple[np.ndarray, np.ndarray, np.ndarray]  # codes by bundle, labels of -1 and 1, margins
+# Codes by bundle, labels of -1 and 1, margins, and the number of training rows that have these codes and label.
+Chunk = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -152,17 +154,21 @@ def _between(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
-    """Columns as doubles, batches put together to so many rows at least."""
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to so many rows at least."""
     held: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
         held += [batch] if batch is not None else []
         if (size := sum(b.num_rows for b in held)) and (batch is None or size >= rows):
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield [c.to_numpy().astype(np.float64, copy=False) for c in whole.columns]
+            yield pa.Table.from_batches(held).combine_chunks()
             held.clear()
 
 
+def _whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    for table in _tables(batches, rows):
+        yield [c.to_numpy().astype(np.float64, copy=False) for c in table.columns]
+
+
 def _value_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for columns in _whole(batches, CHUNK_ROWS):
         for f, values in enumerate(columns):
@@ -196,12 +202,26 @@ def thresholds(
     return n, tuple(found[f] for f in range(len(features)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], bins: Bins) -> Iterator[pa.RecordBatch]:
-    """Batches of features and, last, the label as pickled chunks."""
+def _coded(batches: Iterator[pa.RecordBatch], bins: Bins) -> Iterator[pa.RecordBatch]:
+    """Batches of features and, last, the label as (codes, rows): the label is one code more."""
     for *values, label in _whole(batches, CHUNK_ROWS):
         if not np.isin(label, (0.0, 1.0)).all():
             raise ValueError("a label is neither 0 nor 1")
-        made = bins.encode(values), (2 * label - 1).astype(np.int8), np.zeros(len(label))
+        codes = np.vstack([bins.encode(values), label.astype(np.uint16)]).T.copy()
+        found, n = np.unique(codes.view(f"V{codes.shape[1] * 2}").ravel(), return_counts=True)
+        yield pa.record_batch([
+            pa.FixedSizeBinaryArray.from_buffers(pa.binary(found.itemsize), len(found), [None, pa.py_buffer(found)])
+            .cast(pa.binary()), n.astype(np.int64),
+        ], ["codes", "n"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], bundles: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (codes, n) as pickled chunks."""
+    for table in _tables(batches, CHUNK_ROWS):
+        joined = b"".join(table.column("codes").to_pylist())
+        codes = np.frombuffer(joined, np.uint16).reshape(-1, bundles + 1).T
+        labels = 2 * codes[-1].astype(np.int8) - 1
+        made = codes[:-1].copy(), labels, np.zeros(len(labels)), table.column("n").to_numpy().astype(np.float64)
         yield pa.record_batch([pa.array([pickle.dumps(made, protocol=5)], pa.binary())], ["chunk"])
 
 
@@ -225,26 +245,27 @@ def _sums(
     slots[np.array(nodes) - (1 << level)] = range(len(nodes))
     sizes = (*bins.codes, 1)
     sums = [np.zeros((2, len(nodes), n), np.int64) for n in sizes]
-    for codes, labels, margins in chunks:
+    for codes, labels, margins, rows in chunks:
         if level:
             at = slots[_positions(masks, codes) >> (tree.depth - level)]
             inside = np.flatnonzero(at >= 0)
-            at, codes, labels, margins = at[inside], codes[:, inside], labels[inside], margins[inside]
+            at, codes, rows = at[inside], codes[:, inside], rows[inside]
+            labels, margins = labels[inside], margins[inside]
         else:
             at = np.zeros(len(labels), np.int64)
-        targets = _targets(labels, margins, first, unit)
+        targets = _targets(labels, margins, first, unit) * rows
         for n, total, code in zip(sizes, sums, (*codes, 0)):
             key = at * n + code
-            total[0] += np.bincount(key, minlength=total[0].size).reshape(total[0].shape)
-            total[1] += np.bincount(key, targets, total[1].size).reshape(total[1].shape).astype(np.int64)
+            for part, weights in zip(total, (rows, targets)):
+                part += np.bincount(key, weights, part.size).reshape(part.shape).astype(np.int64)
     yield np.concatenate([*bins.by_feature(sums[:-1]), sums[-1]], axis=2)
 
 
 def _moved(chunks: Iterator[Chunk], bins: Bins, tree: Tree, weight: float) -> Iterator[Chunk]:
     """Chunks with the tree added to their margins."""
     masks = tree.masks(bins)
-    for codes, labels, margins in chunks:
-        yield codes, labels, margins + weight * tree.values[_positions(masks, codes)]
+    for codes, labels, margins, rows in chunks:
+        yield codes, labels, margins + weight * tree.values[_positions(masks, codes)], rows
 
 
 def _best(counts: np.ndarray, sums: np.ndarray, bins: Bins) -> tuple[float, Split | None, list[tuple[int, int]]]:
@@ -337,12 +358,14 @@ def boosted_trees(
     enable_checkpoints(spark)
     n, found = thresholds(rows, features, most_values)
     bins = Bins(found)
-    # Sums of whole units stay exact: below 2 ** 53 in a chunk as doubles, below 2 ** 63 in all as integers.
-    unit = 2.0 ** min(30, 60 - n.bit_length())
+    # A sum of whole units over all rows stays below 2 ** 53, where doubles are exact.
+    unit = 2.0 ** min(30, 50 - n.bit_length())
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
     levels = 1 if tasks <= DIRECT_SUMS else 2
-    coded = rows.select(*features, F.col(label).cast("double")).mapInArrow(lambda it: _chunks(it, bins), "chunk binary")
-    state: RDD = coded.repartition(tasks).rdd.map(lambda r: pickle.loads(r.chunk)).persist(KEPT)
+    coded = rows.select(*features, F.col(label).cast("double")).mapInArrow(lambda it: _coded(it, bins), "codes binary, n long")
+    distinct = coded.groupBy("codes").agg(F.sum("n").alias("n")).repartition(tasks, "codes")
+    chunks = distinct.mapInArrow(lambda it: _chunks(it, len(bins.bundles)), "chunk binary")
+    state: RDD = chunks.rdd.map(lambda r: pickle.loads(r.chunk)).persist(KEPT)
 
     def sums(tree: Tree, nodes: list[int], first: bool) -> np.ndarray:
         part = state.mapPartitions(lambda it: _sums(it, bins, tree, nodes, first, unit))
